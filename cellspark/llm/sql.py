@@ -35,3 +35,44 @@ ORACLE_SQL["op7_quality_rules"] = (
        NOT (r1 OR r2) AND bad.source IS NULL AS kept
 FROM b LEFT JOIN bad ON b.source = bad.source"""
 )
+
+#: Lines that later occurrences of a repeated window of three worded lines cover.
+_LINES = r"""
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM {docs}),
+worded AS (SELECT doc_id, i, x, lead(i) OVER o AS i2, lead(x) OVER o AS x2, lead(i, 2) OVER o AS i3, lead(x, 2) OVER o AS x3
+           FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY x, x2, x3 ORDER BY doc_id, i) AS n FROM worded WHERE i3 IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i2, i3]) AS i FROM ranked WHERE n > 1),
+stay AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS text FROM lines ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+gone_by AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+deduped AS (SELECT d.* REPLACE (CASE WHEN g.n IS NULL THEN d.text ELSE coalesce(s.text, '') END AS text),
+                   len(string_split(coalesce(d.text, ''), chr(10)))::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed
+            FROM {docs} d LEFT JOIN gone_by g USING (doc_id) LEFT JOIN stay s USING (doc_id))
+"""
+
+ORACLE_SQL["op3_line_dedup"] = "WITH" + _LINES.format(docs="documents") + "SELECT doc_id, text, n_lines, n_removed FROM deduped"
+
+#: Words and hits of benchmark windows.
+_LEAKS = r"""
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {docs}),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iv AS (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+              lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS g FROM iw WHERE len(w) > 0),
+widths AS (SELECT DISTINCT n FROM iv),
+dv AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g,
+              unnest(range(1, len(w) - n + 2)) AS p FROM dw, widths WHERE len(w) >= n),
+hits AS (SELECT doc_id, p, n, item_id FROM dv JOIN iv USING (n, g)),
+hit_words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+              FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+"""
+
+ORACLE_SQL["op4_decontamination"] = (
+    "WITH"
+    + _LEAKS.format(docs="documents")
+    + """SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+)
