@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lines, quality, tokens
+from . import bpe, decontam, lines, neardup, quality, tokens
 from .common import table
 
 MAX_TOKENS = 2048
@@ -34,4 +34,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_line_dedup, op4_decontamination, op6_byte_bpe, op7_quality_rules)}
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("k").alias("doc_id"), "class_id", (F.col("k") == F.col("class_id")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_line_dedup, op4_decontamination, op6_byte_bpe, op7_quality_rules, op10_minhash_neardup)}
