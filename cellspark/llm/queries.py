@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lines, neardup, quality, tokens
-from .common import table
+from . import bpe, decontam, lines, neardup, quality, tokens, urls, warc
+from .common import shared_dir, table
 
 MAX_TOKENS = 2048
 
@@ -25,6 +25,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc"
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    return warc.digest_rows(warc.assemble(warc.read_records(spark, path)))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"]))
@@ -34,9 +40,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("k").alias("doc_id"), "class_id", (F.col("k") == F.col("class_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_line_dedup, op4_decontamination, op6_byte_bpe, op7_quality_rules, op10_minhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_line_dedup, op4_decontamination, op5_warc, op6_byte_bpe, op7_quality_rules, op9_url_filters, op10_minhash_neardup)}
