@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lines, neardup, quality, tokens, urls, warc
+from . import bpe, decontam, licenses, lines, neardup, quality, shards, tokens, urls, warc
 from .common import shared_dir, table
 
 MAX_TOKENS = 2048
+#: Tokens of a stored sequence, the free id that ends documents, the key of the order, bytes of a shard.
+SEQUENCE, END, ORDER_KEY, SHARD_BYTES = 256, 50256, 20240101, 64 << 20
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards"
+    layout = shards.plan(docs, SEQUENCE, END, ORDER_KEY, SHARD_BYTES)
+    if layout is None:
+        return spark.createDataFrame([], "slot long, doc_id long, part int, n_tokens int, ids_sha256 string")
+    shards.write_shards(docs, path, layout, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = shards.read_shards(spark, path, layout)
+    return rows.select("slot", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc.doc_id", "doc.text", "n_lines", "n_removed")
 
@@ -40,6 +52,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).drop("score")
 
@@ -49,4 +65,4 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("k").alias("doc_id"), "class_id", (F.col("k") == F.col("class_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_line_dedup, op4_decontamination, op5_warc, op6_byte_bpe, op7_quality_rules, op9_url_filters, op10_minhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_training_order, op3_line_dedup, op4_decontamination, op5_warc, op6_byte_bpe, op7_quality_rules, op8_license_scan, op9_url_filters, op10_minhash_neardup)}

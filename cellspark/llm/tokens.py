@@ -28,7 +28,7 @@ CACHE_RUN_BYTES = 64
 PIECE_BYTES = 1 << 20
 
 _TOKENIZERS: dict[str, object] = {}
-_CACHES: dict[str, dict[bytes, int]] = {}
+_CACHES: dict[str, RunLengths] = {}
 
 
 def _tokenizer(spec: str):
@@ -75,6 +75,15 @@ class RunLengths(dict):
         return sum(sum(map(self.__getitem__, piece.split())) for piece in _cuts(text.encode()))
 
 
+def _worker_lengths(name: str, shared) -> RunLengths:
+    """The worker's own table for a broadcast, kept from task to task."""
+    if name not in _CACHES:
+        spec, frequent = shared.value
+        _CACHES.clear()
+        _CACHES[name] = RunLengths(_tokenizer(spec), frequent)
+    return _CACHES[name]
+
+
 def frequent_runs(docs: DataFrame, spec: str, text: str = "text", rows: int = TABLE_ROWS, entries: int = TABLE_ENTRIES) -> dict[bytes, int]:
     """Token counts of the most frequent runs in about ``rows`` rows spread over all of ``docs``.
 
@@ -106,11 +115,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", key:
     name = uuid.uuid4().hex
 
     def make():
-        if name not in _CACHES:
-            spec, frequent = shared.value
-            _CACHES.clear()
-            _CACHES[name] = RunLengths(_tokenizer(spec), frequent)
-        lengths = _CACHES[name]
+        lengths = _worker_lengths(name, shared)
 
         def turn(texts: list[str]) -> dict[str, pa.Array]:
             return {
