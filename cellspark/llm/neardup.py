@@ -74,8 +74,8 @@ SKETCH = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("n", T.
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each document ``k`` (key), ``t`` (text hash), ``h`` (128-bit hash of its words, null if it has
-    none), ``n`` (shingles) and ``bands``. The whole text is read once, without a shuffle."""
+    """Of each document ``k`` (key), ``t`` (text hash), ``h`` (128-bit hash of its words, or of
+    the text if it has none), ``n`` (shingles) and ``bands``. The whole text is read once, without a shuffle."""
     narrow = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
     schema = T.StructType([*narrow.schema.fields[:2], *SKETCH.fields])
 
@@ -84,7 +84,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             ids, ns, elements, weights = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = words(text or "")
-                ids.append(xxhash.xxh3_128_digest(b" ".join(own)) if own else None)
+                ids.append(xxhash.xxh3_128_digest(b" ".join(own) if own else b"\0" + (text or "").encode()))
                 e, w = np.unique(shingles(own), return_counts=True)
                 ns.append(int(w.sum()))
                 elements.append(e)
@@ -165,8 +165,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A class is a component under links of similarity 0.8 or more. The similarity of two texts is the
     weighted Jaccard similarity of their five-word shingles, weighted by how often each occurs; words are
     runs of ASCII letters (in either case), digits and other characters beyond ASCII; a text of one to
-    four words is one shingle. Texts without words (null, empty) are in a class of their own. Rows that
-    repeat key and text are one document and get equal rows. A null key is never a class id unless all
+    four words is one shingle. Texts without words are linked to equal texts alone; null counts as empty.
+    Rows that repeat key and text are one document and get equal rows. A null key is never a class id unless all
     keys of the class are null.
 
     A bucket's members are compared with its least member, and open buckets (those with more than one
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one by one. So each pair that shares a band is either within one class or was compared.
     """
     found = materialise(sketches(docs, key, text), "sketches")
-    vertices = found.where("h IS NOT NULL").groupBy("h").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("k", "t")).alias("low"))
+    vertices = found.groupBy("h").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("k", "t")).alias("low"))
     vertices = materialise(vertices.select("h", "k", F.col("low.t").alias("t"), "n", "bands"), "vertices")
     chosen = vertices.drop("bands")
     rows = materialise(vertices.select("h", F.explode("bands").alias("b")), "bands")
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     joined = materialise(joined, "joined")
     least = materialise(joined.groupBy("c").agg(F.min("k").alias("class_id")), "classes")
     classes = materialise(joined.join(least, "c").select("h", "class_id"), "class_of")
-    return found.select("k", "t", "h").join(classes, "h", "left").select("k", "t", F.when(F.col("h").isNull(), F.col("k")).otherwise(F.col("class_id")).alias("class_id"))
+    return found.select("k", "t", "h").join(classes, "h").select("k", "t", "class_id")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
