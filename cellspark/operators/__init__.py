@@ -1 +1 @@
-
+"""Operators on cells, genes, labels and neighbours."""

@@ -1 +1 @@
-
+"""Whole plans: collation, preprocessing, data module."""

@@ -1 +1 @@
-
+"""Reading and writing of collections, genes and metadata."""

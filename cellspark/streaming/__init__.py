@@ -1 +1 @@
-
+"""Ingestion of new artifacts as a stream."""
