@@ -210,4 +210,5 @@ def report(matched: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents, with all their columns, that share no window with any test item."""
-    return find_matches(docs, benchmark, docs.columns, text).where(F.size("matches") == 0).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
+    return find_matches(whole, benchmark, ["doc"]).where(F.size("matches") == 0).select("doc.*")

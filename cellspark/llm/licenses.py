@@ -37,7 +37,8 @@ TEMPLATES = (
 #: Words of a gram, and grams of a window of which the least is kept: a shared run of GRAM + WINDOW - 1
 #: words always has a fingerprint in common.
 GRAM, WINDOW = 3, 3
-#: Words that an alignment may drift from its diagonal, and the least share of the template it covers.
+#: Words that an alignment may drift from its diagonal (of short templates a quarter of their words), and the least
+#: share of the template that it covers.
 BAND, COVERAGE = 8, 0.8
 MATCH_SCORE, ODD_SCORE = 2, -1
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
@@ -55,6 +56,7 @@ class Index:
     def __init__(self, templates) -> None:
         self.names = [name for name, _ in templates]
         self.words = [words(text) for _, text in templates]
+        self.bands = [max(1, min(BAND, len(own) // 4)) for own in self.words]
         places = defaultdict(list)
         for t, own in enumerate(self.words):
             grams = shingles(own, GRAM)
@@ -77,12 +79,12 @@ class Index:
         for t, diagonals in found.items():
             last = None
             for d in sorted(diagonals):
-                if last is None or d - last > BAND // 2:
+                if last is None or d - last > self.bands[t]:
                     out.append((t, last := d))
         return out
 
 
-def align(template: list[bytes], own: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: list[bytes], own: list[bytes], diagonal: int, band: int) -> tuple[int, int, int]:
     """The best local alignment within the band: matched words, first word and end in the text.
 
     Row i of the table is the template's word i; column j stands for the text's word i + diagonal + j - band.
@@ -118,7 +120,7 @@ def scan_text(text: str, index: Index, coverage: float = COVERAGE) -> list[dict]
     own = words(text)
     found = []
     for t, d in index.candidates(own):
-        matched, first, end = align(index.words[t], own, d)
+        matched, first, end = align(index.words[t], own, d, index.bands[t])
         if matched >= coverage * len(index.words[t]):
             found.append((index.names[t], -matched, first, end, matched / len(index.words[t])))
     taken, out = defaultdict(list), []
