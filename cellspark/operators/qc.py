@@ -41,26 +41,31 @@ def gene_metrics(coo: DataFrame, n_cells: DataFrame) -> DataFrame:
     return out.select("gene", "n_cells_by_counts", "total_counts", (F.col("total_counts") / F.col("n")).alias("mean_counts"), (100 * (1 - F.col("n_cells_by_counts") / F.col("n"))).alias("pct_dropout_by_counts"))
 
 
-def with_outlier(df: DataFrame, metric: str, nmads: float, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mark values more than ``nmads`` unscaled median deviations from the median, within ``by`` or over all."""
+def with_outliers(df: DataFrame, metrics: dict[str, tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
+    """Add a mark for each metric (new column: metric, nmads): whether a value lies more than ``nmads`` unscaled median
+    deviations from the median, within ``by`` or over all. All medians come from one aggregate, all deviations from another."""
     names = list(by)
-    med = df.groupBy(*names).agg(F.median(metric).alias("__med"))
     join = lambda left, right: left.join(F.broadcast(right), names) if names else left.join(F.broadcast(right), how="inner")
-    at = join(df, med)
-    mad = at.groupBy(*names).agg(F.median(F.abs(F.col(metric) - F.col("__med"))).alias("__mad"))
-    return join(at, mad).withColumn(out, F.abs(F.col(metric) - F.col("__med")) > nmads * F.col("__mad")).drop("__med", "__mad")
+    at = join(df, df.groupBy(*names).agg(*(F.median(m).alias(f"__med_{o}") for o, (m, _) in metrics.items())))
+    far = {o: F.abs(F.col(m) - F.col(f"__med_{o}")) for o, (m, _) in metrics.items()}
+    at = join(at, at.groupBy(*names).agg(*(F.median(x).alias(f"__mad_{o}") for o, x in far.items())))
+    at = at.withColumns({o: far[o] > n * F.col(f"__mad_{o}") for o, (_, n) in metrics.items()})
+    return at.drop(*(f"__{k}_{o}" for k in ("med", "mad") for o in metrics))
+
+
+def with_outlier(df: DataFrame, metric: str, nmads: float, out: str, by: Sequence[str] = ()) -> DataFrame:
+    return with_outliers(df, {out: (metric, nmads)}, by)
 
 
 def outliers(metrics: DataFrame, nmads: float = 5, mt_nmads: float = 3, mt_limit: float = 8) -> DataFrame:
     """``outlier`` (any of the three count metrics) and, with mt shares, ``mt_outlier``. Cells are marked, not dropped."""
-    tests = ["total_counts", "n_genes_by_counts", "pct_counts_in_top_20_genes"]
-    out = metrics
-    for t in tests:
-        out = with_outlier(out, t, nmads, f"__{t}")
-    out = out.withColumn("outlier", F.col(f"__{tests[0]}") | F.col(f"__{tests[1]}") | F.col(f"__{tests[2]}"))
-    if "pct_counts_mt" in metrics.columns:
-        out = with_outlier(out, "pct_counts_mt", mt_nmads, "__mt").withColumn("mt_outlier", F.col("__mt") | (F.col("pct_counts_mt") > mt_limit)).drop("__mt")
-    return out.drop(*(f"__{t}" for t in tests))
+    tests = {f"__{i}": (m, nmads) for i, m in enumerate(("total_counts", "n_genes_by_counts", "pct_counts_in_top_20_genes"))}
+    has_mt = "pct_counts_mt" in metrics.columns
+    out = with_outliers(metrics, tests | ({"__mt": ("pct_counts_mt", mt_nmads)} if has_mt else {}))
+    out = out.withColumn("outlier", F.col("__0") | F.col("__1") | F.col("__2"))
+    if has_mt:
+        out = out.withColumn("mt_outlier", F.col("__mt") | (F.col("pct_counts_mt") > mt_limit))
+    return out.drop(*tests, "__mt")
 
 
 def filter_counts(coo: DataFrame, gene_counts: float = 0, cell_counts: float = 0, cell_genes: int = 0) -> DataFrame:

@@ -18,7 +18,7 @@ class CollateOptions:
 
     ``how``: "most expr", "random expr", "all" or "some" (``genelist``). Cells get ``max_len`` genes and
     ``add_zero_genes`` more; missing ones are filled with unexpressed genes. Values are scaled to ``norm_to``,
-    then logged (base 2), then binned.
+    then logged (base 2), then binned. ``key`` names what is unique in a row: the draw where cells are drawn again.
     """
 
     how: str = "all"
@@ -34,6 +34,7 @@ class CollateOptions:
     genelist: Sequence = ()
     seed: int = 0
     extra: Sequence[str] = field(default=())
+    key: str = "cell"
 
 
 def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> DataFrame:
@@ -51,11 +52,12 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
     ranks = chosen.select(F.col("organism").alias("__o"), F.col("gene").alias("__g"), (F.row_number().over(Window.partitionBy("organism").orderBy("pos")) - 1).alias("rank"))
     known = chosen.groupBy(F.col("organism").alias("__o")).agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("width"))
     at = cells.where(F.col(org).isin(*options.organisms)) if options.organisms else cells
-    needed = list(dict.fromkeys([*options.class_names, *([options.tp_name] if options.tp_name else []), *options.extra]))
-    long = at.select("cell", org, depth(F.col("expr")).alias("depth"), *needed, F.explode_outer("expr").alias("x"))
+    needed = list(dict.fromkeys([*options.class_names, *([options.tp_name] if options.tp_name else []), *options.extra, "cell"]))
+    needed = [c for c in needed if c != options.key]
+    long = at.select(options.key, org, depth(F.col("expr")).alias("depth"), *needed, F.explode_outer("expr").alias("x"))
     long = long.join(F.broadcast(ranks), (F.col(org) == F.col("__o")) & (F.col("x.gene") == F.col("__g")), "left")
     fields = [F.col("rank").alias("gene"), F.col("x.value").cast("double").alias("value"), *([F.col("x.near").alias("near")] if near else [])]
-    at = long.groupBy("cell").agg(
+    at = long.groupBy(options.key).agg(
         F.first(org).alias("__org"),
         F.first("depth").alias("depth"),
         *(F.first(c).alias(c) for c in needed),

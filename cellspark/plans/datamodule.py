@@ -135,7 +135,7 @@ class DataModule:
     def _collated(self, chosen: DataFrame, order: str) -> DataFrame:
         cells = chosen.join(self.dataset.encoded(), "global_idx").withColumn("batch_id", F.floor(F.col(order) / self.options.batch_size))
         names = [f"{x}_code" for x in self.dataset.labels]
-        return collate(cells, self.dataset.genes, CollateOptions(**{**self.collating.__dict__, "class_names": names, "extra": [*dict.fromkeys([order, "batch_id", "storage_idx"])]}))
+        return collate(cells, self.dataset.genes, CollateOptions(**{**self.collating.__dict__, "class_names": names, "key": order, "extra": [*dict.fromkeys([order, "batch_id", "storage_idx"])]}))
 
     def train(self, epoch: int = 0) -> DataFrame:
         return self._collated(self.draws(epoch), "draw_id")

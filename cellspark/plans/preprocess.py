@@ -39,6 +39,11 @@ class PreprocessOptions:
     after: Hook | None = None
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a checkpoint in the folder that Spark has for it, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 class Preprocessor:
     """``transform(obs, coo, var, vocabulary)`` gives the cells that stay; ``report`` a row for each artifact.
 
@@ -56,14 +61,14 @@ class Preprocessor:
         obs = o.before(obs) if o.before else obs
         cells = obs.where("is_primary_data") if o.drop_non_primary and "is_primary_data" in obs.columns else obs
         owner = cells.select("cell", "artifact")
-        values = coo.join(owner, "cell")
+        values = _cut(coo.join(owner, "cell"))
         raw = qc.raw_check(values).select("artifact", "is_raw")
         # Genes are filtered within their artifact, then cells; keys are made unique by the artifact.
         inside = values.groupBy("artifact", "gene").agg(F.sum("value").alias("s")).where(F.col("s") >= o.filter_gene_by_counts)
         values = values.join(inside, ["artifact", "gene"], "left_semi") if o.filter_gene_by_counts else values
         counts = values.groupBy("cell").agg(F.sum("value").alias("s"), F.count_if(F.col("value") != 0).alias("n"))
         good = counts.where((F.col("s") >= o.filter_cell_by_counts) & (F.col("n") >= o.min_nnz_genes)).select("cell", F.col("n").alias("nnz"))
-        kept = cells.join(good, "cell")
+        kept = _cut(cells.join(good, "cell"))
         known = gene_ops.join_vocabulary(var, vocabulary, o.is_symbol)
         stats = (
             obs.groupBy("artifact")
@@ -79,12 +84,13 @@ class Preprocessor:
         if not o.force:
             bad = ~F.coalesce("is_raw", F.lit(True)) & F.col("reason").isNull()
             gates = gates.withColumn("reason", F.when(bad, "not raw").otherwise(F.col("reason"))).withColumn("status", F.when(F.col("reason").isNull(), "kept").otherwise("dropped"))
-        self.report = gates
+        gates = self.report = _cut(gates)
         passed = gates.where("status = 'kept'").select("artifact")
         kept = kept.join(passed, "artifact", "left_semi")
         genes = vocabulary.withColumnRenamed("gene_id", "gene")
         values = values.select("cell", "gene", "value").join(kept.select("cell"), "cell", "left_semi").join(genes.select("gene"), "gene", "left_semi")
-        metrics = qc.outliers(qc.cell_metrics(values, genes), o.madoutlier, mt_limit=o.pct_mt_outlier)
+        values = _cut(values)
+        metrics = qc.outliers(_cut(qc.cell_metrics(values, genes)), o.madoutlier, mt_limit=o.pct_mt_outlier)
         normed = cluster.normalise(values, o.normalize_sum)
         if o.n_hvg:
             top = cluster.variable_genes(normed.select("cell", "gene", F.col("norm").alias("value")), kept, o.n_hvg).select("gene", F.lit(True).alias("hvg"))
