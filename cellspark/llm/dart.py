@@ -86,10 +86,11 @@ def signatures(element: np.ndarray, weight: np.ndarray, sizes: np.ndarray, k: in
         own = owner[some]
         at, rank, dart = _throw(element[some], weight[some], limit[own])
         cell = own[at] * k + (mix(dart + np.uint64(3)) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((rank, cell))
-        cell, first = np.unique(cell[order], return_index=True)
-        out.reshape(-1)[cell] = dart[order[first]]
-        filled = np.bincount(cell // k, minlength=len(sizes))[todo] == k
+        least = np.full(len(sizes) * k, np.inf)
+        np.minimum.at(least, cell, rank)
+        won = rank == least[cell]
+        out.reshape(-1)[cell[won]] = dart[won]
+        filled = np.isfinite(least).reshape(-1, k).all(axis=1)[todo]
         todo = todo[~filled]
         limit[todo] *= 2
     return out

@@ -8,11 +8,12 @@ pair by pair; candidate pairs are settled by their exact similarity. Linked vert
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +25,15 @@ from .decontam import words
 SHINGLE = 5
 #: A link takes a similarity of THRESHOLD / 100 or more.
 THRESHOLD = 80
-#: A pair of similarity 0.8 shares none of the 24 bands of 4 coordinates with probability 3e-6.
-BANDS, ROWS = 24, 4
+#: Coordinates of a signature; bands, and the coordinates of each, drawn by hash. A pair of similarity 0.8
+#: shares no band with probability 0.003, one of 0.85 with 0.0002, one of 0.3 shares any with 0.02.
+COORDINATES, BANDS, ROWS = 112, 28, 6
+#: Coordinates in which a pair must agree to be settled exactly; of similarity 0.8, 2 in 10,000 have fewer.
+AGREE = 74
+#: Bits kept of a coordinate for this, and coordinates in a long.
+BITS, PACK = 7, 7
 #: Leaders are compared with their buckets until this many open pairs a band row are left, or so often.
-OPEN_PAIRS, LEADER_ROUNDS = 0.5, 8
+OPEN_PAIRS, LEADER_ROUNDS = 0.02, 4
 WORD_CACHE = 500_000
 
 
@@ -63,19 +69,40 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
     return np.where(nth == 0, values[at], dart.mix(values[at] ^ dart.mix(nth * dart.GOLDEN)))
 
 
-def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A hash of each band's coordinates, for every signature."""
+    k = signature.shape[1]
+    order = np.argsort(dart.mix(np.arange(bands * k, dtype=np.uint64) + np.uint64(1)).reshape(bands, k), axis=1)[:, :rows]
     out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(signature), 1))
     for i in range(rows):
-        out = dart.mix(out * dart.GOLDEN + signature[:, i::rows])
+        out = dart.mix(out * dart.GOLDEN + signature[:, order[:, i]])
     return out.view(np.int64)
 
 
-SKETCH = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def packed(signature: np.ndarray) -> np.ndarray:
+    """The low bits of the coordinates, in bytes of longs whose first byte is free."""
+    low = (signature & np.uint64((1 << BITS) - 1)).reshape(len(signature), -1, PACK)
+    return (low << (np.uint64(8) * np.arange(PACK, dtype=np.uint64))).sum(axis=2).view(np.int64)
+
+
+def agrees(a: Column, b: Column) -> Column:
+    """Whether two packed signatures agree in enough coordinates: bytes that differ carry into their top bit."""
+    ones, tops = (sum(x << 8 * i for i in range(PACK)) for x in (0x7F, 0x80))
+    differ = [F.bit_count((a[i].bitwiseXOR(b[i]) + F.lit(ones)).bitwiseAND(F.lit(tops))) for i in range(COORDINATES // PACK)]
+    return reduce(lambda x, y: x + y, differ) <= COORDINATES - AGREE
+
+
+def near_sizes(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can reach the threshold."""
+    return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
+
+
+SKETCH = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("mini", T.ArrayType(T.LongType()))])
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each document ``k`` (key), ``t`` (text hash), ``h`` (128-bit hash of its words, or of
-    the text if it has none), ``n`` (shingles) and ``bands``. The whole text is read once, without a shuffle."""
+    the text if it has none), ``n`` (shingles), ``bands`` and ``mini``, the packed signature. The whole text is read once, without a shuffle."""
     narrow = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
     schema = T.StructType([*narrow.schema.fields[:2], *SKETCH.fields])
 
@@ -91,11 +118,12 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 weights.append(w)
             some = [i for i, n in enumerate(ns) if n]
             bands: list[list[int] | None] = [None] * len(ns)
+            minis: list[list[int] | None] = [None] * len(ns)
             if some:
-                signature = dart.signatures(np.concatenate([elements[i] for i in some]), np.concatenate([weights[i] for i in some]).astype(float), np.array([len(elements[i]) for i in some]), BANDS * ROWS)
-                for i, row in zip(some, band_hashes(signature, BANDS, ROWS).tolist(), strict=True):
-                    bands[i] = row
-            made = [pa.array(ids, pa.binary()), pa.array(ns, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                signature = dart.signatures(np.concatenate([elements[i] for i in some]), np.concatenate([weights[i] for i in some]).astype(float), np.array([len(elements[i]) for i in some]), COORDINATES)
+                for i, band, mini in zip(some, band_hashes(signature).tolist(), packed(signature).tolist(), strict=True):
+                    bands[i], minis[i] = band, mini
+            made = [pa.array(ids, pa.binary()), pa.array(ns, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(minis, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), *made], names=schema.names)
 
     return narrow.mapInArrow(work, schema)
@@ -115,17 +143,17 @@ def _shingle_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> Da
     return at.mapInArrow(work, schema).dropDuplicates(["h"])
 
 
-def _links(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) of vertices that reach the threshold exactly. Sizes that rule it out are dropped
-    first; only the texts of what is left are fetched."""
-    sizes = vertices.select("h", "n")
-    pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    pairs = materialise(pairs.where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")), "pairs")
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    sets = materialise(_shingle_sets(docs, vertices.join(ends, "h").select("h", "k", "t"), key, text), "shingles")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", "na", "nb", common.alias("c"))
+def _plausible(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The pairs (a, b), with their sizes, that sizes and signatures do not rule out."""
+    of = vertices.select("h", "n", "mini")
+    at = pairs.join(of.toDF("a", "na", "ma"), "a").join(of.toDF("b", "nb", "mb"), "b")
+    return at.where(near_sizes(F.col("na"), F.col("nb")) & agrees(F.col("ma"), F.col("mb"))).select("a", "b", "na", "nb")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The plausible pairs (a, b, na, nb) that reach the threshold exactly."""
+    both = materialise(pairs, "pairs").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
     return materialise(both.where(100 * F.col("c") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), "links")
 
 
@@ -169,44 +197,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows that repeat key and text are one document and get equal rows. A null key is never a class id unless all
     keys of the class are null.
 
-    A bucket's members are compared with its least member, and open buckets (those with more than one
-    class) go on with the next one, until few pairs of different classes are left open; these are compared
-    one by one. So each pair that shares a band is either within one class or was compared.
+    A bucket's members are compared with its leader, the member that shares most buckets with others: of many
+    copies of a text, each changed elsewhere, this is the text itself. Open buckets (of more than one class)
+    go on with a leader drawn by hash, another in each bucket, and with members of other classes; when few pairs of different classes are left open, or after some rounds, all of
+    these are compared. So each pair that shares a band is within one class or was compared.
     """
     found = materialise(sketches(docs, key, text), "sketches")
-    vertices = found.groupBy("h").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("k", "t")).alias("low"))
-    vertices = materialise(vertices.select("h", "k", F.col("low.t").alias("t"), "n", "bands"), "vertices")
+    low = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "t")).alias("low")
+    vertices = found.groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mini").alias("mini"), low)
+    vertices = materialise(vertices.select("h", "low.k", "low.t", "n", "bands", "mini"), "vertices")
     chosen = vertices.drop("bands")
     rows = materialise(vertices.select("h", F.explode("bands").alias("b")), "bands")
-    crowded = rows.groupBy("b").agg(F.min("h").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    total, labels = rows.count(), None
+    total = rows.count()
+    crowded = materialise(rows.groupBy("b").agg(F.count("*").alias("m")).where("m > 1"), "crowded")
+    rows = materialise(rows.join(crowded, "b"), "rows")
+    shared = materialise(rows.groupBy("h").agg(F.sum("m").alias("p")), "shared")
+    rows = materialise(rows.select("b", "h").join(shared, "h").select("b", "h", "p", F.col("h").alias("c")), "rows")
+    # The texts of vertices that share a bucket are fetched once; all rounds compare these sets.
+    sets = materialise(_shingle_sets(docs, chosen.join(shared.select("h"), "h").select("h", "k", "t"), key, text), "shingles")
+    labels = None
     for step in range(LEADER_ROUNDS):
-        leads = materialise(crowded.select("b", "lead"), "leads")
-        members = materialise(rows.join(leads, "b").where("h != lead"), "members")
-        if members.isEmpty():
+        order = F.struct("p", "h", "c") if step == 0 else F.struct(F.xxhash64("h", "b", F.lit(step)).alias("p"), "h", "c")
+        lead = materialise(rows.groupBy("b").agg(F.max(order).alias("x")).select("b", F.col("x.h").alias("lead"), F.col("x.c").alias("lc")), "leads")
+        rows = materialise(rows.join(lead, "b").where("h != lead"), "members")
+        if rows.isEmpty():
             break
-        links = _links(docs, members.select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), chosen, key, text)
+        pairs = rows.where("c != lc").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct()
+        links = _links(_plausible(pairs, chosen), sets)
         if not links.isEmpty():
             labels = _relabel(labels, links)
-        rows = members.select("h", "b")
-        if labels is None:
-            rows = rows.withColumn("c", F.col("h"))
-        else:
-            rows = rows.join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("c", F.coalesce("c", "h"))
-        groups = rows.groupBy("b", "c").agg(F.min("h").alias("low"), F.count("*").alias("m"))
-        crowded = groups.groupBy("b").agg(F.min("low").alias("lead"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        crowded = materialise(crowded.where("m * m > q"), "open")
-        rows = materialise(rows.join(crowded.select("b"), "b", "left_semi"), "rows")
-        left = crowded.agg(F.sum(F.col("m") * F.col("m") - F.col("q")) / 2).first()[0] or 0
-        if left <= OPEN_PAIRS * total or step == LEADER_ROUNDS - 1:
-            if left:
-                others = rows.select("b", F.col("h").alias("h2"), F.col("c").alias("c2"))
-                rest = rows.join(others, "b").where("h < h2 AND c != c2").select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
-                links = _links(docs, rest, chosen, key, text)
-                if not links.isEmpty():
-                    labels = _relabel(labels, links)
+            rows = rows.drop("c").join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("c", F.coalesce("c", "h"))
+        rows = rows.select("b", "h", "p", "c")
+        groups = rows.groupBy("b", "c").agg(F.count("*").alias("m"))
+        still = groups.groupBy("b").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q")).where("m * m > q")
+        still = materialise(still, "open")
+        left = still.agg(F.sum(F.col("m") * F.col("m") - F.col("q")) / 2).first()[0] or 0
+        rows = materialise(rows.join(still.select("b"), "b", "left_semi"), "rows")
+        if left <= OPEN_PAIRS * total:
             break
-        rows = rows.select("h", "b")
+    if not rows.isEmpty():
+        rest = materialise(rows.join(chosen.select("h", "n", "mini"), "h").drop("p"), "rest")
+        x, y = rest.toDF("a", "b", "ca", "na", "ma"), rest.toDF("b", "bucket", "cb", "nb", "mb")
+        both = x.withColumnRenamed("b", "bucket").join(y, "bucket")
+        both = both.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_sizes(F.col("na"), F.col("nb")) & agrees(F.col("ma"), F.col("mb")))
+        links = _links(both.select("a", "b", "na", "nb").distinct(), sets)
+        if not links.isEmpty():
+            labels = _relabel(labels, links)
     joined = vertices.select("h", "k")
     joined = joined.withColumn("c", F.col("h")) if labels is None else joined.join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("c", F.coalesce("c", "h"))
     joined = materialise(joined, "joined")
