@@ -134,6 +134,7 @@ def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
 
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that both their own rules and their host's verdict keep, with all their columns."""
-    features = with_features(docs, text, host)
+    # Written once with the documents: as one plan, the filter would be pushed below the measures and repeat them all.
+    features = materialise(with_features(docs, text, host), "quality")
     rates = materialise(host_rates(features), "hosts")
     return judge(features, host_verdicts(rates)).where("kept").select("doc.*")
