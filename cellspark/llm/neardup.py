@@ -19,17 +19,17 @@ from pyspark.sql import types as T
 
 from . import dart
 from .arrow import pieces
-from .common import materialise
+from .common import materialise, small
 from .decontam import words
 
 SHINGLE = 5
 #: A link takes a similarity of THRESHOLD / 100 or more.
 THRESHOLD = 80
 #: Coordinates of a signature; bands, and the coordinates of each, drawn by hash. A pair of similarity 0.8
-#: shares no band with probability 0.003, one of 0.85 with 0.0002, one of 0.3 shares any with 0.02.
-COORDINATES, BANDS, ROWS = 112, 28, 6
+#: shares no band with probability 0.001, one of 0.85 with 0.00003, one of 0.3 shares any with 0.02.
+COORDINATES, BANDS, ROWS = 224, 28, 6
 #: Coordinates in which a pair must agree to be settled exactly; of similarity 0.8, 2 in 10,000 have fewer.
-AGREE = 74
+AGREE = 157
 #: Bits kept of a coordinate for this, and coordinates in a long.
 BITS, PACK = 7, 7
 #: Leaders are compared with their buckets until this many open pairs a band row are left, or so often.
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def _shingle_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
     """``h`` and ``s``, the numbered shingles, of the vertices in ``chosen`` (h, k, t), each once."""
     at = docs.select(F.col(key).alias("dk"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("dt"), F.col(text).alias("text"))
-    at = at.join(chosen, F.col("dk").eqNullSafe(F.col("k")) & (F.col("dt") == F.col("t"))).select("h", "text")
+    at = at.join(small(materialise(chosen, "chosen")), F.col("dk").eqNullSafe(F.col("k")) & (F.col("dt") == F.col("t"))).select("h", "text")
     schema = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("s", T.ArrayType(T.LongType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +143,12 @@ def _shingle_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> Da
     return at.mapInArrow(work, schema).dropDuplicates(["h"])
 
 
+def similar(a: str, b: str, na: str, nb: str) -> Column:
+    """Whether two numbered sets of these sizes reach the threshold."""
+    common = F.size(F.array_intersect(a, b))
+    return (100 + THRESHOLD) * common >= THRESHOLD * (F.col(na) + F.col(nb))
+
+
 def _plausible(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     """The pairs (a, b), with their sizes, that sizes and signatures do not rule out."""
     of = vertices.select("h", "n", "mini")
@@ -152,9 +158,8 @@ def _plausible(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The plausible pairs (a, b, na, nb) that reach the threshold exactly."""
-    both = materialise(pairs, "pairs").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
-    return materialise(both.where(100 * F.col("c") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), "links")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return materialise(both.where(similar("sa", "sb", "na", "nb")).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,9 +218,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = materialise(rows.join(crowded, "b"), "rows")
     shared = materialise(rows.groupBy("h").agg(F.sum("m").alias("p")), "shared")
     rows = materialise(rows.select("b", "h").join(shared, "h").select("b", "h", "p", F.col("h").alias("c")), "rows")
-    # The texts of vertices that share a bucket are fetched once; all rounds compare these sets.
-    sets = materialise(_shingle_sets(docs, chosen.join(shared.select("h"), "h").select("h", "k", "t"), key, text), "shingles")
-    labels = None
+    labels = sets = None
     for step in range(LEADER_ROUNDS):
         order = F.struct("p", "h", "c") if step == 0 else F.struct(F.xxhash64("h", "b", F.lit(step)).alias("p"), "h", "c")
         lead = materialise(rows.groupBy("b").agg(F.max(order).alias("x")).select("b", F.col("x.h").alias("lead"), F.col("x.c").alias("lc")), "leads")
@@ -223,7 +226,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if rows.isEmpty():
             break
         pairs = rows.where("c != lc").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct()
-        links = _links(_plausible(pairs, chosen), sets)
+        pairs = materialise(_plausible(pairs, chosen), "pairs")
+        if sets is None:
+            ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+            sets = materialise(_shingle_sets(docs, chosen.join(ends, "h").select("h", "k", "t"), key, text), "shingles")
+        links = _links(pairs, sets)
         if not links.isEmpty():
             labels = _relabel(labels, links)
             rows = rows.drop("c").join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("c", F.coalesce("c", "h"))
@@ -233,14 +240,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         still = materialise(still, "open")
         left = still.agg(F.sum(F.col("m") * F.col("m") - F.col("q")) / 2).first()[0] or 0
         rows = materialise(rows.join(still.select("b"), "b", "left_semi"), "rows")
+        if step == 0 and not rows.isEmpty():
+            # What later rounds may compare lies in open buckets; the texts that are lacking are fetched together.
+            lacking = rows.select("h").distinct().join(sets.select("h"), "h", "left_anti")
+            sets = sets.union(materialise(_shingle_sets(docs, chosen.join(lacking, "h").select("h", "k", "t"), key, text), "shingles"))
         if left <= OPEN_PAIRS * total:
             break
     if not rows.isEmpty():
-        rest = materialise(rows.join(chosen.select("h", "n", "mini"), "h").drop("p"), "rest")
-        x, y = rest.toDF("a", "b", "ca", "na", "ma"), rest.toDF("b", "bucket", "cb", "nb", "mb")
-        both = x.withColumnRenamed("b", "bucket").join(y, "bucket")
-        both = both.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_sizes(F.col("na"), F.col("nb")) & agrees(F.col("ma"), F.col("mb")))
-        links = _links(both.select("a", "b", "na", "nb").distinct(), sets)
+        # The sets go along with the rows, so that the join settles a pair and gives nothing but links. A pair
+        # that shares several buckets is settled in the first of them.
+        each = rows.groupBy("h", "c").agg(F.sort_array(F.collect_list("b")).alias("bs"))
+        each = each.join(chosen.select("h", "n", "mini"), "h").join(sets, "h").select("h", "c", "n", "mini", "s", "bs", F.explode("bs").alias("bucket"))
+        rest = materialise(each, "rest")
+        x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}{end}") for c in ("h", "c", "n", "mini", "s", "bs"))) for end in "ab")
+        both = x.join(y, "bucket").where(
+            (F.col("ha") < F.col("hb"))
+            & (F.col("ca") != F.col("cb"))
+            & near_sizes(F.col("na"), F.col("nb"))
+            & agrees(F.col("minia"), F.col("minib"))
+            & (F.array_min(F.array_intersect("bsa", "bsb")) == F.col("bucket"))
+            & similar("sa", "sb", "na", "nb")
+        )
+        both = both.select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+        links = materialise(both.select("a", "b").distinct(), "links")
         if not links.isEmpty():
             labels = _relabel(labels, links)
     joined = vertices.select("h", "k")
