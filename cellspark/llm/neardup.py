@@ -143,12 +143,18 @@ def _shingle_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> Da
     return at.mapInArrow(work, schema).dropDuplicates(["h"])
 
 
-def similar(a: str, b: str, na: str, nb: str) -> Column:
-    """Whether two numbered sets of these sizes reach the threshold."""
-    common = F.size(F.array_intersect(a, b))
+def similar(common: Column, na: str, nb: str) -> Column:
+    """Whether two numbered sets of these sizes, with so many elements in common, reach the threshold."""
     return (100 + THRESHOLD) * common >= THRESHOLD * (F.col(na) + F.col(nb))
 
 
+def _differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct (h, ref) of ``rows`` with ``nr``, the size of ref's set, and how h's set differs
+    from it: ``less``, what is in ref's alone, and ``more``, what is in h's alone."""
+    at = rows.select("h", "ref").distinct().join(sets, "h").join(sets.toDF("ref", "r"), "ref")
+    return materialise(at.select("h", "ref", F.size("r").alias("nr"), F.array_except("r", "s").alias("less"), F.array_except("s", "r").alias("more")), "differences")
+
+
 def _plausible(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     """The pairs (a, b), with their sizes, that sizes and signatures do not rule out."""
     of = vertices.select("h", "n", "mini")
@@ -159,7 +165,7 @@ def _plausible(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The plausible pairs (a, b, na, nb) that reach the threshold exactly."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return materialise(both.where(similar("sa", "sb", "na", "nb")).select("a", "b"), "links")
+    return materialise(both.where(similar(F.size(F.array_intersect("sa", "sb")), "na", "nb")).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,7 +224,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = materialise(rows.join(crowded, "b"), "rows")
     shared = materialise(rows.groupBy("h").agg(F.sum("m").alias("p")), "shared")
     rows = materialise(rows.select("b", "h").join(shared, "h").select("b", "h", "p", F.col("h").alias("c")), "rows")
-    labels = sets = None
+    labels = sets = refs = None
     for step in range(LEADER_ROUNDS):
         order = F.struct("p", "h", "c") if step == 0 else F.struct(F.xxhash64("h", "b", F.lit(step)).alias("p"), "h", "c")
         lead = materialise(rows.groupBy("b").agg(F.max(order).alias("x")).select("b", F.col("x.h").alias("lead"), F.col("x.c").alias("lc")), "leads")
@@ -241,25 +247,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         left = still.agg(F.sum(F.col("m") * F.col("m") - F.col("q")) / 2).first()[0] or 0
         rows = materialise(rows.join(still.select("b"), "b", "left_semi"), "rows")
         if step == 0 and not rows.isEmpty():
-            # What later rounds may compare lies in open buckets; the texts that are lacking are fetched together.
-            lacking = rows.select("h").distinct().join(sets.select("h"), "h", "left_anti")
+            # What later rounds may compare lies in open buckets, with their first leaders; the texts that are lacking are fetched together.
+            refs = materialise(lead.join(still.select("b"), "b", "left_semi").select("b", F.col("lead").alias("ref")), "refs")
+            lacking = rows.select("h").union(refs.select("ref")).distinct().join(sets.select("h"), "h", "left_anti")
             sets = sets.union(materialise(_shingle_sets(docs, chosen.join(lacking, "h").select("h", "k", "t"), key, text), "shingles"))
         if left <= OPEN_PAIRS * total:
             break
     if not rows.isEmpty():
-        # The sets go along with the rows, so that the join settles a pair and gives nothing but links. A pair
-        # that shares several buckets is settled in the first of them.
-        each = rows.groupBy("h", "c").agg(F.sort_array(F.collect_list("b")).alias("bs"))
-        each = each.join(chosen.select("h", "n", "mini"), "h").join(sets, "h").select("h", "c", "n", "mini", "s", "bs", F.explode("bs").alias("bucket"))
-        rest = materialise(each, "rest")
-        x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}{end}") for c in ("h", "c", "n", "mini", "s", "bs"))) for end in "ab")
-        both = x.join(y, "bucket").where(
+        # A row carries how its set differs from that of its bucket's first leader, so that the join settles a pair
+        # exactly and gives nothing but links. A pair that shares several buckets is settled in the first of them.
+        rows = materialise(rows.select("b", "h", "c").join(refs, "b"), "rows")
+        at = rows.groupBy("h", "c").agg(F.sort_array(F.collect_list("b")).alias("bs"), F.collect_list(F.struct("b", "ref")).alias("at")).join(chosen.select("h", "n"), "h")
+        at = at.select("h", "c", "n", "bs", F.explode("at").alias("x")).select("h", "c", "n", "bs", "x.b", "x.ref")
+        rest = materialise(at.join(_differences(rows, sets), ["h", "ref"]).select(F.col("b").alias("bucket"), "h", "c", "n", "bs", "nr", "less", "more"), "rest")
+        x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}{end}") for c in ("h", "c", "n", "bs", "nr", "less", "more"))) for end in "ab")
+        common = F.col("nra") - F.size(F.array_union("lessa", "lessb")) + F.size(F.array_intersect("morea", "moreb"))
+        both = x.join(y.drop("nrb"), "bucket").where(
             (F.col("ha") < F.col("hb"))
             & (F.col("ca") != F.col("cb"))
             & near_sizes(F.col("na"), F.col("nb"))
-            & agrees(F.col("minia"), F.col("minib"))
             & (F.array_min(F.array_intersect("bsa", "bsb")) == F.col("bucket"))
-            & similar("sa", "sb", "na", "nb")
+            & similar(common, "na", "nb")
         )
         both = both.select(F.col("ha").alias("a"), F.col("hb").alias("b"))
         links = materialise(both.select("a", "b").distinct(), "links")

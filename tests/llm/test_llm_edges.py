@@ -156,6 +156,26 @@ def test_near_duplicates_of_a_group_around_one_text(spark):
     assert got == classes({k: t for k, t, _ in rows})
 
 
+def test_near_duplicates_without_their_origin(spark):
+    """Copies of a text that is not there, changed more or less: leaders leave pairs open, differences settle them."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        own = [f"w{j}" for j in range(200)]
+        for j in rng.choice(200, 1 + i % 6, replace=False):
+            own[j] = f"x{i}x{j}"
+        rows.append((i, " ".join(own), "s"))
+    settled, differences = [], neardup._differences
+    neardup._differences = lambda *a: settled.append(1) or differences(*a)
+    try:
+        got = {r.k: r.class_id for r in neardup.near_duplicates(docs(spark, *rows)).collect()}
+    finally:
+        neardup._differences = differences
+    from test_llm_queries import classes
+
+    assert settled and got == classes({k: t for k, t, _ in rows})
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     e = rng.integers(1, 2**63, 300).astype(np.uint64)
