@@ -1,20 +1,22 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment settles them."""
+"""License scans: winnowed fingerprints pick candidates without loss, banded alignment settles them."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import pieces
 from .decontam import words
-from .neardup import shingles
 
 #: Notices and grants of public licenses.
 TEMPLATES = (
@@ -34,54 +36,77 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: Words of a gram, and grams of a window of which the least is kept: a shared run of GRAM + WINDOW - 1
-#: words always has a fingerprint in common.
-GRAM, WINDOW = 3, 3
 #: Words that an alignment may drift from its diagonal (of short templates a quarter of their words), and the least
 #: share of the template that it covers.
 BAND, COVERAGE = 8, 0.8
 MATCH_SCORE, ODD_SCORE = 2, -1
+#: Diagonals whose bands are compared with the template at once.
+CHUNK = 256
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
 
 
-def winnow(grams: np.ndarray, window: int = WINDOW) -> list[int]:
+def winnow(grams: np.ndarray, window: int) -> list[int]:
     """Places of the fingerprints: the last least hash of every window, or of all if there are fewer."""
     n = max(1, len(grams) - window + 1) if len(grams) else 0
     return sorted({i + (w := grams[i : i + window]).size - 1 - int(np.argmin(w[::-1])) for i in range(n)})
 
 
+def fingerprints(own: list[bytes], misses: int) -> list[int]:
+    """Places of the words kept by the widest window that keeps more than ``misses``; long words come first.
+
+    A span that lacks at most ``misses`` of the words has one of them, wherever its changes are. Grams of more words
+    could all be broken by so many changes.
+    """
+    order = np.array([(255 - min(len(w), 255) << 56) | xxhash.xxh3_64_intdigest(w) >> 8 for w in own], np.uint64)
+    return next(kept for window in range(len(own), 0, -1) if len(kept := winnow(order, window)) > misses)
+
+
 class Index:
-    """The inverted index of the templates' fingerprints."""
+    """The inverted index of the templates' fingerprints, for spans of at least ``coverage``."""
 
-    def __init__(self, templates) -> None:
-        self.names = [name for name, _ in templates]
-        self.words = [words(text) for _, text in templates]
+    def __init__(self, templates, coverage: float = COVERAGE) -> None:
+        kept = [(name, own) for name, text in templates if (own := words(text))]
+        self.names = [name for name, _ in kept]
+        self.words = [own for _, own in kept]
         self.bands = [max(1, min(BAND, len(own) // 4)) for own in self.words]
-        places = defaultdict(list)
+        self.least = [max(1, math.ceil(coverage * len(own))) for own in self.words]
+        self.numbers = {w: i for i, w in enumerate(sorted({w for own in self.words for w in own}), 1)}
+        self.ids = [np.array([self.numbers[w] for w in own], np.int32) for own in self.words]
+        self.members = np.zeros((len(kept), len(self.numbers) + 1), bool)
+        self.places = defaultdict(list)
         for t, own in enumerate(self.words):
-            grams = shingles(own, GRAM)
-            for i in winnow(grams):
-                places[int(grams[i])].append((t, i))
-        self.places = dict(places)
-        self.hashes = np.sort(np.array(list(self.places), np.uint64))
-
-    def candidates(self, own: list[bytes]) -> list[tuple[int, int]]:
-        """(template, diagonal) of the alignments to try; diagonals nearer than the band are one."""
-        grams = shingles(own, GRAM)
-        if not len(grams) or not len(self.hashes):
-            return []
-        at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
-        found = defaultdict(set)
-        for i in np.flatnonzero(self.hashes[at] == grams).tolist():
-            for t, j in self.places[int(grams[i])]:
-                found[t].add(i - j)
-        out = []
-        for t, diagonals in found.items():
-            last = None
-            for d in sorted(diagonals):
-                if last is None or d - last > self.bands[t]:
-                    out.append((t, last := d))
-        return out
+            self.members[t, self.ids[t]] = True
+            if self.least[t] <= len(own):
+                for i in fingerprints(own, len(own) - self.least[t]):
+                    self.places[int(self.ids[t][i])].append((t, i))
+        self.marks = np.isin(np.arange(len(self.numbers) + 1), list(self.places))
+
+    def candidates(self, own: list[bytes]) -> Iterator[tuple[int, int, int | None]]:
+        """(template, diagonal, start of a verbatim copy in its band or None) of the alignments that can cover enough.
+
+        The band of a diagonal must hold a fingerprint in its place, enough words of the template, and enough of them in their places.
+        """
+        ids = np.fromiter(map(self.numbers.get, own, repeat(0)), np.int32, len(own))
+        found = defaultdict(list)
+        for x in np.flatnonzero(self.marks[ids]).tolist():
+            for t, i in self.places[int(ids[x])]:
+                found[t].append(x - i)
+        for t, shifts in found.items():
+            n, band, least = len(self.words[t]), self.bands[t], self.least[t]
+            drift = np.arange(-band, band + 1)
+            diagonals = np.unique(np.array(shifts)[:, None] + drift)
+            total = np.concatenate(([0], np.cumsum(self.members[t][ids], dtype=np.int64)))
+            held = total[np.clip(diagonals + n + band, 0, len(own))] - total[np.clip(diagonals - band, 0, len(own))]
+            diagonals = diagonals[held >= least]
+            pad = np.zeros(n + 2 * band if len(diagonals) else 0, np.int32)
+            padded = np.concatenate((pad, ids, pad))
+            at = np.arange(n)[:, None] + drift + len(pad)
+            for some in (diagonals[i : i + CHUNK] for i in range(0, len(diagonals), CHUNK)):
+                equal = padded[some[:, None, None] + at] == self.ids[t][:, None]
+                whole = equal.all(1)
+                for k in np.flatnonzero(equal.any(2).sum(1) >= least).tolist():
+                    d = int(some[k])
+                    yield t, d, d - band + int(whole[k].argmax()) if whole[k].any() else None
 
 
 def align(template: list[bytes], own: list[bytes], diagonal: int, band: int) -> tuple[int, int, int]:
@@ -115,14 +140,16 @@ def align(template: list[bytes], own: list[bytes], diagonal: int, band: int) ->
     return best[1], best[2], end
 
 
-def scan_text(text: str, index: Index, coverage: float = COVERAGE) -> list[dict]:
+def scan_text(text: str, index: Index) -> list[dict]:
     """The spans of a text that cover enough of a template, in order; of one license, spans do not overlap."""
     own = words(text)
-    found = []
-    for t, d in index.candidates(own):
-        matched, first, end = align(index.words[t], own, d, index.bands[t])
-        if matched >= coverage * len(index.words[t]):
-            found.append((index.names[t], -matched, first, end, matched / len(index.words[t])))
+    found = set()
+    for t, d, start in index.candidates(own):
+        n = len(index.words[t])
+        # Nothing scores as much as a verbatim copy, so its alignment is known.
+        matched, first, end = align(index.words[t], own, d, index.bands[t]) if start is None else (n, start, start + n)
+        if matched >= index.least[t]:
+            found.add((index.names[t], -matched, first, end, matched / n))
     taken, out = defaultdict(list), []
     for name, minus, first, end, share in sorted(found):
         if all(end <= a or b <= first for a, b in taken[name]):
@@ -148,18 +175,18 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, key: str = "doc_id", tex
     """A row for each span: key, ``license``, its words and characters (ends excluded), matched words and
     the share of the template they cover.
 
-    Whole texts are scanned. Words are compared in lower case without punctuation. Documents without a span,
+    Whole texts are scanned; the spans are those that an alignment of every template on every diagonal finds. Words are compared in lower case without punctuation. Documents without a span,
     among them null and empty texts, have no row; repeated rows have a row each; a null key stays null.
     The index of the templates is a parameter of fixed size and goes to every task; no row is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Index(templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(templates, coverage))
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     schema = T.StructType([narrow.schema["k"], *SPAN])
     kinds = pa.schema([("license", pa.string()), *((f.name, pa.int64()) for f in SPAN[1:6]), ("coverage", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            spans = [scan_text(x or "", shared.value, coverage) for x in batch.column("text").to_pylist()]
+            spans = [scan_text(x or "", shared.value) for x in batch.column("text").to_pylist()]
             at = pa.array([i for i, s in enumerate(spans) for _ in s], pa.int64())
             made = pa.RecordBatch.from_pylist([x for s in spans for x in s], kinds)
             yield pa.RecordBatch.from_arrays([batch.column("k").take(at), *made.columns], names=schema.names)

@@ -278,3 +278,39 @@ def test_winnowing_keeps_one_of_every_window():
     grams = np.random.default_rng(0).integers(0, 99, 50).astype(np.uint64)
     kept = licenses.winnow(grams, 4)
     assert all(any(i <= k < i + 4 for k in kept) for i in range(47))
+
+
+def every_diagonal(text, index):
+    """Spans by alignment of every template on every diagonal."""
+    own, found = decontam.words(text), set()
+    for t, template in enumerate(index.words):
+        for d in range(-len(template) - index.bands[t], len(own) + index.bands[t] + 1):
+            m, a, b = licenses.align(template, own, d, index.bands[t])
+            if m >= licenses.COVERAGE * len(template):
+                found.add((index.names[t], -m, a, b))
+    taken = []
+    for name, m, a, b in sorted(found):
+        if all(name != n or b <= x or y <= a for n, x, y, _ in taken):
+            taken.append((name, a, b, -m))
+    return sorted(taken)
+
+
+def test_licenses_with_changed_words():
+    index = licenses.Index(licenses.TEMPLATES)
+    for text in ("Released under MIT License.", "Released under an MIT License.", "Released under an MIT fine License."):
+        assert [(x["license"], x["matched_words"]) for x in licenses.scan_text(text, index)] == [("MIT", 4)]
+    short = licenses.Index([t for t in licenses.TEMPLATES if len(decontam.words(t[1])) < 16])
+    for t, own in enumerate(short.words):
+        own = [w.decode() for w in own]
+        for i in range(len(own)):
+            for changed in (own[:i] + own[i + 1 :], own[:i] + ["odd"] + own[i + 1 :], own[:i] + ["odd"] + own[i:], own[: i + 1] + own[i:]):
+                text = " ".join(["the", "license", *changed, "is", *own[:i]])
+                got = [(x["license"], x["start_word"], x["end_word"], x["matched_words"]) for x in licenses.scan_text(text, short)]
+                assert sorted(got) == every_diagonal(text, short)
+                assert len(own) * 0.8 > len(own) - 1 or short.names[t] in {x[0] for x in got}
+    for template in [own for own in index.words if len(own) > 30]:
+        long = licenses.Index([("x", b" ".join(template).decode())])
+        # Every fifth word is another: no run has five words of the template.
+        text = "y " + " ".join("odd" if i % 5 == 4 else w.decode() for i, w in enumerate(template))
+        got = [(x["license"], x["start_word"], x["end_word"], x["matched_words"]) for x in licenses.scan_text(text, long)]
+        assert got == every_diagonal(text, long) and len(got) == 1
