@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import pieces
-from .common import materialise
+from .common import materialise, small
 
 #: (rule, verdict); a rule is a host, which stands for its subdomains too, and the start of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Sizes of the two models: their most frequent words and tokens. Counts are over all rows.
+#: Words and tokens that go to every task; where a model has more, those met most often, and the rest is joined.
 MAX_WORDS, MAX_TOKENS = 50_000, 100_000
 LONGEST_WORD = 24
 #: Hosts whose words a worker remembers.
@@ -48,17 +50,47 @@ def best_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def word_costs(pages: DataFrame, html: str = "html", size: int = MAX_WORDS) -> tuple[dict[str, float], float]:
-    """Negative log probabilities of the ``size`` most frequent title words, and of one unseen letter."""
+@dataclass(frozen=True)
+class Words:
+    """All title words with their counts (``w``, ``count``), and the sum of these."""
+
+    counts: DataFrame
+    total: int
+
+    def cost(self, count: int) -> float:
+        return word_cost(count, self.total)
+
+
+def word_cost(count: int, total: int) -> float:
+    return -math.log(count / total)
+
+
+def word_costs(pages: DataFrame, html: str = "html") -> tuple[Words, float]:
+    """The table of title words, whose costs are negative log probabilities, and the cost of one unseen letter."""
     title = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
     found = pages.select(F.explode(F.split(F.lower(title), r"[^\p{L}]+")).alias("w")).where((F.col("w") != "") & (F.length("w") <= LONGEST_WORD))
     counts = materialise(found.groupBy("w").count(), "title_words")
     total = counts.agg(F.sum("count")).first()[0] or 0
-    top = counts.orderBy(F.desc("count"), "w").limit(size)
-    return {r.w: -math.log(r["count"] / total) for r in top.toLocalIterator()}, math.log(10) + math.log(max(total, 1)) / 4
+    return Words(counts, total), math.log(10) + math.log(max(total, 1)) / 4
 
 
-def segment(name: str, costs: dict[str, float], letter: float) -> list[str]:
+def tiers(table: DataFrame, terms, key: str, size: int) -> tuple[list, DataFrame | None]:
+    """Rows of ``table`` (``w`` and values) for every task, and for each key of ``terms()`` (``key``, ``w``) the rest of those it needs.
+
+    A table of at most ``size`` rows goes to every task. Of a larger one, the ``size`` words that terms name most often
+    do (known or not), so none that is joined is hot; ``more`` holds an array of the rest's rows by key.
+    """
+    values = [c for c in table.columns if c != "w"]
+    if table.limit(size + 1).count() <= size:
+        return table.collect(), None
+    named = terms()
+    top = materialise(named.groupBy("w").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "w").limit(size), "named_most").select("w")
+    held = table.join(F.broadcast(top), "w", "left_semi").collect()
+    rest = named.join(F.broadcast(top), "w", "left_anti").join(table, "w")
+    return held, rest.groupBy(key).agg(F.collect_list(F.struct("w", *values)).alias("more"))
+
+
+def segment(name: str, costs: Mapping[str, float], letter: float) -> list[str]:
     """The likeliest split of ``name`` into words; an unknown word costs ``letter`` for each letter and once more."""
     best, cut = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
     for j in range(1, len(name) + 1):
@@ -73,71 +105,138 @@ def segment(name: str, costs: dict[str, float], letter: float) -> list[str]:
     return out[::-1]
 
 
-def url_tokens(host: str, path: str, split) -> list[str]:
-    """``h:`` words of the host's names, ``t:`` its last name, ``p:`` path tokens; digits become one sign each."""
-    *names, last = host.split(".")
-    out = [f"t:{last}"] if last else []
-    out += [f"h:{w}" for name in names for part in re.findall(r"[^\W\d_]+", name) for w in split(part)]
-    return out + [f"p:{re.sub(r'[0-9]', '0', w)}" for w in re.findall(r"\w+", path.lower())]
+def host_parts(host: str) -> list[str]:
+    """The runs of letters of a host's names but the last."""
+    return [part for name in host.split(".")[:-1] for part in re.findall(r"[^\W\d_]+", name)]
+
+
+def host_tokens(host: str, split) -> list[str]:
+    """``t:`` the host's last name, ``h:`` the words of its other names."""
+    last = host.rpartition(".")[2]
+    return ([f"t:{last}"] if last else []) + [f"h:{w}" for part in host_parts(host) for w in split(part)]
+
+
+def path_tokens(path: str) -> list[str]:
+    """``p:`` tokens of the path; digits become one sign each."""
+    return [f"p:{re.sub(r'[0-9]', '0', w)}" for w in re.findall(r"\w+", path.lower())]
+
 
+def substrings(hosts: DataFrame) -> DataFrame:
+    """``host``, ``w``: whatever may be a word of it, once."""
 
-def tokenised(pages: DataFrame, costs: dict[str, float], letter: float, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "host", 1 << 16):
+            own = batch.column("host").to_pylist()
+            made = [sorted({p[i:j] for p in host_parts(h) for i in range(len(p)) for j in range(i + 1, min(len(p), i + LONGEST_WORD) + 1)}) for h in own]
+            at = pa.array([i for i, x in enumerate(made) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("host").take(at), pa.array(list(chain.from_iterable(made)), pa.string())], names=["host", "w"])
+
+    return hosts.mapInArrow(work, "host string, w string")
+
+
+def tokenised(pages: DataFrame, costs: Words, letter: float, rules=RULES, key: str = "page_id", url: str = "url", size: int = MAX_WORDS) -> DataFrame:
     """``k`` (key), host, path, ``rule`` (struct) and the URL's ``tokens``."""
     at = pages.select(F.col(key).alias("k"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     at = at.select("*", best_rule(F.col("host"), F.col("path"), rules).alias("rule"))
-    shared = pages.sparkSession.sparkContext.broadcast((costs, letter))
-    tokens = T.StructField("tokens", T.ArrayType(T.StringType()))
+    schema = T.StructType([*at.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))])
+    held, more = tiers(costs.counts, lambda: materialise(substrings(at.select("host").distinct()), "substrings"), "host", size)
+    if more is not None:
+        at = at.join(small(materialise(more, "host_words")), "host", "left").select(*at.columns, "more")
+    total, joined = costs.total, more is not None
+    shared = pages.sparkSession.sparkContext.broadcast({r.w: costs.cost(r["count"]) for r in held})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = lru_cache(HOST_CACHE)(lambda name: segment(name, *shared.value))
+        known = shared.value
+
+        @lru_cache(HOST_CACHE)
+        def split(name: str) -> list[str]:
+            return segment(name, known, letter)
+
+        def of(host: str, path: str, rest: list[dict] | None) -> list[str]:
+            if not rest:
+                return host_tokens(host, split) + path_tokens(path)
+            own = {x["w"]: word_cost(x["count"], total) for x in rest}
+            for p in host_parts(host):
+                own |= {w: known[w] for i in range(len(p)) for j in range(i + 1, min(len(p), i + LONGEST_WORD) + 1) if (w := p[i:j]) in known}
+            return host_tokens(host, lambda name: segment(name, own, letter)) + path_tokens(path)
+
         for batch in pieces(batches, "path"):
-            made = [url_tokens(h, p, split) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.string()))], names=[*batch.schema.names, "tokens"])
+            rest = batch.column("more").to_pylist() if joined else [None] * batch.num_rows
+            made = [of(*x) for x in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), rest, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.list_(pa.string()))], names=schema.names)
 
-    return at.mapInArrow(work, T.StructType([*at.schema.fields, tokens]))
+    return at.mapInArrow(work, schema)
 
 
-def train(labelled: DataFrame, size: int = MAX_TOKENS) -> tuple[dict[str, float], float, float] | None:
-    """Naive Bayes from rows with ``tokens`` and ``verdict``: log odds of allow by token, of an unseen
-    token, and the prior's. None if a verdict has no rows. Add-one smoothing over the tokens kept."""
+@dataclass(frozen=True)
+class Model:
+    """All tokens with their counts by verdict (``w``, ``a``, ``b``), the smoothed sums of these, and the prior's log odds."""
+
+    counts: DataFrame
+    a: int
+    b: int
+    prior: float
+
+
+def log_odds(a: int, b: int, all_a: int, all_b: int) -> float:
+    return math.log((a + 1) / all_a) - math.log((b + 1) / all_b)
+
+
+def train(labelled: DataFrame) -> Model | None:
+    """Naive Bayes from rows with ``tokens`` and ``verdict``. None if a verdict has no rows. Add-one smoothing over all tokens."""
     classes = {r.verdict: r["count"] for r in labelled.groupBy("verdict").count().collect()}
     if not classes.get("allow") or not classes.get("block"):
         return None
     allow = F.col("verdict") == "allow"
     counts = labelled.select(allow.alias("a"), F.explode("tokens").alias("w")).groupBy("w").agg(F.count_if("a").alias("a"), F.count_if(~F.col("a")).alias("b"))
-    rows = counts.orderBy(F.desc(F.col("a") + F.col("b")), "w").limit(size).collect()
-    a, b = (sum(r[x] for r in rows) + len(rows) + 1 for x in "ab")
-    odds = {r.w: math.log((r.a + 1) / a) - math.log((r.b + 1) / b) for r in rows}
-    return odds, math.log(b / a), math.log(classes["allow"] / classes["block"])
+    counts = materialise(counts, "token_counts")
+    sums = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return Model(counts, sums.a + sums.n + 1, sums.b + sums.n + 1, math.log(classes["allow"] / classes["block"]))
 
 
-def score(tokens: DataFrame, model: tuple[dict[str, float], float, float] | None) -> DataFrame:
+def score(tokens: DataFrame, model: Model | None, size: int = MAX_TOKENS) -> DataFrame:
     """Add ``score``, the log odds of allow; 0 without a model. Tokens not in the model do not count."""
     if model is None:
         return tokens.withColumn("score", F.lit(0.0))
-    shared = tokens.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*tokens.schema.fields, T.StructField("score", T.DoubleType())])
+    rows = []
+
+    def terms() -> DataFrame:
+        rows.append(materialise(tokens.withColumn("__id", F.monotonically_increasing_id()), "numbered_urls"))
+        return rows[0].select("__id", F.explode("tokens").alias("w"))
+
+    held, more = tiers(model.counts, terms, "__id", size)
+    at = tokens if more is None else rows[0].join(more, "__id", "left").select(*tokens.columns, "more")
+    sums, prior, width, joined = (model.a, model.b), model.prior, len(tokens.columns), more is not None
+    shared = tokens.sparkSession.sparkContext.broadcast({r.w: log_odds(r.a, r.b, *sums) for r in held})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, _, prior = shared.value
+        odds = shared.value
         for batch in pieces(batches, "path"):
-            made = [prior + sum(odds.get(w, 0.0) for w in x or ()) for x in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, "score"])
+            rest = batch.column("more").to_pylist() if joined else [None] * batch.num_rows
+            # The sum is rounded once, so it does not depend on where a token's odds came from.
+            made = [
+                math.fsum([prior, *(odds.get(w, 0.0) for w in own or ()), *(log_odds(x["a"], x["b"], *sums) for x in far or ())])
+                for own, far in zip(batch.column("tokens").to_pylist(), rest, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(made, pa.float64())], names=schema.names)
 
-    return tokens.mapInArrow(work, T.StructType([*tokens.schema.fields, T.StructField("score", T.DoubleType())]))
+    return at.mapInArrow(work, schema)
 
 
-def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, max_words: int = MAX_WORDS, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Per page: key, ``host``, ``path``, ``rule`` (null if none fits), ``verdict`` and the model's ``score``.
 
     The longest rule that fits decides; else a score of at least 0 allows. A null URL or one without
     ``://`` has empty host and path and is judged by the prior alone. Repeated rows get equal verdicts.
-    If rules leave no row of a verdict to learn from, what no rule decides is allowed. Only the two
-    models, of bounded size, are broadcast; no row is shuffled by host.
+    If rules leave no row of a verdict to learn from, what no rule decides is allowed. Both models hold all words
+    and tokens. One of at most ``max_words`` or ``max_tokens`` is broadcast and shuffles no row; of a larger one the part
+    met most often is, and the rest is joined to the hosts' substrings and the URLs' tokens.
     """
     costs, letter = word_costs(pages, html)
-    rows = materialise(tokenised(pages, costs, letter, rules, key, url), "url_tokens")
+    rows = materialise(tokenised(pages, costs, letter, rules, key, url, max_words), "url_tokens")
     model = train(rows.where("rule IS NOT NULL").select("tokens", "rule.verdict"))
-    return score(rows, model).select(
+    return score(rows, model, max_tokens).select(
         F.col("k").alias(key),
         "host",
         "path",

@@ -262,6 +262,31 @@ def test_segment():
     assert urls.segment("", costs, 9.0) == [] and "".join(urls.segment("qzx", costs, 9.0)) == "qzx"
 
 
+def test_urls_whose_tokens_are_rare(spark):
+    name = F.translate(F.format_string("%06d", F.col("id")), "0123456789", "abcdefghij")
+    seen = spark.range(120_000).select(
+        F.col("id").alias("page_id"),
+        F.concat(F.when(F.col("id") < 70_000, F.lit("http://h.com/fr/")).otherwise(F.lit("http://h.com/de/")), name).alias("url"),
+        F.concat(F.lit("<title>"), name, F.lit("</title>")).alias("html"),
+    )
+    new = spark.createDataFrame([(-1, "http://h.net/x/bbjjjj", None), (-2, "http://h.net/x/unseen", None), (-3, "http://bbjjjjbbjjji.net/", None)], "page_id long, url string, html string")
+    pages = seen.unionByName(new)
+    got = {r.page_id: r.score for r in urls.judge_urls(pages).where("page_id < 0").collect()}
+    # Token bbjjjj is seen once, with block, and sorts last.
+    assert got[-1] < got[-2]
+    words, letter = urls.word_costs(pages)
+    made = urls.tokenised(new, words, letter).where("k = -3").first()
+    assert made.tokens == ["t:net", "h:bbjjjj", "h:bbjjji"]
+
+
+@pytest.mark.parametrize("sizes", [(3, 100_000), (50_000, 3), (0, 0), (40, 40)])
+def test_url_verdicts_do_not_depend_on_what_is_broadcast(spark, sizes):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages = pages.unionByName(pages.limit(5)).unionByName(pages.limit(2).withColumn("page_id", F.lit(None)))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(urls.judge_urls(pages, max_words=sizes[0], max_tokens=sizes[1])) == key(urls.judge_urls(pages))
+
+
 def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
     long = licenses.TEMPLATES[-3][1]
