@@ -91,6 +91,13 @@ def join_vocabulary(s, d):
     return gene_ops.join_vocabulary(var, known)
 
 
+@query
+def join_vocabulary_whole(s, d):
+    """Every artifact's genes with the whole gene table."""
+    var = t.var(s, d).select("artifact", F.col("gene").alias("var_idx"), F.concat(F.lit("G"), "gene").alias("gene_id"))
+    return gene_ops.join_vocabulary(var, t.genes(s, d).select(F.concat(F.lit("G"), "gene").alias("gene_id"), "symbol"))
+
+
 @query
 def vars_sorted(s, d):
     return gene_ops.vars_sorted(t.var(s, d).withColumn("var_idx", F.when(F.col("artifact") < 5, -F.col("gene")).otherwise(F.col("gene"))))
@@ -256,6 +263,15 @@ def zero_fill_genes(s, d):
     return at.select("cell", F.posexplode_outer("zeros").alias("rank", "pos"))
 
 
+@query
+def zero_fill_genes_organism(s, d):
+    """Unexpressed genes out of all that the organism has."""
+    known = gene_ops.with_positions(t.genes(s, d), gene="gene").where("organism = 'SMALL'").select("gene", (F.col("pos") - F.col("start_idx")).cast("int").alias("taken"))
+    at = t.values(s, d).join(known, "gene", "left").groupBy("cell").agg(F.collect_list("taken").alias("taken"))
+    at = select.with_zero_genes(at, F.lit(5), known.count(), seed=3)
+    return at.select("cell", F.posexplode_outer("zeros").alias("rank", "pos"))
+
+
 @query
 def ontology_ancestors(s, d):
     return ontology.closure(ontology.parent_edges(t.ontology(s, d)))
@@ -482,6 +498,18 @@ def collate_neighbours(s, d):
     return at.select("cell", F.posexplode_outer("genes").alias("i", "gene"), "depth")
 
 
+@query
+def collate_neighbours_filled(s, d):
+    """All cells that have neighbours; those with too few known genes get unexpressed ones at random."""
+    edges = neighbors.exact_knn(t.vectors(s, d)).select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"))
+    values = t.values(s, d)
+    near = neighbors.with_near(values.join(edges.select(F.col("src").alias("cell")), "cell", "left_semi"), neighbors.neighbour_sums(edges, values))
+    cells = near.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("gene", "value", "near"))).alias("expr")).withColumn("organism", F.lit("SMALL"))
+    known = gene_ops.with_positions(t.genes(s, d), gene="gene").select("gene", "organism", "pos").where("organism = 'SMALL'")
+    at = collate(cells, known, CollateOptions(how="most expr", max_len=2))
+    return at.select("cell", F.posexplode_outer("genes").alias("i", "gene"), "depth")
+
+
 @query
 def pca_centered(s, d):
     out = cluster.pca(t.vectors(s, d), "vector", 4)

@@ -304,3 +304,31 @@ b AS (SELECT cell, pos, sum(value) AS value, sum(near) AS near FROM (
         SELECT cell, pos, value, 0.0::DOUBLE AS near FROM own WHERE cell IN (SELECT src FROM e)
         UNION ALL SELECT src, pos, 0.0::DOUBLE, value FROM e JOIN own ON own.cell = dst) GROUP BY ALL)""",
 )
+add("join_vocabulary_whole", "SELECT artifact, 'G' || gene AS gene_id, gene AS var_idx FROM var JOIN genes USING (gene)")
+_WIDTH = ", base AS (SELECT min(pos) AS low, count(*) AS width FROM sm WHERE organism = 'SMALL')"
+add(
+    "zero_fill_genes_organism",
+    "SELECT cell, (row_number() OVER (PARTITION BY cell ORDER BY i) - 1)::INT AS rank, pos FROM (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY cell ORDER BY i) <= 5)",
+    _SMALL
+    + _WIDTH
+    + f""", taken AS (SELECT cell, (pos - low)::INT AS pos FROM own, base),
+drawn AS (SELECT cell, i, floor({uniform("'3#' || cell || '#' || i")} * width)::INT AS pos FROM (SELECT DISTINCT cell FROM vals), base, range(1, 65) r(i)),
+first AS (SELECT cell, pos, min(i) AS i FROM drawn ANTI JOIN taken USING (cell, pos) GROUP BY cell, pos)""",
+)
+add(
+    "collate_neighbours_filled",
+    """SELECT cell, i::INT AS i, gene::INT AS gene, coalesce(total, 0) AS depth FROM (
+    SELECT cell, i - 1 AS i, pos AS gene FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value + near / 6.0::DOUBLE DESC, pos) AS i FROM b) WHERE i <= 2
+    UNION ALL SELECT cell, coalesce(n, 0) + r - 1, pos + low FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY i) AS r FROM first) LEFT JOIN have USING (cell), base WHERE r <= 2 - coalesce(n, 0)
+) LEFT JOIN met USING (cell)""",
+    _SMALL
+    + _WIDTH
+    + f""", e AS (SELECT src + 1 AS src, dst + 1 AS dst FROM knn),
+b AS (SELECT cell, pos, sum(value) AS value, sum(near) AS near FROM (
+        SELECT cell, pos, value, 0.0::DOUBLE AS near FROM own WHERE cell IN (SELECT src FROM e)
+        UNION ALL SELECT src, pos, 0.0::DOUBLE, value FROM e JOIN own ON own.cell = dst) GROUP BY ALL),
+have AS (SELECT cell, count(*) AS n FROM b GROUP BY cell),
+every AS (SELECT cell FROM vals WHERE cell IN (SELECT src FROM e) UNION SELECT src FROM e JOIN vals ON vals.cell = dst),
+drawn AS (SELECT cell, i, floor({uniform("'0#' || cell || '#' || i")} * width)::INT AS pos FROM every, base, range(1, 65) r(i)),
+first AS (SELECT cell, pos, min(i) AS i FROM drawn ANTI JOIN (SELECT cell, (pos - low)::INT AS pos FROM b, base) USING (cell, pos) GROUP BY cell, pos)""",
+)
