@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A bucket's members are compared with its leader, the member that shares most buckets with others: of many
     copies of a text, each changed elsewhere, this is the text itself. Open buckets (of more than one class)
     go on with a leader drawn by hash, another in each bucket, and with members of other classes; when few pairs of different classes are left open, or after some rounds, all of
-    these are compared. So each pair that shares a band is within one class or was compared.
+    these are compared. So each pair that shares a band is within one class or was compared; with
+    leaders by coordinates first, which drops about 2 in 10,000 pairs of similarity 0.8 for good (see AGREE).
     """
     found = materialise(sketches(docs, key, text), "sketches")
     low = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "t")).alias("low")
