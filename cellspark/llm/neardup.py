@@ -1,8 +1,9 @@
 """Near-duplicate classes of documents by weighted five-word shingles.
 
 Equal word sequences are first made one vertex each. DartMinHash signatures of the vertices are cut into
-bands; vertices that share a band are compared with the bucket's leaders, and what leaders leave open
-pair by pair; candidate pairs are settled by their exact similarity. Linked vertices form classes.
+bands. A pair that shares a band and agrees in enough coordinates is a candidate, and a candidate of enough exact
+similarity a link. Linked vertices form classes. Leaders of buckets only decide which candidates need not be looked
+at, as their ends are in one class already.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import dart
 from .arrow import pieces
-from .common import materialise, small
+from .common import Scratch, small
 from .decontam import words
 
 SHINGLE = 5
@@ -28,7 +29,7 @@ THRESHOLD = 80
 #: Coordinates of a signature; bands, and the coordinates of each, drawn by hash. A pair of similarity 0.8
 #: shares no band with probability 0.001, one of 0.85 with 0.00003, one of 0.3 shares any with 0.02.
 COORDINATES, BANDS, ROWS = 224, 28, 6
-#: Coordinates in which a pair must agree to be settled exactly; of similarity 0.8, 2 in 10,000 have fewer.
+#: Coordinates in which a candidate must agree; of similarity 0.8, 2 in 10,000 have fewer.
 AGREE = 157
 #: Bits kept of a coordinate for this, and coordinates in a long.
 BITS, PACK = 7, 7
@@ -130,17 +131,17 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def _shingle_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
-    """``h`` and ``s``, the numbered shingles, of the vertices in ``chosen`` (h, k, t), each once."""
+    """``v`` and ``s``, the numbered shingles, of the vertices in ``chosen`` (v, k, t), each once."""
     at = docs.select(F.col(key).alias("dk"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("dt"), F.col(text).alias("text"))
-    at = at.join(small(materialise(chosen, "chosen")), F.col("dk").eqNullSafe(F.col("k")) & (F.col("dt") == F.col("t"))).select("h", "text")
-    schema = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("s", T.ArrayType(T.LongType()))])
+    at = at.join(small(chosen), F.col("dk").eqNullSafe(F.col("k")) & (F.col("dt") == F.col("t"))).select("v", "text")
+    schema = T.StructType([T.StructField("v", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             sets = [numbered(shingles(words(x or ""))).view(np.int64) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
 
-    return at.mapInArrow(work, schema).dropDuplicates(["h"])
+    return at.mapInArrow(work, schema).dropDuplicates(["v"])
 
 
 def similar(common: Column, na: str, nb: str) -> Column:
@@ -148,145 +149,175 @@ def similar(common: Column, na: str, nb: str) -> Column:
     return (100 + THRESHOLD) * common >= THRESHOLD * (F.col(na) + F.col(nb))
 
 
-def _differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct (h, ref) of ``rows`` with ``nr``, the size of ref's set, and how h's set differs
-    from it: ``less``, what is in ref's alone, and ``more``, what is in h's alone."""
-    at = rows.select("h", "ref").distinct().join(sets, "h").join(sets.toDF("ref", "r"), "ref")
-    return materialise(at.select("h", "ref", F.size("r").alias("nr"), F.array_except("r", "s").alias("less"), F.array_except("s", "r").alias("more")), "differences")
-
-
 def _plausible(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     """The pairs (a, b), with their sizes, that sizes and signatures do not rule out."""
-    of = vertices.select("h", "n", "mini")
-    at = pairs.join(of.toDF("a", "na", "ma"), "a").join(of.toDF("b", "nb", "mb"), "b")
+    at = pairs.join(vertices.toDF("a", "na", "ma"), "a").join(vertices.toDF("b", "nb", "mb"), "b")
     return at.where(near_sizes(F.col("na"), F.col("nb")) & agrees(F.col("ma"), F.col("mb"))).select("a", "b", "na", "nb")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The plausible pairs (a, b, na, nb) that reach the threshold exactly."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return materialise(both.where(similar(F.size(F.array_intersect("sa", "sb")), "na", "nb")).select("a", "b"), "links")
+    return both.where(similar(F.size(F.array_intersect("sa", "sb")), "na", "nb")).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Scratch) -> DataFrame:
     """``v`` and ``c``, the least vertex of its component, for every end of ``links`` (a, b).
 
     Each round gives a vertex the least label of its neighbours and then its label's label, so that the
     rounds grow with the logarithm of a component's width. Labels are written after every round.
     """
-    edges = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("c")), "labels")
+    edges = work.write(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = work.write(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("c")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        low = materialise(labels.join(near, "v").select("v", "c", F.least("c", "m").alias("m")), "low")
+        near = edges.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
+        low = work.write(labels.select("v", "c").join(near, "v").select("v", "c", F.least("c", "m").alias("m")), "low")
+        work.drop(labels)
         jump = low.join(low.select(F.col("v").alias("m"), F.col("m").alias("j")), "m")
-        new = materialise(jump.select("v", F.least("m", "j").alias("c"), (F.least("m", "j") != F.col("c")).alias("moved")), "labels")
-        labels = new.select("v", "c")
-        if new.where("moved").isEmpty():
-            return labels
+        labels = work.write(jump.select("v", F.least("m", "j").alias("c"), (F.least("m", "j") != F.col("c")).alias("moved")), "labels")
+        work.drop(low)
+        if labels.where("moved").isEmpty():
+            work.drop(edges)
+            return labels.select("v", "c")
 
 
-def _relabel(old: DataFrame | None, links: DataFrame) -> DataFrame:
+def _relabel(old: DataFrame | None, links: DataFrame, work: Scratch) -> DataFrame:
     """Labels after adding ``links`` to what ``old`` has already joined."""
     if old is None:
-        return components(links)
+        return components(links, work)
     at = links
     for end in "ab":
         at = at.join(old.toDF(end, f"c{end}"), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    new = components(at.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b"))
+    new = components(at.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b"), work)
     moved = old.join(new.toDF("c", "d"), "c", "left").select("v", F.coalesce("d", "c").alias("c"))
-    return materialise(moved.union(new.join(old.select("v"), "v", "left_anti")), "labels")
-
+    return work.write(moved.union(new.join(old.select("v"), "v", "left_anti")), "labels")
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``k``, ``t`` and ``class_id`` of every document: the least key in its class.
 
-    A class is a component under links of similarity 0.8 or more. The similarity of two texts is the
-    weighted Jaccard similarity of their five-word shingles, weighted by how often each occurs; words are
-    runs of ASCII letters (in either case), digits and other characters beyond ASCII; a text of one to
-    four words is one shingle. Texts without words are linked to equal texts alone; null counts as empty.
-    Rows that repeat key and text are one document and get equal rows. A null key is never a class id unless all
-    keys of the class are null.
+def _settled(rows: DataFrame, chosen: DataFrame, refs: DataFrame, sets: DataFrame, work: Scratch) -> DataFrame:
+    """The links (a, b) between vertices of different classes among ``rows`` (b, v, c), open buckets' members.
 
-    A bucket's members are compared with its leader, the member that shares most buckets with others: of many
-    copies of a text, each changed elsewhere, this is the text itself. Open buckets (of more than one class)
-    go on with a leader drawn by hash, another in each bucket, and with members of other classes; when few pairs of different classes are left open, or after some rounds, all of
-    these are compared. So each pair that shares a band is within one class or was compared; with
-    leaders by coordinates first, which drops about 2 in 10,000 pairs of similarity 0.8 for good (see AGREE).
+    A row carries how its set differs from that of its bucket's first leader (``refs``: b, ref), so that the join settles a
+    pair exactly and gives nothing but links. A pair that shares several buckets is settled in the first of them.
     """
-    found = materialise(sketches(docs, key, text), "sketches")
+    rows = work.write(rows.select("b", "v", "c").join(refs, "b"), "rows")
+    at = rows.select("v", "ref").distinct().join(sets, "v").join(sets.toDF("ref", "r"), "ref")
+    differences = work.write(at.select("v", "ref", F.size("r").alias("nr"), F.array_except("r", "s").alias("less"), F.array_except("s", "r").alias("more")), "differences")
+    at = rows.groupBy("v", "c").agg(F.sort_array(F.collect_list("b")).alias("bs"), F.collect_list(F.struct("b", "ref")).alias("at")).join(chosen, "v")
+    at = at.select("v", "c", "n", "mini", "bs", F.explode("at").alias("x")).select("v", "c", "n", "mini", "bs", "x.b", "x.ref")
+    rest = work.write(at.join(differences, ["v", "ref"]).select(F.col("b").alias("bucket"), "v", "c", "n", "mini", "bs", "nr", "less", "more"), "rest")
+    work.drop(rows, differences)
+    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}{end}") for c in ("v", "c", "n", "mini", "bs", "nr", "less", "more"))) for end in "ab")
+    common = F.col("nra") - F.size(F.array_union("lessa", "lessb")) + F.size(F.array_intersect("morea", "moreb"))
+    both = x.join(y.drop("nrb"), "bucket").where(
+        (F.col("va") < F.col("vb"))
+        & (F.col("ca") != F.col("cb"))
+        & near_sizes(F.col("na"), F.col("nb"))
+        & agrees(F.col("minia"), F.col("minib"))
+        & (F.array_min(F.array_intersect("bsa", "bsb")) == F.col("bucket"))
+        & similar(common, "na", "nb")
+    )
+    links = work.write(both.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct(), "links")
+    work.drop(rest)
+    return links
+
+
+def _classes(docs: DataFrame, key: str, text: str, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``k``, ``t``, ``h`` of every document, and by ``h`` its ``class_id`` and ``first``, the (none, k, t) that stays."""
+    found = work.write(sketches(docs, key, text), "sketches")
     low = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "t")).alias("low")
     vertices = found.groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mini").alias("mini"), low)
-    vertices = materialise(vertices.select("h", "low.k", "low.t", "n", "bands", "mini"), "vertices")
-    chosen = vertices.drop("bands")
-    rows = materialise(vertices.select("h", F.explode("bands").alias("b")), "bands")
+    vertices = work.write(vertices.withColumn("v", F.monotonically_increasing_id()), "vertices")
+    names = work.write(vertices.select("v", "h", "low"), "names")
+    rows = work.write(vertices.select("v", F.explode("bands").alias("b")), "bands")
     total = rows.count()
-    crowded = materialise(rows.groupBy("b").agg(F.count("*").alias("m")).where("m > 1"), "crowded")
-    rows = materialise(rows.join(crowded, "b"), "rows")
-    shared = materialise(rows.groupBy("h").agg(F.sum("m").alias("p")), "shared")
-    rows = materialise(rows.select("b", "h").join(shared, "h").select("b", "h", "p", F.col("h").alias("c")), "rows")
+    # Most buckets have one member; only vertices of others are carried on.
+    crowded = work.write(rows.groupBy("b").agg(F.count("*").alias("m")).where("m > 1"), "crowded")
+    held = work.write(rows.join(crowded, "b"), "held")
+    work.drop(rows, crowded)
+    shared = held.groupBy("v").agg(F.sum("m").alias("p"))
+    chosen = work.write(vertices.select("v", "n", "mini", "low").join(shared, "v"), "chosen")
+    work.drop(vertices)
+    rows = work.write(held.select("b", "v").join(chosen.select("v", "p"), "v").select("b", "v", "p", F.col("v").alias("c")), "rows")
+    work.drop(held)
+    of, texts = chosen.select("v", "n", "mini"), chosen.select("v", "low.k", "low.t")
     labels = sets = refs = None
     for step in range(LEADER_ROUNDS):
-        order = F.struct("p", "h", "c") if step == 0 else F.struct(F.xxhash64("h", "b", F.lit(step)).alias("p"), "h", "c")
-        lead = materialise(rows.groupBy("b").agg(F.max(order).alias("x")).select("b", F.col("x.h").alias("lead"), F.col("x.c").alias("lc")), "leads")
-        rows = materialise(rows.join(lead, "b").where("h != lead"), "members")
-        if rows.isEmpty():
-            break
-        pairs = rows.where("c != lc").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct()
-        pairs = materialise(_plausible(pairs, chosen), "pairs")
+        order = F.struct("p", "v", "c") if step == 0 else F.struct(F.xxhash64("v", "b", F.lit(step)).alias("p"), "v", "c")
+        lead = work.write(rows.groupBy("b").agg(F.max(order).alias("x")).select("b", F.col("x.v").alias("lead"), F.col("x.c").alias("lc")), "leads")
+        old, rows = rows, work.write(rows.join(lead, "b").where("v != lead"), "members")
+        work.drop(old)
+        pairs = rows.where("c != lc").select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct()
+        pairs = work.write(_plausible(pairs, of), "pairs")
+        ends = work.write(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "ends")
         if sets is None:
-            ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-            sets = materialise(_shingle_sets(docs, chosen.join(ends, "h").select("h", "k", "t"), key, text), "shingles")
-        links = _links(pairs, sets)
+            sets = work.write(_shingle_sets(docs, work.write(texts.join(ends, "v"), "texts"), key, text), "shingles")
+        links = work.write(_links(pairs, sets.join(small(ends), "v", "left_semi")), "links")
+        work.drop(pairs, ends)
         if not links.isEmpty():
-            labels = _relabel(labels, links)
-            rows = rows.drop("c").join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("c", F.coalesce("c", "h"))
-        rows = rows.select("b", "h", "p", "c")
+            labels = _relabel(labels, links, work)
+            rows = rows.drop("c").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+        work.drop(links)
+        rows = rows.select("b", "v", "p", "c")
         groups = rows.groupBy("b", "c").agg(F.count("*").alias("m"))
         still = groups.groupBy("b").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q")).where("m * m > q")
-        still = materialise(still, "open")
+        still = work.write(still, "open")
         left = still.agg(F.sum(F.col("m") * F.col("m") - F.col("q")) / 2).first()[0] or 0
-        rows = materialise(rows.join(still.select("b"), "b", "left_semi"), "rows")
-        if step == 0 and not rows.isEmpty():
+        rows = work.write(rows.join(still.select("b"), "b", "left_semi"), "rows")
+        if not left:
+            break
+        if step == 0:
             # What later rounds may compare lies in open buckets, with their first leaders; the texts that are lacking are fetched together.
-            refs = materialise(lead.join(still.select("b"), "b", "left_semi").select("b", F.col("lead").alias("ref")), "refs")
-            lacking = rows.select("h").union(refs.select("ref")).distinct().join(sets.select("h"), "h", "left_anti")
-            sets = sets.union(materialise(_shingle_sets(docs, chosen.join(lacking, "h").select("h", "k", "t"), key, text), "shingles"))
+            refs = work.write(lead.join(still.select("b"), "b", "left_semi").select("b", F.col("lead").alias("ref")), "refs")
+            lacking = rows.select("v").union(refs.select("ref")).distinct().join(sets.select("v"), "v", "left_anti")
+            sets = sets.union(work.write(_shingle_sets(docs, work.write(texts.join(lacking, "v"), "texts"), key, text), "shingles"))
+        work.drop(lead, still)
         if left <= OPEN_PAIRS * total:
             break
-    if not rows.isEmpty():
-        # A row carries how its set differs from that of its bucket's first leader, so that the join settles a pair
-        # exactly and gives nothing but links. A pair that shares several buckets is settled in the first of them.
-        rows = materialise(rows.select("b", "h", "c").join(refs, "b"), "rows")
-        at = rows.groupBy("h", "c").agg(F.sort_array(F.collect_list("b")).alias("bs"), F.collect_list(F.struct("b", "ref")).alias("at")).join(chosen.select("h", "n"), "h")
-        at = at.select("h", "c", "n", "bs", F.explode("at").alias("x")).select("h", "c", "n", "bs", "x.b", "x.ref")
-        rest = materialise(at.join(_differences(rows, sets), ["h", "ref"]).select(F.col("b").alias("bucket"), "h", "c", "n", "bs", "nr", "less", "more"), "rest")
-        x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}{end}") for c in ("h", "c", "n", "bs", "nr", "less", "more"))) for end in "ab")
-        common = F.col("nra") - F.size(F.array_union("lessa", "lessb")) + F.size(F.array_intersect("morea", "moreb"))
-        both = x.join(y.drop("nrb"), "bucket").where(
-            (F.col("ha") < F.col("hb"))
-            & (F.col("ca") != F.col("cb"))
-            & near_sizes(F.col("na"), F.col("nb"))
-            & (F.array_min(F.array_intersect("bsa", "bsb")) == F.col("bucket"))
-            & similar(common, "na", "nb")
-        )
-        both = both.select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-        links = materialise(both.select("a", "b").distinct(), "links")
+    if left:
+        links = _settled(rows, of, refs, sets, work)
         if not links.isEmpty():
-            labels = _relabel(labels, links)
-    joined = vertices.select("h", "k")
-    joined = joined.withColumn("c", F.col("h")) if labels is None else joined.join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("c", F.coalesce("c", "h"))
-    joined = materialise(joined, "joined")
-    least = materialise(joined.groupBy("c").agg(F.min("k").alias("class_id")), "classes")
-    classes = materialise(joined.join(least, "c").select("h", "class_id"), "class_of")
-    return found.select("k", "t", "h").join(classes, "h").select("k", "t", "class_id")
+            labels = _relabel(labels, links, work)
+    joined = names.withColumn("c", F.col("v")) if labels is None else names.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    joined = work.write(joined, "joined")
+    least = work.write(joined.groupBy("c").agg(F.min("low").alias("first")), "classes")
+    return found.select("k", "t", "h"), joined.join(least, "c").select("h", F.col("first.k").alias("class_id"), "first")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k``, ``t`` (text hash), ``class_id`` and ``stays`` of every document: the least key in its class, and
+    whether it is the one that :func:`drop_near_duplicates` keeps.
+
+    A class is a component under links. A link joins two texts of a similarity of 0.8 or more that share one of the bands and
+    agree in AGREE coordinates (see COORDINATES and AGREE for what these two miss), at any size of the corpus. The similarity of two texts is the
+    weighted Jaccard similarity of their five-word shingles, weighted by how often each occurs; words are
+    runs of ASCII letters (in either case), digits and other characters beyond ASCII; a text of one to
+    four words is one shingle. Texts without words are linked to equal texts alone; null counts as empty.
+    Rows that repeat key and text are one document and get equal rows. A null key is never a class id unless all
+    keys of the class are null. Of equal keys, the text of the least hash stays. An empty table gives an empty result.
+
+    A bucket's members are compared with its leader, the member that shares most buckets with others: of many
+    copies of a text, each changed elsewhere, this is the text itself. Open buckets (of more than one class)
+    go on without it, and with a leader drawn by hash, another in each bucket; when few pairs of different classes are left open, or
+    after some rounds, all of these are compared. So each pair that shares a band is within one class or was compared.
+    """
+    found, classes = _classes(docs, key, text, Scratch(docs.sparkSession))
+    own = F.struct(F.col("k").isNull().alias("none"), "k", "t")
+    return found.join(classes, "h").select("k", "t", "class_id", own.eqNullSafe(F.col("first")).alias("stays"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all their columns, whose key is the least of their class.
+    """One document, with all its columns, of each class: that of the least key (null last), then text hash.
 
-    Of a class without any key all rows stay; rows that repeat key and text stay or go together.
+    Of rows that repeat the key and text of this document, one stays.
     """
-    gone = near_duplicates(docs, key, text).where(F.col("class_id").isNotNull() & ~F.col("k").eqNullSafe(F.col("class_id"))).select("k", "t").distinct()
-    at = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
-    return at.join(gone, F.col(f"doc.{key}").eqNullSafe(F.col("k")) & (F.col("__t") == F.col("t")), "left_anti").select("doc.*")
+    work = Scratch(docs.sparkSession)
+    at = work.write(near_duplicates(docs, key, text), "classes")
+    gone = at.where("NOT stays").select("k", "t").distinct()
+    again = at.where("stays").groupBy("k", "t").agg(F.count("*").alias("m")).where("m > 1")
+    marked = work.write(gone.withColumn("gone", F.lit(True)).union(again.select("k", "t", F.lit(False))), "marked")
+    whole = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    whole = whole.join(marked, F.col(f"doc.`{key}`").eqNullSafe(F.col("k")) & (F.col("__t") == F.col("t")), "left")
+    left = whole.where("gone IS NULL").select("doc.*")
+    if marked.where("NOT gone").isEmpty():
+        return left
+    return left.union(whole.where("NOT gone").groupBy("k", "t").agg(F.first("doc").alias("doc")).select("doc.*"))
