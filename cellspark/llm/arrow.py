@@ -28,20 +28,28 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             yield batch.slice(start)
 
 
+def quoted(column: str) -> str:
+    """A column's name as :func:`F.col` takes it whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], dict[str, pa.Array]]], fields: list[T.StructField], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``df`` with new ``fields`` for the texts in ``text``.
+    """Columns ``keep`` of ``df`` with new ``fields`` for the texts in ``text``; a kept column of a new field's name gives way to it.
 
     ``make`` runs once in each task and returns what turns a list of texts (null: empty) into the new
-    columns, in the order of ``fields``. Nothing is shuffled, and rows keep their order.
+    columns, by the names of ``fields``. Nothing is shuffled, and rows keep their order.
     """
-    schema = T.StructType([df.schema[c] for c in keep] + fields)
-    narrow = df.select(*keep, F.col(text).alias("__text"))
+    kept = [c for c in keep if c not in {f.name for f in fields}]
+    # Numbered within the task, so no name of the rows clashes with another.
+    names = [f"c{i}" for i in range(len(kept))]
+    narrow = df.select(*(F.col(quoted(c)).alias(n) for c, n in zip(kept, names, strict=True)), F.col(quoted(text)).alias("text"))
+    schema = T.StructType(narrow.schema.fields[:-1] + [T.StructField(f"f{i}", f.dataType) for i, f in enumerate(fields)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = make()
-        for batch in pieces(batches, "__text"):
-            made = turn([x or "" for x in batch.column("__text").to_pylist()])
-            arrays = [batch.column(c) for c in keep] + [made[f.name] for f in fields]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(f.name for f in fields)])
+        for batch in pieces(batches, "text"):
+            made = turn([x or "" for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(made[f.name] for f in fields)], names=schema.names)
 
-    return narrow.mapInArrow(work, schema)
+    out = narrow.mapInArrow(work, schema)
+    return out.select(*(F.col(a).alias(b) for a, b in zip(schema.names, [*kept, *(f.name for f in fields)], strict=True)))

@@ -21,6 +21,10 @@ PIECE_CHARS = 100_000
 #: line feed, nor from a plain letter to a full stop, comma or CJK stop; and no match looks behind.
 SAFE = re.compile(r"[^\s\x1c-\x1f\x85](?=[ \n])|[A-Za-z一-鿿](?=[.,、。，])")
 
+#: White space as the library's pattern has it, in runs that its regular expression may be too deep for: one of
+#: about a million characters overflows its stack.
+LONG_WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+
 _ENCODINGS: dict[int, object] = {}
 
 
@@ -34,6 +38,15 @@ def encoding(ranks: bytes, pattern: str):
     return _ENCODINGS[key]
 
 
+def _whole(enc):
+    """The same ranks with a pattern that takes a text whole: it encodes one pre-token."""
+    import tiktoken
+
+    if (key := id(enc)) not in _ENCODINGS:
+        _ENCODINGS[key] = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=enc._mergeable_ranks, special_tokens={})
+    return _ENCODINGS[key]
+
+
 def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """Cut a long text at safe places, each the first after ``size`` characters; whole if there is none."""
     start = 0
@@ -43,11 +56,29 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def split_at_white(text: str) -> Iterator[tuple[bool, str]]:
+    """The text in order, as (whether it is one pre-token, part): long runs of white space apart.
+
+    Within a text, the last character of a run belongs to what follows, and all before it are one
+    pre-token; a run at the end is one whole. No pre-token goes from other characters into a run.
+    """
+    start = 0
+    for m in LONG_WHITE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if m.start() > start:
+            yield False, text[start : m.start()]
+        yield True, text[m.start() : end]
+        start = end
+    if start < len(text):
+        yield False, text[start:]
+
+
 def encode(enc, text: str) -> np.ndarray:
     """The ids of one whole text, as the library gives them for the uncut text."""
     if len(text) <= PIECE_CHARS:
         return np.array(enc.encode_ordinary(text), np.int32)
-    return np.concatenate([np.array(enc.encode_ordinary(x), np.int32) for x in safe_pieces(text)])
+    parts = ((whole, x) for whole, part in split_at_white(text) for x in ([part] if whole else safe_pieces(part)))
+    return np.concatenate([np.array((_whole(enc) if whole else enc).encode_ordinary(x), np.int32) for whole, x in parts])
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -68,8 +99,8 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, text: str = "tex
     """Add ``ids``, the tokens of every whole text, to columns ``keep`` (all).
 
     No special tokens are made; their strings are ordinary text. Null and empty texts have no ids. Rows
-    are encoded one by one, so repeated rows and null keys make no difference; a column of ``docs`` named
-    ``ids`` may not be kept. ``docs`` is not shuffled.
+    are encoded one by one, so repeated rows and null keys make no difference; a column named ``ids`` is replaced. An
+    empty table gives an empty result. ``docs`` is not shuffled.
     """
     shared = _shared(docs, rank_file, pattern)
 
@@ -81,7 +112,8 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, text: str = "tex
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """As :func:`encode_texts`, with ``decoded``: the raw bytes that the ids stand for, in the same pass."""
+    """As :func:`encode_texts`, with ``decoded``, the raw bytes that the ids stand for, in the same pass (a column of
+    that name is replaced too)."""
     shared = _shared(docs, rank_file, pattern)
 
     def make():
