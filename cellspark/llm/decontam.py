@@ -2,12 +2,14 @@
 
 Each shard of training documents gets a suffix array over its words; every suffix of the test items is
 searched in it by bisection. Matches are extended to the longest, located, and the documents that hold
-any are removed.
+any are removed. Matches of one item that overlap in a text are merged as they are found, so texts and items that
+repeat themselves need no more memory than others.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -17,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import pieces
+from .arrow import pieces, quoted
+from .common import materialise
 
 WINDOW = 10
 #: Text bytes of a shard, and of the test items that are broadcast at once; more items go block by block.
@@ -27,9 +30,10 @@ BLOCK_BYTES = 8 << 20
 #: Lower-cases A-Z and turns what belongs to no word into spaces.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-MATCH = T.StructType(
-    [T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())]
-)
+#: Pairs of a test suffix and a place in the shard that are held at once.
+PAIRS = 1 << 20
+
+MATCH = T.StructType([T.StructField("item_id", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("item_word", "doc_word", "n_words", "span_word", "span_words"))])
 
 
 def words(text: str) -> list[bytes]:
@@ -104,15 +108,57 @@ def _bisect(ids: np.ndarray, order: np.ndarray, test: TestSuffixes, after: bool)
     return lo
 
 
-def shard_matches(texts: list[str], test: TestSuffixes) -> tuple[list[int], dict[int, list[tuple[str, int, int, int]]]]:
-    """Word counts of the texts, and by text the longest matches (item, its word, text's word, words)."""
+def _left_ends(short: np.ndarray, order: np.ndarray, test: TestSuffixes, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a test suffix and a place that begin a longest match, some at a time.
+
+    A pair with the same word before it on both sides is part of a longer match. In the order of the suffixes,
+    places with the same word before them form runs; a run is passed over whole, so no such pair is listed.
+    """
+    before = np.where(order > 0, short[np.maximum(order, 1) - 1], 0)
+    runs = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+    ends = np.append(runs[1:], len(order))
+    own = np.where(test.offsets > 0, test.ids[np.maximum(test.starts, 1) - 1], 0)
+    some = np.flatnonzero(lo < hi)
+    first, last = np.searchsorted(runs, lo[some], side="right") - 1, np.searchsorted(runs, hi[some], side="left")
+    for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(np.cumsum(last - first) // PAIRS)) + 1):
+        n = (last - first)[part]
+        which = np.repeat(some[part], n)
+        run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
+        left = np.flatnonzero((own[which] == 0) | (before[runs[run]] != own[which]))
+        which, start, end = which[left], np.maximum(lo[which[left]], runs[run[left]]), np.minimum(hi[which[left]], ends[run[left]])
+        for few in np.split(np.arange(len(which)), np.flatnonzero(np.diff(np.cumsum(end - start) // PAIRS)) + 1):
+            n = (end - start)[few]
+            yield np.repeat(which[few], n), order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[few], n)]
+
+
+def merged(rows: np.ndarray) -> np.ndarray:
+    """Rows (group, start, end, words, place, offset) with those of a group that overlap made one.
+
+    Of the matches in it (words, place in the text, place in the item) the longest stays, then the first.
+    """
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 5], rows[:, 4], -rows[:, 3], rows[:, 1], rows[:, 0]))]
+    group, start, end = rows[:, 0], rows[:, 1], rows[:, 2]
+    # Ends so far within a group: groups are set apart by more than any end.
+    _, number = np.unique(group, return_inverse=True)
+    apart = number * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + apart)
+    heads = np.flatnonzero(np.concatenate([[True], (start + apart)[1:] >= reach[:-1]]))
+    span = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(rows))))
+    best = np.lexsort((rows[:, 5], rows[:, 4], -rows[:, 3], span))[heads]
+    return np.column_stack([group[heads], start[heads], np.maximum.reduceat(end, heads), rows[best, 3:]])
+
+
+def shard_matches(texts: list[str], test: TestSuffixes) -> tuple[list[int], dict[int, list[tuple[str, int, int, int, int, int]]]]:
+    """Word counts of the texts, and by text its matches as MATCH has them."""
     counts, parts = [], []
     for text in texts:
         own = words(text)
         counts.append(len(own))
         parts.append(np.fromiter(map(test.vocabulary.get, own, repeat(0)), np.int32, len(own)))
         parts.append(np.zeros(1, np.int32))
-    found: dict[int, list[tuple[str, int, int, int]]] = defaultdict(list)
+    found: dict[int, list[tuple[str, int, int, int, int, int]]] = defaultdict(list)
     if not len(test.starts) or not texts:
         return counts, found
     ids = np.concatenate([*parts, np.zeros(1, np.int32)])
@@ -131,53 +177,52 @@ def shard_matches(texts: list[str], test: TestSuffixes) -> tuple[list[int], dict
     short = np.concatenate([ids[used], np.zeros(1, np.int32)])
     order = suffix_array(short, place[starts], int(test.widths.max()))
     lo, hi = _bisect(short, order, test, False), _bisect(short, order, test, True)
-    n = hi - lo
-    which = np.repeat(np.arange(len(n)), n)
-    at = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-    if not which.size:
-        return counts, found
-    # A match that goes on from one word sooner is part of that one.
-    before = np.where(at > 0, short[np.maximum(at, 1) - 1], 0)
-    inner = (test.offsets[which] > 0) & (before > 0) & (before == test.ids[np.maximum(test.starts[which], 1) - 1])
-    which, at = which[~inner], at[~inner]
-    length = test.widths[which].copy()
-    grows = np.arange(len(which))
-    while grows.size:
-        a = short[np.minimum(at[grows] + length[grows], len(short) - 1)]
-        b = test.ids[test.starts[which[grows]] + length[grows]]
-        grows = grows[(a == b) & (a > 0)]
-        length[grows] += 1
     first = np.concatenate([[0], np.cumsum(np.array(counts) + 1)])
-    p = used[at]
-    doc = np.searchsorted(first, p, side="right") - 1
-    for d, w, x, m in zip(doc.tolist(), which.tolist(), (p - first[doc]).tolist(), length.tolist(), strict=True):
-        found[d].append((test.names[test.items[w]], int(test.offsets[w]), x, m))
+    spans = np.zeros((0, 6), np.int64)
+    for which, at in _left_ends(short, order, test, lo, hi):
+        length = test.widths[which].copy()
+        grows = np.arange(len(which))
+        while grows.size:
+            a = short[np.minimum(at[grows] + length[grows], len(short) - 1)]
+            b = test.ids[test.starts[which[grows]] + length[grows]]
+            grows = grows[(a == b) & (a > 0)]
+            length[grows] += 1
+        p = used[at]
+        doc = np.searchsorted(first, p, side="right") - 1
+        group = doc * len(test.names) + test.items[which]
+        spans = merged(np.concatenate([spans, np.column_stack([group, p, p + length, length, p, test.offsets[which]])]))
+    for group, start, end, n, p, offset in spans.tolist():
+        doc, item = divmod(group, len(test.names))
+        found[doc].append((test.names[item], offset, p - int(first[doc]), n, start - int(first[doc]), end - start))
     return counts, found
 
 
-def _blocks(benchmark: DataFrame, item_key: str, item_text: str, limit: int) -> list[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
     """The test items in blocks of bounded size, fetched one block after the other."""
     items = benchmark.select(F.coalesce(F.col(item_key).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("x")).distinct()
     size = items.agg(F.sum(F.octet_length("x") + 32)).first()[0] or 0
     n = -(-size // limit) or 1
-    part = F.pmod(F.xxhash64("i", "x"), F.lit(n))
-    return [sorted((r.i, r.x) for r in items.where(part == b).toLocalIterator()) for b in range(n)]
+    if n > 1:
+        items = materialise(items.withColumn("part", F.pmod(F.xxhash64("i", "x"), F.lit(n))), "items")
+    for b in range(n):
+        yield sorted((r.i, r.x) for r in (items.where(F.col("part") == b) if n > 1 else items).toLocalIterator())
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns ``keep`` of every document with ``doc_words`` and ``matches``.
 
     A match is a longest run of words that an item and the text share, of at least ``window`` words, or
-    the whole item if it has fewer (but not none): the item's id, the match's first word in the item
-    and in the text, and its words. Null texts have no words, items without words match nothing. Items of
+    the whole item if it has fewer (but not none). Matches of one item that overlap in the text are one row: the
+    item's id; of the longest of them (then the first) the first word in the item and in the text, and
+    its words; and the span of words that all of them cover. Null texts have no words, items without words match nothing. Items of
     equal id count as one in what is derived; a null id counts as the empty string. Repeated documents
-    are searched each by itself. Test items are broadcast in blocks of ``block_bytes``; each block is one
-    more pass over the rows of the same tasks, without a shuffle.
+    are searched each by itself; an empty table on either side gives no matches. Kept columns may have any names. Test items are
+    broadcast in blocks of ``block_bytes``; each block is one more pass over the rows of the same tasks, without a shuffle.
     """
     sc = docs.sparkSession.sparkContext
     out = [docs.schema[c] for c in keep]
     named = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(out)] + [T.StructField("__text", T.StringType()), T.StructField("doc_words", T.LongType()), T.StructField("matches", T.ArrayType(MATCH))])
-    df = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(text).alias("__text"), F.lit(0).cast("long").alias("doc_words"), F.array().cast(T.ArrayType(MATCH)).alias("matches"))
+    df = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)), F.col(quoted(text)).alias("__text"), F.lit(0).cast("long").alias("doc_words"), F.array().cast(T.ArrayType(MATCH)).alias("matches"))
     for block in _blocks(benchmark, item_key, item_text, block_bytes):
         shared = sc.broadcast(TestSuffixes.of(block, window))
 
@@ -196,12 +241,19 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: s
 
 def report(matched: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document: words, words inside a match, items with matches, digest of their ids, the verdict."""
-    hit = F.flatten(F.transform("matches", lambda m: F.sequence(m["doc_word"], m["doc_word"] + m["n_words"] - 1)))
+    zero = F.lit(0).cast("long")
+    spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["span_word"].alias("a"), (m["span_word"] + m["span_words"]).alias("b"))))
+    # In order of their starts, each span adds what lies beyond the ends before it.
+    hit = F.aggregate(
+        spans,
+        F.struct(zero.alias("to"), zero.alias("n")),
+        lambda x, s: F.struct(F.greatest(x["to"], s["b"]).alias("to"), (x["n"] + F.greatest(zero, s["b"] - F.greatest(x["to"], s["a"]))).alias("n")),
+    )
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return matched.select(
         key,
         F.col("doc_words").alias("n_words"),
-        F.size(F.array_distinct(hit)).cast("long").alias("n_hit"),
+        hit["n"].alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("matches") > 0).alias("contaminated"),
