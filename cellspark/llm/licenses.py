@@ -18,24 +18,36 @@ from pyspark.sql import types as T
 from .arrow import pieces
 from .decontam import words
 
-#: Notices and grants of public licenses.
+#: Notices and grants of public licenses, each with the words, if any, that tell its version and clauses
+#: from those of other licenses.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("affero", "3")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2")),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.', ("apache", "2")),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ()),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ()),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("neither", "endorse")),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("attribution", "4")),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ("noncommercial", "4")),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("by", "nc", "4")),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", ("noncommercial", "noderivatives", "4")),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ("noncommercial", "sharealike", "4")),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ("noderivatives", "4")),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("sharealike", "4")),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ()),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("general", "2")),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("general", "3")),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("general", "3")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ()),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ("lesser", "2", "1")),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("lesser", "3")),
+    ("MIT", "Released under the MIT License.", ("mit",)),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions', ()),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2")),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", ()),
 )
+#: Bytes of a table of templates that goes to every task; a larger one raises.
+TEMPLATE_BYTES = 8 << 20
 #: Words that an alignment may drift from its diagonal (of short templates a quarter of their words), and the least
 #: share of the template that it covers.
 BAND, COVERAGE = 8, 0.8
@@ -65,9 +77,10 @@ class Index:
     """The inverted index of the templates' fingerprints, for spans of at least ``coverage``."""
 
     def __init__(self, templates, coverage: float = COVERAGE) -> None:
-        kept = [(name, own) for name, text in templates if (own := words(text))]
-        self.names = [name for name, _ in kept]
-        self.words = [own for _, own in kept]
+        kept = [(name, own, {w for x in more for one in x for w in words(one)}) for name, text, *more in templates if (own := words(text))]
+        self.names = [name for name, _, _ in kept]
+        self.words = [own for _, own, _ in kept]
+        self.needed = [needed for _, _, needed in kept]
         self.bands = [max(1, min(BAND, len(own) // 4)) for own in self.words]
         self.least = [max(1, math.ceil(coverage * len(own))) for own in self.words]
         self.numbers = {w: i for i, w in enumerate(sorted({w for own in self.words for w in own}), 1)}
@@ -140,27 +153,33 @@ def align(template: list[bytes], own: list[bytes], diagonal: int, band: int) ->
     return best[1], best[2], end
 
 
+def settled(found) -> list[tuple[int, int, str, int, float]]:
+    """Of spans (license, matched words, first, end, coverage) that overlap, the best: by matched words, then coverage,
+    then the earlier, then the license's name. As (first, end, license, matched words, coverage)."""
+    out: list[tuple[int, int, str, int, float]] = []
+    for name, m, first, end, share in sorted(found, key=lambda x: (-x[1], -x[4], x[2], x[3], x[0])):
+        if all(end <= a or b <= first for a, b, *_ in out):
+            out.append((first, end, name, m, share))
+    return sorted(out)
+
+
 def scan_text(text: str, index: Index) -> list[dict]:
-    """The spans of a text that cover enough of a template, in order; of one license, spans do not overlap."""
+    """The spans of a text that cover enough of a template and hold the words it needs, in order; no two overlap."""
     own = words(text)
     found = set()
     for t, d, start in index.candidates(own):
         n = len(index.words[t])
         # Nothing scores as much as a verbatim copy, so its alignment is known.
         matched, first, end = align(index.words[t], own, d, index.bands[t]) if start is None else (n, start, start + n)
-        if matched >= index.least[t]:
-            found.add((index.names[t], -matched, first, end, matched / n))
-    taken, out = defaultdict(list), []
-    for name, minus, first, end, share in sorted(found):
-        if all(end <= a or b <= first for a, b in taken[name]):
-            taken[name].append((first, end))
-            out.append((first, end, name, -minus, share))
+        if matched >= index.least[t] and index.needed[t] <= set(own[first:end]):
+            found.add((index.names[t], matched, first, end, matched / n))
+    out = settled(found)
     if not out:
         return []
     places = [m.span() for m in WORD.finditer(text)]
     return [
         {"license": name, "start_word": a, "end_word": b, "start_char": places[a][0], "end_char": places[b - 1][1], "matched_words": m, "coverage": share}
-        for a, b, name, m, share in sorted(out)
+        for a, b, name, m, share in out
     ]
 
 
@@ -171,15 +190,31 @@ SPAN = [
 ]
 
 
+def load_templates(table: DataFrame) -> list[tuple[str, str, tuple[str, ...]]]:
+    """Templates from a table with ``license``, ``text`` and, if there, ``needed`` (an array of words), such as whole license texts.
+
+    They go to every task, so more than TEMPLATE_BYTES of text raise. Rows without a license or text are left out.
+    """
+    needed = F.col("needed") if "needed" in table.columns else F.array().cast("array<string>")
+    rows = table.select("license", "text", F.coalesce(needed, F.array().cast("array<string>")).alias("needed")).where("license IS NOT NULL AND text IS NOT NULL")
+    if (size := rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > TEMPLATE_BYTES:
+        raise ValueError(f"templates hold {size} bytes; {TEMPLATE_BYTES} are allowed")
+    return sorted((r.license, r.text, tuple(r.needed)) for r in rows.collect())
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """A row for each span: key, ``license``, its words and characters (ends excluded), matched words and
     the share of the template they cover.
 
-    Whole texts are scanned; the spans are those that an alignment of every template on every diagonal finds. Words are compared in lower case without punctuation. Documents without a span,
-    among them null and empty texts, have no row; repeated rows have a row each; a null key stays null.
-    The index of the templates is a parameter of fixed size and goes to every task; no row is shuffled.
+    ``templates`` holds (license, text) or (license, text, needed words), or is a DataFrame for :func:`load_templates`.
+    Whole texts are scanned; the spans are those that an alignment of every template on every diagonal finds, if they hold the
+    template's needed words. Of spans that overlap, of one license or several, the best stays: by matched words, then coverage, then
+    the earlier, then the name. Words are compared in lower case without punctuation. Documents without a span,
+    among them null and empty texts, have no row; repeated rows have a row each; a null key stays null; an empty table gives an empty
+    result; further columns are not read, so their names may be any.
+    The index of the templates is a parameter of bounded size and goes to every task; no row is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Index(templates, coverage))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(load_templates(templates) if isinstance(templates, DataFrame) else templates, coverage))
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     schema = T.StructType([narrow.schema["k"], *SPAN])
     kinds = pa.schema([("license", pa.string()), *((f.name, pa.int64()) for f in SPAN[1:6]), ("coverage", pa.float64())])
