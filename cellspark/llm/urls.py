@@ -25,7 +25,8 @@ from .common import materialise, small
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Words and tokens that go to every task; where a model has more, those met most often, and the rest is joined.
 MAX_WORDS, MAX_TOKENS = 50_000, 100_000
-LONGEST_WORD = 24
+#: A host's names have 63 characters at most by the rules of DNS, so no word in them is longer.
+LONGEST_WORD = 63
 #: Hosts whose words a worker remembers.
 HOST_CACHE = 100_000
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -228,7 +229,9 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     """Per page: key, ``host``, ``path``, ``rule`` (null if none fits), ``verdict`` and the model's ``score``.
 
     The longest rule that fits decides; else a score of at least 0 allows. A null URL or one without
-    ``://`` has empty host and path and is judged by the prior alone. Repeated rows get equal verdicts.
+    ``://`` has empty host and path and is judged by the prior alone. Repeated rows get equal verdicts, null keys stay null, an
+    empty table gives an empty result, and further columns are not read. Of words of equal cost the split takes the one that ends last and
+    is longest; of rules, the longest (two of equal length cannot both fit unless they are equal).
     If rules leave no row of a verdict to learn from, what no rule decides is allowed. Both models hold all words
     and tokens. One of at most ``max_words`` or ``max_tokens`` is broadcast and shuffles no row; of a larger one the part
     met most often is, and the rest is joined to the hosts' substrings and the URLs' tokens.
