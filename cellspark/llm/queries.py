@@ -20,11 +20,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards"
-    layout = shards.plan(docs, SEQUENCE, END, ORDER_KEY, SHARD_BYTES)
-    if layout is None:
-        return spark.createDataFrame([], "slot long, doc_id long, part int, n_tokens int, ids_sha256 string")
-    shards.write_shards(docs, path, layout, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    path = f"{shared_dir(spark)}/shards"
+    layout = shards.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SEQUENCE, END, ORDER_KEY, SHARD_BYTES)
     rows = shards.read_shards(spark, path, layout)
     return rows.select("slot", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 

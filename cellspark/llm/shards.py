@@ -1,8 +1,9 @@
 """Token ids in training order: fixed-stride shards that are read in sequence and resumed anywhere.
 
-Documents are encoded and cut into sequences of equal length. A keyed Feistel permutation with
-cycle-walking scatters the sequences over one range of places; ranges of places are the shards, and a
-sequence's slot is its rank among all places. Encoding runs once, and the ids are shuffled once.
+Documents are encoded once and cut into sequences of equal length, which are numbered without gaps: within each
+task as it encodes, and from task to task by the tasks' totals. A keyed Feistel permutation with cycle-walking
+turns the numbers 0 .. N - 1 into slots. Ranges of slots are the shards, so a slot gives its shard and byte. The ids are
+shuffled once.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import pieces
 from .bpe import encode, encoding
-from .common import small
+from .common import Scratch, small
 
 #: Two line feeds end each record: the text writer's separator, and a guard against misplaced reads.
 GUARD = b"\n\n"
@@ -60,91 +62,104 @@ def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Layout:
-    """Places of sequences: (document id - ``least``) * ``parts`` + part, permuted over ``size``."""
+    """Where sequences lie: ``size`` of them, of ``length`` ids of ``width`` bytes, ``rows`` to a shard."""
 
     length: int
     end: int
     key: int
-    least: int
-    ids: int
-    parts: int
-    shards: int
-    folded: bool
+    size: int
+    width: int
+    rows: int
 
     @property
-    def size(self) -> int:
-        return self.ids * self.parts
+    def stride(self) -> int:
+        return HEAD_BYTES + self.width * self.length + len(GUARD)
 
     @property
-    def stride(self) -> int:
-        return HEAD_BYTES + 2 * self.length + len(GUARD)
+    def shards(self) -> int:
+        return -(-self.size // self.rows)
 
-    def places(self, doc: int | None, parts: int) -> np.ndarray:
-        if doc is None:
-            own = self.ids - 1
-        elif self.folded:
-            own = int(_mix(np.array([doc], np.int64).view(np.uint64))[0]) % (self.ids - 1)
-        else:
-            own = doc - self.least
-        return own * self.parts + np.arange(parts, dtype=np.int64)
+    def locate(self, slot: int) -> tuple[int, int]:
+        """Shard, and first byte in its file, of a slot: where a reader that was stopped goes on."""
+        return slot // self.rows, slot % self.rows * self.stride
 
-    def shard_of(self, place: np.ndarray) -> np.ndarray:
-        return np.minimum(place // -(-self.size // self.shards), self.shards - 1)
+    def held(self, shard: int) -> int:
+        """Sequences in a shard."""
+        return min(self.rows, self.size - shard * self.rows)
 
 
-def plan(docs: DataFrame, length: int, end: int, key: int, shard_bytes: int, doc_key: str = "doc_id", text: str = "text") -> Layout | None:
-    """The layout for all of ``docs``, from one aggregate; None if there are none.
+def _dtype(width: int) -> str:
+    return f"<u{width}"
 
-    A text has no more tokens than bytes, which bounds its parts and the number of shards. Ids too
-    far apart for 62-bit places are folded by a hash; sequences of equal place are ordered by content.
-    """
-    x = docs.agg(F.count("*").alias("n"), F.min(doc_key).alias("lo"), F.max(doc_key).alias("hi"), F.max(F.octet_length(text)).alias("most"), F.sum(F.octet_length(text)).alias("sum")).first()
-    if not x.n:
-        return None
-    parts = ((x.most or 0) + length) // length + 1
-    lo, hi = (x.lo, x.hi) if x.lo is not None else (0, 0)
-    folded = (hi - lo + 2) * parts >= 1 << 62
-    ids = min(1 << 40, (1 << 62) // parts) if folded else hi - lo + 2
-    bound = ((x.sum or 0) // length + x.n) * (HEAD_BYTES + 2 * length + len(GUARD))
-    return Layout(length, end, key, lo, ids, parts, -(-bound // shard_bytes), folded)
-
-
-def write_shards(docs: DataFrame, path: str, layout: Layout, rank_file: str, pattern: str, doc_key: str = "doc_id", text: str = "text") -> None:
-    """Encode ``docs`` and write the records of each shard to a folder ``shard=<n>`` below ``path``.
-
-    Every document ends with the token ``layout.end``, which also fills its last sequence. Null and empty
-    texts are that token alone. A record holds a head, ``layout.length`` 16-bit ids and a guard, so the
-    record of rank r in its shard starts at byte r * stride. Repeated rows are sequences of their own.
-    """
+
+ENCODED = T.StructType(
+    [T.StructField("task", T.IntegerType()), T.StructField("number", T.LongType()), T.StructField("k", T.LongType()), T.StructField("parts", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())]
+)
+
+
+def encoded(docs: DataFrame, length: int, rank_file: str, pattern: str, width: int, doc_key: str, text: str) -> DataFrame:
+    """Every document's ids, its number of sequences (``parts``), and the ``number`` of its first one within its ``task``."""
     shared = docs.sparkSession.sparkContext.broadcast((Path(rank_file).read_bytes(), pattern))
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("value", T.BinaryType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(*shared.value)
+        task, number = TaskContext.get().partitionId(), 0
         for batch in pieces(batches, "text"):
-            places, records = [], []
-            for doc, body in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(enc, body or "")
-                parts = len(ids) // layout.length + 1
-                held = np.full(parts * layout.length, layout.end, "<u2")
-                held[: len(ids)] = ids
-                data = held.tobytes()
-                step = 2 * layout.length
-                name = NULL_ID if doc is None else doc
-                records += [struct.pack(HEAD, name, j, min(layout.length, len(ids) + 1 - j * layout.length)) + data[j * step : (j + 1) * step] for j in range(parts)]
-                places.append(permute(layout.places(doc, parts), layout.size, layout.key))
-            place = np.concatenate(places)
-            yield pa.RecordBatch.from_arrays([pa.array(layout.shard_of(place).astype(np.int32)), pa.array(place), pa.array(records, pa.binary())], names=schema.names)
+            ids = [encode(enc, x or "") for x in batch.column("text").to_pylist()]
+            n = np.array([len(x) for x in ids], np.int64)
+            parts = n // length + 1
+            first = number + np.cumsum(parts) - parts
+            number += int(parts.sum())
+            made = [pa.array(np.full(len(ids), task, np.int32)), pa.array(first), batch.column("k"), pa.array(parts), pa.array(n), pa.array([x.astype(_dtype(width)).tobytes() for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=ENCODED.names)
 
-    rows = docs.select(F.col(doc_key).alias("k"), F.col(text).alias("text")).mapInArrow(work, schema)
-    rows = rows.repartitionById(layout.shards, F.col("shard")).sortWithinPartitions("shard", "place", "value")
-    rows.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", GUARD.decode()).text(path)
+    return docs.select(F.col(doc_key).cast("long").alias("k"), F.col(text).alias("text")).mapInArrow(work, ENCODED)
 
 
-def manifest(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """``shard``, its ``file``, its ``rows`` and the ``slot`` of its first, from the files' lengths alone."""
-    files = spark.read.format("binaryFile").load(path).select("shard", F.col("path").alias("file"), (F.col("length") / layout.stride).cast("long").alias("rows"))
-    return files.withColumn("slot", F.coalesce(F.sum("rows").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def write_shards(docs: DataFrame, path: str, rank_file: str, pattern: str, length: int, end: int, key: int, shard_bytes: int, doc_key: str = "doc_id", text: str = "text") -> Layout:
+    """Encode ``docs`` and write the records of each shard to a folder ``shard=<n>`` below ``path``; gives their layout.
+
+    Every document ends with the token ``end``, which also fills its last sequence. Null and empty
+    texts are that token alone. Sequences are numbered in the order of the tasks' rows, and the slot of number
+    i is the permutation of i. A record holds a head, ``length`` ids and a guard, so that of slot s starts at byte
+    ``layout.locate(s)``. Ids take two bytes, or four if ``end`` or one of the file's ranks needs them. Repeated rows are sequences of
+    their own, null keys too. No rows make no shard.
+    """
+    spark = docs.sparkSession
+    most = max(end, *(int(x.split()[1]) for x in Path(rank_file).read_bytes().splitlines() if x))
+    if not 0 <= end <= most < 1 << 31:
+        raise ValueError(f"ids from 0 to {most} do not fit")
+    width = 2 if most < 1 << 16 else 4
+    work = Scratch(spark)
+    held = work.write(encoded(docs, length, rank_file, pattern, width, doc_key, text), "encoded")
+    # A row for each task: its sequences, and those of the tasks before it.
+    totals = work.write(held.groupBy("task").agg(F.sum("parts").alias("parts")), "totals")
+    size = totals.agg(F.sum("parts")).first()[0] or 0
+    layout = Layout(length, end, key, size, width, max(1, shard_bytes // (HEAD_BYTES + width * length + len(GUARD))))
+    if not size:
+        return layout
+    before = F.coalesce(F.sum("parts").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = held.join(small(totals.select("task", before.alias("before"))), "task").select((F.col("before") + F.col("number")).alias("number"), "k", "n", "ids")
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("value", T.BinaryType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = layout.width * layout.length
+        fill = np.array([layout.end], _dtype(layout.width)).tobytes()
+        for batch in pieces(batches, "ids"):
+            numbers, records = [], []
+            for number, doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("number", "k", "n", "ids")), strict=True):
+                parts = n // layout.length + 1
+                data = ids + fill * (parts * layout.length - n)
+                name = NULL_ID if doc is None else doc
+                records += [struct.pack(HEAD, name, j, min(layout.length, n + 1 - j * layout.length)) + data[j * step : (j + 1) * step] for j in range(parts)]
+                numbers.append(number + np.arange(parts, dtype=np.int64))
+            slot = permute(np.concatenate(numbers), layout.size, layout.key)
+            yield pa.RecordBatch.from_arrays([pa.array((slot // layout.rows).astype(np.int32)), pa.array(slot), pa.array(records, pa.binary())], names=schema.names)
+
+    rows = numbered.mapInArrow(cut, schema).repartitionById(layout.shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+    rows.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", GUARD.decode()).text(path)
+    work.drop(held)
+    return layout
 
 
 SEQUENCE = [T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.BinaryType())]
@@ -152,31 +167,35 @@ SEQUENCE = [T.StructField("doc_id", T.LongType()), T.StructField("part", T.Integ
 
 def read_shards(spark: SparkSession, path: str, layout: Layout, first: int = 0, count: int | None = None) -> DataFrame:
     """The sequences from slot ``first`` on, ``count`` of them or all: ``slot``, ``shard``, ``doc_id``,
-    ``part``, ``n_tokens`` and ``ids`` (16-bit, little-endian, without the fill).
+    ``part``, ``n_tokens`` and ``ids`` (little-endian, ``layout.width`` bytes each, without the fill).
 
-    Only shards that hold such slots are opened. A record without its guard raises.
+    Only shards that hold such slots are opened, and only records of such slots are given. A shard of another length than
+    the layout says, or a record without its guard, raises.
     """
-    files = manifest(spark, path, layout)
-    last = (1 << 62) if count is None else first + count
-    files = files.where((F.col("slot") < last) & (F.col("slot") + F.col("rows") > first))
-    names = small(files.select(F.col("file").alias("path"), "slot"))
-    content = spark.read.format("binaryFile").load(path).select("shard", "path", "content").join(names, "path")
+    last = layout.size if count is None else min(layout.size, first + count)
+    first = max(first, 0)
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), *SEQUENCE])
+    if first >= last:
+        return spark.createDataFrame([], schema)
+    content = spark.read.format("binaryFile").load(path).where(F.col("shard").between(layout.locate(first)[0], layout.locate(last - 1)[0])).select("shard", "content")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, slot, data in zip(batch.column("shard").to_pylist(), batch.column("slot").to_pylist(), batch.column("content"), strict=True):
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
                 data = memoryview(data.as_buffer())
-                for at in range(0, len(data), 4096 * layout.stride):
+                if len(data) != layout.held(shard) * layout.stride:
+                    raise ValueError(f"shard {shard} has {len(data)} bytes, not {layout.held(shard) * layout.stride}")
+                base = shard * layout.rows
+                for some in range(max(first, base), min(last, base + layout.held(shard)), 4096):
                     out: list[tuple] = []
-                    for i in range(at, min(len(data), at + 4096 * layout.stride), layout.stride):
-                        doc, part, n = struct.unpack_from(HEAD, data, i)
-                        if data[i + layout.stride - len(GUARD) : i + layout.stride] != GUARD:
-                            raise ValueError(f"shard {shard} has no record at byte {i}")
-                        start = i + HEAD_BYTES
-                        out.append((shard, slot + i // layout.stride, None if doc == NULL_ID else doc, part, n, bytes(data[start : start + 2 * n])))
+                    for slot in range(some, min(last, base + layout.held(shard), some + 4096)):
+                        at = (slot - base) * layout.stride
+                        doc, part, n = struct.unpack_from(HEAD, data, at)
+                        if data[at + layout.stride - len(GUARD) : at + layout.stride] != GUARD:
+                            raise ValueError(f"shard {shard} has no record at byte {at}")
+                        start = at + HEAD_BYTES
+                        out.append((shard, slot, None if doc == NULL_ID else doc, part, n, bytes(data[start : start + layout.width * n])))
                     columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    rows = content.select("shard", "slot", "content").mapInArrow(work, schema)
-    return rows.where((F.col("slot") >= first) & (F.col("slot") < last))
+    return content.mapInArrow(work, schema)
