@@ -61,6 +61,24 @@ def test_bpe_pieces_are_safe(text):
     assert bpe.encode(enc, text).tolist() == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("white", [" ", "\n", "\r\n", "\u00a0", " \t"])
+@pytest.mark.parametrize("end", ["", "x", " y"])
+def test_bpe_of_long_white_space(white, end):
+    """As the library on runs that it can do; runs that it can't are one pre-token."""
+    enc = bpe.encoding(open(RANKS, "rb").read(), P.PATTERN)
+    for n in (30_000, 120_000):
+        text = f"a, {'b ' * 60_000}{white * n}{end}\x1c{white * n}c"
+        assert bpe.encode(enc, text).tolist() == enc.encode_ordinary(text)
+    text = "a" + white * (2_000_000 // len(white)) + end
+    assert enc.decode_bytes(bpe.encode(enc, text).tolist()).decode() == text
+
+
+def test_bpe_replaces_columns_of_its_names(spark):
+    at = docs(spark, (1, "one two", "s")).select("doc_id", "text", F.lit(9).alias("ids"), F.lit(9).alias("decoded"), F.lit(9).alias("a.b"))
+    row = bpe.round_trip(at, RANKS, P.PATTERN).first()
+    assert bytes(row.decoded) == b"one two" and len(row.ids) == 2 and row["a.b"] == 9
+
+
 def test_quality(spark, odd, none):
     got = {(r.doc_id, r.n_words): r.kept for r in quality.quality_report(odd).collect()}
     assert got[1, 0] is False and got[3, 120_000] is False and got[None, 3] is False  # the long text repeats itself
@@ -122,7 +140,58 @@ def test_decontamination_finds_the_longest_match_in_blocks(spark):
     item = " ".join(f"i{n}" for n in range(30))
     text = f"a b {' '.join(f'i{n}' for n in range(5, 20))} c {' '.join(f'i{n}' for n in range(9))} {item}"
     found = decontam.find_matches(docs(spark, (1, text, "s")), items(spark, (1, item), (2, "c i0 i1")), ["doc_id"], block_bytes=40).first()
-    assert sorted((m.item_id, m.item_word, m.doc_word, m.n_words) for m in found.matches) == [("1", 0, 27, 30), ("1", 5, 2, 15), ("2", 0, 17, 3)]
+    assert sorted(tuple(m) for m in found.matches) == [("1", 0, 27, 30, 27, 30), ("1", 5, 2, 15, 2, 15), ("2", 0, 17, 3, 17, 3)]
+
+
+def test_decontamination_of_repeated_words_in_bounded_memory(spark):
+    import resource
+
+    test = decontam.TestSuffixes.of([("1", "same " * 2000), ("2", "same same other " * 300)], decontam.WINDOW)
+    text = "head " + "same " * 200_000 + "tail " + "same same other " * 2000
+    soft, hard = resource.getrlimit(resource.RLIMIT_AS)
+    size = int(open("/proc/self/statm").read().split()[0]) * resource.getpagesize()
+    resource.setrlimit(resource.RLIMIT_AS, (size + (1 << 30), hard))
+    try:
+        counts, found = decontam.shard_matches([text], test)
+    finally:
+        resource.setrlimit(resource.RLIMIT_AS, (soft, hard))
+    assert counts == [206_002]
+    assert sorted(found[0]) == [("1", 0, 1, 2000, 1, 200_000), ("2", 0, 200_002, 900, 200_002, 6000)]
+    row = decontam.report(decontam.find_matches(docs(spark, (1, text, "s")), items(spark, (1, "same " * 2000)), ["doc_id"])).first()
+    assert (row.n_hit, row.n_items) == (200_000, 1)
+
+
+def test_decontamination_matches_brute_force():
+    """Few words, so that matches overlap and repeat."""
+    rng = np.random.default_rng(4)
+    for pairs in (decontam.PAIRS, 7):
+        held, decontam.PAIRS = decontam.PAIRS, pairs
+        for _ in range(30):
+            own = [rng.choice(["a", "b"], rng.integers(0, 40), p=[0.7, 0.3]).tolist() for _ in range(3)]
+            texts = [rng.choice(["a", "b", "c"], rng.integers(0, 60), p=[0.6, 0.35, 0.05]).tolist() for _ in range(4)]
+            test = decontam.TestSuffixes.of([(str(i), " ".join(x)) for i, x in enumerate(own)], 5)
+            counts, found = decontam.shard_matches([" ".join(x) for x in texts], test)
+            assert counts == [len(x) for x in texts]
+            for d, text in enumerate(texts):
+                hits = collections.defaultdict(set)
+                longest = collections.Counter()
+                for i, item in enumerate(own):
+                    n = min(5, len(item))
+                    for k in range(len(item) - n + 1 if n else 0):
+                        for p in range(len(text) - n + 1):
+                            if text[p : p + n] == item[k : k + n]:
+                                hits[str(i)] |= set(range(p, p + n))
+                                m = n
+                                while p + m < len(text) and k + m < len(item) and text[p + m] == item[k + m]:
+                                    m += 1
+                                longest[str(i)] = max(longest[str(i)], m)
+                got = collections.defaultdict(set)
+                for name, k, p, n, start, size in found[d]:
+                    assert own[int(name)][k : k + n] == text[p : p + n] and start <= p and p + n <= start + size
+                    got[name] |= set(range(start, start + size))
+                assert got == hits
+                assert all(max(x[3] for x in found[d] if x[0] == name) == longest[name] for name in hits)
+        decontam.PAIRS = held
 
 
 def test_suffix_array_orders_suffixes():
@@ -135,8 +204,19 @@ def test_near_duplicates(spark, odd, none):
     got = collections.Counter((r.k, r.class_id) for r in neardup.near_duplicates(odd).collect())
     assert got == {(1, 1): 1, (2, 1): 1, (None, 1): 1, (None, None): 1, (3, 3): 1, (4, 4): 2}
     left = neardup.drop_near_duplicates(odd)
-    assert left.columns == odd.columns and left.count() == 5
-    assert neardup.near_duplicates(none).collect() == []
+    assert left.columns == odd.columns
+    assert collections.Counter(r.doc_id for r in left.collect()) == {1: 1, 3: 1, 4: 1, None: 1}
+    assert neardup.near_duplicates(none).collect() == [] and neardup.drop_near_duplicates(none).collect() == []
+
+
+def test_one_document_of_each_class_stays(spark):
+    """Near texts of one id, repeated rows of the text that stays, and a class without ids."""
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text, "s"), (1, f"{text} end", "s"), (1, text, "s"), (None, "a b c", "s"), (None, "A b, c", "s"), (2, "", "s"), (2, None, "t")]
+    left = neardup.drop_near_duplicates(docs(spark, *rows)).collect()
+    assert sorted(str(r.doc_id) for r in left) == ["1", "2", "None"]
+    kept = [r.stays for r in neardup.near_duplicates(docs(spark, *rows)).collect()]
+    assert len(kept) == 7 and sum(kept) in (4, 5)  # a repeated row stays with the row that it repeats
 
 
 def test_near_duplicates_of_a_group_around_one_text(spark):
@@ -165,12 +245,12 @@ def test_near_duplicates_without_their_origin(spark):
         for j in rng.choice(200, 1 + i % 6, replace=False):
             own[j] = f"x{i}x{j}"
         rows.append((i, " ".join(own), "s"))
-    settled, differences = [], neardup._differences
-    neardup._differences = lambda *a: settled.append(1) or differences(*a)
+    settled, join = [], neardup._settled
+    neardup._settled = lambda *a: settled.append(1) or join(*a)
     try:
         got = {r.k: r.class_id for r in neardup.near_duplicates(docs(spark, *rows)).collect()}
     finally:
-        neardup._differences = differences
+        neardup._settled = join
     from test_llm_queries import classes
 
     assert settled and got == classes({k: t for k, t, _ in rows})
@@ -197,17 +277,38 @@ def test_packed_signatures_count_agreement(spark):
 
 
 def test_shards(spark, odd, none, tmp_path):
-    layout = shards.plan(odd, 64, 50256, 5, 1 << 18)
-    shards.write_shards(odd, f"{tmp_path}/s", layout, RANKS, P.PATTERN)
+    layout = shards.write_shards(odd, f"{tmp_path}/s", RANKS, P.PATTERN, 64, 50256, 5, 1 << 16)
+    assert layout.shards > 2 and layout.width == 2
     got = shards.read_shards(spark, f"{tmp_path}/s", layout).collect()
-    assert sorted(r.slot for r in got) == list(range(len(got)))
+    assert sorted(r.slot for r in got) == list(range(len(got))) == list(range(layout.size))
     assert collections.Counter(r.doc_id for r in got if r.doc_id != 3) == {1: 1, 2: 1, None: 2, 4: 2}
     whole = b"".join(bytes(r.ids) for r in sorted((r for r in got if r.doc_id == 3), key=lambda r: r.part))
     enc = bpe.encoding(open(RANKS, "rb").read(), P.PATTERN)
     assert enc.decode_bytes(np.frombuffer(whole, "<u2")[:-1].tolist()).decode() == LONG
-    some = shards.read_shards(spark, f"{tmp_path}/s", layout, 10, 25).collect()
-    assert sorted((r.slot, bytes(r.ids)) for r in some) == sorted((r.slot, bytes(r.ids)) for r in got if 10 <= r.slot < 35)
-    assert shards.plan(none, 64, 50256, 5, 1 << 18) is None
+    for first, count in ((10, 25), (0, 1), (layout.size - 1, None), (layout.rows - 1, 2), (layout.size, None)):
+        some = shards.read_shards(spark, f"{tmp_path}/s", layout, first, count).collect()
+        last = layout.size if count is None else first + count
+        assert sorted((r.slot, bytes(r.ids)) for r in some) == sorted((r.slot, bytes(r.ids)) for r in got if first <= r.slot < last)
+    # A reader without Spark finds a slot's record by seeking.
+    row = max(got, key=lambda r: r.slot)
+    shard, byte = layout.locate(row.slot)
+    (file,) = (tmp_path / f"s/shard={shard}").glob("part-*")
+    with open(file, "rb") as f:
+        f.seek(byte + shards.HEAD_BYTES)
+        assert f.read(2 * row.n_tokens) == bytes(row.ids)
+    assert shards.write_shards(none, f"{tmp_path}/none", RANKS, P.PATTERN, 64, 50256, 5, 1 << 16).size == 0
+    assert shards.read_shards(spark, f"{tmp_path}/none", shards.Layout(64, 50256, 5, 0, 2, 9)).collect() == []
+
+
+def test_shards_of_large_ids(spark, tmp_path):
+    ranks = tmp_path / "ranks"
+    lines_ = open(RANKS, "rb").read().splitlines()
+    ranks.write_bytes(b"\n".join(x.split()[0] + b" " + str(int(x.split()[1]) + 40_000).encode() for x in lines_))
+    text = "some words and more"
+    layout = shards.write_shards(docs(spark, (1, text, "s")), f"{tmp_path}/s", str(ranks), P.PATTERN, 8, 39_999, 5, 1 << 16)
+    (row,) = shards.read_shards(spark, f"{tmp_path}/s", layout).collect()
+    enc = bpe.encoding(ranks.read_bytes(), P.PATTERN)
+    assert layout.width == 4 and np.frombuffer(bytes(row.ids), "<u4").tolist() == [*enc.encode_ordinary(text), 39_999]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000])
@@ -222,7 +323,7 @@ def test_warc(spark, tmp_path):
     warc.write_captures(pages, f"{tmp_path}/w")
     captures = warc.assemble(warc.read_records(spark, f"{tmp_path}/w"))
     got = captures.collect()
-    assert len(got) == len(html) and all(r.request is not None and r.metadata is not None for r in got)
+    assert len(got) == len(html) and all(len(r.requests) == len(r.metadata) == 1 for r in got)
     plain = {r.page_id: r for r in warc.digest_rows(captures).collect()}
     assert {k: r.refers_to for k, r in plain.items() if r.record_type == "revisit"} == {2: 1, 6: 0, None: 0}
     assert {k: r.payload_bytes for k, r in plain.items()} == {(i if i != 8 else None): len((h or "").encode()) for i, h in enumerate(html)}
@@ -239,6 +340,39 @@ def test_warc_small_payloads_and_repeated_rows(spark, tmp_path):
     assert got == {(1, "response", None): 1, (2, "response", None): 1, (3, "response", None): 2, (4, "revisit", 3): 1}
 
 
+def archive(*records):
+    """A WARC file of (type, id, ids named, block)."""
+    out = ""
+    for kind, own, named, block in records:
+        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", *(f"WARC-Concurrent-To: {x}" for x in named), f"Content-Length: {len(block)}"]
+        out += "\r\n".join(head) + "\r\n\r\n" + block + "\r\n\r\n"
+    return out.encode()
+
+
+def test_warc_follows_every_concurrent_id(spark, tmp_path):
+    records = [
+        ("metadata", "m1", ["a"], "one"),
+        ("response", "a", ["q1"], "A"),
+        ("request", "q1", [], "?"),
+        ("request", "q2", ["zzz", "a"], "??"),
+        ("metadata", "m2", ["q2"], "two"),  # names a request alone
+        ("metadata", "m3", ["m2"], "three"),
+        ("response", "b", [], "B"),
+        ("request", "q3", ["a", "b"], "both"),
+        ("revisit", "c", [], ""),
+        ("metadata", "m4", ["lost"], "no capture"),
+        ("warcinfo", "i", ["a"], "info"),
+    ]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/x.warc").write_bytes(archive(*records[:5]))
+    (tmp_path / "w/y.warc").write_bytes(archive(*records[5:]))
+    read = warc.read_records(spark, f"{tmp_path}/w")
+    got = {r.response.record_id: ([x.record_id for x in r.requests], [x.record_id for x in r.metadata]) for r in warc.assemble(read).collect()}
+    assert got == {"a": (["q1", "q2", "q3"], ["m1", "m2", "m3"]), "b": (["q3"], []), "c": ([], [])}
+    assert warc.assemble(read).count() == 3
+    assert {r.record_id: r.concurrent_to for r in read.collect()}["q2"] == ["zzz", "a"]
+
+
 def test_warc_rejects_a_cut_archive():
     parser = warc.Parser()
     assert list(parser.feed(b"WARC/1.1\r\nContent-Length: 9")) == [] and list(parser.feed(b"abc")) == []
@@ -289,7 +423,7 @@ def test_url_verdicts_do_not_depend_on_what_is_broadcast(spark, sizes):
 
 def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
-    long = licenses.TEMPLATES[-3][1]
+    long = max((x[1] for x in licenses.TEMPLATES if x[0] == "MIT"), key=len)
     changed = long.replace("limitation", "bounds").replace("sell copies of", "sell some copies of the")
     text = f"Ünï x. {changed} y {LONG[:3000]} released UNDER the mit license"
     got = licenses.scan_licenses(docs(spark, (1, text, "s"), (None, "Released under the MIT License. " * 3, "s"))).collect()
@@ -311,15 +445,57 @@ def every_diagonal(text, index):
     for t, template in enumerate(index.words):
         for d in range(-len(template) - index.bands[t], len(own) + index.bands[t] + 1):
             m, a, b = licenses.align(template, own, d, index.bands[t])
-            if m >= licenses.COVERAGE * len(template):
-                found.add((index.names[t], -m, a, b))
-    taken = []
-    for name, m, a, b in sorted(found):
-        if all(name != n or b <= x or y <= a for n, x, y, _ in taken):
-            taken.append((name, a, b, -m))
+            if m >= licenses.COVERAGE * len(template) and index.needed[t] <= set(own[a:b]):
+                found.add((index.names[t], m, a, b, m / len(template)))
+    left, taken = sorted(found, key=lambda x: (-x[1], -x[4], *x[2:4], x[0])), []
+    while left:
+        name, m, a, b, _ = left.pop(0)
+        taken.append((name, a, b, m))
+        left = [x for x in left if x[3] <= a or b <= x[2]]
     return sorted(taken)
 
 
+def test_licenses_tell_versions_and_clauses_apart():
+    index = licenses.Index(licenses.TEMPLATES)
+    names = lambda text: [x["license"] for x in licenses.scan_text(text, index)]
+    for name, text, _ in licenses.TEMPLATES:
+        assert names(f"see {text} and so on") == [name]
+    grant = next(x[1] for x in licenses.TEMPLATES if x[0] == "GPL-2.0")
+    assert names(grant.replace("program", "file")) == ["GPL-2.0"]
+    assert names(grant.replace("either version 2", "either version 7")) == []
+    notice = next(x[1] for x in licenses.TEMPLATES if x[0] == "CC-BY-4.0")
+    assert names(notice.replace("4.0", "3.0")) == []
+    both = " ".join(x[1] for x in licenses.TEMPLATES if x[0] in ("CC-BY-SA-4.0", "GPL-3.0", "ISC"))
+    assert names(both) == ["CC-BY-SA-4.0", "GPL-3.0", "GPL-3.0", "ISC"]
+
+
+def test_licenses_recall_with_edits():
+    """Of notices with one and two words changed, put in or left out, all that still cover enough are found."""
+    index, rng = licenses.Index(licenses.TEMPLATES), np.random.default_rng(6)
+    for t, (name, text, needed) in enumerate(licenses.TEMPLATES):
+        own = [w.decode() for w in decontam.words(text)]
+        free = [i for i, w in enumerate(own) if w not in needed]
+        tried = right = 0
+        for edits in [1] * 20 + [2] * 20:
+            new, lost = own.copy(), 0
+            for i in sorted(rng.choice(free, edits, replace=False).tolist(), reverse=True):
+                kind = rng.integers(3)
+                new[i : i + (kind > 0)] = [f"odd{i}"] if kind < 2 else []
+                lost += kind > 0
+            if len(own) - lost >= licenses.COVERAGE * len(own):
+                tried += 1
+                right += [x["license"] for x in licenses.scan_text(f"so {' '.join(new)} etc", index)] == [name]
+        assert not tried or right >= 0.95 * tried, (name, right, tried)
+
+
+def test_licenses_from_a_table(spark):
+    table = spark.createDataFrame([("X-1", "you may use version 1 of this text for anything", ["1"]), ("X-2", "you may use version 2 of this text for anything", ["2"]), ("none", None, None)], "license string, text string, needed array<string>")
+    got = licenses.scan_licenses(docs(spark, (1, "You may use version 2 of this text, for anything!", "s")).withColumn("license", F.lit(1)), table).collect()
+    assert [(r.doc_id, r.license, r.coverage) for r in got] == [(1, "X-2", 1.0)]
+    with pytest.raises(ValueError):
+        licenses.load_templates(table.union(table.select("license", F.repeat(F.lit("long "), 2_000_000), "needed").where("license = 'X-1'")))
+
+
 def test_licenses_with_changed_words():
     index = licenses.Index(licenses.TEMPLATES)
     for text in ("Released under MIT License.", "Released under an MIT License.", "Released under an MIT fine License."):
@@ -332,7 +508,8 @@ def test_licenses_with_changed_words():
                 text = " ".join(["the", "license", *changed, "is", *own[:i]])
                 got = [(x["license"], x["start_word"], x["end_word"], x["matched_words"]) for x in licenses.scan_text(text, short)]
                 assert sorted(got) == every_diagonal(text, short)
-                assert len(own) * 0.8 > len(own) - 1 or short.names[t] in {x[0] for x in got}
+                whole = short.needed[t] <= set(decontam.words(" ".join(changed)))
+                assert len(own) * 0.8 > len(own) - 1 or not whole or short.names[t] in {x[0] for x in got}
     for template in [own for own in index.words if len(own) > 30]:
         long = licenses.Index([("x", b" ".join(template).decode())])
         # Every fifth word is another: no run has five words of the template.
