@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .numbering import cut, small
+from .select import densified
 
 def normalise(coo: DataFrame, target: float = 1e4) -> DataFrame:
     """``norm``: values scaled to a total of ``target`` per cell, as log1p."""
@@ -20,6 +26,23 @@ def length_normalise(coo: DataFrame, lengths: DataFrame) -> DataFrame:
     return coo.join(lengths.select("gene", "length"), "gene", "left").withColumn("value", F.col("value") / F.coalesce("length", F.lit(1))).drop("length")
 
 
+def length_normalise_assays(coo: DataFrame, cells: DataFrame, lengths: DataFrame, assays: Sequence[str], assay: str = "assay") -> DataFrame:
+    """Values divided by their gene's ``length`` for cells of the given full-length ``assays`` alone."""
+    at = coo.join(cells.select("cell", F.coalesce(F.col(assay).isin(*assays), F.lit(False)).alias("__full")), "cell").join(small(lengths.select("gene", "length")), "gene", "left")
+    return at.withColumn("value", F.when(F.col("__full"), F.col("value") / F.coalesce("length", F.lit(1))).otherwise(F.col("value"))).drop("length", "__full")
+
+
+def gene_components(coo: DataFrame, genes: DataFrame, k: int) -> DataFrame:
+    """``cell`` and ``pca``: the first ``k`` components of cells over ``genes`` (gene), which are few, as variable genes are."""
+    n = genes.count()
+    if not 0 < k <= n <= 10_000:
+        raise ValueError(f"{k} components of {n} genes; choose variable genes, 10,000 at most")
+    places = genes.select("gene", (F.row_number().over(Window.orderBy("gene")) - 1).alias("place"))
+    by = coo.join(F.broadcast(places), "gene").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("held"))
+    at = by.withColumn("held", F.transform("held", lambda x: F.struct(x["place"].alias("gene"), x["value"].alias("value"))))
+    return pca(at.select("cell", densified(F.col("held"), F.lit(n)).alias("vector")), "vector", k).select("cell", "pca")
+
+
 def batch_label(obs: DataFrame, keys: list[str], out: str = "batches") -> DataFrame:
     """The non-null batch keys that are there, joined by commas."""
     return obs.withColumn(out, F.concat_ws(",", *(F.col(k).cast("string") for k in keys if k in obs.columns)))
@@ -31,7 +54,7 @@ def gene_moments(coo: DataFrame, cells: DataFrame, batch: str | None = None) ->
     n = cells.groupBy(*keys).agg(F.count("*").alias("n"))
     at = coo.join(cells.select("cell", *keys), "cell") if keys else coo
     by = at.groupBy(*keys, "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    out = by.join(F.broadcast(n), keys) if keys else by.join(F.broadcast(n), how="inner")
+    out = by.join(small(n), keys) if keys else by.join(F.broadcast(n), how="inner")
     mean = F.col("s") / F.col("n")
     return out.select(*keys, "gene", "n", mean.alias("mean"), ((F.col("q") - F.col("n") * mean * mean) / F.greatest(F.col("n") - 1, F.lit(1))).alias("variance"))
 
@@ -55,27 +78,28 @@ def _local_fit(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
 def variable_genes(coo: DataFrame, cells: DataFrame, n_top: int = 2000, batch: str | None = None, span: float = 0.3) -> DataFrame:
     """Genes by standardised variance (``rank`` from 1, median over batches), the first ``n_top``.
 
-    The variance that a gene's mean lets expect comes from a local fit over the batch's genes, a table of
-    one row per gene that is made in the driver; standardised values are clipped at sqrt(n) and summed in Spark.
+    The variance that a gene's mean lets expect comes from a local fit over the batch's genes, one task for each batch over
+    a row for each gene; standardised values are clipped at sqrt(n) and summed in Spark.
     """
-    moments = gene_moments(coo, cells, batch)
-    keys = [batch] if batch else []
-    rows = moments.where("variance > 0 AND mean > 0").toPandas()
-    parts = rows.groupby(batch) if batch else [(None, rows)]
-    for _, part in parts:
+    key = batch or "__batch"
+    cells = cells.select("cell", F.col(batch).alias(key) if batch else F.lit(0).alias(key))
+    moments = gene_moments(coo, cells, key).where("variance > 0 AND mean > 0")
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
         x, y = np.log10(part["mean"].to_numpy()), np.log10(part["variance"].to_numpy())
-        rows.loc[part.index, "sd"] = 10 ** (_local_fit(x, y, span if len(part) > 50 else 1.0) / 2)
-    fitted = coo.sparkSession.createDataFrame(rows[[*keys, "gene", "n", "mean", "sd"]]) if len(rows) else None
-    if fitted is None:
-        return moments.select("gene").limit(0).withColumn("rank", F.lit(0))
-    at = coo.join(cells.select("cell", *keys), "cell") if keys else coo
+        part["sd"] = 10 ** (_local_fit(x, y, span if len(part) > 50 else 1.0) / 2)
+        return part[[key, "gene", "n", "mean", "sd"]]
+
+    schema = T.StructType([moments.schema[key], moments.schema["gene"], moments.schema["n"], T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType())])
+    fitted = moments.groupBy(key).applyInPandas(fit, schema)
+    at = coo.join(cells, "cell")
     clip = lambda v: F.least(v, F.sqrt("n") * F.col("sd") + F.col("mean"))
-    sums = at.join(F.broadcast(fitted), [*keys, "gene"]).groupBy(*keys, "gene").agg(
+    sums = at.join(small(fitted), [key, "gene"]).groupBy(key, "gene").agg(
         F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.count("*").alias("m"), F.sum(clip(F.col("value"))).alias("s"), F.sum(clip(F.col("value")) ** 2).alias("q")
     )
     score = (F.col("n") * F.col("mean") ** 2 + F.col("q") - 2 * F.col("s") * F.col("mean")) / ((F.col("n") - 1) * F.col("sd") ** 2)
     scored = sums.withColumn("score", score)
-    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "gene")))
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "gene")))
     merged = ranked.groupBy("gene").agg(F.median("r").alias("m"), F.max("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(Window.orderBy("m", "gene"))).where(F.col("rank") <= n_top).select("gene", "rank", "score")
 
@@ -98,18 +122,24 @@ def cluster_means(coo: DataFrame, clusters: DataFrame) -> DataFrame:
     """Mean value of each gene in each cluster (``clusters``: cell, cluster); zeros count."""
     n = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     sums = coo.join(clusters, "cell").groupBy("cluster", "gene").agg(F.sum("value").alias("s"))
-    return sums.join(F.broadcast(n), "cluster").select("cluster", "gene", (F.col("s") / F.col("n")).alias("mean"))
+    return sums.join(small(n), "cluster").select("cluster", "gene", (F.col("s") / F.col("n")).alias("mean"))
 
 
 def cluster_correlations(means: DataFrame, n_genes: int) -> DataFrame:
     """Pearson correlation of the clusters' mean vectors over ``n_genes`` genes, those without values included,
-    for pairs ``a`` < ``b``. Joined on genes, so clusters that share none do not appear: they correlate at 0 or below."""
+    for all pairs ``a`` < ``b`` of clusters that have values.
+
+    Products are joined on genes and summed; the pairs come from the table of clusters, so those that share no gene are there too. A
+    cluster whose means are all equal has a null correlation.
+    """
+    means = cut(means)
     one = means.groupBy("cluster").agg(F.sum("mean").alias("s"), F.sum(F.col("mean") ** 2).alias("q"))
     x, y = means.toDF("a", "gene", "x"), means.toDF("b", "gene", "y")
     products = x.join(y, "gene").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-    at = products.join(F.broadcast(one.toDF("a", "sa", "qa")), "a").join(F.broadcast(one.toDF("b", "sb", "qb")), "b")
+    pairs = one.toDF("a", "sa", "qa").join(small(one.toDF("b", "sb", "qb")), F.col("a") < F.col("b"))
+    at = pairs.join(products, ["a", "b"], "left")
     n = F.lit(float(n_genes))
-    top = F.col("p") - F.col("sa") * F.col("sb") / n
+    top = F.coalesce("p", F.lit(0.0)) - F.col("sa") * F.col("sb") / n
     low = F.sqrt((F.col("qa") - F.col("sa") ** 2 / n) * (F.col("qb") - F.col("sb") ** 2 / n))
     return at.select("a", "b", (top / F.nullif(low, F.lit(0.0))).alias("corr"))
 
@@ -117,7 +147,11 @@ def cluster_correlations(means: DataFrame, n_genes: int) -> DataFrame:
 def relabel_clusters(clusters: DataFrame, cell_type: str = "cell_type", cluster: str = "cluster", min_cells: int = 10) -> DataFrame:
     """``name`` of each cell's cluster: within a cell type the largest, and those of fewer than ``min_cells``, are
     named by the type alone, the others by it and their rank by size."""
-    sizes = clusters.groupBy(cell_type, cluster).agg(F.count("*").alias("n"))
+    return relabel_clusters_by(clusters.groupBy(cell_type, cluster).agg(F.count("*").alias("n")), cell_type, cluster, min_cells)
+
+
+def relabel_clusters_by(sizes: DataFrame, cell_type: str, cluster: str, min_cells: int) -> DataFrame:
+    """As :func:`relabel_clusters`, from the clusters' sizes ``n``."""
     rank = F.row_number().over(Window.partitionBy(cell_type).orderBy(F.desc("n"), cluster)) - 1
     name = F.when((F.col("rank") == 0) | (F.col("n") < min_cells), F.col(cell_type).cast("string")).otherwise(F.concat_ws("_", F.col(cell_type).cast("string"), F.col("rank").cast("string")))
     return sizes.withColumn("rank", rank).select(cell_type, cluster, "n", name.alias("name"))
@@ -126,20 +160,46 @@ def relabel_clusters(clusters: DataFrame, cell_type: str = "cell_type", cluster:
 def merge_map(correlations: DataFrame, types: DataFrame, limit: float = 0.94) -> DataFrame:
     """``cluster`` and ``into``: clusters of one cell type that correlate above ``limit`` go into the least of theirs
     that does, and on into where that one goes."""
-    at = correlations.where(F.col("corr") > limit).join(F.broadcast(types.toDF("a", "ta")), "a").join(F.broadcast(types.toDF("b", "tb")), "b").where("ta = tb")
+    at = correlations.where(F.col("corr") > limit).join(small(types.toDF("a", "ta")), "a").join(small(types.toDF("b", "tb")), "b").where("ta = tb")
     step = at.groupBy(F.col("b").alias("cluster")).agg(F.min("a").alias("into"))
     further = step.toDF("into", "further")
-    return step.join(F.broadcast(further), "into", "left").select("cluster", F.coalesce("further", "into").alias("into"))
+    return step.join(small(further), "into", "left").select("cluster", F.coalesce("further", "into").alias("into"))
 
 
-def propagate_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
+def renumber(clusters: DataFrame, merges: DataFrame, cell_type: str = "cell_type", cluster: str = "name") -> DataFrame:
+    """``name`` and ``final``: each cluster under the cluster that it goes into, renumbered within its type by cells.
+
+    ``clusters``: cell type, name, n; ``merges``: cluster, into. Merged clusters count together; the largest of a type is named
+    by the type alone, the others by it and their rank.
+    """
+    merged = clusters.join(small(merges.select(F.col("cluster").alias("__c"), "into")), F.col(cluster) == F.col("__c"), "left").withColumn("into", F.coalesce("into", cluster)).drop("__c")
+    again = relabel_clusters_by(merged.groupBy(cell_type, "into").agg(F.sum("n").alias("n")), cell_type, "into", 0)
+    return merged.select(cell_type, F.col(cluster).alias("name"), "into").join(small(again.select(cell_type, "into", F.col("name").alias("final"))), [cell_type, "into"]).select(cell_type, "name", "final")
+
+
+def propagate_labels(edges: DataFrame, rounds: int = 5, resolution: float = 0.0) -> DataFrame:
     """Communities of a neighbour graph (src, dst) by label propagation: a row takes its neighbours' most common
-    label, ties to the least. ``src``, ``label``."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    label, ties to the least. ``src``, ``label``.
+
+    With a ``resolution``, a label's votes are lessened by as many as it would have by chance at its community's degrees, times the
+    resolution; so a higher one gives more and smaller communities. Rounds of these move every second row by hash, as rows that
+    all move at once could change places for ever.
+    """
+    both = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = both.select("src").distinct().withColumn("label", F.col("src"))
-    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    for _ in range(rounds):
+    degrees = cut(both.groupBy("src").agg(F.count("*").alias("degree"))) if resolution else None
+    total = both.count() if resolution else 0
+    for step in range(rounds):
         votes = both.join(labels.select(F.col("src").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
-        labels = votes.groupBy("src").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label"))
-        labels = labels.checkpoint() if reliable else labels
+        if degrees is None:
+            labels = cut(votes.groupBy("src").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label")))
+            continue
+        own = labels.join(degrees, "src")
+        weights = own.groupBy("label").agg(F.sum("degree").alias("held"))
+        votes = votes.union(labels.select("src", "label", F.lit(0).cast("long"))).groupBy("src", "label").agg(F.sum("n").alias("n"))
+        at = votes.join(weights, "label").join(own.select("src", "degree", F.col("label").alias("mine")), "src")
+        by_chance = F.col("degree") * (F.col("held") - F.when(F.col("label") == F.col("mine"), F.col("degree")).otherwise(0)) / F.lit(float(total or 1))
+        best = at.groupBy("src").agg(F.min_by("label", F.struct((-(F.col("n") - resolution * by_chance)).alias("n"), "label")).alias("best"), F.first("mine").alias("mine"))
+        moves = F.pmod(F.xxhash64("src", F.lit(step)), F.lit(2)) == 0
+        labels = cut(best.select("src", F.when(moves, F.col("best")).otherwise(F.col("mine")).alias("label")))
     return labels

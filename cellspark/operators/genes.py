@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gene_vocabulary(genes: DataFrame, organism: str, drop: Sequence[str] = (), case_insensitive: bool = False) -> DataFrame:
-    """The genes of one organism: id (else stable id), first of equal ids by symbol, flags, constant organism.
+def gene_vocabulary(genes: DataFrame, organism: str | None, drop: Sequence[str] = (), case_insensitive: bool = False) -> DataFrame:
+    """The genes of one organism: id (else stable id), first of equal ids by symbol, flags, constant organism (None: that of the rows).
 
     ``mt``: symbols that begin with MT-; ``ribo``: with RPS or RPL; ``hb``: HB and a character
     other than "(", "P" and ")". ``drop`` lists gene ids that are left out.
@@ -21,7 +21,7 @@ def gene_vocabulary(genes: DataFrame, organism: str, drop: Sequence[str] = (), c
         at = at.join(F.broadcast(genes.sparkSession.createDataFrame([(g,) for g in drop], "gene_id string")), "gene_id", "left_anti")
     symbol = F.upper("symbol") if case_insensitive else F.col("symbol")
     flags = {"mt": symbol.startswith("MT-"), "ribo": symbol.startswith("RPS") | symbol.startswith("RPL"), "hb": symbol.rlike("^HB[^(P)]")}
-    return at.select("gene_id", "symbol", F.lit(organism).alias("organism"), *(F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()))
+    return at.select("gene_id", "symbol", F.lit(organism).alias("organism") if organism is not None else F.col("organism"), *(F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()))
 
 
 def with_positions(vocabulary: DataFrame, organism: str = "organism", gene: str = "gene_id") -> DataFrame:
@@ -38,6 +38,13 @@ def inner_genes(var: DataFrame, artifact: str = "artifact", gene: str = "gene")
     return by.join(F.broadcast(n), F.col("n_artifacts") == F.col("n"), "left_semi").select(gene)
 
 
+def require_genes(shared: DataFrame) -> DataFrame:
+    """``shared`` as it is; without a gene the artifacts cannot be aligned, which is an error."""
+    if shared.isEmpty():
+        raise ValueError("the artifacts have no gene in common; use an outer join")
+    return shared
+
+
 def outer_genes(var: DataFrame, artifact: str = "artifact", gene: str = "gene") -> DataFrame:
     """Genes that any artifact has, and how many do. Sparse cells need no zeros for the others."""
     return var.select(artifact, gene).distinct().groupBy(gene).agg(F.count("*").alias("n_artifacts"))

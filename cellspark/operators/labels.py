@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered, ranges, small
+
 
 def as_text(label: str | Column) -> Column:
     """A label as text: null is "unknown"; booleans are "True" and "False"."""
@@ -46,7 +48,7 @@ def combined_codes(obs: DataFrame, labels: Sequence[str], out: str = "code") ->
     combos = obs.select(*labels).distinct()
     codes = combos.withColumn(out, F.row_number().over(Window.orderBy(*labels)) - 1)
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in labels]
-    return obs.alias("a").join(codes.alias("b"), on).select("a.*", out)
+    return obs.alias("a").join(small(codes).alias("b"), on).select("a.*", out)
 
 
 def label_weights(obs: DataFrame, labels: Sequence[str], scaler: float | None = None) -> DataFrame:
@@ -69,11 +71,29 @@ def class_weights(labels: DataFrame, label: str, scaler: float, excluded: int |
 
 
 def class_index(labels: DataFrame, label: str, index: str) -> DataFrame:
-    """The rows of each class: ``pos`` within it, and ``offset``, where the class begins among all."""
+    """The rows of each class: ``pos`` within it by index, and ``offset``, where the class begins among all.
+
+    Rows are numbered within stretches of the index, so a class of any size is many tasks.
+    """
     sizes = labels.groupBy(label).agg(F.count("*").alias("n"))
     offsets = sizes.select(label, (F.sum("n").over(Window.orderBy(label)) - F.col("n")).alias("offset"))
-    at = labels.select(label, index, (F.row_number().over(Window.partitionBy(label).orderBy(index)) - 1).alias("pos"))
-    return at.join(offsets, label)
+    at = numbered(labels.select(label, index), [label], ranges(labels, index), [index], "pos")
+    return at.select(label, index, "pos").join(small(offsets), label)
+
+
+def merged_labels(obs: DataFrame, label: str, index: str = "global_idx") -> DataFrame:
+    """A label over all artifacts as text, by ``index``."""
+    return obs.select(index, as_text(label).alias("label"))
+
+
+def frequent_values(df: DataFrame, label: str, above: int) -> DataFrame:
+    """Values of a label with more than ``above`` rows, and their number ``n``."""
+    return df.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") > above)
+
+
+def excluding(df: DataFrame, label: str, values: Sequence) -> DataFrame:
+    """The rows whose label is not null and none of ``values``."""
+    return df.where(F.col(label).isNotNull() & ~F.col(label).isin(*values)) if values else df.where(F.col(label).isNotNull())
 
 
 def value_counts(df: DataFrame, label: str, n: str | None = None) -> DataFrame:

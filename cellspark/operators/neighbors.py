@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from .numbering import small
+from .select import to_cells
 
 BLOCK = 2048
 
@@ -17,14 +19,17 @@ BLOCK = 2048
 def exact_knn(vectors: DataFrame, k: int = 6, artifact: str = "artifact", row: str = "row", vector: str = "vector") -> DataFrame:
     """``src``, ``dst``, ``distance``: the ``k`` nearest other rows of each row in its artifact, ties by id.
 
-    Rows are packed to blocks. A task compares one block with another by a matrix product and keeps
-    ``k`` of each row, so that only candidates, not pairs, are shuffled.
+    Rows are dealt to blocks by hash. Each pair of an artifact's blocks is a key of its own, so that a large artifact is
+    many tasks; a task compares one block with another by a matrix product and keeps ``k`` of each row, so that only candidates, not
+    pairs, are shuffled further.
     """
-    size = Window.partitionBy(artifact).orderBy(row)
-    blocks = vectors.select(artifact, row, vector).withColumn("b", F.floor((F.row_number().over(size) - 1) / BLOCK))
-    packed = blocks.groupBy(artifact, "b").agg(F.sort_array(F.collect_list(F.struct(row, vector))).alias("items"))
-    packed = packed.select(artifact, "b", F.col(f"items.{row}").alias("ids"), F.col(f"items.{vector}").alias("vs"))
-    pairs = packed.join(packed.select(artifact, F.col("ids").alias("ids2"), F.col("vs").alias("vs2")), artifact)
+    sizes = vectors.groupBy(artifact).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = vectors.select(artifact, row, vector).join(small(sizes), artifact).withColumn("b", F.pmod(F.xxhash64(row), F.col("blocks")))
+    packed = blocks.groupBy(artifact, "b").agg(F.max("blocks").alias("blocks"), F.sort_array(F.collect_list(F.struct(row, vector))).alias("items"))
+    packed = packed.select(artifact, "b", F.col(f"items.{row}").alias("ids"), F.col(f"items.{vector}").alias("vs"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    left = packed.select(artifact, F.col("b").alias("i"), F.col("other").alias("j"), "ids", "vs")
+    right = packed.select(artifact, F.col("other").alias("i"), F.col("b").alias("j"), F.col("ids").alias("ids2"), F.col("vs").alias("vs2"))
+    pairs = left.join(right, [artifact, "i", "j"])
     kind = vectors.schema[row].dataType.simpleString()
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,3 +87,19 @@ def with_neighbours(cells: DataFrame, edges: DataFrame) -> DataFrame:
     at = edges.join(cells.select(F.col("cell").alias("dst"), F.col("expr").alias("near")), "dst")
     by = at.groupBy(F.col("src").alias("cell")).agg(F.sort_array(F.collect_list(F.struct("rank", "near", "distance"))).alias("n"))
     return cells.join(by, "cell", "left").select(cells["*"], F.col("n.near").alias("knn_cells"), F.col("n.distance").alias("knn_cells_info"))
+
+
+def with_metacells(cells: DataFrame, edges: DataFrame, share: float, seed: int = 0, meta_assays: Sequence[str] = (), assay: str = "assay") -> DataFrame:
+    """Sparse cells of which a random ``share`` has its neighbours' values added, with ``is_meta``.
+
+    Cells of ``meta_assays`` are metacells already and stay as they are. Only values of chosen cells are shuffled; the others' rows are
+    joined with the sums by cell.
+    """
+    before = F.coalesce(F.col(assay).isin(*meta_assays), F.lit(False)) if meta_assays and assay in cells.columns else F.lit(False)
+    at = cells.withColumns({"__before": before, "is_meta": before | (uniform(seed, "cell") < share)})
+    chosen = at.where("is_meta AND NOT __before").select("cell", "expr")
+    near = edges.join(chosen.select(F.col("cell").alias("src")), "src", "left_semi").join(cells.select(F.col("cell").alias("dst"), "expr"), "dst").select(F.col("src").alias("cell"), "expr")
+    sums = to_cells(chosen.union(near).select("cell", F.explode("expr").alias("x")).select("cell", "x.gene", "x.value"))
+    kind = cells.schema["expr"].dataType
+    out = at.join(sums.select("cell", F.col("expr").cast(kind).alias("__sum")), "cell", "left")
+    return out.withColumn("expr", F.coalesce("__sum", "expr")).drop("__sum", "__before")

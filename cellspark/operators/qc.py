@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import small
+
 QC_FLAGS = ("mt", "ribo", "hb")
 
 
@@ -41,14 +43,54 @@ def gene_metrics(coo: DataFrame, n_cells: DataFrame) -> DataFrame:
     return out.select("gene", "n_cells_by_counts", "total_counts", (F.col("total_counts") / F.col("n")).alias("mean_counts"), (100 * (1 - F.col("n_cells_by_counts") / F.col("n"))).alias("pct_dropout_by_counts"))
 
 
+def exact_medians(df: DataFrame, columns: dict[str, Column], bins: int = 4096) -> dict[str, float | None]:
+    """The exact median of each column over all rows (None without values).
+
+    Values are counted in bins between the least and the largest; the bin that holds the middle is cut again, until it holds
+    one value or the two middle values lie in different bins. A round is one aggregate of at most ``bins`` rows a column,
+    whatever the number of rows and distinct values.
+    """
+    at = df.select(*(c.cast("double").alias(n) for n, c in columns.items()))
+    ends = at.agg(*(f(n).alias(f"{f.__name__}_{n}") for n in columns for f in (F.count, F.min, F.max))).first()
+    out: dict[str, float | None] = {n: None for n in columns}
+    # Column: least and largest value that may be the middle, rows below these, all rows.
+    spans = {n: (ends[f"min_{n}"], ends[f"max_{n}"], 0, ends[f"count_{n}"]) for n in columns if ends[f"count_{n}"]}
+    while spans:
+        for n in [n for n, (lo, hi, _, _) in spans.items() if lo == hi]:
+            out[n] = spans.pop(n)[0]
+        if not spans:
+            break
+        cut = lambda n, lo, hi: F.least(F.floor((F.col(n) - lo) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int")
+        inside = F.array(*(F.when(F.col(n).between(lo, hi), F.struct(F.lit(n).alias("name"), cut(n, lo, hi).alias("bin"), F.col(n).alias("v"))) for n, (lo, hi, _, _) in spans.items()))
+        found = at.select(F.explode(inside).alias("x")).where("x IS NOT NULL").groupBy("x.name", "x.bin").agg(F.count("*").alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi"))
+        rows = sorted(found.collect(), key=lambda r: (r["name"], r["bin"]))
+        for name, (_, _, below, total) in list(spans.items()):
+            first, second = (total - 1) // 2, total // 2
+            upto, held = below, []
+            for r in (r for r in rows if r["name"] == name):
+                if upto <= second and first < upto + r["n"]:
+                    held.append((r["lo"], r["hi"], upto, total))
+                upto += r["n"]
+            if len(held) == 1:
+                spans[name] = held[0]
+            else:  # the largest of one bin and the least of the next
+                out[name] = (held[0][1] + held[1][0]) / 2
+                del spans[name]
+    return out
+
+
 def with_outliers(df: DataFrame, metrics: dict[str, tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
     """Add a mark for each metric (new column: metric, nmads): whether a value lies more than ``nmads`` unscaled median
-    deviations from the median, within ``by`` or over all. All medians come from one aggregate, all deviations from another."""
+    deviations from the median, within ``by`` or over all. Over all, medians are taken from counts in bins, in a few passes."""
+    if not by:
+        meds = exact_medians(df, {o: F.col(m) for o, (m, _) in metrics.items()})
+        far = {o: F.abs(F.col(m) - F.lit(meds[o])) for o, (m, _) in metrics.items()}
+        mads = exact_medians(df, far)
+        return df.withColumns({o: far[o] > F.lit(None if mads[o] is None else n * mads[o]) for o, (_, n) in metrics.items()})
     names = list(by)
-    join = lambda left, right: left.join(F.broadcast(right), names) if names else left.join(F.broadcast(right), how="inner")
-    at = join(df, df.groupBy(*names).agg(*(F.median(m).alias(f"__med_{o}") for o, (m, _) in metrics.items())))
+    at = df.join(df.groupBy(*names).agg(*(F.median(m).alias(f"__med_{o}") for o, (m, _) in metrics.items())), names)
     far = {o: F.abs(F.col(m) - F.col(f"__med_{o}")) for o, (m, _) in metrics.items()}
-    at = join(at, at.groupBy(*names).agg(*(F.median(x).alias(f"__mad_{o}") for o, x in far.items())))
+    at = at.join(at.groupBy(*names).agg(*(F.median(x).alias(f"__mad_{o}") for o, x in far.items())), names)
     at = at.withColumns({o: far[o] > n * F.col(f"__mad_{o}") for o, (_, n) in metrics.items()})
     return at.drop(*(f"__{k}_{o}" for k in ("med", "mad") for o in metrics))
 
@@ -82,6 +124,23 @@ def raw_check(coo: DataFrame, by: str = "artifact", rows: int = 50_000) -> DataF
     return at.groupBy(by).agg(F.sum(F.abs(F.col("value") - F.col("value").cast("long"))).alias("excess")).withColumn("is_raw", F.col("excess") == 0)
 
 
+def choose_counts(coo: DataFrame, by: str = "artifact", use_raw: bool = True, layer: str | None = None, raw: str = "raw", counts: str = "counts") -> DataFrame:
+    """Values (cell, ``by``, gene, value) from the layer that holds counts.
+
+    A column ``layer`` of ``coo`` is taken if named, else ``raw`` if there is one (and ``use_raw``). Artifacts whose values are then not
+    whole numbers fall back to column ``counts`` if there is one. Zeros and nulls are left out.
+    """
+    if layer is not None and layer not in coo.columns:
+        raise ValueError(f"there is no layer {layer}")
+    value = F.col(layer) if layer else F.coalesce(raw, "value") if use_raw and raw in coo.columns else F.col("value")
+    keys = [c for c in ("cell", by, "gene", "obs_idx") if c in coo.columns]
+    at = coo.select(*keys, value.cast("double").alias("value"), *([F.col(counts).cast("double").alias("__counts")] if counts in coo.columns else []))
+    if counts in coo.columns:
+        odd = raw_check(at, by).where("NOT is_raw").select(by, F.lit(True).alias("__odd"))
+        at = at.join(small(odd), by, "left").withColumn("value", F.when(F.col("__odd"), F.col("__counts")).otherwise(F.col("value")))
+    return at.select(*keys, "value").where("value != 0")
+
+
 def log1p_check(coo: DataFrame, by: str = "artifact") -> DataFrame:
     """Per artifact, whether values look log-transformed: none above 30, none negative, least positive below 1."""
     out = coo.groupBy(by).agg(F.max("value").alias("hi"), F.min("value").alias("lo"), F.min(F.when(F.col("value") > 0, F.col("value"))).alias("least"))
@@ -124,24 +183,25 @@ ONTOLOGY_COLUMNS = {
 }
 
 
-def validate(obs: DataFrame, ontology: DataFrame, columns: dict[str, str] | None = None, need_all: bool = False) -> DataFrame:
-    """A row for each violation: ``problem``, ``column``, ``value`` and its rows ``n``.
+def validate(obs: DataFrame, ontology: DataFrame, columns: dict[str, str] | None = None, need_all: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each violation: ``problem``, ``column``, ``value`` and its rows ``n``, within ``by`` if given.
 
     Problems: a missing column (with ``need_all``), a repeated cell, an id that its registry lacks. "unknown" is
     always valid; the parts of a comma-joined list are checked each.
     """
     columns = ONTOLOGY_COLUMNS if columns is None else columns
     there = {c: kind for c, kind in columns.items() if c in obs.columns}
-    out = duplicate_keys(obs, ["cell"]).select(F.lit("duplicate").alias("problem"), F.lit("cell").alias("column"), F.col("cell").cast("string").alias("value"), "n")
+    by = list(by)
+    out = duplicate_keys(obs, [*by, "cell"]).select(*by, F.lit("duplicate").alias("problem"), F.lit("cell").alias("column"), F.col("cell").cast("string").alias("value"), "n")
     if there:
-        long = obs.select(*(F.col(c).cast("string").alias(c) for c in there)).unpivot([], list(there), "column", "value")
-        counted = long.groupBy("column", "value").agg(F.count("*").alias("n")).withColumn("value", F.explode(F.split(F.coalesce("value", F.lit("")), ",")))
+        long = obs.select(*by, *(F.col(c).cast("string").alias(c) for c in there)).unpivot(by, list(there), "column", "value")
+        counted = long.groupBy(*by, "column", "value").agg(F.count("*").alias("n")).withColumn("value", F.explode(F.split(F.coalesce("value", F.lit("")), ",")))
         kinds = F.create_map(*(F.lit(x) for pair in there.items() for x in pair))
-        used = counted.select("column", F.trim("value").alias("value"), "n", kinds[F.col("column")].alias("kind")).where("value != 'unknown'")
+        used = counted.select(*by, "column", F.trim("value").alias("value"), "n", kinds[F.col("column")].alias("kind")).where("value != 'unknown'")
         known = ontology.select("kind", F.col("ontology_id").alias("value")).distinct()
-        bad = used.join(known, ["kind", "value"], "left_anti").groupBy("column", "value").agg(F.sum("n").alias("n"))
-        out = out.unionByName(bad.select(F.lit("unknown id").alias("problem"), "column", "value", "n"))
+        bad = used.join(known, ["kind", "value"], "left_anti").groupBy(*by, "column", "value").agg(F.sum("n").alias("n"))
+        out = out.unionByName(bad.select(*by, F.lit("unknown id").alias("problem"), "column", "value", "n"))
     if need_all and (lacking := [c for c in columns if c not in obs.columns]):
-        rows = [("missing column", c, None, 0) for c in lacking]
-        out = out.unionByName(obs.sparkSession.createDataFrame(rows, "problem string, column string, value string, n long"))
+        rows = obs.sparkSession.createDataFrame([("missing column", c, None, 0) for c in lacking], "problem string, column string, value string, n long")
+        out = out.unionByName(obs.select(*by).distinct().join(F.broadcast(rows), how="cross") if by else rows)
     return out

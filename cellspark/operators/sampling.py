@@ -8,21 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key, uniform
+from .numbering import PART_ROWS, numbered, ranges, running_sums, small
 
 
 def drop_assays(obs: DataFrame, assay: str = "assay", drop: Sequence[str] = ("EFO:0030007",)) -> DataFrame:
     return obs.where(~F.coalesce(F.col(assay), F.lit("")).isin(*drop))
 
 
-def shuffled_index(df: DataFrame, index: str, seed: int = 42, groups: int = 1024, out: str = "shuffled") -> DataFrame:
-    """Add a dense random position. Rows are dealt to ``groups`` by hash and numbered within them; the
+def shuffled_index(df: DataFrame, index: str, seed: int = 42, out: str = "shuffled") -> DataFrame:
+    """Add a dense random position. Rows are dealt to 65,536 groups by hash and numbered within them; the
     groups' offsets come from their counts."""
-    at = df.withColumn("__h", hash_key(seed, index)).withColumn("__g", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int") * groups / 65536)
-    at = at.withColumn("__g", F.floor("__g"))
-    sizes = at.groupBy("__g").agg(F.count("*").alias("n"))
-    offsets = sizes.select("__g", (F.sum("n").over(Window.orderBy("__g")) - F.col("n")).alias("__o"))
-    inner = F.row_number().over(Window.partitionBy("__g").orderBy("__h", index)) - 1
-    return at.withColumn("__i", inner).join(F.broadcast(offsets), "__g").withColumn(out, F.col("__o") + F.col("__i")).drop("__h", "__g", "__i", "__o")
+    at = df.withColumn("__h", hash_key(seed, index))
+    return numbered(at, [], F.substring("__h", 1, 4), ["__h", index], out).drop("__h")
 
 
 def _part(size: int | float, n: Column) -> Column:
@@ -42,7 +39,7 @@ def split(obs: DataFrame, validation: int | float = 0.2, test: int | float = 0.0
     at = sizes.select(artifact, F.sum("n").over(order).alias("upto"), F.row_number().over(order).alias("nth"), F.sum("n").over(every).alias("total"))
     wanted = test > 0
     at = at.withColumn("held", F.lit(wanted) & ((F.col("upto") <= _part(test, F.col("total"))) | (F.col("nth") == 1)))
-    rows = obs.join(F.broadcast(at.select(artifact, "held", "total")), artifact)
+    rows = obs.join(small(at.select(artifact, "held", "total")), artifact)
     ranked = shuffled_index(rows.where(~F.col("held")), index, seed)
     few = ranked.withColumn("split", F.when(F.col("shuffled") < _part(validation, F.col("total")), "validation").otherwise("train")).drop("shuffled")
     return few.unionByName(rows.where("held").withColumn("split", F.lit("test"))).drop("held", "total")
@@ -61,11 +58,17 @@ def label_intervals(weights: DataFrame, label: str = "label", weight: str = "wei
 
 
 def draw_labels(weights: DataFrame, n: int, seed: int = 0, label: str = "label", weight: str = "weight", curriculum: tuple[int, int] | None = None) -> DataFrame:
-    """``draw_id`` 0 .. n - 1 and its class, drawn with replacement by weight. The classes' intervals, a row for
-    each class, are broadcast; draws are made in parallel."""
-    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw_id"), uniform(seed, F.col("id")).alias("u"))
+    """``draw_id`` 0 .. n - 1 and its class, drawn with replacement by weight.
+
+    [0, 1) is cut into as many buckets as there are classes, and a class lies in each bucket that its interval reaches into, so
+    a draw meets two classes on average, by its bucket. Classes are broadcast if few by count.
+    """
     parts = label_intervals(weights, label, weight, curriculum).select(label, "lo", "hi")
-    return draws.join(F.broadcast(parts), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw_id", label)
+    buckets = max(1, weights.count())
+    at = lambda c: F.least(F.floor(c * buckets), F.lit(buckets - 1)).cast("long")
+    parts = parts.withColumn("__b", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
+    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw_id"), uniform(seed, F.col("id")).alias("u")).withColumn("__b", at(F.col("u")))
+    return draws.join(small(parts), "__b").where("u >= lo AND u < hi").select("draw_id", label)
 
 
 def draw_rows(draws: DataFrame, index: DataFrame, seed: int = 0, label: str = "label") -> DataFrame:
@@ -75,39 +78,53 @@ def draw_rows(draws: DataFrame, index: DataFrame, seed: int = 0, label: str = "l
     the class's size and joins on class and position, so no class is paired with all its draws.
     """
     sizes = index.groupBy(label).agg(F.count("*").alias("n"))
-    at = draws.join(F.broadcast(sizes), label).withColumn("pos", F.floor(uniform(f"{seed}r", "draw_id") * F.col("n")).cast("long"))
+    at = draws.join(small(sizes), label).withColumn("pos", F.floor(uniform(f"{seed}r", "draw_id") * F.col("n")).cast("long"))
     return at.drop("n").join(index.withColumn("pos", F.col("pos").cast("long")), [label, "pos"]).drop("pos")
 
 
 def draw_without_replacement(rows: DataFrame, counts: DataFrame, index: str, label: str = "label", weight: str | None = None, seed: int = 0) -> DataFrame:
     """Of each class at most ``n`` (in ``counts``) rows, none twice; by weight if given (exponential keys).
-    Rows of weight 0 are never drawn."""
+    Rows of weight 0 are never drawn.
+
+    Keys are ranked within classes by stretches of keys, so a class of any size is many tasks.
+    """
     u = F.greatest(uniform(seed, index), F.lit(2.0**-53))
-    key = u if weight is None else -F.log(u) / F.col(weight)
     at = rows if weight is None else rows.where(F.col(weight) > 0)
-    ranked = at.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy(key, index)))
-    return ranked.join(F.broadcast(counts.select(label, "n")), label).where("rank <= n").drop("n")
+    x = at.agg(F.count("*").alias("n"), (F.lit(1.0) if weight is None else F.avg(weight)).alias("mean")).first()
+    at = at.withColumn("__key", u if weight is None else -F.log(u) / F.col(weight))
+    # Falls from 1 to 0 as the key grows, about evenly over all rows.
+    even = F.col("__key") if weight is None else 1 - F.exp(-F.col("__key") * float(x["mean"] or 1.0))
+    parts = -(-4 * x["n"] // PART_ROWS) or 1
+    ranked = numbered(at, [label], F.least(F.floor(even * parts), F.lit(parts - 1)).cast("long"), ["__key", index], "rank").drop("__key")
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int")).join(small(counts.select(label, "n")), label).where("rank <= n").drop("n")
 
 
-def draw_weighted(draws: DataFrame, rows: DataFrame, index: str, weight: str, label: str = "label", seed: int = 0, buckets: int = 256) -> DataFrame:
+def draw_weighted(draws: DataFrame, rows: DataFrame, index: str, weight: str, label: str = "label", seed: int = 0) -> DataFrame:
     """A row for each draw within its class, by weight and with replacement.
 
-    Each class's weights are laid end to end over [0, 1) and cut into buckets; a draw meets only the rows that
-    reach into its bucket.
+    Each class's weights are laid end to end over [0, 1), by sums within stretches of the index and sums of these, and cut into as many
+    buckets as the class has rows; a draw meets only the rows that reach into its bucket, two on average.
     """
-    by = Window.partitionBy(label).orderBy(index)
-    laid = rows.where(F.col(weight) > 0).withColumn("__hi", F.sum(weight).over(by.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(Window.partitionBy(label)))
-    laid = laid.withColumn("__lo", F.coalesce(F.lag("__hi").over(by), F.lit(0.0)))
-    at = lambda c: F.least(F.floor(c * buckets), F.lit(buckets - 1)).cast("int")
-    laid = laid.withColumn("__b", F.explode(F.sequence(at(F.col("__lo")), at(F.col("__hi")))))
-    asked = draws.withColumn("__u", uniform(f"{seed}w", "draw_id")).withColumn("__b", at(F.col("__u")))
+    some = rows.where(F.col(weight) > 0)
+    laid = running_sums(some, [label], weight, ranges(some, index), [index], "__from", "__to", "__all")
+    sizes = small(some.groupBy(label).agg(F.count("*").alias("__n")))
+    laid = laid.select(label, index, (F.col("__from") / F.col("__all")).alias("__lo"), (F.col("__to") / F.col("__all")).alias("__hi"))
+    at = lambda c: F.least(F.floor(c * F.col("__n")), F.col("__n") - 1).cast("long")
+    laid = laid.join(sizes, label).withColumn("__b", F.explode(F.sequence(at(F.col("__lo")), at(F.col("__hi"))))).drop("__n")
+    asked = draws.withColumn("__u", uniform(f"{seed}w", "draw_id")).join(sizes, label).withColumn("__b", at(F.col("__u"))).drop("__n")
     return asked.join(laid, [label, "__b"]).where("__u >= __lo AND __u < __hi").select("draw_id", label, index)
 
 
 def restrict_top(rows: DataFrame, n: int, weight: str, index: str, label: str = "label") -> DataFrame:
-    """The ``n`` rows of largest weight in each class."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.desc(weight), index))
-    return rows.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
+    """The ``n`` rows of largest weight in each class, ties by index.
+
+    Stretches of the index keep their own ``n`` first, so a large class is ranked by many tasks.
+    """
+    order = [F.desc(weight), index]
+    at = rows.withColumn("__part", ranges(rows, index))
+    for keys in ([label, "__part"], [label]):
+        at = at.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n)
+    return at.drop("__r", "__part")
 
 
 def rank_shard(df: DataFrame, n: int, rank: int, world: int, start_at: int = 0, index: str = "global_idx") -> DataFrame:

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import depth, depth_normalise, logp1
+from ..operators.numbering import small
 from ..operators.select import by_neighbours, densified, most_expressed, most_expressed_with_neighbours, random_expressed, with_bins, with_zero_genes
 
 
+#: Genes of a vocabulary that goes to every task; a larger one meets the values in a join.
+VOCABULARY_ROWS = 2_000_000
+
+
 @dataclass(frozen=True)
 class CollateOptions:
     """What a collated row holds.
@@ -19,6 +30,7 @@ class CollateOptions:
     ``how``: "most expr", "random expr", "all" or "some" (``genelist``). Cells get ``max_len`` genes and
     ``add_zero_genes`` more; missing ones are filled with unexpressed genes. Values are scaled to ``norm_to``,
     then logged (base 2), then binned. ``key`` names what is unique in a row: the draw where cells are drawn again.
+    ``dataset_name`` names a column that is given as ``dataset``.
     """
 
     how: str = "all"
@@ -35,6 +47,98 @@ class CollateOptions:
     seed: int = 0
     extra: Sequence[str] = field(default=())
     key: str = "cell"
+    dataset_name: str | None = None
+
+
+def _ranked(genes: DataFrame) -> DataFrame:
+    """``organism``, ``gene`` and ``rank``, the gene's place within its organism by ``pos``."""
+    return genes.select("organism", "gene", (F.row_number().over(Window.partitionBy("organism").orderBy("pos")) - 1).alias("rank"))
+
+
+def _ranks(flat: pa.Array, row: np.ndarray, organism: pa.Array, known: dict[str, list]) -> np.ndarray:
+    """For genes of cells (``row`` is the gene's cell) their ranks, or -1."""
+    rank = np.full(len(flat), -1, np.int32)
+    of = np.asarray(organism.to_pylist(), object)
+    for name in set(of.tolist()) & set(known):
+        found = pc.fill_null(pc.index_in(flat, value_set=pa.array(known[name], flat.type)), -1).to_numpy(zero_copy_only=False)
+        own = (of == name)[row]
+        rank[own] = found[own]
+    return rank
+
+
+def placing(genes: DataFrame, near: bool, limit: int = VOCABULARY_ROWS) -> tuple[Callable[[Column, Column], Column], Callable[[Column, Column, Column], Column]] | None:
+    """Two functions of columns that look genes up within a row: ``place`` (expr, organism) gives a cell's values of known genes by rank, ``gather``
+    (neighbours' exprs, ranks, organism) each neighbour's values at the ranks. None for a vocabulary beyond ``limit``.
+    """
+    rows = _ranked(genes).orderBy("organism", "rank").limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    known: dict[str, list] = defaultdict(list)
+    for r in rows:
+        known[r.organism].append(r.gene)
+    shared = genes.sparkSession.sparkContext.broadcast(dict(known))
+    names = ["gene", "value", *(["near"] if near else [])]
+
+    def place(expr: pa.Array, organism: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(expr), 0).to_numpy(zero_copy_only=False)
+        row, flat = np.repeat(np.arange(len(expr)), lengths), expr.flatten()
+        rank = _ranks(flat.field("gene"), row, organism, shared.value)
+        kept = np.flatnonzero(rank >= 0)
+        kept = kept[np.lexsort((rank[kept], row[kept]))]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(expr)))]).astype(np.int32)
+        fields = [pa.array(rank[kept]), *(flat.field(n).take(pa.array(kept)).cast(pa.float64()) for n in names[1:])]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names))
+
+    def gather(exprs: pa.Array, ranks: pa.Array, organism: pa.Array) -> pa.Array:
+        out = []
+        for cells, at, name in zip(exprs, ranks.to_pylist(), organism, strict=True):
+            if not cells.is_valid:
+                out.append(None)
+                continue
+            near, rows = cells.values, []
+            flat = near.flatten()
+            own = np.repeat(np.arange(len(near)), pc.fill_null(pc.list_value_length(near), 0).to_numpy(zero_copy_only=False))
+            rank = _ranks(flat.field("gene"), own, pa.array([name.as_py()] * len(near)), shared.value)
+            dense = np.zeros((len(near), len(shared.value.get(name.as_py(), ())) + 1))
+            dense[own, rank] = flat.field("value").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            rows = dense[:, np.asarray(at, np.int64)] if at else np.zeros((len(near), 0))
+            out.append(rows.tolist())
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+
+    kind = T.ArrayType(T.StructType([T.StructField("gene", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names[1:])]))
+    return F.arrow_udf(place, kind), F.arrow_udf(gather, T.ArrayType(T.ArrayType(T.DoubleType())))
+
+
+def keep_genes(cells: DataFrame, genes: DataFrame, limit: int = VOCABULARY_ROWS) -> DataFrame:
+    """The cells with the values of ``genes`` (gene) alone; looked up within the row for at most ``limit`` genes, else in a join."""
+    rows = genes.select("gene").distinct().limit(limit + 1).collect()
+    kind = cells.schema["expr"].dataType
+    if len(rows) > limit:
+        long = cells.select("cell", F.explode("expr").alias("x")).join(genes.select(F.col("gene").alias("__g")).distinct(), F.col("x.gene") == F.col("__g"), "left_semi")
+        kept = long.groupBy("cell").agg(F.sort_array(F.collect_list("x")).alias("__kept"))
+        return cells.join(kept, "cell", "left").withColumn("expr", F.coalesce("__kept", F.array().cast(kind))).drop("__kept")
+    shared = cells.sparkSession.sparkContext.broadcast([r.gene for r in rows])
+
+    def known(expr: pa.Array) -> pa.Array:
+        flat = expr.flatten()
+        found = pc.is_in(flat.field("gene"), value_set=pa.array(shared.value, flat.field("gene").type))
+        offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(expr), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), found)
+
+    marks = F.arrow_udf(known, T.ArrayType(T.BooleanType()))
+    at = cells.withColumn("__known", marks(F.col("expr")))
+    pairs = F.arrays_zip(F.col("expr").alias("x"), F.col("__known").alias("known"))
+    return at.withColumn("expr", F.transform(F.filter(pairs, lambda p: p["known"]), lambda p: p["x"])).drop("__known")
+
+
+def _placed_by_join(cells: DataFrame, genes: DataFrame, key: str, near: bool) -> DataFrame:
+    """``cells`` with ``placed`` for a vocabulary of any size: values meet it in a join on genes and come together again by ``key``."""
+    ranks = _ranked(genes).toDF("__o", "__g", "rank")
+    long = cells.select(key, "__org", F.explode("expr").alias("x")).join(ranks, (F.col("__org") == F.col("__o")) & (F.col("x.gene") == F.col("__g")))
+    fields = [F.col("rank").alias("gene"), F.col("x.value").cast("double").alias("value"), *([F.col("x.near").alias("near")] if near else [])]
+    by = long.groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("placed"))
+    kind = by.schema["placed"].dataType
+    return cells.join(by, F.col(key) == F.col("__key"), "left").withColumn("placed", F.coalesce("placed", F.array().cast(kind))).drop("__key")
 
 
 def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> DataFrame:
@@ -42,28 +146,26 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
 
     ``cells``: cell, organism, expr (sparse; with a field ``near``, the neighbours' sum, genes are chosen and filled
     by it too), the label codes. ``genes``: gene, organism, pos; a gene that is not in it is masked, but counts for the
-    depth. Values meet the vocabulary in a join on genes and come together again by cell, which keeps the partitions of
-    cells that were grouped before.
+    depth. Genes are looked up within the row, so nothing is shuffled, while the vocabulary has at most VOCABULARY_ROWS genes; a larger one
+    meets the values in a join. What cells have of ``is_meta``, ``knn_cells`` (neighbours' sparse values) and ``knn_cells_info`` is given too:
+    ``knn_cells`` at the row's genes, scaled and logged as the row is.
     """
     if options.how not in ("most expr", "random expr", "all", "some"):
         raise ValueError("how must be most expr, random expr, all or some")
     org, near = options.organism_name, "near" in cells.select(F.explode("expr").alias("x")).select("x.*").columns
     chosen = genes if options.how != "some" else genes.where(F.col("gene").isin(*options.genelist))
-    ranks = chosen.select(F.col("organism").alias("__o"), F.col("gene").alias("__g"), (F.row_number().over(Window.partitionBy("organism").orderBy("pos")) - 1).alias("rank"))
     known = chosen.groupBy(F.col("organism").alias("__o")).agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("width"))
     at = cells.where(F.col(org).isin(*options.organisms)) if options.organisms else cells
-    needed = list(dict.fromkeys([*options.class_names, *([options.tp_name] if options.tp_name else []), *options.extra, "cell"]))
+    also = [c for c in ("is_meta", "knn_cells_info") if c in cells.columns]
+    needed = list(dict.fromkeys([*options.class_names, *([options.tp_name] if options.tp_name else []), *([options.dataset_name] if options.dataset_name else []), *options.extra, "cell", *also]))
     needed = [c for c in needed if c != options.key]
-    long = at.select(options.key, org, depth(F.col("expr")).alias("depth"), *needed, F.explode_outer("expr").alias("x"))
-    long = long.join(F.broadcast(ranks), (F.col(org) == F.col("__o")) & (F.col("x.gene") == F.col("__g")), "left")
-    fields = [F.col("rank").alias("gene"), F.col("x.value").cast("double").alias("value"), *([F.col("x.near").alias("near")] if near else [])]
-    at = long.groupBy(options.key).agg(
-        F.first(org).alias("__org"),
-        F.first("depth").alias("depth"),
-        *(F.first(c).alias(c) for c in needed),
-        F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct(*fields)))).alias("placed"),
-    )
-    at = at.join(F.broadcast(known), F.col("__org") == F.col("__o"))
+    knn = ["knn_cells"] if "knn_cells" in cells.columns else []
+    at = at.select(options.key, F.col(org).alias("__org"), depth(F.col("expr")).alias("depth"), *needed, "expr", *knn)
+    look_up = placing(chosen, near)
+    if look_up is None and knn:
+        raise ValueError(f"neighbours' values need a vocabulary of at most {VOCABULARY_ROWS} genes")
+    at = at.withColumn("placed", look_up[0](F.col("expr"), F.col("__org"))) if look_up else _placed_by_join(at, chosen, options.key, near)
+    at = at.drop("expr").join(small(known), F.col("__org") == F.col("__o"))
     if options.how in ("all", "some"):
         at = at.withColumn("dense", densified(F.col("placed"), F.col("width")))
         at = at.withColumn("picked", F.transform("dense", lambda v, i: F.struct(i.alias("gene"), v.alias("value")))).drop("dense")
@@ -92,19 +194,33 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
     label = F.array(*(F.col(c).cast("int") for c in options.class_names)) if options.class_names else F.array().cast("array<int>")
     tp = F.col(options.tp_name).cast("double") if options.tp_name else F.lit(0.0)
     places = F.transform("picked", lambda p: F.col("positions")[p["gene"]])
-    return at.select("cell", x.alias("x"), places.cast("array<int>").alias("genes"), label.alias("class"), tp.alias("tp"), "depth", *options.extra)
+    if knn:
+        values = look_up[1](F.col("knn_cells"), F.transform("picked", lambda p: p["gene"].cast("int")), F.col("__org"))
+        at = at.withColumn("knn_cells", F.transform(values, lambda row: F.transform(row, scaled)))
+    dataset = [F.col(options.dataset_name).cast("long").alias("dataset")] if options.dataset_name else []
+    return at.select("cell", x.alias("x"), places.cast("array<int>").alias("genes"), label.alias("class"), tp.alias("tp"), "depth", *also, *knn, *dataset, *options.extra)
 
 
-def iter_batches(collated: DataFrame, batch_size: int, order: str | None = None) -> Iterator:
-    """Pandas tables of ``batch_size`` rows, one partition of the result at a time in the driver."""
-    import pandas as pd
+def iter_batches(collated: DataFrame, batch_size: int, order: str | None = None) -> Iterator[pd.DataFrame]:
+    """Pandas tables of ``batch_size`` rows, in the order of a column if given.
 
-    rows: list = []
+    Tasks sort and pack their rows as Arrow data; the driver holds the packed data of one partition and cuts it.
+    """
     at = collated.orderBy(order) if order else collated
-    for row in at.toLocalIterator(prefetchPartitions=True):
-        rows.append(row)
-        if len(rows) == batch_size:
-            yield pd.DataFrame(rows, columns=collated.columns)
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=collated.columns)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
+
+    held: pa.Table | None = None
+    for row in at.mapInArrow(pack, "data binary").toLocalIterator():
+        more = pa.ipc.open_stream(bytes(row.data)).read_all()
+        held = more if held is None or not held.num_rows else pa.concat_tables([held, more])
+        while held.num_rows >= batch_size:
+            yield held.slice(0, batch_size).to_pandas()
+            held = held.slice(batch_size)
+    if held is not None and held.num_rows:
+        yield held.to_pandas()

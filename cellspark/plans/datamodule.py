@@ -2,26 +2,70 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import nnz, nnz_weight
 from ..operators import labels, ontology, sampling
+from ..operators.genes import aligned_pct, inner_genes, require_genes, vars_aligned
+from ..operators.neighbors import with_metacells, with_neighbours
+from ..operators.numbering import small
 from ..sources.catalog import with_global_index
-from .collate import CollateOptions, collate, iter_batches
+from .collate import CollateOptions, collate, iter_batches, keep_genes
+
+#: Assays whose cells are metacells already.
+META_ASSAYS = ("EFO:0022857", "EFO:0010961")
 
 
 class CellDataset:
-    """Cells (cell, artifact, organism, labels, expr) with their genes, encoders and label groupings, all lazy."""
+    """Cells (cell, artifact, organism, labels, expr) with their genes, encoders and label groupings, all lazy.
+
+    ``join`` "inner" keeps the genes that all artifacts of ``var`` (artifact, gene) have, and raises if there are none; "outer" (or None)
+    keeps all, as absent values are zero. ``edges`` (src, dst, rank, distance) are nearest neighbours: with
+    ``metacell_share`` a random share of cells gets its neighbours' values added, with ``knn_cells`` cells carry these beside their own.
+    """
 
-    def __init__(self, cells: DataFrame, genes: DataFrame, predict: Sequence[str] = (), hierarchical: Sequence[str] = (), ontologies: DataFrame | None = None, obs_filter: dict[str, object] | None = None) -> None:
+    def __init__(
+        self,
+        cells: DataFrame,
+        genes: DataFrame,
+        predict: Sequence[str] = (),
+        hierarchical: Sequence[str] = (),
+        ontologies: DataFrame | None = None,
+        obs_filter: dict[str, object] | None = None,
+        join: str | None = None,
+        var: DataFrame | None = None,
+        edges: DataFrame | None = None,
+        metacell_share: float = 0.0,
+        meta_assays: Sequence[str] = META_ASSAYS,
+        knn_cells: bool = False,
+        sizes: DataFrame | None = None,
+        seed: int = 0,
+    ) -> None:
+        if join not in (None, "inner", "outer"):
+            raise ValueError("join must be inner, outer or None")
+        if (metacell_share or knn_cells) and edges is None:
+            raise ValueError("metacells and neighbours need edges")
+        if metacell_share and knn_cells:
+            raise ValueError("cells are either metacells or carry their neighbours")
         for key, value in (obs_filter or {}).items():
             cells = cells.where(F.col(key).isin(*([value] if isinstance(value, str) else value)))
-        self.cells, self.genes = with_global_index(cells), genes
-        self.labels = list(dict.fromkeys([*predict, *hierarchical]))
+        if join == "inner":
+            if var is None:
+                raise ValueError("an inner join of genes needs var")
+            shared = require_genes(inner_genes(var))
+            genes, cells = genes.join(shared, "gene", "left_semi"), keep_genes(cells, shared)
+        if metacell_share:
+            cells = with_metacells(cells, edges, metacell_share, seed, meta_assays)
+        if knn_cells:
+            cells = with_neighbours(cells, edges)
+        self.cells, self.genes, self.sizes, self.metacell_share = with_global_index(cells), genes, sizes, metacell_share
+        self.labels, self.hierarchical = list(dict.fromkeys([*predict, *hierarchical])), list(hierarchical)
         self.encoders: dict[str, DataFrame] = {}
         self.groupings: dict[str, DataFrame] = {}
         for label in self.labels:
@@ -59,11 +103,54 @@ class CellDataset:
             first = first.unionByName(t)
         return first
 
+    def save_encoders(self, path: str) -> None:
+        """Write all encoders as one table, for :meth:`load_encoders`."""
+        self.decoders().write.mode("overwrite").parquet(path)
+
+    def load_encoders(self, path: str) -> None:
+        """Take encoders that were saved, such as a trained model's; every label must have one."""
+        table = self.cells.sparkSession.read.parquet(path)
+        there = {r.label for r in table.select("label").distinct().collect()}
+        if lacking := [x for x in self.labels if x not in there]:
+            raise ValueError(f"no encoder was saved for {lacking}")
+        self.encoders = {x: table.where(F.col("label") == x) for x in self.labels}
+
     def labels_hierarchy(self, label: str) -> DataFrame:
         return ontology.coded_groupings(self.groupings[label], self.encoders[label])
 
+    def classes(self) -> DataFrame:
+        """``label`` and ``value`` of every class to predict, without the unknown one; of hierarchical labels the leafs alone."""
+        out = None
+        for label, codes in self.encoders.items():
+            own = codes.where("code >= 0").select(F.lit(label).alias("label"), "value")
+            if label in self.groupings:
+                own = own.join(self.groupings[label].select(F.col("ancestor").alias("value")), "value", "left_anti").select("label", "value")
+            out = own if out is None else out.unionByName(own)
+        return out if out is not None else self.cells.sparkSession.createDataFrame([], "label string, value string")
+
+    def class_sizes(self) -> DataFrame:
+        return self.classes().groupBy("label").agg(F.count("*").alias("n_classes"))
+
+    def merged_labels(self, label: str) -> DataFrame:
+        return labels.merged_labels(self.cells, label)
+
+    def aligned_share(self, var: DataFrame) -> DataFrame:
+        """The percentage of artifacts of ``var`` (artifact, gene) whose genes the vocabulary has all."""
+        return aligned_pct(vars_aligned(var, self.genes.select("gene").distinct()))
+
     def summary(self) -> DataFrame:
-        return self.cells.agg(F.count("*").alias("n_cells"), F.count_distinct("artifact").alias("n_artifacts"), F.count_distinct("organism").alias("n_organisms"))
+        """One row: cells, artifacts, organisms, genes, classes, labels, the metacells' share, and GB where ``sizes`` (artifact, bytes) are known."""
+        out = self.cells.agg(F.count("*").alias("n_cells"), F.count_distinct("artifact").alias("n_artifacts"), F.count_distinct("organism").alias("n_organisms"))
+        out = out.join(F.broadcast(self.genes.agg(F.count("*").alias("n_genes"))), how="inner").join(F.broadcast(self.classes().agg(F.count("*").alias("n_classes"))), how="inner")
+        out = out.withColumns({"n_labels": F.lit(len(self.labels)), "n_hierarchical": F.lit(len(self.hierarchical)), "metacell_share": F.lit(float(self.metacell_share))})
+        if self.sizes is not None:
+            own = self.sizes.join(small(self.cells.select("artifact").distinct()), "artifact", "left_semi")
+            out = out.join(F.broadcast(own.agg((F.sum("bytes") / 1e9).alias("size_gb"))), how="inner")
+        return out
+
+    def __repr__(self) -> str:
+        row = self.summary().first().asDict()
+        return "CellDataset(" + ", ".join(f"{k}={v}" for k, v in row.items()) + ")"
 
 
 @dataclass(frozen=True)
@@ -87,29 +174,83 @@ class DataModule:
     def __init__(self, dataset: CellDataset, weight_by: Sequence[str], options: LoaderOptions, collating: CollateOptions) -> None:
         self.dataset, self.weight_by, self.options, self.collating = dataset, list(weight_by), options, collating
         self.splits: DataFrame | None = None
+        self.index: DataFrame | None = None
+
+    @property
+    def genes(self) -> DataFrame:
+        return self.dataset.genes
+
+    @genes.setter
+    def genes(self, genes: DataFrame) -> None:
+        """The vocabulary that rows are collated to from now on."""
+        self.dataset.genes = genes
+
+    @property
+    def encoders(self) -> dict[str, DataFrame]:
+        return self.dataset.encoders
+
+    @encoders.setter
+    def encoders(self, encoders: dict[str, DataFrame]) -> None:
+        self.dataset.encoders = dict(encoders)
+
+    @property
+    def organisms(self) -> Sequence[str]:
+        return self.collating.organisms
+
+    @organisms.setter
+    def organisms(self, organisms: Sequence[str]) -> None:
+        """The organisms whose cells are collated from now on; others are left out. None: all."""
+        self.collating = replace(self.collating, organisms=tuple(organisms))
+
+    def __repr__(self) -> str:
+        counts = {} if self.splits is None else {r.split: r.n for r in self.splits.groupBy("split").agg(F.count("*").alias("n")).collect()}
+        return f"DataModule({self.dataset!r}, weight_by={self.weight_by}, splits={counts}, options={self.options})"
+
+    def _about(self) -> str:
+        """What a split depends on: the options, and a digest of the cells' ids and labels."""
+        at = self.dataset.cells
+        digest = at.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cell", "artifact", "global_idx", *self.weight_by)).alias("x")).first()
+        o = self.options
+        return json.dumps([[o.validation, o.test, o.seed, list(o.assays_to_drop)], self.weight_by, digest.n, digest.x])
 
     def setup(self, path: str | None = None, force: bool = False) -> DataFrame:
-        """The split of every cell with its class and nnz weight; with ``path``, written there and read back."""
+        """The split of every cell with its class and nnz weight.
+
+        With ``path`` it is written there with the training cells' class index, and read back whenever it was made from the
+        same options and cells; from others, or with ``force``, it is made anew.
+        """
         spark = self.dataset.cells.sparkSession
-        if path and not force:
-            from pyspark.errors import AnalysisException
-
-            try:
-                self.splits = spark.read.parquet(path)
-                return self.splits
-            except AnalysisException:
-                pass
+        about = self._about() if path else ""
+        if path and not force and self._stored(path, about):
+            return self.splits
         o = self.options
         cells = self.dataset.cells
         cells = sampling.drop_assays(cells, drop=o.assays_to_drop) if "assay" in cells.columns else cells
         at = sampling.split(cells.select("cell", "artifact", "global_idx", *self.weight_by, nnz(F.col("expr")).alias("nnz")), o.validation, o.test, seed=o.seed)
         at = labels.combined_codes(at, self.weight_by, "label") if self.weight_by else at.withColumn("label", F.lit(0))
         at = at.select("cell", "artifact", "global_idx", "split", "label", nnz_weight(F.col("nnz")).alias("weight"))
+        self.splits, self.index = at, None
         if path:
-            at.write.mode("overwrite").parquet(path)
-            at = spark.read.parquet(path)
-        self.splits = at
-        return at
+            at.write.mode("overwrite").parquet(f"{path}/splits")
+            self.splits = spark.read.parquet(f"{path}/splits")
+            labels.class_index(self._training(), "label", "global_idx").write.mode("overwrite").parquet(f"{path}/index")
+            spark.createDataFrame([(about,)], "about string").write.mode("overwrite").parquet(f"{path}/about")
+            self.index = spark.read.parquet(f"{path}/index")
+        return self.splits
+
+    def _stored(self, path: str, about: str) -> bool:
+        """Take what lies below ``path`` if it was made from this."""
+        spark = self.dataset.cells.sparkSession
+        try:
+            if spark.read.parquet(f"{path}/about").first().about != about:
+                return False
+        except AnalysisException:
+            return False
+        self.splits, self.index = (spark.read.parquet(f"{path}/{x}") for x in ("splits", "index"))
+        return True
+
+    def _training(self) -> DataFrame:
+        return self._of("train").select("label", "global_idx", "weight")
 
     def _of(self, split: str) -> DataFrame:
         if self.splits is None:
@@ -119,7 +260,7 @@ class DataModule:
     def draws(self, epoch: int = 0) -> DataFrame:
         """``draw_id`` and ``global_idx`` of an epoch: classes by weight, then rows within them."""
         o = self.options
-        rows = self._of("train").select("label", "global_idx", "weight")
+        rows = self._training()
         if o.restrict_to:
             rows = sampling.restrict_top(rows, o.restrict_to, "weight", "global_idx")
         weights = labels.class_weights(rows, "label", o.weight_scaler)
@@ -130,12 +271,13 @@ class DataModule:
             return sampling.shuffled_index(few.select("global_idx"), "global_idx", epoch, out="draw_id")
         if o.weight_by_nnz:
             return sampling.draw_weighted(drawn, rows, "global_idx", "weight", seed=f"{o.seed}e{epoch}").select("draw_id", "global_idx")
-        return sampling.draw_rows(drawn, labels.class_index(rows, "label", "global_idx"), f"{o.seed}e{epoch}").select("draw_id", "global_idx")
+        index = self.index if self.index is not None and not o.restrict_to else labels.class_index(rows, "label", "global_idx")
+        return sampling.draw_rows(drawn, index, f"{o.seed}e{epoch}").select("draw_id", "global_idx")
 
     def _collated(self, chosen: DataFrame, order: str) -> DataFrame:
         cells = chosen.join(self.dataset.encoded(), "global_idx").withColumn("batch_id", F.floor(F.col(order) / self.options.batch_size))
         names = [f"{x}_code" for x in self.dataset.labels]
-        return collate(cells, self.dataset.genes, CollateOptions(**{**self.collating.__dict__, "class_names": names, "key": order, "extra": [*dict.fromkeys([order, "batch_id", "storage_idx"])]}))
+        return collate(cells, self.dataset.genes, replace(self.collating, class_names=names, key=order, dataset_name="storage_idx", extra=tuple(dict.fromkeys([order, "batch_id", "storage_idx"]))))
 
     def train(self, epoch: int = 0) -> DataFrame:
         return self._collated(self.draws(epoch), "draw_id")

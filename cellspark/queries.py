@@ -510,6 +510,18 @@ def collate_neighbours_filled(s, d):
     return at.select("cell", F.posexplode_outer("genes").alias("i", "gene"), "depth")
 
 
+@query
+def collate_knn_cells(s, d):
+    """The most expressed genes of each cell with neighbours, and what its neighbours have of each."""
+    edges = neighbors.exact_knn(t.vectors(s, d)).select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"), "rank", "distance")
+    cells = neighbors.with_neighbours(t.cells(s, d), edges).where("knn_cells IS NOT NULL").withColumns({"organism": F.lit("SMALL"), "artifact": F.col("cell") % 7})
+    known = gene_ops.with_positions(t.genes(s, d), gene="gene").select("gene", "organism", "pos").where("organism = 'SMALL'")
+    at = collate(cells, known, CollateOptions(how="most expr", max_len=2, dataset_name="artifact"))
+    near = F.transform("genes", lambda g, i: F.aggregate("knn_cells", F.lit(0.0), lambda a, row: a + row[i]))
+    at = at.select("cell", "dataset", F.posexplode(F.arrays_zip("genes", "x", near.alias("near"))).alias("i", "p")).where("p.x > 0")
+    return at.select("cell", "dataset", "i", F.col("p.genes").alias("gene"), F.col("p.near").alias("near"))
+
+
 @query
 def pca_centered(s, d):
     out = cluster.pca(t.vectors(s, d), "vector", 4)

@@ -8,12 +8,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SUFFIXES = (".parquet", ".h5ad", ".zrad", ".zarr")
+from ..operators.numbering import numbered, ranges
+
+#: Suffixes that :func:`read_cells` can read.
+SUFFIXES = (".parquet",)
 BLOCK_CELLS, BLOCK_BYTES = 30_000, 2.5e9
 
 
 def members(artifacts: DataFrame, collection: DataFrame, key: str, latest: bool = True) -> DataFrame:
-    """The artifacts of a collection with a readable suffix, and their place in it as ``ordinal``."""
+    """The artifacts of a collection with a readable suffix, and their place in it as ``ordinal``; others are left out, as a
+    collection may hold files of further formats."""
     chosen = collection.where(F.col("collection_key") == key).select("artifact_id", "ordinal")
     out = artifacts.join(F.broadcast(chosen) if chosen.limit(100_001).count() <= 100_000 else chosen, "artifact_id")
     return out.where(F.col("suffix").isin(*SUFFIXES) & (F.col("is_latest") | F.lit(not latest)))
@@ -37,13 +41,13 @@ def check_rows(cells: DataFrame) -> None:
 def with_global_index(obs: DataFrame, artifact: str = "artifact", cell: str = "cell") -> DataFrame:
     """Add ``storage_idx``, ``obs_idx`` and ``global_idx``: the artifact's place, the cell's in it, and over all.
 
-    Cells are numbered within their artifact; the artifacts' offsets come from a table with a row
-    for each, so no window spans all cells.
+    Cells are numbered within stretches of their artifact; the artifacts' offsets come from a table with a row
+    for each, so no window spans all cells of a large artifact.
     """
     sizes = obs.groupBy(artifact).agg(F.count("*").alias("n"))
     by = Window.orderBy(artifact)
     offsets = sizes.select(artifact, (F.row_number().over(by) - 1).alias("storage_idx"), (F.sum("n").over(by) - F.col("n")).alias("start"))
-    at = obs.withColumn("obs_idx", F.row_number().over(Window.partitionBy(artifact).orderBy(cell)).cast("long") - 1)
+    at = numbered(obs, [artifact], ranges(obs, cell), [cell], "obs_idx")
     return at.join(offsets, artifact).withColumn("global_idx", F.col("start") + F.col("obs_idx")).drop("start")
 
 
@@ -64,9 +68,36 @@ def with_blocks(cells: DataFrame, sizes: DataFrame, artifact: str = "artifact",
     return out.withColumn("block_id", F.floor(F.col("obs_idx") / F.col("block"))).drop("block")
 
 
-def write_collection(cells: DataFrame, path: str, artifact: str = "artifact") -> None:
+def write_collection(cells: DataFrame, path: str, artifact: str = "artifact", mode: str = "overwrite") -> None:
     """Write a folder for each artifact, so that artifact filters prune whole folders."""
-    cells.repartition(artifact, F.pmod(F.xxhash64(*[c for c in ("cell",) if c in cells.columns] or [artifact]), F.lit(16))).write.mode("overwrite").partitionBy(artifact).parquet(path)
+    cells.repartition(artifact, F.pmod(F.xxhash64(*[c for c in ("cell",) if c in cells.columns] or [artifact]), F.lit(16))).write.mode(mode).partitionBy(artifact).parquet(path)
+
+
+def register(spark: SparkSession, path: str, catalog_path: str, key: str, artifact: str = "artifact") -> tuple[DataFrame, DataFrame]:
+    """Write and give the rows that name a written collection: ``artifacts`` (artifact_id, path, suffix, bytes, n_cells, is_latest) and
+    ``collection`` (collection_key, artifact_id, ordinal).
+
+    Bytes come from the files' lengths, cells from their footers.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "*.parquet").load(path)
+    sizes = files.groupBy(artifact).agg(F.sum("length").alias("bytes"))
+    cells = spark.read.parquet(path).groupBy(artifact).agg(F.count("*").alias("n_cells"))
+    one = sizes.join(cells, artifact).select(
+        F.col(artifact).cast("string").alias("artifact_id"), F.concat(F.lit(f"{path}/{artifact}="), F.col(artifact).cast("string")).alias("path"), F.lit(".parquet").alias("suffix"), "bytes", "n_cells", F.lit(True).alias("is_latest")
+    )
+    one.write.mode("overwrite").parquet(f"{catalog_path}/artifacts")
+    artifacts = spark.read.parquet(f"{catalog_path}/artifacts")
+    order = F.row_number().over(Window.orderBy("artifact_id")) - 1
+    artifacts.select(F.lit(key).alias("collection_key"), "artifact_id", order.alias("ordinal")).write.mode("overwrite").parquet(f"{catalog_path}/collection")
+    return artifacts, spark.read.parquet(f"{catalog_path}/collection")
+
+
+def write_slice(spark: SparkSession, artifacts: DataFrame, only: tuple[int, int] | None, path: str, catalog_path: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Copy the artifacts (path, ordinal, n_organisms) that :func:`slice_members` chooses to ``path`` and register them as collection ``key``."""
+    chosen = [r.path for r in slice_members(artifacts, only).orderBy("ordinal").select("path").toLocalIterator()]
+    cells = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(p).withColumn("artifact", F.lit(i)) for i, p in enumerate(chosen)))
+    write_collection(cells, path)
+    return register(spark, path, catalog_path, key)
 
 
 def version_diff(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:

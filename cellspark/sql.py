@@ -332,3 +332,9 @@ every AS (SELECT cell FROM vals WHERE cell IN (SELECT src FROM e) UNION SELECT s
 drawn AS (SELECT cell, i, floor({uniform("'0#' || cell || '#' || i")} * width)::INT AS pos FROM every, base, range(1, 65) r(i)),
 first AS (SELECT cell, pos, min(i) AS i FROM drawn ANTI JOIN (SELECT cell, (pos - low)::INT AS pos FROM b, base) USING (cell, pos) GROUP BY cell, pos)""",
 )
+add(
+    "collate_knn_cells",
+    """SELECT cell, cell % 7 AS dataset, (i - 1)::INT AS i, pos AS gene, (SELECT coalesce(sum(o.value), 0) FROM e JOIN own o ON o.cell = e.dst AND o.pos = p.pos WHERE e.src = p.cell) AS near
+FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value DESC, pos) AS i FROM own) p WHERE i <= 2 AND cell IN (SELECT src FROM e JOIN vals ON vals.cell = e.dst)""",
+    _SMALL + ", e AS (SELECT src + 1 AS src, dst + 1 AS dst FROM knn)",
+)
