@@ -118,6 +118,11 @@ def filter_counts(coo: DataFrame, gene_counts: float = 0, cell_counts: float = 0
     return at.join(cells.where((F.col("s") >= cell_counts) & (F.col("n") >= cell_genes)), "cell", "left_semi")
 
 
+def primary_only(obs: DataFrame, flag: str = "is_primary_data") -> DataFrame:
+    """The primary cells; all where nothing is said of it in any column. A null flag is not primary."""
+    return obs.where(F.col(flag)) if flag in obs.columns else obs
+
+
 def raw_check(coo: DataFrame, by: str = "artifact", rows: int = 50_000) -> DataFrame:
     """Per artifact, whether the first cells (by ``obs_idx`` if there) hold whole numbers alone."""
     at = coo.where(F.col("obs_idx") < rows) if "obs_idx" in coo.columns else coo

@@ -74,7 +74,7 @@ class Preprocessor:
     def transform(self, obs: DataFrame, coo: DataFrame, var: DataFrame, vocabulary: DataFrame, ontology: DataFrame | None = None) -> DataFrame:
         o = self.options
         obs = catalog.with_global_index(o.before(obs) if o.before else obs).drop("storage_idx", "global_idx")
-        cells = obs.where("is_primary_data") if o.drop_non_primary and "is_primary_data" in obs.columns else obs
+        cells = qc.primary_only(obs) if o.drop_non_primary else obs
         # The check for counts reads the first cells of an artifact, before any is dropped.
         values = cut(qc.choose_counts(coo.join(obs.select("cell", "artifact", "obs_idx"), "cell"), use_raw=o.use_raw, layer=o.use_layer))
         raw = qc.raw_check(values).select("artifact", "is_raw").join(qc.log1p_check(values).select("artifact", "is_log1p"), "artifact")

@@ -12,7 +12,9 @@ from .functions import scalars
 from .operators import cluster, labels, neighbors, ontology, qc, remap, sampling, select
 from .operators import genes as gene_ops
 from .plans.collate import CollateOptions, collate
-from .sources import catalog
+from .plans.datamodule import CellDataset, DataModule, LoaderOptions
+from .sources import catalog, files
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -522,6 +524,167 @@ def collate_knn_cells(s, d):
     return at.select("cell", "dataset", "i", F.col("p.genes").alias("gene"), F.col("p.near").alias("near"))
 
 
+@query
+def primary_cells(s, d):
+    at = t.obs(s, d).withColumn("is_primary_data", F.when(F.col("priority") != "5-LOW", F.col("status") == "F"))
+    return qc.primary_only(at).groupBy("artifact").agg(F.count("*").alias("n"))
+
+
+@query
+def drop_genes(s, d):
+    """A gene vocabulary without the genes of a list."""
+    at = t.table(s, d, "part").select(F.concat(F.lit("G"), "p_partkey").alias("ensembl_gene_id"), F.lit(None).cast("string").alias("stable_id"), F.col("p_name").alias("symbol"))
+    gone = [r.g for r in t.table(s, d, "nation").select(F.concat(F.lit("G"), F.col("n_nationkey") * 3).alias("g")).collect()]
+    return gene_ops.gene_vocabulary(at, "o1", gone).select("gene_id", "symbol")
+
+
+@query
+def join_vocabulary_by_symbol(s, d):
+    """Artifacts' genes by symbol; of a symbol's genes the first of the vocabulary counts."""
+    symbols = t.genes(s, d).select("gene", "symbol")
+    var = t.var(s, d).join(symbols, "gene").select("artifact", F.col("gene").alias("var_idx"), "symbol")
+    known = symbols.select(F.format_string("G%08d", "gene").alias("gene_id"), "symbol")
+    return gene_ops.join_vocabulary(var, known, by_symbol=True).select("artifact", "gene_id", "var_idx")
+
+
+@query
+def aligned_share(s, d):
+    return gene_ops.aligned_pct(gene_ops.vars_aligned(t.var(s, d), t.genes(s, d).where("gene <> 7"))).select(rounded("pct_aligned"))
+
+
+@query
+def var_inner_join_shared(s, d):
+    """Genes that all of three artifacts have; it is an error if there are none."""
+    at = t.owned_values(s, d).select((F.col("artifact") % 3).alias("artifact"), "gene").distinct()
+    return gene_ops.require_genes(gene_ops.inner_genes(at))
+
+
+@query
+def merged_labels(s, d):
+    at = catalog.with_global_index(t.obs(s, d)).withColumn("segment", F.nullif("segment", F.lit("BUILDING")))
+    return labels.merged_labels(at, "segment")
+
+
+@query
+def frequent_values(s, d):
+    return labels.frequent_values(t.table(s, d, "customer"), "c_nationkey", 5).select("c_nationkey", "n")
+
+
+@query
+def excluding_values(s, d):
+    at = t.table(s, d, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("MACHINERY")).alias("segment"))
+    return labels.excluding(at, "segment", ["BUILDING", "AUTOMOBILE"])
+
+
+@query
+def class_weights_excluded(s, d):
+    at = labels.combined_codes(t.obs(s, d), ["priority"], "label")
+    return labels.class_weights(at, "label", 50, excluded=2).select("label", "n", rounded("weight", 9))
+
+
+@query
+def fill_constants(s, d):
+    at = t.table(s, d, "customer").select("c_custkey", "c_nationkey")
+    metadata = t.table(s, d, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return files.fill_from_accession(at, metadata, "c_nationkey", {"name": "n_name"}, constants={"suspension_type": "cell"})
+
+
+@query
+def outer_concat(s, d):
+    """Tables that lack columns of each other as one."""
+    nation = t.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    region = t.table(s, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("title"))
+    return catalog.union_cells([nation, region])
+
+
+@query
+def choose_counts(s, d):
+    """Values from the raw layer where there is one, else as they are; from the counts where these are no whole numbers."""
+    at = t.table(s, d, "lineitem").select(
+        F.col("l_suppkey").alias("artifact"), F.col("l_orderkey").alias("cell"), F.col("l_partkey").alias("gene"), F.when(F.col("l_suppkey") % 2 == 0, F.col("l_discount")).otherwise(F.col("l_quantity")).alias("value"), F.when(F.col("l_suppkey") % 4 == 0, F.col("l_quantity") + 1).alias("raw"), (F.col("l_quantity") * 2).alias("counts")
+    )
+    return qc.choose_counts(at).groupBy("artifact").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query
+def length_normalize_assays(s, d):
+    cells = t.obs(s, d).select("cell", F.when(F.col("priority") < "3", "full").alias("assay"))
+    lengths = t.table(s, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("gene"), F.col("p_size").alias("length"))
+    return cluster.length_normalise_assays(t.values(s, d), cells, lengths, ["full"]).select("cell", "gene", rounded("value"))
+
+
+@query
+def cluster_renumber(s, d):
+    """Clusters under the cluster that each goes into, renumbered within their type."""
+    sizes = t.obs(s, d).groupBy(F.col("status").alias("cell_type"), F.concat_ws("_", "status", "artifact").alias("name")).agg(F.count("*").alias("n"))
+    merges = sizes.where(F.col("name").endswith("1")).select(F.col("name").alias("cluster"), F.concat_ws("_", "cell_type", F.lit(0)).alias("into"))
+    return cluster.renumber(sizes, merges)
+
+
+@query
+def metacell_cells(s, d):
+    """Sparse cells of which half have their neighbours' values added."""
+    edges = neighbors.exact_knn(t.vectors(s, d)).select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"))
+    at = neighbors.with_metacells(t.cells(s, d), edges, 0.5, 2)
+    return at.select("cell", "is_meta", F.explode("expr").alias("x")).select("cell", "is_meta", "x.gene", "x.value")
+
+
+@query
+def stream_windows(s, d):
+    """Counts by hour and type, as the stream of arrivals gives them once all has come."""
+    at = ingest.arrivals(t.table(s, d, "events"), "event_type")
+    return at.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("value", 3).alias("value"))
+
+
+def _dataset(s, d):
+    cells = t.cells(s, d).join(t.obs(s, d), "cell").withColumn("organism", F.lit("SMALL"))
+    known = gene_ops.with_positions(t.genes(s, d), gene="gene").select("gene", "organism", "pos").where("organism = 'SMALL'")
+    sizes = t.table(s, d, "nation").select(F.col("n_nationkey").alias("artifact"), ((F.col("n_nationkey") + 1) * 1000).alias("bytes"))
+    return CellDataset(cells, known, predict=["priority", "segment"], sizes=sizes)
+
+
+@query
+def dataset_summary(s, d):
+    return _dataset(s, d).summary().select("n_cells", "n_artifacts", "n_organisms", "n_genes", "n_classes", "n_labels", rounded("size_gb", 9))
+
+
+@query
+def class_sizes(s, d):
+    return _dataset(s, d).class_sizes()
+
+
+@query
+def row_lookup(s, d):
+    return _dataset(s, d).row(17).select("cell", "artifact", "global_idx", F.size("expr").alias("nnz"))
+
+
+@query
+def gene_list(s, d):
+    """Rows of the genes in a list."""
+    few = [r.gene for r in t.genes(s, d).where("organism = 'SMALL'").select("gene").orderBy("gene").limit(5).collect()]
+    at = _collated(s, d, how="some", genelist=few)
+    return at.select("cell", F.posexplode(F.arrays_zip("genes", "x")).alias("i", "p")).select("cell", "i", F.col("p.genes").alias("gene"), F.col("p.x").alias("x"))
+
+
+@query
+def loader_splits(s, d):
+    """What the validation and test loaders give, and both shards of the prediction loader: each cell's split and sum."""
+    module = DataModule(_dataset(s, d), ["priority"], LoaderOptions(validation=0.2, test=0.15), CollateOptions(how="all", extra=()))
+    module.setup()
+    parts = [module.validation(), module.test(), module.predict(0, 2), module.predict(1, 2)]
+    names = ["validation", "test", "train", "train"]
+    rows = [p.select("cell", F.lit(n).alias("split"), F.col("class")[0].alias("code"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total")) for p, n in zip(parts, names, strict=True)]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+@query
+def loader_epoch(s, d):
+    """An epoch's draws by the training loader: classes by weight, rows within them."""
+    module = DataModule(_dataset(s, d), ["priority"], LoaderOptions(n_samples=3000, validation=0.2, test=0.15, seed=42), CollateOptions(how="most expr", max_len=3))
+    module.setup()
+    return module.draws(1)
+
+
 @query
 def pca_centered(s, d):
     out = cluster.pca(t.vectors(s, d), "vector", 4)

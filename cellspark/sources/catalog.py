@@ -25,13 +25,18 @@ def members(artifacts: DataFrame, collection: DataFrame, key: str, latest: bool
 
 def read_cells(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The cells of Parquet artifacts; columns that some lack are null there."""
-    if not paths:
-        raise ValueError("a collection needs at least one artifact")
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(p) for p in paths))
+    out = union_cells([spark.read.parquet(p) for p in paths])
     check_rows(out)
     return out
 
 
+def union_cells(tables: Sequence[DataFrame]) -> DataFrame:
+    """Tables as one by their columns' names; what a table lacks is null there."""
+    if not tables:
+        raise ValueError("a collection needs at least one artifact")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def check_rows(cells: DataFrame) -> None:
     """Cells lie by row; a table by column (``indptr``) is refused."""
     if "indptr" in cells.columns:
@@ -95,7 +100,7 @@ def register(spark: SparkSession, path: str, catalog_path: str, key: str, artifa
 def write_slice(spark: SparkSession, artifacts: DataFrame, only: tuple[int, int] | None, path: str, catalog_path: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Copy the artifacts (path, ordinal, n_organisms) that :func:`slice_members` chooses to ``path`` and register them as collection ``key``."""
     chosen = [r.path for r in slice_members(artifacts, only).orderBy("ordinal").select("path").toLocalIterator()]
-    cells = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(p).withColumn("artifact", F.lit(i)) for i, p in enumerate(chosen)))
+    cells = union_cells([spark.read.parquet(p).withColumn("artifact", F.lit(i)) for i, p in enumerate(chosen)])
     write_collection(cells, path)
     return register(spark, path, catalog_path, key)
 

@@ -338,3 +338,81 @@ add(
 FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value DESC, pos) AS i FROM own) p WHERE i <= 2 AND cell IN (SELECT src FROM e JOIN vals ON vals.cell = e.dst)""",
     _SMALL + ", e AS (SELECT src + 1 AS src, dst + 1 AS dst FROM knn)",
 )
+add("primary_cells", "SELECT artifact, count(*) AS n FROM obs WHERE priority <> '5-LOW' AND status = 'F' GROUP BY artifact")
+add("drop_genes", "SELECT 'G' || p_partkey AS gene_id, p_name AS symbol FROM part WHERE p_partkey NOT IN (SELECT n_nationkey * 3 FROM nation)")
+add(
+    "join_vocabulary_by_symbol",
+    "SELECT artifact, gene_id, min(gene) AS var_idx FROM var JOIN genes USING (gene) JOIN k USING (symbol) GROUP BY artifact, gene_id",
+    ", k AS (SELECT symbol, 'G' || lpad(min(gene)::VARCHAR, 8, '0') AS gene_id FROM genes GROUP BY symbol)",
+)
+add("aligned_share", "SELECT round(100.0 * avg((has = 0)::INT), 6) AS pct_aligned FROM (SELECT artifact, count(*) FILTER (gene = 7) AS has FROM var GROUP BY artifact)")
+add("var_inner_join_shared", "SELECT gene FROM (SELECT DISTINCT artifact % 3 AS a, gene FROM owned) GROUP BY gene HAVING count(*) = 3")
+add("merged_labels", "SELECT global_idx, coalesce(nullif(segment, 'BUILDING'), 'unknown') AS label FROM numbered")
+add("frequent_values", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 5")
+add("excluding_values", "SELECT c_custkey, c_mktsegment AS segment FROM customer WHERE c_mktsegment NOT IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE')")
+add(
+    "class_weights_excluded",
+    "SELECT label, n, round(CASE WHEN label = 2 THEN 0 ELSE 50.0::DOUBLE * n / (n + 50.0::DOUBLE) END, 9) AS weight FROM (SELECT (row_number() OVER (ORDER BY priority) - 1)::INT AS label, count(*) AS n FROM obs GROUP BY priority)",
+)
+add("fill_constants", "SELECT c_custkey, c_nationkey, CASE WHEN n_regionkey <> 2 THEN n_name ELSE 'unknown' END AS name, 'cell' AS suspension_type FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+add("outer_concat", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region, NULL AS title FROM nation UNION ALL SELECT r_regionkey, NULL, NULL, r_name FROM region")
+add(
+    "choose_counts",
+    """SELECT artifact, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT artifact, CASE WHEN sum(abs(value - trunc(value))) OVER (PARTITION BY artifact) <> 0 THEN counts ELSE value END AS v FROM x) WHERE v <> 0 GROUP BY artifact""",
+    """, x AS (SELECT l_suppkey AS artifact, l_quantity * 2 AS counts, CASE WHEN l_suppkey % 4 = 0 THEN l_quantity + 1 WHEN l_suppkey % 2 = 0 THEN l_discount ELSE l_quantity END AS value FROM lineitem)""",
+)
+add("length_normalize_assays", "SELECT cell, gene, round(value / CASE WHEN priority < '3' AND p_size % 2 = 0 THEN p_size ELSE 1 END, 6) AS value FROM vals JOIN obs USING (cell) JOIN part ON gene = p_partkey")
+add(
+    "cluster_renumber",
+    """SELECT k.cell_type, k.name, CASE WHEN r = 0 THEN k.cell_type ELSE k.cell_type || '_' || r END AS final FROM k JOIN (
+    SELECT cell_type, goal, row_number() OVER (PARTITION BY cell_type ORDER BY sum(n) DESC, goal) - 1 AS r FROM k GROUP BY cell_type, goal) USING (cell_type, goal)""",
+    """, k AS (SELECT status AS cell_type, status || '_' || artifact AS name, CASE WHEN artifact % 10 = 1 THEN status || '_0' ELSE status || '_' || artifact END AS goal, count(*) AS n FROM obs GROUP BY ALL)""",
+)
+add(
+    "metacell_cells",
+    """SELECT cell, """
+    + uniform("'2#' || cell")
+    + """ < 0.5 AS is_meta, gene, sum(value) AS value FROM (SELECT * FROM vals UNION ALL
+SELECT src + 1, gene, value FROM knn JOIN vals ON cell = dst + 1 WHERE src + 1 IN (SELECT cell FROM vals) AND """
+    + uniform("'2#' || (src + 1)")
+    + " < 0.5) GROUP BY cell, gene",
+)
+add("stream_windows", "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 3) AS value FROM events GROUP BY ALL")
+_CELLS = ", dc AS (SELECT obs.* FROM obs JOIN met USING (cell)), dn AS (SELECT *, row_number() OVER (ORDER BY artifact, cell) - 1 AS global_idx FROM dc)"
+add(
+    "dataset_summary",
+    """SELECT count(*) AS n_cells, count(DISTINCT artifact) AS n_artifacts, 1::BIGINT AS n_organisms, (SELECT count(*) FROM genes WHERE organism = 'SMALL') AS n_genes,
+       count(DISTINCT priority) + count(DISTINCT segment) AS n_classes, 2 AS n_labels, (SELECT round(sum((artifact + 1) * 1000) / 1e9, 9) FROM (SELECT DISTINCT artifact FROM dc)) AS size_gb FROM dc""",
+    _CELLS,
+)
+add("class_sizes", "SELECT 'priority' AS label, count(DISTINCT priority) AS n_classes FROM dc UNION ALL SELECT 'segment', count(DISTINCT segment) FROM dc", _CELLS)
+add("row_lookup", "SELECT cell, artifact, global_idx, n::INT AS nnz FROM dn JOIN met USING (cell) WHERE global_idx = 17", _CELLS)
+add(
+    "gene_list",
+    "SELECT m.cell, i, f.pos AS gene, coalesce(value, 0) AS x FROM met m JOIN f ON TRUE LEFT JOIN own o ON o.cell = m.cell AND o.pos = f.pos",
+    _SMALL + ", f AS (SELECT pos, (row_number() OVER (ORDER BY pos) - 1)::INT AS i FROM sm WHERE organism = 'SMALL' ORDER BY pos LIMIT 5)",
+)
+_SPLIT = (
+    _CELLS
+    + """, sz AS (SELECT artifact, count(*) AS n FROM dc GROUP BY artifact),
+h AS (SELECT artifact, sum(n) OVER () AS total, sum(n) OVER o <= floor(sum(n) OVER () * 0.15) OR row_number() OVER o = 1 AS held FROM sz WINDOW o AS (ORDER BY md5('42#' || artifact), artifact)),
+sp AS (SELECT cell, global_idx, priority, CASE WHEN held THEN 'test' WHEN row_number() OVER (PARTITION BY held ORDER BY md5('42#' || global_idx), global_idx) - 1 < floor(total * 0.2) THEN 'validation' ELSE 'train' END AS split
+       FROM dn JOIN h USING (artifact))"""
+)
+add(
+    "loader_splits",
+    """SELECT sp.cell, split, code, coalesce(total, 0) AS total FROM sp JOIN (SELECT priority, (row_number() OVER (ORDER BY priority) - 1)::INT AS code FROM (SELECT DISTINCT priority FROM dc)) USING (priority)
+LEFT JOIN (SELECT cell, sum(value) AS total FROM own GROUP BY cell) t ON t.cell = sp.cell""",
+    _SMALL + _SPLIT,
+)
+add(
+    "loader_epoch",
+    "SELECT draw_id, global_idx FROM (SELECT draw_id, label, floor(" + uniform("'42e1r#' || draw_id") + " * n)::BIGINT AS pos FROM drawn JOIN cs USING (label)) d JOIN ix USING (label, pos)",
+    _SPLIT
+    + """, codes AS (SELECT priority, row_number() OVER (ORDER BY priority) - 1 AS label FROM (SELECT DISTINCT priority FROM dc)),
+tr AS (SELECT global_idx, label FROM sp JOIN codes USING (priority) WHERE split = 'train'), cs AS (SELECT label, count(*) AS n FROM tr GROUP BY label),
+w1 AS (SELECT label, 50.0::DOUBLE * n / (n + 50.0::DOUBLE) AS w FROM cs)"""
+    + _CLASSES.format(w="w1")
+    + f""", drawn AS (SELECT draw_id, label FROM (SELECT i AS draw_id, {uniform("'42e1#' || i")} AS u FROM range(3000) r(i)) JOIN ivl ON u >= lo AND u < hi),
+ix AS (SELECT label, global_idx, row_number() OVER (PARTITION BY label ORDER BY global_idx) - 1 AS pos FROM tr)""",
+)
