@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, small
+from .common import Scratch, materialise, small
 
 GAP = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -25,13 +25,10 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE = 60_000
 
 
-def sha1_base32(payload: Column) -> Column:
-    """The SHA-1 of a column in base32: five hexadecimal digits at a time make four letters."""
-    out = []
-    for i in range(8):
-        v = F.conv(F.substring(F.sha1(payload), 5 * i + 1, 5), 16, 10).cast("int")
-        out += [F.substr(F.lit(BASE32), F.shiftright(v, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*out)
+def base32(sha1: Column) -> Column:
+    """A hexadecimal SHA-1 in base32: ten digits at a time are forty bits, so eight letters."""
+    parts = (F.lpad(F.conv(F.substring(sha1, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4))
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def _uuid(*parts: Column) -> Column:
@@ -75,14 +72,14 @@ def write_captures(pages: DataFrame, path: str, key: str = "page_id", url: str =
     digests is small by count.
     """
     at = pages.select(F.col(key).alias("k"), _line(F.col(url)).alias("u"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("p"))
-    at = at.withColumn("d", sha1_base32(F.col("p"))).withColumn("n", F.octet_length("p"))
+    at = at.withColumns({"d": F.sha1("p"), "n": F.octet_length("p")})
     seen = at.where(F.col("n") >= revisit_bytes).groupBy("d").agg(F.min(F.when(F.col("k").isNotNull(), F.struct("k", "u"))).alias("first"), F.count("*").alias("c"))
     first = small(materialise(seen.where("c > 1 AND first IS NOT NULL").select(F.col("d").alias("fd"), "first"), "firsts"))
     at = at.join(first, (F.col("d") == F.col("fd")) & ~F.col("k").eqNullSafe(F.col("first.k")) & (F.col("n") >= revisit_bytes), "left")
     at = at.withColumns({"again": F.col("fd").isNotNull(), "seq": F.monotonically_increasing_id()})
     response, request, metadata = (_uuid(F.lit(x), F.col("k").cast("string"), F.col("seq").cast("string")) for x in ("response", "request", "metadata"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit(GAP))
-    uri, digest = _header("WARC-Target-URI", F.col("u")), F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("d"))
+    uri, digest = _header("WARC-Target-URI", F.col("u")), F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("d")))
     again = F.col("again")
     target = F.regexp_extract(F.coalesce("u", F.lit("")), r"://[^/?#]*([^#]*)", 1)
     host = F.regexp_extract(F.coalesce("u", F.lit("")), r"://([^/?#]*)", 1)
@@ -109,7 +106,7 @@ RECORD = T.StructType(
     [
         T.StructField("type", T.StringType()),
         T.StructField("record_id", T.StringType()),
-        T.StructField("concurrent_to", T.StringType()),
+        T.StructField("concurrent_to", T.ArrayType(T.StringType())),
         T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
         T.StructField("http", T.StringType()),
         T.StructField("payload", T.BinaryType()),
@@ -123,11 +120,11 @@ class Parser:
     """Puts the pieces of one archive, cut at blank lines, together to records."""
 
     def __init__(self) -> None:
-        self.head: dict[str, str] | None = None
+        self.head: dict[str, list[str]] | None = None
         self.parts: list[bytes] = []
         self.have = 0
 
-    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
         if self.head is None:
             if not (piece := piece.lstrip(b"\r\n")):
                 return
@@ -136,14 +133,14 @@ class Parser:
                 raise ValueError(f"no WARC record begins with {first[:40]!r}")
             self.head = {}
             for name, _, value in (x.partition(":") for x in lines):
-                self.head.setdefault(name.strip().lower(), value.strip())
+                self.head.setdefault(name.strip().lower(), []).append(value.strip())
             return
         if self.parts:
             self.parts.append(GAP.encode())
             self.have += len(GAP)
         self.parts.append(piece)
         self.have += len(piece)
-        size = int(self.head.get("content-length", 0))
+        size = int(self.head.get("content-length", ["0"])[0])
         if self.have < size:
             return
         data = b"".join(self.parts)
@@ -155,23 +152,24 @@ class Parser:
                 raise ValueError("a WARC record is longer than its Content-Length")
             yield from self.feed(rest[len(GAP) :])
 
-    def end(self) -> Iterator[tuple[dict[str, str], bytes]]:
+    def end(self) -> Iterator[tuple[dict[str, list[str]], bytes]]:
         if self.head is not None:
             yield from self.feed(b"")
         if self.head is not None:
             raise ValueError("an archive ends within a WARC record")
 
 
-def _row(head: dict[str, str], block: bytes) -> dict:
+def _row(head: dict[str, list[str]], block: bytes) -> dict:
+    one = lambda name: head.get(name, [None])[0]
     http, payload = None, block
-    if head.get("content-type", "").startswith("application/http"):
+    if (one("content-type") or "").startswith("application/http"):
         first, _, payload = block.partition(GAP.encode())
         http = first.decode("utf-8", "replace")
     return {
-        "type": head.get("warc-type"),
-        "record_id": head.get("warc-record-id"),
-        "concurrent_to": head.get("warc-concurrent-to"),
-        "headers": list(head.items()),
+        "type": one("warc-type"),
+        "record_id": one("warc-record-id"),
+        "concurrent_to": head.get("warc-concurrent-to", []),
+        "headers": [(name, ", ".join(values)) for name, values in head.items()],
         "http": http,
         "payload": payload,
         "payload_bytes": len(payload),
@@ -183,11 +181,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the gzipped archives below ``path``.
 
     A task streams its archives and holds one record at a time. ``http`` is the HTTP head, ``payload`` what
-    follows it, or the block of other records. A cut-off or damaged archive raises.
+    follows it, or the block of other records. ``concurrent_to`` has the ids of all headers of that name; of
+    other repeated headers ``headers`` joins the values by commas. A cut-off or damaged archive raises.
     """
     lines = spark.read.option("lineSep", GAP).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
     kinds = pa.schema(
-        [("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("http", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string())]
+        [("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("headers", pa.map_(pa.string(), pa.string())), ("http", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string())]
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,33 +214,68 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return lines.mapInArrow(work, RECORD)
 
 
+RESPONSES = ("response", "revisit")
+
+
+def _transactions(records: DataFrame, work: Scratch) -> DataFrame:
+    """``record_id`` and ``of``, the response it belongs to, of every request and metadata record.
+
+    Concurrent-to ids are followed in either direction. What a response names, or what names it, is its own; a
+    record that only names other requests or metadata belongs where these do. Ids alone are joined.
+    """
+    ids = records.select("record_id", F.col("type").isin(*RESPONSES).alias("response"), "concurrent_to")
+    named = ids.select("record_id", "response", F.explode("concurrent_to").alias("other"))
+    links = work.write(named.join(ids.select(F.col("record_id").alias("other"), F.col("response").alias("to_response")), "other").distinct(), "links")
+    own = links.where("NOT response AND to_response").select("record_id", F.col("other").alias("of"))
+    own = own.union(links.where("response AND NOT to_response").select(F.col("other"), F.col("record_id")))
+    found = new = work.write(own.distinct(), "own")
+    beside = links.where("NOT response AND NOT to_response").select("record_id", "other")
+    while not beside.isEmpty():
+        both = beside.union(beside.select("other", "record_id")).join(new.withColumnRenamed("record_id", "other"), "other")
+        new = work.write(both.select("record_id", "of").distinct().join(found, "record_id", "left_anti"), "further")
+        if new.isEmpty():
+            break
+        found = found.union(new)
+    return found
+
+
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: ``response`` (or revisit) with its ``request`` and ``metadata``, each nested.
+    """One row per capture: its ``response`` (or revisit), and its ``requests`` and ``metadata`` as arrays.
 
-    Requests and metadata name their response as concurrent, or the response names its request. A
-    capture without one of them has null there; requests and metadata without a response are left out.
+    Concurrent-to ids tie requests and metadata to a response, whichever of them names which, and through one
+    another. A capture has as many of them as name it, in the order of their ids, or empty arrays; one that
+    names several responses is in each of their rows. Requests and metadata without a response are left
+    out; of no records there are no captures. A response that the archives hold twice is two captures. The records are written
+    once; ids are joined to find the captures, and what is read of a response is shuffled once, to one join.
     """
-    whole = F.struct(*(F.col(f.name) for f in RECORD.fields))
-    of = lambda kinds, name: records.where(F.col("type").isin(kinds)).select(whole.alias(name))
-    response, request, metadata = of(["response", "revisit"], "response"), of(["request"], "request"), of(["metadata"], "metadata")
-    linked = request.select("request", F.col("request.concurrent_to").alias("of"), F.col("request.record_id").alias("rid"))
-    out = response.join(linked.select("request", "of"), F.col("response.record_id") == F.col("of"), "left").drop("of")
-    back = linked.where("of IS NULL").select(F.col("request").alias("other"), "rid")
-    out = out.join(back, F.col("response.concurrent_to") == F.col("rid"), "left").withColumn("request", F.coalesce("request", "other")).drop("other", "rid")
-    meta = metadata.select("metadata", F.col("metadata.concurrent_to").alias("of"))
-    return out.join(meta, F.col("response.record_id") == F.col("of"), "left").select("request", "response", "metadata")
+    work = Scratch(records.sparkSession)
+    records = work.write(records, "records")
+    names = [f.name for f in RECORD.fields]
+    by_id = lambda x, y: F.when(x["record_id"] < y["record_id"], -1).when(x["record_id"] > y["record_id"], 1).otherwise(0)
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct(*names))), by_id)
+    parts = records.where(F.col("type").isin("request", "metadata")).join(_transactions(records, work), "record_id")
+    parts = parts.groupBy("of").agg(listed("request").alias("requests"), listed("metadata").alias("metadata"))
+    # Nested after the join, so that what a reader does not ask for is not shuffled.
+    out = records.where(F.col("type").isin(*RESPONSES)).join(parts, F.col("record_id") == F.col("of"), "left")
+    none = F.array().cast(T.ArrayType(RECORD))
+    return out.select(F.coalesce("requests", none).alias("requests"), F.struct(*names).alias("response"), F.coalesce("metadata", none).alias("metadata"))
 
 
 def digest_rows(captures: DataFrame) -> DataFrame:
-    """Per capture: its page, payload size and digest, whether it revisits and what."""
-    fields = F.col("metadata.payload").cast("string")
-    number = lambda name: F.nullif(F.regexp_extract(fields, rf"(?m)^{name}: (-?\d+)\r?$", 1), F.lit("")).cast("long")
-    again = F.col("response.type") == "revisit"
-    size = F.nullif(F.regexp_extract("response.http", r"(?i)(?:^|\n)Content-Length: *(\d+)", 1), F.lit("")).cast("long")
-    return captures.select(
+    """Per capture: its page, payload size and digest, whether it revisits and what, by its metadata's fields."""
+    # Each field is asked for once, so that payloads need not be read again.
+    at = captures.select(
+        F.array_join(F.transform("metadata", lambda m: m["payload"].cast("string")), "\n").alias("fields"),
+        *(F.col(f"response.{c}").alias(c) for c in ("type", "http", "payload_bytes", "payload_sha1")),
+        F.col("response.headers")["warc-payload-digest"].alias("digest"),
+    )
+    number = lambda name: F.regexp_extract("fields", rf"(?m)^{name}: (-?\d+)\r?$", 1).try_cast("long")
+    again = F.col("type") == "revisit"
+    size = F.regexp_extract("http", r"(?i)(?:^|\n)Content-Length: *(\d+)", 1).try_cast("long")
+    return at.select(
         number("page").alias("page_id"),
-        F.when(again, size).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
-        F.when(again, F.replace(F.col("response.headers")["warc-payload-digest"], F.lit("sha1:"), F.lit(""))).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
+        F.when(again, size).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(again, F.replace("digest", F.lit("sha1:"), F.lit(""))).otherwise(F.col("payload_sha1")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
         number("refers-to-page").alias("refers_to"),
     )
