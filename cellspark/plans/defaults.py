@@ -35,7 +35,7 @@ def cluster_names(cells: DataFrame, coo: DataFrame, n_genes: int, cell_type: str
     merges = cluster.merge_map(cluster.cluster_correlations(means, n_genes), sizes.select("name", "type"), MAX_SIMILARITY)
     final = cluster.renumber(sizes, merges, "type", "name")
     # The artifact only kept types of different artifacts apart.
-    return of_cell.join(small(final), ["type", "name"]).select("cell", F.regexp_replace("final", r"^[^|]*\\|", "").alias("clust_cell_type"))
+    return of_cell.join(small(final), ["type", "name"]).select("cell", F.regexp_replace("final", r"^[^|]*\|", "").alias("clust_cell_type"))
 
 
 def after_with(coo: DataFrame, ontologies: DataFrame, stages: Mapping[str, str], n_genes: int, k: int = 15) -> Callable[[DataFrame], DataFrame]:
@@ -46,9 +46,8 @@ def after_with(coo: DataFrame, ontologies: DataFrame, stages: Mapping[str, str],
         edges = cut(neighbors.exact_knn(cells.select("artifact", "cell", "pca"), k, row="cell", vector="pca"))
         out = cells
         for resolution in RESOLUTIONS:
-            found = cluster.propagate_labels(edges.select("src", "dst"), 6, resolution)
-            out = out.join(found.select(F.col("src").alias("cell"), F.col("label").alias(f"leiden_{resolution:g}")), "cell", "left")
-            out = out.withColumn(f"leiden_{resolution:g}", F.coalesce(f"leiden_{resolution:g}", "cell"))
+            found = cluster.propagate_labels(edges.select("src", "dst"), 6, resolution).select(F.col("src").alias("cell"), "label")
+            out = out.join(found, "cell", "left").withColumn(f"leiden_{resolution:g}", F.coalesce("label", "cell")).drop("label")
         out = cut(out)
         names = cluster_names(out, coo.join(out.select("cell"), "cell", "left_semi"), n_genes)
         out = out.join(names, "cell", "left")
