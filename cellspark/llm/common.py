@@ -32,7 +32,7 @@ class Scratch:
         self.held: dict[int, tuple[DataFrame, str]] = {}
         self.made = 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """``df`` written as Parquet and read back.
 
         This cuts the lineage: the table outlives lost executors, its readers start from a plain scan,
@@ -40,7 +40,7 @@ class Scratch:
         """
         self.made += 1
         path = f"{self.base}/{self.made}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.held[id(out)] = out, path
         return out

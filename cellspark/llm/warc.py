@@ -99,7 +99,8 @@ def write_captures(pages: DataFrame, path: str, key: str = "page_id", url: str =
         ),
         _record(F.lit("metadata"), metadata, fields, "application/warc-fields", uri, F.concat(F.lit("WARC-Concurrent-To: "), response)),
     )
-    at.select(F.explode(records).alias("value")).write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # A column of its own, as ids and digests that records share are then made once.
+    at.select(records.alias("records")).select(F.explode("records").alias("value")).write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 RECORD = T.StructType(
@@ -184,7 +185,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     follows it, or the block of other records. ``concurrent_to`` has the ids of all headers of that name; of
     other repeated headers ``headers`` joins the values by commas. A cut-off or damaged archive raises.
     """
-    lines = spark.read.option("lineSep", GAP).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("lineSep", GAP).text(path).select(F.col("value").cast("binary").alias("value"), F.xxhash64("_metadata.file_path").alias("file"))
     kinds = pa.schema(
         [("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("headers", pa.map_(pa.string(), pa.string())), ("http", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string())]
     )
@@ -198,8 +199,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             return made
 
         for batch in batches:
-            for value, file in zip(batch.column("value"), batch.column("file"), strict=True):
-                if (file := file.as_py()) != last:
+            for value, file in zip(batch.column("value"), batch.column("file").to_pylist(), strict=True):
+                if file != last:
                     rows += [_row(*x) for x in parser.end()]
                     parser, last = Parser(), file
                 for record in parser.feed(value.as_py()):
@@ -249,7 +250,7 @@ def assemble(records: DataFrame) -> DataFrame:
     once; ids are joined to find the captures, and what is read of a response is shuffled once, to one join.
     """
     work = Scratch(records.sparkSession)
-    records = work.write(records, "records")
+    records = work.write(records, "records", "zstd")
     names = [f.name for f in RECORD.fields]
     by_id = lambda x, y: F.when(x["record_id"] < y["record_id"], -1).when(x["record_id"] > y["record_id"], 1).otherwise(0)
     listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct(*names))), by_id)
