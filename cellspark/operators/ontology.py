@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import split_ids
+from .numbering import cut
 
 
 def parent_edges(ontology: DataFrame) -> DataFrame:
@@ -19,18 +20,14 @@ def closure(edges: DataFrame) -> DataFrame:
     """``child`` and ``ancestor`` for every way up, each pair once; pairs of a term with itself only in cycles.
 
     The paths double in length with each round, so the rounds grow with the logarithm of the depth; a
-    cycle ends like anything else when no pair is new. Pairs are checkpointed where Spark has a folder for it.
+    cycle ends like anything else when no pair is new. Pairs are checkpointed after every round.
     """
-    spark = edges.sparkSession
-    pairs = edges.select("child", F.col("parent").alias("ancestor")).distinct()
-    reliable = spark.sparkContext.getCheckpointDir() is not None
-    keep = lambda df: df.checkpoint() if reliable else df.persist()
-    pairs = keep(pairs)
+    pairs = cut(edges.select("child", F.col("parent").alias("ancestor")).distinct())
     n = pairs.count()
     while True:
         up = pairs.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("higher"))
         more = pairs.join(up, "ancestor").select("child", F.col("higher").alias("ancestor"))
-        pairs = keep(pairs.union(more).distinct())
+        pairs = cut(pairs.union(more).distinct())
         if (m := pairs.count()) == n:
             return pairs
         n = m
