@@ -316,7 +316,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     again = at.where("stays").groupBy("k", "t").agg(F.count("*").alias("m")).where("m > 1")
     marked = work.write(gone.withColumn("gone", F.lit(True)).union(again.select("k", "t", F.lit(False))), "marked")
     whole = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
-    whole = whole.join(marked, F.col(f"doc.`{key}`").eqNullSafe(F.col("k")) & (F.col("__t") == F.col("t")), "left")
+    whole = whole.join(small(marked), F.col(f"doc.`{key}`").eqNullSafe(F.col("k")) & (F.col("__t") == F.col("t")), "left")
     left = whole.where("gone IS NULL").select("doc.*")
     if marked.where("NOT gone").isEmpty():
         return left

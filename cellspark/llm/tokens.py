@@ -2,7 +2,7 @@
 
 Text is cut at ASCII white space, which no token of the vocabulary crosses. A run's token count is
 looked up first in a broadcast table of frequent runs, then in the worker's own cache; what both miss
-is encoded by the library. No run is shuffled.
+is encoded by the library. Only runs of the rows that the table is taken from are shuffled, to be counted.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", key:
     Tokens are those of the ``tokenizers`` JSON file without added special tokens; special strings in a
     text count as the library's default has it. Null and empty texts have 0 of both. Rows are counted
     one by one: repeated rows, null keys and further columns make no difference, an empty table gives an
-    empty result. ``docs`` is read twice: for the sample and for the counts.
+    empty result. ``docs`` is read three times: for its number of rows, the sample and the counts.
     """
     spec = Path(tokenizer_file).read_text()
     sc = docs.sparkSession.sparkContext

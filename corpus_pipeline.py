@@ -22,13 +22,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated windows of three lines; n_chars counts what is left."""
-    out = lines.dedup_lines(docs).select("doc.*", "n_removed")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents, without repeated windows of three lines; n_chars, where there is one, counts what is left."""
+    out = lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col("n_removed") > 0, F.length("doc.text").cast("long")).otherwise(F.col("doc.n_chars"))
+        out = out.withColumn("doc", F.col("doc").withField("n_chars", chars))
+    return out.select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near-duplicates."""
+    """One document of each class of near-duplicates: that of the least id."""
     return neardup.drop_near_duplicates(docs)
 
 

@@ -516,3 +516,38 @@ def test_licenses_with_changed_words():
         text = "y " + " ".join("odd" if i % 5 == 4 else w.decode() for i, w in enumerate(template))
         got = [(x["license"], x["start_word"], x["end_word"], x["matched_words"]) for x in licenses.scan_text(text, long)]
         assert got == every_diagonal(text, long) and len(got) == 1
+
+
+def test_op8_query_equals_brute_force(spark, tmp_path):
+    """Short documents with notices whole, changed and mixed, by alignment of every template on every diagonal."""
+    from cellspark.llm import queries
+
+    rng = np.random.default_rng(8)
+    index, texts = licenses.Index(licenses.TEMPLATES), []
+    for name in ("MIT", "CC-BY-NC-SA-4.0", "GPL-3.0", "Apache-2.0", "MPL-2.0"):
+        own = min((x[1] for x in licenses.TEMPLATES if x[0] == name), key=len).split()
+        own[int(rng.integers(len(own)))] = "odd"
+        texts.append(" ".join(["some", "words", *own, "and", *own[:3]]))
+    texts.append("")
+    docs(spark, *((i, x, "s") for i, x in enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in queries.op8_license_scan(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.start_word, r.end_word, r.matched_words))
+    assert {k: sorted(v) for k, v in got.items()} == {i: x for i, t in enumerate(texts) if (x := every_diagonal(t, index))}
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    """Nulls, repeated rows, near copies and extra columns through all stages; and no rows at all."""
+    import corpus_pipeline
+
+    clean = " ".join(f"w{i}" for i in range(60))
+    good = docs(spark, (10, clean, None), (10, clean, None), (11, f"{clean} more", "c"), (None, clean.replace("w", "v"), "d"))
+    extra = [c for c in odd.columns if c not in good.columns]
+    at = odd.unionByName(good.withColumns({c: F.lit(1) for c in extra}))
+    left = {"quality_rules": 4, "line_dedup": 4, "near_duplicates": 2, "decontamination": 2, "encoding": 2}
+    for rows, few in ((at, False), (none, True), (at.drop("n_chars"), False)):
+        docs_ = rows
+        for name, stage in corpus_pipeline.STAGES:
+            docs_ = corpus_pipeline.materialise(stage(spark, docs_, "/root/testdata/sf0.001"), name)
+            assert docs_.count() == (0 if few else left[name])
+            assert name == "encoding" or docs_.columns == rows.columns
