@@ -3,11 +3,12 @@
 Documents are encoded once and cut into sequences of equal length, which are numbered without gaps: within each
 task as it encodes, and from task to task by the tasks' totals. A keyed Feistel permutation with cycle-walking
 turns the numbers 0 .. N - 1 into slots. Ranges of slots are the shards, so a slot gives its shard and byte. The ids are
-shuffled once.
+shuffled once, those of some shards at a time.
 """
 
 from __future__ import annotations
 
+import gc
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,11 +27,13 @@ from .common import Scratch, small
 
 #: Two line feeds end each record: the text writer's separator, and a guard against misplaced reads.
 GUARD = b"\n\n"
-#: Document id (the least long for null), part of the document, tokens in the sequence; then the ids.
-HEAD = "<qii"
+#: Document id (the least long for null), part of the document, tokens in the sequence, big-endian; then the ids, little-endian.
+HEAD = ">qii"
 HEAD_BYTES = struct.calcsize(HEAD)
 NULL_ID = -(1 << 63)
 ROUNDS = 4
+#: Turns in which the shards are written, each of as many shards.
+TURNS = 6
 MASK = (1 << 64) - 1
 
 
@@ -131,7 +134,7 @@ def write_shards(docs: DataFrame, path: str, rank_file: str, pattern: str, lengt
         raise ValueError(f"ids from 0 to {most} do not fit")
     width = 2 if most < 1 << 16 else 4
     work = Scratch(spark)
-    held = work.write(encoded(docs, length, rank_file, pattern, width, doc_key, text), "encoded")
+    held = work.write(encoded(docs, length, rank_file, pattern, width, doc_key, text), "encoded", "zstd")
     # A row for each task: its sequences, and those of the tasks before it.
     totals = work.write(held.groupBy("task").agg(F.sum("parts").alias("parts")), "totals")
     size = totals.agg(F.sum("parts")).first()[0] or 0
@@ -141,61 +144,58 @@ def write_shards(docs: DataFrame, path: str, rank_file: str, pattern: str, lengt
     before = F.coalesce(F.sum("parts").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = held.join(small(totals.select("task", before.alias("before"))), "task").select((F.col("before") + F.col("number")).alias("number"), "k", "n", "ids")
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("value", T.BinaryType())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = layout.width * layout.length
-        fill = np.array([layout.end], _dtype(layout.width)).tobytes()
-        for batch in pieces(batches, "ids"):
-            numbers, records = [], []
-            for number, doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("number", "k", "n", "ids")), strict=True):
+    # Shards are written in turns, so that the shuffle holds a part of the ids at a time beside their two tables.
+    turns = [(layout.shards * i // TURNS, layout.shards * (i + 1) // TURNS) for i in range(TURNS)]
+    for low, high in (x for x in turns if x[0] < x[1]):
+
+        def cut(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high) -> Iterator[pa.RecordBatch]:
+            step = layout.width * layout.length
+            fill = np.array([layout.end], _dtype(layout.width)).tobytes()
+            for batch in pieces(batches, "ids"):
+                number, n = (batch.column(c).to_numpy() for c in ("number", "n"))
                 parts = n // layout.length + 1
-                data = ids + fill * (parts * layout.length - n)
-                name = NULL_ID if doc is None else doc
-                records += [struct.pack(HEAD, name, j, min(layout.length, n + 1 - j * layout.length)) + data[j * step : (j + 1) * step] for j in range(parts)]
-                numbers.append(number + np.arange(parts, dtype=np.int64))
-            slot = permute(np.concatenate(numbers), layout.size, layout.key)
-            yield pa.RecordBatch.from_arrays([pa.array((slot // layout.rows).astype(np.int32)), pa.array(slot), pa.array(records, pa.binary())], names=schema.names)
-
-    rows = numbered.mapInArrow(cut, schema).repartitionById(layout.shards, F.col("shard")).sortWithinPartitions("shard", "slot")
-    rows.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", GUARD.decode()).text(path)
+                row = np.repeat(np.arange(len(n)), parts)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                slot = permute(number[row] + part, layout.size, layout.key)
+                shard = slot // layout.rows
+                chosen = np.flatnonzero((low <= shard) & (shard < high))
+                docs, ids, records = batch.column("k"), batch.column("ids"), []
+                for i, j in zip(row[chosen].tolist(), part[chosen].tolist(), strict=True):
+                    name, data = docs[i].as_py(), ids[i].as_buffer()
+                    own = data[j * step : (j + 1) * step].to_pybytes() if len(data) else b""
+                    head = struct.pack(HEAD, NULL_ID if name is None else name, j, len(own) // layout.width + (len(own) < step))
+                    records.append(head + own + fill * (layout.length - len(own) // layout.width))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[chosen].astype(np.int32)), pa.array(slot[chosen]), pa.array(records, pa.binary())], names=schema.names)
+
+        rows = numbered.mapInArrow(cut, schema).repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("shard", "slot")
+        rows.select("shard", F.col("value").cast("string").alias("value")).write.mode("append").partitionBy("shard").option("lineSep", GUARD.decode()).text(path)
+        del rows
+        # Spark removes a shuffle's files once the driver has collected what refers to them.
+        gc.collect()
+        spark._jvm.System.gc()
     work.drop(held)
     return layout
 
 
-SEQUENCE = [T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.BinaryType())]
-
-
 def read_shards(spark: SparkSession, path: str, layout: Layout, first: int = 0, count: int | None = None) -> DataFrame:
     """The sequences from slot ``first`` on, ``count`` of them or all: ``slot``, ``shard``, ``doc_id``,
     ``part``, ``n_tokens`` and ``ids`` (little-endian, ``layout.width`` bytes each, without the fill).
 
-    Only shards that hold such slots are opened, and only records of such slots are given. A shard of another length than
-    the layout says, or a record without its guard, raises.
+    Only shards that hold such slots are opened, and only records of such slots are cut out. A shard of another length than
+    the layout says, or a record without its guard, raises. Records are read by column functions alone.
     """
-    last = layout.size if count is None else min(layout.size, first + count)
-    first = max(first, 0)
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), *SEQUENCE])
+    first, last = max(first, 0), layout.size if count is None else min(layout.size, first + count)
     if first >= last:
-        return spark.createDataFrame([], schema)
-    content = spark.read.format("binaryFile").load(path).where(F.col("shard").between(layout.locate(first)[0], layout.locate(last - 1)[0])).select("shard", "content")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
-                data = memoryview(data.as_buffer())
-                if len(data) != layout.held(shard) * layout.stride:
-                    raise ValueError(f"shard {shard} has {len(data)} bytes, not {layout.held(shard) * layout.stride}")
-                base = shard * layout.rows
-                for some in range(max(first, base), min(last, base + layout.held(shard)), 4096):
-                    out: list[tuple] = []
-                    for slot in range(some, min(last, base + layout.held(shard), some + 4096)):
-                        at = (slot - base) * layout.stride
-                        doc, part, n = struct.unpack_from(HEAD, data, at)
-                        if data[at + layout.stride - len(GUARD) : at + layout.stride] != GUARD:
-                            raise ValueError(f"shard {shard} has no record at byte {at}")
-                        start = at + HEAD_BYTES
-                        out.append((shard, slot, None if doc == NULL_ID else doc, part, n, bytes(data[start : start + layout.width * n])))
-                    columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return content.mapInArrow(work, schema)
+        return spark.createDataFrame([], "slot long, shard int, doc_id long, part int, n_tokens int, ids binary")
+    files = spark.read.format("binaryFile").load(path).where(F.col("shard").between(layout.locate(first)[0], layout.locate(last - 1)[0]))
+    base = F.col("shard").cast("long") * layout.rows
+    held = F.least(F.lit(layout.rows), F.lit(layout.size) - base)
+    whole = F.when(F.col("length") != held * layout.stride, F.raise_error(F.concat(F.lit("a shard has another length than its layout: "), F.col("path")))).otherwise(F.col("content"))
+    slots = F.sequence(F.greatest(base, F.lit(first)), F.least(base + held, F.lit(last)) - 1)
+    rows = files.select("shard", "path", whole.alias("content"), F.explode(slots).alias("slot"))
+    record = F.substring("content", ((F.col("slot") - base) * layout.stride + 1).cast("int"), F.lit(layout.stride))
+    rows = rows.select("slot", "shard", "path", record.alias("v"))
+    number = lambda at, size: F.conv(F.hex(F.substring("v", at, size)), 16, -10).cast("long")
+    guarded = F.when(F.substring("v", layout.stride - len(GUARD) + 1, len(GUARD)) == F.lit(GUARD), F.col("v")).otherwise(F.raise_error(F.concat(F.lit("a record has no guard: "), F.col("path"))).cast("binary"))
+    rows = rows.withColumn("v", guarded).select("slot", "shard", F.nullif(number(1, 8), F.lit(NULL_ID)).alias("doc_id"), number(9, 4).cast("int").alias("part"), number(13, 4).cast("int").alias("n_tokens"), "v")
+    return rows.select("slot", "shard", "doc_id", "part", "n_tokens", F.substring("v", F.lit(HEAD_BYTES + 1), F.col("n_tokens") * layout.width).alias("ids"))
