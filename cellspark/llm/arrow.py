@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -28,6 +29,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             yield batch.slice(start)
 
 
+def lists(ids: list[np.ndarray]) -> pa.Array:
+    """Arrays of ids as one column of lists."""
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.array([], np.int32)))
+
+
 def quoted(column: str) -> str:
     """A column's name as :func:`F.col` takes it whatever characters it has."""
     return "`" + column.replace("`", "``") + "`"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_text
+from .arrow import lists, map_text
 
 #: Texts longer than this many characters are encoded in pieces of about this length.
 PIECE_CHARS = 100_000
@@ -81,12 +81,6 @@ def encode(enc, text: str) -> np.ndarray:
     return np.concatenate([np.array((_whole(enc) if whole else enc).encode_ordinary(x), np.int32) for whole, x in parts])
 
 
-def _lists(ids: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) for x in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.array([], np.int32)))
-
-
 def _shared(docs: DataFrame, rank_file: str, pattern: str):
     return docs.sparkSession.sparkContext.broadcast((Path(rank_file).read_bytes(), pattern))
 
@@ -106,7 +100,7 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, text: str = "tex
 
     def make():
         enc = encoding(*shared.value)
-        return lambda texts: {"ids": _lists([encode(enc, x) for x in texts])}
+        return lambda texts: {"ids": lists([encode(enc, x) for x in texts])}
 
     return map_text(docs, text, make, [IDS], keep if keep is not None else docs.columns)
 
@@ -121,7 +115,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
 
         def turn(texts: list[str]) -> dict[str, pa.Array]:
             ids = [encode(enc, x) for x in texts]
-            return {"ids": _lists(ids), "decoded": pa.array([enc.decode_bytes(x.tolist()) for x in ids], pa.binary())}
+            return {"ids": lists(ids), "decoded": pa.array([enc.decode_bytes(x.tolist()) for x in ids], pa.binary())}
 
         return turn
 
