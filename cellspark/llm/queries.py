@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, decontam, licenses, lines, neardup, quality, sentencepieces, shards, tokens, urls, warc
+from . import alignment, bpe, decontam, licenses, lines, neardup, quality, sentencepieces, shards, tokens, trie, urls, warc
 from .common import shared_dir, table
 
 MAX_TOKENS = 2048
@@ -62,6 +62,10 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("k").alias("doc_id"), "class_id", (F.col("k") == F.col("class_id")).alias("kept"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.turn_arrays(table(spark, sf_dir, "conversations"))))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return alignment.digests(alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"]))
@@ -72,4 +76,4 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(sentencepieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], decode=True))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_training_order, op3_line_dedup, op4_decontamination, op5_warc, op6_byte_bpe, op7_quality_rules, op8_license_scan, op9_url_filters, op10_minhash_neardup, op12_token_alignment, op13_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_training_order, op3_line_dedup, op4_decontamination, op5_warc, op6_byte_bpe, op7_quality_rules, op8_license_scan, op9_url_filters, op10_minhash_neardup, op11_prefix_trie, op12_token_alignment, op13_sentencepiece)}
