@@ -13,22 +13,33 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_text, pieces, quoted
+from .arrow import lists, map_text, quoted
 from .common import Scratch
-from .sentencepieces import CACHE_CHARS, CACHE_WORDS, SPACE, Model, model
+from .sentencepieces import CACHE_CHARS, SPACE, Model, model
 
+#: Words that a task keeps the tokens of.
+CACHE_WORDS = 120_000
 #: Distinct pairs that a task counts before it gives its counts on.
-PARTIAL_PAIRS = 4_000_000
+PARTIAL_PAIRS = 1_000_000
+#: New words that are taken through at once: the first tokenizer's encodings are large.
+ENCODE_WORDS = 5000
+#: Encoded rows are gone through in pieces of about so many tokens.
+PIECE_TOKENS = 200_000
+#: Texts are encoded in pieces of about so many bytes, as words and tokens take several times as much.
+TEXT_BYTES = 1 << 20
 #: White space other than a space before a space: the first tokenizer takes such runs together, so nothing is cut there.
 ODD = re.compile(r"[^\S ] ")
 
@@ -48,6 +59,11 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of what they have in ``n``."""
     order = np.argsort(keys, kind="stable")
@@ -87,12 +103,16 @@ class Aligner:
         self.a_start = np.cumsum(self.a_len) - self.a_len
         self._clear()
 
+    @cached_property
+    def texts(self) -> np.ndarray:
+        """Ids as text with what may come behind."""
+        return np.array([[f"{i}{c}" for i in range(max(len(self.a_len), self.b.n_pieces))] for c in (",", "|", ";", "")], object)
+
     def _clear(self) -> None:
         self.code: dict[str, int] = {}
-        #: By word: tokens of both, groups, links, where its links begin, whether both spell it.
-        self.facts = np.zeros((6, 0), np.int64)
-        self.keys = np.zeros(0, np.int64)
-        self.groups: list[str] = []
+        #: By word: where its tokens of A and of B begin and how many they are, and whether both spell it.
+        self.facts = np.zeros((5, 0), np.int64)
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
 
     def words(self, text: str) -> list[str]:
         """The words of a space and the text, each without its first space; none for a text with the second
@@ -110,62 +130,91 @@ class Aligner:
                 out.append(w)
         return out
 
-    def _made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Facts (without where links begin), links and groups of new words."""
+    def _spelt(self, texts: list[str], ids: tuple[np.ndarray, ...], counts: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Whether the tokens' bytes are those of each text, for both tokenizers."""
+        raw = [x.encode() for x in texts]
+        sizes, joined, ok = np.array(list(map(len, raw)), np.int64), b"".join(raw), np.ones(len(texts), bool)
+        for held, start, length, own, count in zip((self.a_bytes, self.b.piece_bytes), (self.a_start, self.b.piece_start), (self.a_len, self.b.piece_len), ids, counts, strict=True):
+            data = held[_ragged(start[own], length[own])].tobytes()
+            made = np.bincount(np.repeat(np.arange(len(texts)), count), weights=length[own], minlength=len(texts)).astype(np.int64)
+            if data != joined or (made != sizes).any():
+                ends = np.cumsum(made).tolist()
+                ok &= [data[e - n : e] == x for e, n, x in zip(ends, made.tolist(), raw, strict=True)]
+        return ok
+
+    def ends(self, ids: list[np.ndarray]) -> list[np.ndarray]:
+        """For A and B, whether a token ends behind each byte of texts that both spell."""
+        ends = [np.cumsum(length[own]) for length, own in zip((self.a_len, self.b.piece_len), ids, strict=True)]
+        out = [np.zeros(int(ends[0][-1]) + 1 if len(ids[0]) else 0, bool) for _ in ids]
+        for flags, own in zip(out, ends, strict=True):
+            flags[own] = True
+        return out
+
+    def links(self, ids: list[np.ndarray], ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Links as keys in the texts' order, and the byte that each ends at: between two ends of either lies one."""
+        at = np.flatnonzero(ends[0] | ends[1])
+        a, b = (own[np.cumsum(flags)[at] - flags[at]].astype(np.int64) for own, flags in zip(ids, ends, strict=True))
+        return a << 32 | b, at
+
+    def written(self, ids: list[np.ndarray], counts: list[np.ndarray], ends: list[np.ndarray]) -> list[str]:
+        """The groups of each of some texts, whose numbers of tokens are ``counts``, as text."""
+        both = ends[0] & ends[1]
+        last = [both[flags] for flags in ends]  # whether a token is the last of its group
+        group = [np.cumsum(x) - x for x in last]
+        # A token's text and what comes behind it: a comma within a side, a bar behind A's, a semicolon between groups.
+        closes = np.zeros(len(ids[1]), bool)
+        closes[np.cumsum(counts[1])[counts[1] > 0] - 1] = True
+        behind = [np.where(last[0], 1, 0), np.where(last[1], np.where(closes, 3, 2), 0)]
+        upto = [np.concatenate([[0], np.flatnonzero(x) + 1]) for x in last]
+        flat = np.empty(len(ids[0]) + len(ids[1]), object)
+        flat[np.arange(len(ids[0])) + upto[1][group[0]]] = self.texts[behind[0], ids[0]]
+        flat[np.arange(len(ids[1])) + upto[0][group[1] + 1]] = self.texts[behind[1], ids[1]]
+        flat, cuts = flat.tolist(), np.cumsum(counts[0] + counts[1]).tolist()
+        return ["".join(flat[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _made(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Facts (with where tokens begin from 0) and tokens of both for new words."""
         texts = [" " + w.replace(SPACE, " ") for w in words]
-        a_lists = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        a_count = np.array(list(map(len, a_lists)), np.int64)
-        a = np.fromiter((i for x in a_lists for i in x), np.int64, int(a_count.sum()))
+        held = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        a_count = np.array(list(map(len, held)), np.int64)
+        a = np.fromiter(chain.from_iterable(held), np.int32, int(a_count.sum()))
         b, b_count = self.b.merge([SPACE + w for w in words])
-        b = b.astype(np.int64)
-        a_data = self.a_bytes[_ragged(self.a_start[a], self.a_len[a])].tobytes()
-        b_data = self.b.piece_bytes[_ragged(self.b.piece_start[b], self.b.piece_len[b])].tobytes()
-        a_word, b_word = np.repeat(np.arange(len(words)), a_count), np.repeat(np.arange(len(words)), b_count)
-        a_size, b_size = (np.bincount(w, weights=n, minlength=len(words)).astype(np.int64) for w, n in ((a_word, self.a_len[a]), (b_word, self.b.piece_len[b])))
-        ok, at, bt = np.zeros(len(words), bool), 0, 0
-        for i, text in enumerate(texts):
-            raw = text.encode()
-            ok[i] = raw == a_data[at : at + a_size[i]] == b_data[bt : bt + b_size[i]]
-            at, bt = at + a_size[i], bt + b_size[i]
-        a, a_word, b, b_word = a[ok[a_word]], a_word[ok[a_word]], b[ok[b_word]], b_word[ok[b_word]]
-        a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b.piece_len[b])
-        # Between two ends of either lies one link; where both end, a group.
-        ends = np.union1d(a_end, b_end)
-        of_a, of_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-        links, link_word = a[of_a] << 32 | b[of_b], a_word[of_a] if len(ends) else np.zeros(0, np.int64)
-        both = np.intersect1d(a_end, b_end, assume_unique=True)
-        a_upto, b_upto = np.searchsorted(a_end, both, "right"), np.searchsorted(b_end, both, "right")
-        group_word = a_word[a_upto - 1] if len(both) else np.zeros(0, np.int64)
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups: list[list[str]] = [[] for _ in words]
-        i = j = 0
-        for w, m, n in zip(group_word.tolist(), a_upto.tolist(), b_upto.tolist(), strict=True):
-            groups[w].append(",".join(a_text[i:m]) + "|" + ",".join(b_text[j:n]))
-            i, j = m, n
-        count = lambda x: np.bincount(x, minlength=len(words))
-        return np.stack([a_count, b_count, count(group_word), count(link_word), np.zeros(len(words), np.int64), ok]), links, [";".join(g) for g in groups]
-
-    def coded(self, texts: list[str]) -> list[np.ndarray]:
-        """The codes of every text's words. :meth:`forget` must follow, when their facts are no longer needed."""
+        ok = self._spelt(texts, (a, b), (a_count, b_count))
+        a, b = a[np.repeat(ok, a_count)], b[np.repeat(ok, b_count)]
+        a_count, b_count = a_count * ok, b_count * ok
+        return np.stack([np.cumsum(a_count) - a_count, a_count, np.cumsum(b_count) - b_count, b_count, ok]), [a, b]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Tokens of A and of B of whole texts; none where a tokenizer does not give the text back."""
+        if len(self.code) > CACHE_WORDS:
+            self._clear()
         lists = [self.words(x) for x in texts]
         new = sorted({w for x in lists for w in x if w not in self.code}, key=len)
-        self.kept = len(self.code) + sum(len(w) <= CACHE_CHARS for w in new)
-        if new:
-            facts, keys, groups = self._made(new)
-            facts[4] = len(self.keys) + np.cumsum(facts[3]) - facts[3]
-            self.facts, self.keys, self.groups = np.concatenate([self.facts, facts], 1), np.concatenate([self.keys, keys]), self.groups + groups
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-        return [np.fromiter(map(self.code.__getitem__, x), np.int64, len(x)) for x in lists]
-
-    def forget(self) -> None:
-        """Drop long words, or all if there are many."""
-        if self.kept > CACHE_WORDS:
-            self._clear()
-        elif self.kept < len(self.groups):
-            self.keys = self.keys[: self.facts[4, self.kept]].copy()
-            self.facts = self.facts[:, : self.kept].copy()
-            del self.groups[self.kept :]
-            self.code = {w: c for w, c in self.code.items() if c < self.kept}
+        kept = len(self.code) + sum(len(w) <= CACHE_CHARS for w in new)
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
+        more = [(self.facts, self.ids)]
+        for i in range(0, len(new), ENCODE_WORDS):
+            facts, ids = self._made(new[i : i + ENCODE_WORDS])
+            for side in (0, 1):
+                facts[2 * side] += sum(len(x[side]) for _, x in more)
+            more.append((facts, ids))
+        self.facts, self.ids = np.concatenate([f for f, _ in more], 1), [np.concatenate([x[side] for _, x in more]) for side in (0, 1)]
+        codes = [np.fromiter(map(self.code.__getitem__, x), np.int64, len(x)) for x in lists]
+        codes = [c if self.facts[4, c].all() else c[:0] for c in codes]
+        flat, n = np.concatenate([np.zeros(0, np.int64), *codes]), np.cumsum([0, *map(len, codes)])
+        out = []
+        for side, held in enumerate(self.ids):
+            start, size = self.facts[2 * side, flat], self.facts[2 * side + 1, flat]
+            upto = np.concatenate([[0], np.cumsum(size)])[n].tolist()
+            ids = held[_ragged(start, size)]
+            out.append([ids[i:j] for i, j in zip(upto[:-1], upto[1:], strict=True)])
+        if kept < len(self.code):
+            # Long words are not kept.
+            for w in new[len(new) - (len(self.code) - kept) :]:
+                del self.code[w]
+            self.ids = [x[: self.facts[2 * side, kept]].copy() for side, x in enumerate(self.ids)]
+            self.facts = self.facts[:, :kept].copy()
+        return out[0], out[1]
 
 
 def _aligner(shared) -> Aligner:
@@ -179,24 +228,57 @@ def _shared(docs: DataFrame, a_file: str, b_file: str):
     return docs.sparkSession.sparkContext.broadcast((Path(a_file).read_text(), Path(b_file).read_bytes()))
 
 
-def pair_counts(docs: DataFrame, scratch: Scratch, a_file: str, b_file: str, text: str = "text") -> DataFrame:
-    """``key`` (A id times 2**32, and B id) and ``n``, the documents that hold the pair linked, sorted by key over all partitions.
+ENCODED = [T.StructField("a", T.ArrayType(T.IntegerType())), T.StructField("b", T.ArrayType(T.IntegerType()))]
 
-    A row is a document; null and empty texts, and texts that a tokenizer does not spell, hold no pairs.
-    """
+
+def encoded(docs: DataFrame, a_file: str, b_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (all) with the tokens ``a`` and ``b`` of every whole text; empty for texts that are null, empty or
+    not given back by a tokenizer."""
     shared = _shared(docs, a_file, b_file)
+
+    def make():
+        own = _aligner(shared)
+
+        def turn(texts: list[str]) -> dict[str, pa.Array]:
+            a, b = own.encode(texts)
+            return {"a": lists(a), "b": lists(b)}
+
+        return turn
+
+    return map_text(docs, text, make, ENCODED, keep if keep is not None else docs.columns, TEXT_BYTES)
+
+
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    """Encoded rows in pieces of about ``PIECE_TOKENS`` tokens of A (or one row), with all tokens of both and how many each row has."""
+    for batch in batches:
+        size = pc.list_value_length(batch.column("a")).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // PIECE_TOKENS)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            own = batch.slice(i, j - i)
+            sides = [own.column(c) for c in ("a", "b")]
+            yield own, [c.flatten().to_numpy(zero_copy_only=False) for c in sides], [pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in sides]
+
+
+def _by_row(own: Aligner, ids: list[np.ndarray], counts: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """How many of some ascending bytes lie in each row."""
+    size = np.bincount(np.repeat(np.arange(len(counts[0])), counts[0]), weights=own.a_len[ids[0]], minlength=len(counts[0]))
+    return np.diff(np.searchsorted(at, np.concatenate([[0], np.cumsum(size)]), "right"), prepend=0)[1:]
+
+
+def pair_counts(rows: DataFrame, scratch: Scratch, a_file: str, b_file: str) -> DataFrame:
+    """``key`` (A id times 2**32, and B id) and ``n``, how many of the :func:`encoded` rows hold the pair linked, sorted by key over all
+    partitions. Within a task counts are summed by NumPy, and given on when it knows many pairs."""
+    shared = _shared(rows, a_file, b_file)
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, n = _aligner(shared), [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-        for batch in pieces(batches, "text"):
-            for codes in own.coded([x or "" for x in batch.column("text").to_pylist()]):
-                codes = np.unique(codes)
-                if len(codes) and own.facts[5, codes].all():
-                    found = np.unique(own.keys[_ragged(own.facts[4, codes], own.facts[3, codes])])
-                    held.append((found, np.ones(len(found), np.int64)))
-                    n += len(found)
-            own.forget()
+        for _, ids, counts in _some(batches):
+            keys, at = own.links(ids, own.ends(ids))
+            cuts = np.cumsum(_by_row(own, ids, counts, at)).tolist()
+            once = np.concatenate([_distinct(keys[i:j]) for i, j in zip([0, *cuts[:-1]], cuts, strict=True)])
+            held.append(_totals(once, np.ones(len(once), np.int64)))
+            n += len(held[-1][0])
             if n > PARTIAL_PAIRS:
                 held = [_totals(*map(np.concatenate, zip(*held, strict=True)))]
                 n = len(held[0][0])
@@ -215,7 +297,7 @@ def pair_counts(docs: DataFrame, scratch: Scratch, a_file: str, b_file: str, tex
                 keys, n = keys[-1:], n[-1:]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], schema=schema)
 
-    some = scratch.write(docs.select(F.col(quoted(text)).alias("text")).mapInArrow(partial, "key long, n long"), "partial")
+    some = scratch.write(rows.select("a", "b").mapInArrow(partial, "key long, n long"), "partial")
     counts = scratch.write(some.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(summed, "key long, n long"), "counts")
     scratch.drop(some)
     return counts
@@ -247,7 +329,7 @@ class Counts:
         return out
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        """The counts of sorted keys; 0 for those that are not there."""
+        """The counts of keys in order, which may repeat; 0 for those that are not there."""
         out = np.zeros(len(keys), np.int64)
         bounds = np.append(np.searchsorted(keys, self.first), len(keys))
         for (_, held, n), lo, hi in zip(self.shards, bounds[:-1], bounds[1:], strict=True):
@@ -278,40 +360,38 @@ def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", keep: l
     are plain text. Null and empty texts, and those whose bytes a tokenizer does not give back, have zeros and no groups. Each row is a
     document of its own, repeated ones too; columns named as new ones are replaced; an empty table gives an empty result.
 
-    ``docs`` is read twice, and never shuffled: pairs are counted first (see :func:`pair_counts`). Each executor fetches the counts'
-    files once, 16 bytes for every distinct pair, on its disk; the highest counts of A ids, no more than A's vocabulary, are broadcast.
+    Texts are encoded once, to a table with the kept columns; its pairs are counted (see :func:`pair_counts`) and then looked up. Rows are
+    never shuffled. Each executor fetches the counts' files once, 16 bytes for every distinct pair, on its disk; the highest
+    counts of A ids, no more than A's vocabulary, are broadcast.
     """
     scratch, shared = Scratch(docs.sparkSession), _shared(docs, a_file, b_file)
-    counts = pair_counts(docs, scratch, a_file, b_file, text)
+    kept = [c for c in (keep if keep is not None else docs.columns) if c not in {f.name for f in FIELDS}]
+    own = [f"k{i}" for i in range(len(kept))]
+    narrow = docs.select(*(F.col(quoted(c)).alias(n) for c, n in zip(kept, own, strict=True)), F.col(quoted(text)).alias("text"))
+    rows = scratch.write(encoded(narrow, a_file, b_file, keep=own), "encoded", "zstd", 16 << 20)
+    counts = pair_counts(rows, scratch, a_file, b_file)
     names = _shipped(counts)
     highest = counts.groupBy(F.shiftright("key", 32).cast("int").alias("a")).agg(F.max("n").alias("n")).toArrow()
     best_of = docs.sparkSession.sparkContext.broadcast((highest.column("a").to_numpy(), highest.column("n").to_numpy()))
+    schema = T.StructType(rows.schema.fields[: len(own)] + FIELDS)
 
-    def make():
-        own, held = _aligner(shared), Counts(names)
-        best = np.zeros(len(own.a_len), np.int64)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner, held = _aligner(shared), Counts(names)
+        best = np.zeros(len(aligner.a_len), np.int64)
         best[best_of.value[0]] = best_of.value[1]
-
-        def turn(texts: list[str]) -> dict[str, pa.Array]:
-            lists = own.coded(texts)
-            sizes = np.array(list(map(len, lists)), np.int64)
-            codes, doc = np.concatenate([np.zeros(0, np.int64), *lists]), np.repeat(np.arange(len(texts)), sizes)
-            used, at = np.unique(codes, return_inverse=True)
-            fine = np.bincount(doc, weights=1 - own.facts[5, codes], minlength=len(texts)) == 0
-            size = own.facts[3, used] * own.facts[5, used]
-            links, back = np.unique(own.keys[_ragged(own.facts[4, used], size)], return_inverse=True)
-            # Pairs of words that only documents not spelt have are in no count.
-            n = held.of(links)[back]
-            word = np.repeat(np.arange(len(used)), size)
-            by_word = [own.facts[i, used] for i in range(4)] + [np.bincount(word, weights=x, minlength=len(used)).astype(np.int64) for x in (n == best[links[back] >> 32], n)]
-            total = [(np.bincount(doc, weights=x[at], minlength=len(texts)) * fine).astype(np.int64) for x in by_word]
-            groups = [";".join([own.groups[c] for c in x.tolist()]) if f else "" for x, f in zip(lists, fine.tolist(), strict=True)]
-            own.forget()
-            return dict(zip((f.name for f in FIELDS), [*map(pa.array, total), pa.array(groups, pa.string())], strict=True))
-
-        return turn
-
-    return map_text(docs, text, make, FIELDS, keep if keep is not None else docs.columns)
+        for batch, ids, counts in _some(batches):
+            ends = aligner.ends(ids)
+            keys, at = aligner.links(ids, ends)
+            order, n = np.argsort(keys), np.zeros(len(keys), np.int64)
+            n[order] = held.of(keys[order])
+            n_links = _by_row(aligner, ids, counts, at)
+            row = np.repeat(np.arange(batch.num_rows), n_links)
+            sums = [np.bincount(row, weights=x, minlength=batch.num_rows).astype(np.int64) for x in (n == best[keys >> 32], n)]
+            numbers = [*counts, _by_row(aligner, ids, counts, np.flatnonzero(ends[0] & ends[1])), n_links, *sums]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *map(pa.array, numbers), pa.array(aligner.written(ids, counts, ends), pa.string())], names=schema.names)
+
+    out = rows.mapInArrow(work, schema)
+    return out.select(*(F.col(a).alias(b) for a, b in zip(schema.names, [*kept, *(f.name for f in FIELDS)], strict=True)))
 
 
 def digests(aligned: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -41,11 +41,11 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
-def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], dict[str, pa.Array]]], fields: list[T.StructField], keep: list[str]) -> DataFrame:
+def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], dict[str, pa.Array]]], fields: list[T.StructField], keep: list[str], limit: int = PIECE_BYTES) -> DataFrame:
     """Columns ``keep`` of ``df`` with new ``fields`` for the texts in ``text``; a kept column of a new field's name gives way to it.
 
     ``make`` runs once in each task and returns what turns a list of texts (null: empty) into the new
-    columns, by the names of ``fields``. Nothing is shuffled, and rows keep their order.
+    columns, by the names of ``fields``; it is given about ``limit`` bytes at a time. Nothing is shuffled, and rows keep their order.
     """
     kept = [c for c in keep if c not in {f.name for f in fields}]
     # Numbered within the task, so no name of the rows clashes with another.
@@ -55,7 +55,7 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]],
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = make()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", limit):
             made = turn([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(made[f.name] for f in fields)], names=schema.names)
 

@@ -32,15 +32,15 @@ class Scratch:
         self.held: dict[int, tuple[DataFrame, str]] = {}
         self.made = 0
 
-    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        """``df`` written as Parquet and read back.
+    def write(self, df: DataFrame, name: str, compression: str = "snappy", block: int = 128 << 20) -> DataFrame:
+        """``df`` written as Parquet, in row groups of about ``block`` bytes, and read back.
 
         This cuts the lineage: the table outlives lost executors, its readers start from a plain scan,
         and both sides of a later join get an exchange of their own, which adaptive execution can split.
         """
         self.made += 1
         path = f"{self.base}/{self.made}-{name}"
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).option("parquet.block.size", block).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.held[id(out)] = out, path
         return out

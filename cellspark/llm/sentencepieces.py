@@ -109,12 +109,27 @@ class Model:
         #: Ranks that several pieces share: of such pairs the leftmost alone is merged in a round.
         self.tied = count > 1
         self.pairs = pairs
-        keys = np.array(sorted(pairs), np.int64)
-        self.keys, self.ranks, self.merged = keys, *(np.array([pairs[k][j] for k in keys.tolist()], np.int32) for j in (0, 1))
+        # Pairs in a table of slots by hash, a pair in the first free one from its own on.
+        self.bits = max(8, len(pairs).bit_length() + 2)
+        self.keys = np.full((1 << self.bits) + 64, -1, np.int64)
+        self.ranks, self.merged, self.probes = np.zeros(len(self.keys), np.int32), np.zeros(len(self.keys), np.int32), 1
+        own = self._slots(np.array(list(pairs), np.int64)).tolist()
+        for (key, (rank, i)), slot in zip(pairs.items(), own, strict=True):
+            at = slot
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.ranks[at], self.merged[at] = key, rank, i
+            self.probes = max(self.probes, at - slot + 1)
         #: No piece has a mark behind another character, so texts may be cut before marks.
         self.cuts = self.plain and not any(SPACE in p.lstrip(SPACE) for p in ids)
         #: Neighbours within pieces: between all others no merge can be made.
-        self.near = np.array(sorted({self.symbols[a] * self.n_symbols + self.symbols[b] for p in ids for a, b in zip(p, p[1:])}), np.int64)
+        letters = sorted({c for p in ids for c in p})
+        self.letters = np.zeros(0x110000, np.int32)
+        self.letters[list(map(ord, letters))] = np.arange(1, len(letters) + 1)
+        self.near = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for p in ids:
+            at = self.letters[np.frombuffer(p.encode("utf-32-le"), np.uint32)]
+            self.near[at[:-1], at[1:]] = True
         held = [b"" if t == CONTROL else bytes([int(p[1:-1], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, _, t in rows]
         self.piece_bytes = np.frombuffer(b"".join(held), np.uint8)
         self.piece_len = np.array([len(x) for x in held], np.int64)
@@ -122,6 +137,24 @@ class Model:
         self.whole = np.array([t in (NORMAL, BYTE) for _, _, t in rows])
         self.marked = np.array([t == NORMAL and p.startswith(SPACE) for p, _, t in rows])
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are pairs, and their slots."""
+        at = self._slots(keys)
+        which, slots, left = [], [], np.arange(len(keys))
+        for _ in range(self.probes):
+            held = self.keys[at]
+            hit = held == keys[left]
+            which.append(left[hit])
+            slots.append(at[hit])
+            more = ~hit & (held >= 0)
+            left, at = left[more], at[more] + 1
+            if not len(left):
+                break
+        return np.concatenate(which), np.concatenate(slots)
+
     def normalised(self, text: str) -> str:
         """What pieces are made from; without characters for a text without any."""
         if not self.plain:
@@ -179,9 +212,8 @@ class Model:
             return np.array([], np.int32), np.zeros(len(words), np.int64)
         # A part of a word: its symbols merge with no other's.
         of = np.repeat(np.arange(len(words)), lengths)
-        key = symbols[:-1] * self.n_symbols + symbols[1:]
-        found = np.minimum(np.searchsorted(self.near, key), len(self.near) - 1)
-        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (self.near[found] != key) | (symbols[1:] < 0) | (symbols[:-1] < 0)]))
+        letters = self.letters[points]
+        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | ~self.near[letters[:-1], letters[1:]]]))
         lengths = np.diff(np.append(first, len(points)))
         of, word = of[first], np.repeat(np.arange(len(first)), lengths)
         marks = np.add.reduceat((points == ord(SPACE)).astype(np.int64), first)
@@ -196,10 +228,8 @@ class Model:
             counts = np.diff(np.append(starts, len(word)))
             rank, into = np.full(len(symbols), NEVER, np.int64), np.zeros(len(symbols), np.int64)
             known = np.flatnonzero((word[1:] == word[:-1]) & (symbols[1:] >= 0) & (symbols[:-1] >= 0))
-            key = symbols[known] * self.n_symbols + symbols[known + 1]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            right = self.keys[found] == key
-            rank[known[right]], into[known[right]] = self.ranks[found[right]], self.merged[found[right]]
+            right, found = self._found(symbols[known] * self.n_symbols + symbols[known + 1])
+            rank[known[right]], into[known[right]] = self.ranks[found], self.merged[found]
             low, own = np.minimum.reduceat(rank, starts), word[starts]
             # A better pair came up between merges that were made at once: such a word goes to the queue.
             early = (last_count[own] > 1) & (low < last_rank[own])
