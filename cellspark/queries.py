@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import standins as t
 from .functions import scalars
-from .operators import cluster, labels, neighbors, ontology, qc, remap, sampling, select
+from .operators import approximate, cluster, labels, neighbors, ontology, qc, remap, sampling, select
 from .operators import genes as gene_ops
 from .plans.collate import CollateOptions, collate
 from .plans.datamodule import CellDataset, DataModule, LoaderOptions
@@ -385,6 +385,12 @@ def knn6(s, d):
     return neighbors.exact_knn(t.vectors(s, d)).select("src", "dst", "rank", rounded("distance", 5))
 
 
+@query
+def knn6_approximate(s, d):
+    """Neighbours by projection trees and descent; recall is measured in the tests."""
+    return approximate.approximate_knn(t.vectors(s, d)).select("src", "dst", "rank", rounded("distance", 5))
+
+
 @query
 def nearest_edges(s, d):
     at = t.table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_quantity") - 1).alias("distance"))
