@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +21,9 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint, in the folder that all of the cluster shares. Where none is set, a local session takes a temporary
-    one; on a cluster the plan is left whole, and lost executors compute it again."""
+def shared_folder(df: DataFrame) -> str:
+    """The folder for checkpoints that all of the cluster shares. Where none is set, a local session takes a temporary
+    one; on a cluster that is an error, as plans of rounds would double without it."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         if (base := df.sparkSession.conf.get("spark.checkpoint.dir", None)) is not None:
@@ -30,10 +31,42 @@ def cut(df: DataFrame) -> DataFrame:
         elif sc.master == "local" or sc.master.startswith("local["):
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         else:
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder."""
+    shared_folder(df)
     return df.checkpoint()
 
 
+class Stored:
+    """Tables of an iteration, written in the shared folder and read back as plain scans.
+
+    Unlike a checkpoint, a scan carries none of the conditions that held in the plan before, which would grow from round to round.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.base, self.n = df.sparkSession, f"{shared_folder(df)}/stored-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, str] = {}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of tables that nothing reads any more; others are left alone."""
+        for table in tables:
+            if (path := self.paths.pop(id(table), None)) is not None:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ranges(df: DataFrame, index: str, rows: int = PART_ROWS) -> Column:
     """A number for each stretch of about ``rows`` rows in the order of a numeric ``index``, by its least and largest value.
 

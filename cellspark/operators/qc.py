@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import small
+from .numbering import cut, small
 
 QC_FLAGS = ("mt", "ribo", "hb")
 
@@ -44,24 +45,36 @@ def gene_metrics(coo: DataFrame, n_cells: DataFrame) -> DataFrame:
 
 
 def exact_medians(df: DataFrame, columns: dict[str, Column], bins: int = 4096) -> dict[str, float | None]:
-    """The exact median of each column over all rows (None without values).
+    """The exact median of each column over all rows (None without values). Nulls and NaN are left out; infinite values lie at the
+    ends, and a median half-way between both infinities is None.
 
     Values are counted in bins between the least and the largest; the bin that holds the middle is cut again, until it holds
     one value or the two middle values lie in different bins. A round is one aggregate of at most ``bins`` rows a column,
     whatever the number of rows and distinct values.
     """
     at = df.select(*(c.cast("double").alias(n) for n, c in columns.items()))
-    ends = at.agg(*(f(n).alias(f"{f.__name__}_{n}") for n in columns for f in (F.count, F.min, F.max))).first()
+    finite = {n: F.when(F.abs(n) < float("inf"), F.col(n)) for n in columns}
+    ends = at.agg(*(f(c).alias(f"{f.__name__}_{n}") for n, c in finite.items() for f in (F.count, F.min, F.max)), *(F.count_if(F.col(n) == F.lit(x)).alias(f"{k}_{n}") for n in columns for k, x in (("low", -np.inf), ("high", np.inf)))).first()
     out: dict[str, float | None] = {n: None for n in columns}
     # Column: least and largest value that may be the middle, rows below these, all rows.
-    spans = {n: (ends[f"min_{n}"], ends[f"max_{n}"], 0, ends[f"count_{n}"]) for n in columns if ends[f"count_{n}"]}
+    spans = {}
+    for n in columns:
+        low, held, high = ends[f"low_{n}"], ends[f"count_{n}"], ends[f"high_{n}"]
+        total = low + held + high
+        middle = [-np.inf if i < low else np.inf if i >= low + held else 0.0 for i in ((total - 1) // 2, total // 2)] if total else []
+        if total and not any(middle):
+            spans[n] = ends[f"min_{n}"], ends[f"max_{n}"], low, total
+        elif total and middle[0] + middle[1] == middle[0] + middle[1]:
+            out[n] = middle[0] + middle[1]
     while spans:
         for n in [n for n, (lo, hi, _, _) in spans.items() if lo == hi]:
             out[n] = spans.pop(n)[0]
         if not spans:
             break
-        cut = lambda n, lo, hi: F.least(F.floor((F.col(n) - lo) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int")
-        inside = F.array(*(F.when(F.col(n).between(lo, hi), F.struct(F.lit(n).alias("name"), cut(n, lo, hi).alias("bin"), F.col(n).alias("v"))) for n, (lo, hi, _, _) in spans.items()))
+        part = lambda lo, hi: 1.0 if hi - lo < np.inf else 0.5  # noqa: E731  # a span may be beyond the largest number
+        place = lambda n, lo, hi, p: F.floor((F.col(n) * p - lo * p) / F.lit(hi * p - lo * p) * bins)
+        bin_of = lambda n, lo, hi: F.least(place(n, lo, hi, part(lo, hi)), F.lit(bins - 1)).cast("int")
+        inside = F.array(*(F.when(F.col(n).between(lo, hi), F.struct(F.lit(n).alias("name"), bin_of(n, lo, hi).alias("bin"), F.col(n).alias("v"))) for n, (lo, hi, _, _) in spans.items()))
         found = at.select(F.explode(inside).alias("x")).where("x IS NOT NULL").groupBy("x.name", "x.bin").agg(F.count("*").alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi"))
         rows = sorted(found.collect(), key=lambda r: (r["name"], r["bin"]))
         for name, (_, _, below, total) in list(spans.items()):
@@ -83,6 +96,7 @@ def with_outliers(df: DataFrame, metrics: dict[str, tuple[str, float]], by: Sequ
     """Add a mark for each metric (new column: metric, nmads): whether a value lies more than ``nmads`` unscaled median
     deviations from the median, within ``by`` or over all. Over all, medians are taken from counts in bins, in a few passes."""
     if not by:
+        df = cut(df)  # else each round would compute the metrics anew
         meds = exact_medians(df, {o: F.col(m) for o, (m, _) in metrics.items()})
         far = {o: F.abs(F.col(m) - F.lit(meds[o])) for o, (m, _) in metrics.items()}
         mads = exact_medians(df, far)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster, neighbors, ontology, remap
 from ..operators.approximate import approximate_knn
+from ..operators.leiden import leiden
 from ..operators.numbering import cut, small
 
 RESOLUTIONS = (2.0, 1.0, 0.5)
@@ -39,17 +40,18 @@ def cluster_names(cells: DataFrame, coo: DataFrame, n_genes: int, cell_type: str
     return of_cell.join(small(final), ["type", "name"]).select("cell", F.regexp_replace("final", r"^[^|]*\|", "").alias("clust_cell_type"))
 
 
-def after_with(coo: DataFrame, ontologies: DataFrame, stages: Mapping[str, str], n_genes: int, k: int = 15, approximate: bool = False) -> Callable[[DataFrame], DataFrame]:
+def after_with(coo: DataFrame, ontologies: DataFrame, stages: Mapping[str, str], n_genes: int, k: int = 15, approximate: bool = False, by_modularity: bool = False) -> Callable[[DataFrame], DataFrame]:
     """The hook for preprocessed cells with ``pca``: ``leiden_<resolution>`` communities of their nearest neighbours, ``clust_cell_type``
     and ``age_group`` (by ``stages``: a stage's group). ``coo`` holds the values; neighbours are sought within an artifact, exactly or,
-    for large artifacts, ``approximate``."""
+    for large artifacts, ``approximate``; communities are taken by label propagation or, in more rounds, ``by_modularity``."""
 
     def hook(cells: DataFrame) -> DataFrame:
         find = approximate_knn if approximate else neighbors.exact_knn
         edges = cut(find(cells.select("artifact", "cell", "pca"), k, row="cell", vector="pca"))
         out = cells
         for resolution in RESOLUTIONS:
-            found = cluster.propagate_labels(edges.select("src", "dst"), 6, resolution).select(F.col("src").alias("cell"), "label")
+            links = edges.select("src", "dst")
+            found = (leiden(links, resolution) if by_modularity else cluster.propagate_labels(links, 6, resolution)).select(F.col("src").alias("cell"), "label")
             out = out.join(found, "cell", "left").withColumn(f"leiden_{resolution:g}", F.coalesce("label", "cell")).drop("label")
         out = cut(out)
         names = cluster_names(out, coo.join(out.select("cell"), "cell", "left_semi"), n_genes)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import standins as t
 from .functions import scalars
-from .operators import approximate, cluster, labels, neighbors, ontology, qc, remap, sampling, select
+from .operators import approximate, cluster, labels, leiden, neighbors, ontology, qc, remap, sampling, select
 from .operators import genes as gene_ops
 from .plans.collate import CollateOptions, collate
 from .plans.datamodule import CellDataset, DataModule, LoaderOptions
@@ -706,3 +706,9 @@ def hvg_rank(s, d):
 @query
 def graph_communities(s, d):
     return cluster.propagate_labels(neighbors.exact_knn(t.vectors(s, d)).select("src", "dst"), 3)
+
+
+@query
+def leiden_communities(s, d):
+    """Communities of the neighbour graph by modularity; held against a plain Louvain in the tests."""
+    return leiden.leiden(neighbors.exact_knn(t.vectors(s, d)).select("src", "dst"), rounds=6, levels=3)

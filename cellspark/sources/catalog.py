@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,23 +79,62 @@ def write_collection(cells: DataFrame, path: str, artifact: str = "artifact", mo
     cells.repartition(artifact, F.pmod(F.xxhash64(*[c for c in ("cell",) if c in cells.columns] or [artifact]), F.lit(16))).write.mode(mode).partitionBy(artifact).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _reserved(spark: SparkSession, catalog_path: str) -> int:
+    """A version number that no other writer has: its file is made only where there is none, else the next is tried."""
+    fs, folder = _files(spark, f"{catalog_path}/_numbers")
+    fs.mkdirs(folder)
+    n = 1 + max((int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()), default=0)
+    while True:
+        try:
+            fs.create(_files(spark, f"{catalog_path}/_numbers/{n:08d}")[1], False).close()
+            return n
+        except Py4JJavaError as error:
+            if not fs.exists(_files(spark, f"{catalog_path}/_numbers/{n:08d}")[1]):
+                raise error
+            n += 1
+
+
 def register(spark: SparkSession, path: str, catalog_path: str, key: str, artifact: str = "artifact") -> tuple[DataFrame, DataFrame]:
-    """Write and give the rows that name a written collection: ``artifacts`` (artifact_id, path, suffix, bytes, n_cells, is_latest) and
-    ``collection`` (collection_key, artifact_id, ordinal).
+    """Register a written collection as a new version of ``key`` and give the rows of the catalog: ``artifacts`` (artifact_id, path, suffix,
+    bytes, n_cells, is_latest, version) and ``collection`` (collection_key, artifact_id, ordinal, version).
 
-    Bytes come from the files' lengths, cells from their footers.
+    Both tables hold the latest version of every collection; other collections' rows are left as they are. All versions stay in
+    :func:`versions`: one is written aside and comes there by a rename, under a number that it alone has, so readers see all of it or
+    nothing, and of writers at one time each gets a version. An artifact's id is its name with key and version before it. Bytes come
+    from the files' lengths, cells from their footers.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "*.parquet").load(path)
     sizes = files.groupBy(artifact).agg(F.sum("length").alias("bytes"))
     cells = spark.read.parquet(path).groupBy(artifact).agg(F.count("*").alias("n_cells"))
+    n, name = _reserved(spark, catalog_path), F.col(artifact).cast("string")
+    order = F.row_number().over(Window.orderBy("name")) - 1
     one = sizes.join(cells, artifact).select(
-        F.col(artifact).cast("string").alias("artifact_id"), F.concat(F.lit(f"{path}/{artifact}="), F.col(artifact).cast("string")).alias("path"), F.lit(".parquet").alias("suffix"), "bytes", "n_cells", F.lit(True).alias("is_latest")
+        F.concat(F.lit(f"{key}/{n}/"), name).alias("artifact_id"), name.alias("name"), F.concat(F.lit(f"{path}/{artifact}="), name).alias("path"), F.lit(".parquet").alias("suffix"), "bytes", "n_cells", F.lit(key).alias("collection_key"), F.lit(n).alias("version")
     )
-    one.write.mode("overwrite").parquet(f"{catalog_path}/artifacts")
-    artifacts = spark.read.parquet(f"{catalog_path}/artifacts")
-    order = F.row_number().over(Window.orderBy("artifact_id")) - 1
-    artifacts.select(F.lit(key).alias("collection_key"), "artifact_id", order.alias("ordinal")).write.mode("overwrite").parquet(f"{catalog_path}/collection")
-    return artifacts, spark.read.parquet(f"{catalog_path}/collection")
+    aside, there = f"{catalog_path}/_aside/{n:08d}", f"{catalog_path}/versions/number={n}"
+    one.withColumn("ordinal", order).write.parquet(aside)
+    fs, target = _files(spark, there)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(_files(spark, aside)[1], target):
+        raise OSError(f"version {n} could not be put in place")
+    newest = versions(spark, catalog_path).where(F.col("is_latest") & (F.col("collection_key") == key))
+    for table, columns in (("artifacts", ["artifact_id", "path", "suffix", "bytes", "n_cells", "is_latest"]), ("collection", ["artifact_id", "ordinal"])):
+        own = newest.select(*columns, "version", "collection_key")
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_key").parquet(f"{catalog_path}/{table}")
+    return spark.read.parquet(f"{catalog_path}/artifacts"), spark.read.parquet(f"{catalog_path}/collection")
+
+
+def versions(spark: SparkSession, catalog_path: str) -> DataFrame:
+    """All artifacts of all versions of all collections, with ``is_latest``: those of the highest version of their collection."""
+    at = spark.read.parquet(f"{catalog_path}/versions").drop("number")
+    last = at.groupBy("collection_key").agg(F.max("version").alias("__last"))
+    return at.join(last, "collection_key").withColumn("is_latest", F.col("version") == F.col("__last")).drop("__last")
 
 
 def write_slice(spark: SparkSession, artifacts: DataFrame, only: tuple[int, int] | None, path: str, catalog_path: str, key: str) -> tuple[DataFrame, DataFrame]:
