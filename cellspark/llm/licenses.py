@@ -25,7 +25,7 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2")),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.', ("apache", "2")),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ()),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ()),
+    ("BSD-family", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ()),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("neither", "endorse")),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("attribution", "4")),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ("noncommercial", "4")),
@@ -46,6 +46,17 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2")),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", ()),
 )
+#: Words that a span of a license may not hold, as they tell a sibling of it.
+FORBIDDEN = {
+    "CC-BY-4.0": ("noncommercial", "noderivatives", "sharealike", "nc", "nd", "sa"),
+    "CC-BY-NC-4.0": ("noderivatives", "sharealike", "nd", "sa"),
+    "CC-BY-NC-ND-4.0": ("sharealike", "sa"),
+    "CC-BY-NC-SA-4.0": ("noderivatives", "nd"),
+    "CC-BY-ND-4.0": ("noncommercial", "sharealike", "nc", "sa"),
+    "CC-BY-SA-4.0": ("noncommercial", "noderivatives", "nc", "nd"),
+    "GPL-2.0": ("affero", "lesser", "library"),
+    "GPL-3.0": ("affero", "lesser", "library"),
+}
 #: Bytes of a table of templates that goes to every task; a larger one raises.
 TEMPLATE_BYTES = 8 << 20
 #: Words that an alignment may drift from its diagonal (of short templates a quarter of their words), and the least
@@ -81,6 +92,7 @@ class Index:
         self.names = [name for name, _, _ in kept]
         self.words = [own for _, own, _ in kept]
         self.needed = [needed for _, _, needed in kept]
+        self.forbidden = [{w for x in FORBIDDEN.get(name, ()) for w in words(x)} for name in self.names]
         self.bands = [max(1, min(BAND, len(own) // 4)) for own in self.words]
         self.least = [max(1, math.ceil(coverage * len(own))) for own in self.words]
         self.numbers = {w: i for i, w in enumerate(sorted({w for own in self.words for w in own}), 1)}
@@ -171,7 +183,7 @@ def scan_text(text: str, index: Index) -> list[dict]:
         n = len(index.words[t])
         # Nothing scores as much as a verbatim copy, so its alignment is known.
         matched, first, end = align(index.words[t], own, d, index.bands[t]) if start is None else (n, start, start + n)
-        if matched >= index.least[t] and index.needed[t] <= set(own[first:end]):
+        if matched >= index.least[t] and index.needed[t] <= (held := set(own[first:end])) and not index.forbidden[t] & held:
             found.add((index.names[t], matched, first, end, matched / n))
     out = settled(found)
     if not out:
@@ -208,7 +220,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, key: str = "doc_id", tex
 
     ``templates`` holds (license, text) or (license, text, needed words), or is a DataFrame for :func:`load_templates`.
     Whole texts are scanned; the spans are those that an alignment of every template on every diagonal finds, if they hold the
-    template's needed words. Of spans that overlap, of one license or several, the best stays: by matched words, then coverage, then
+    template's needed words and none that tell a sibling of its license (FORBIDDEN). A preamble that several licenses share is a
+    license of its own, BSD-family. Of spans that overlap, of one license or several, the best stays: by matched words, then coverage, then
     the earlier, then the name. Words are compared in lower case without punctuation. Documents without a span,
     among them null and empty texts, have no row; repeated rows have a row each; a null key stays null; an empty table gives an empty
     result; further columns are not read, so their names may be any.

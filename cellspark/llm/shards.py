@@ -126,9 +126,13 @@ def write_shards(docs: DataFrame, path: str, rank_file: str, pattern: str, lengt
     texts are that token alone. Sequences are numbered in the order of the tasks' rows, and the slot of number
     i is the permutation of i. A record holds a head, ``length`` ids and a guard, so that of slot s starts at byte
     ``layout.locate(s)``. Ids take two bytes, or four if ``end`` or one of the file's ranks needs them. Repeated rows are sequences of
-    their own, null keys too. No rows make no shard.
+    their own, null keys too. No rows make no shard. A path that is there already raises, so a driver that tries again
+    must name a new one or clear the old: records are never added to shards.
     """
     spark = docs.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileExistsError(f"there is something at {path} already")
     most = max(end, *(int(x.split()[1]) for x in Path(rank_file).read_bytes().splitlines() if x))
     if not 0 <= end <= most < 1 << 31:
         raise ValueError(f"ids from 0 to {most} do not fit")
@@ -187,6 +191,9 @@ def read_shards(spark: SparkSession, path: str, layout: Layout, first: int = 0,
     first, last = max(first, 0), layout.size if count is None else min(layout.size, first + count)
     if first >= last:
         return spark.createDataFrame([], "slot long, shard int, doc_id long, part int, n_tokens int, ids binary")
+    whole_shards = spark.read.format("binaryFile").load(path).select("shard")
+    if twice := whole_shards.groupBy("shard").count().where("count > 1").select("shard").head(1):
+        raise ValueError(f"shard {twice[0].shard} has two files, as if it had been written twice")
     files = spark.read.format("binaryFile").load(path).where(F.col("shard").between(layout.locate(first)[0], layout.locate(last - 1)[0]))
     base = F.col("shard").cast("long") * layout.rows
     held = F.least(F.lit(layout.rows), F.lit(layout.size) - base)
