@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .numbering import cut, small
-from .select import densified
 
 def normalise(coo: DataFrame, target: float = 1e4) -> DataFrame:
     """``norm``: values scaled to a total of ``target`` per cell, as log1p."""
@@ -32,25 +31,14 @@ def length_normalise_assays(coo: DataFrame, cells: DataFrame, lengths: DataFrame
     return at.withColumn("value", F.when(F.col("__full"), F.col("value") / F.coalesce("length", F.lit(1))).otherwise(F.col("value"))).drop("length", "__full")
 
 
-def gene_components(coo: DataFrame, genes: DataFrame, k: int) -> DataFrame:
-    """``cell`` and ``pca``: the first ``k`` components of cells over ``genes`` (gene), which are few, as variable genes are."""
-    n = genes.count()
-    if not 0 < k <= n <= 10_000:
-        raise ValueError(f"{k} components of {n} genes; choose variable genes, 10,000 at most")
-    places = genes.select("gene", (F.row_number().over(Window.orderBy("gene")) - 1).alias("place"))
-    by = coo.join(F.broadcast(places), "gene").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("held"))
-    at = by.withColumn("held", F.transform("held", lambda x: F.struct(x["place"].alias("gene"), x["value"].alias("value"))))
-    return pca(at.select("cell", densified(F.col("held"), F.lit(n)).alias("vector")), "vector", k).select("cell", "pca")
-
-
 def batch_label(obs: DataFrame, keys: list[str], out: str = "batches") -> DataFrame:
     """The non-null batch keys that are there, joined by commas."""
     return obs.withColumn(out, F.concat_ws(",", *(F.col(k).cast("string") for k in keys if k in obs.columns)))
 
 
-def gene_moments(coo: DataFrame, cells: DataFrame, batch: str | None = None) -> DataFrame:
+def gene_moments(coo: DataFrame, cells: DataFrame, batch: str | Sequence[str] | None = None) -> DataFrame:
     """Mean and variance of each gene in each batch, with the zeros of all the batch's cells."""
-    keys = [batch] if batch else []
+    keys = [batch] if isinstance(batch, str) else list(batch or [])
     n = cells.groupBy(*keys).agg(F.count("*").alias("n"))
     at = coo.join(cells.select("cell", *keys), "cell") if keys else coo
     by = at.groupBy(*keys, "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
@@ -75,33 +63,36 @@ def _local_fit(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
     return np.interp(x, grid, fit)
 
 
-def variable_genes(coo: DataFrame, cells: DataFrame, n_top: int = 2000, batch: str | None = None, span: float = 0.3) -> DataFrame:
-    """Genes by standardised variance (``rank`` from 1, median over batches), the first ``n_top``.
+def variable_genes(coo: DataFrame, cells: DataFrame, n_top: int = 2000, batch: str | None = None, span: float = 0.3, by: str | None = None) -> DataFrame:
+    """Genes by standardised variance (``rank`` from 1, median over batches), the first ``n_top``; with ``by``, of each of its values by itself.
 
     The variance that a gene's mean lets expect comes from a local fit over the batch's genes, one task for each batch over
     a row for each gene; standardised values are clipped at sqrt(n) and summed in Spark.
     """
-    key = batch or "__batch"
-    cells = cells.select("cell", F.col(batch).alias(key) if batch else F.lit(0).alias(key))
-    moments = gene_moments(coo, cells, key).where("variance > 0 AND mean > 0")
+    own = [by] if by else []
+    keys = [*own, *([batch] if batch else [])] or ["__batch"]
+    cells = cells.select("cell", *keys) if own or batch else cells.select("cell", F.lit(0).alias("__batch"))
+    moments = gene_moments(coo, cells, keys).where("variance > 0 AND mean > 0")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("gene")  # genes of equal means are told apart by name, not by the order of arrival
         x, y = np.log10(part["mean"].to_numpy()), np.log10(part["variance"].to_numpy())
         part["sd"] = 10 ** (_local_fit(x, y, span if len(part) > 50 else 1.0) / 2)
-        return part[[key, "gene", "n", "mean", "sd"]]
+        return part[[*keys, "gene", "n", "mean", "sd"]]
 
-    schema = T.StructType([moments.schema[key], moments.schema["gene"], moments.schema["n"], T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType())])
-    fitted = moments.groupBy(key).applyInPandas(fit, schema)
+    schema = T.StructType([*(moments.schema[c] for c in (*keys, "gene", "n")), T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType())])
+    fitted = moments.groupBy(*keys).applyInPandas(fit, schema)
     at = coo.join(cells, "cell")
     clip = lambda v: F.least(v, F.sqrt("n") * F.col("sd") + F.col("mean"))
-    sums = at.join(small(fitted), [key, "gene"]).groupBy(key, "gene").agg(
+    sums = at.join(small(fitted), [*keys, "gene"]).groupBy(*keys, "gene").agg(
         F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.count("*").alias("m"), F.sum(clip(F.col("value"))).alias("s"), F.sum(clip(F.col("value")) ** 2).alias("q")
     )
     score = (F.col("n") * F.col("mean") ** 2 + F.col("q") - 2 * F.col("s") * F.col("mean")) / ((F.col("n") - 1) * F.col("sd") ** 2)
     scored = sums.withColumn("score", score)
-    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "gene")))
-    merged = ranked.groupBy("gene").agg(F.median("r").alias("m"), F.max("score").alias("score"))
-    return merged.withColumn("rank", F.row_number().over(Window.orderBy("m", "gene"))).where(F.col("rank") <= n_top).select("gene", "rank", "score")
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "gene")))
+    merged = ranked.groupBy(*own, "gene").agg(F.median("r").alias("m"), F.max("score").alias("score"))
+    order = (Window.partitionBy(*own) if own else Window).orderBy("m", "gene")
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_top).select(*own, "gene", "rank", "score")
 
 
 def pca(vectors: DataFrame, vector: str, k: int, out: str = "pca") -> DataFrame:
@@ -125,18 +116,20 @@ def cluster_means(coo: DataFrame, clusters: DataFrame) -> DataFrame:
     return sums.join(small(n), "cluster").select("cluster", "gene", (F.col("s") / F.col("n")).alias("mean"))
 
 
-def cluster_correlations(means: DataFrame, n_genes: int) -> DataFrame:
+def cluster_correlations(means: DataFrame, n_genes: int, types: DataFrame | None = None) -> DataFrame:
     """Pearson correlation of the clusters' mean vectors over ``n_genes`` genes, those without values included,
-    for all pairs ``a`` < ``b`` of clusters that have values.
+    for all pairs ``a`` < ``b`` of clusters that have values; with ``types`` (cluster, type) for pairs of one type alone.
 
-    Products are joined on genes and summed; the pairs come from the table of clusters, so those that share no gene are there too. A
-    cluster whose means are all equal has a null correlation.
+    Products are joined on genes, and on the type where there is one, and summed, so types never meet; the pairs come from the table of clusters,
+    so those that share no gene are there too. A cluster whose means are all equal has a null correlation; one without a type is in no pair.
     """
-    means = cut(means)
-    one = means.groupBy("cluster").agg(F.sum("mean").alias("s"), F.sum(F.col("mean") ** 2).alias("q"))
-    x, y = means.toDF("a", "gene", "x"), means.toDF("b", "gene", "y")
-    products = x.join(y, "gene").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-    pairs = one.toDF("a", "sa", "qa").join(small(one.toDF("b", "sb", "qb")), F.col("a") < F.col("b"))
+    keys = ["type"] if types is not None else []
+    means = cut(means.join(small(types.select("cluster", "type")), "cluster") if types is not None else means).select(*keys, "cluster", "gene", "mean")
+    one = means.groupBy(*keys, "cluster").agg(F.sum("mean").alias("s"), F.sum(F.col("mean") ** 2).alias("q"))
+    x, y = means.toDF(*keys, "a", "gene", "x"), means.toDF(*keys, "b", "gene", "y")
+    products = x.join(y, [*keys, "gene"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
+    left, right = one.toDF(*keys, "a", "sa", "qa"), one.toDF(*keys, "b", "sb", "qb")
+    pairs = left.join(right, "type").where("a < b") if keys else left.join(small(right), F.col("a") < F.col("b"))
     at = pairs.join(products, ["a", "b"], "left")
     n = F.lit(float(n_genes))
     top = F.coalesce("p", F.lit(0.0)) - F.col("sa") * F.col("sb") / n

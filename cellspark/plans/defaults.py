@@ -34,7 +34,8 @@ def cluster_names(cells: DataFrame, coo: DataFrame, n_genes: int, cell_type: str
     of_cell = cut(at.join(small(named.select("type", "cluster", "name")), ["type", "cluster"]).select("cell", "type", "name"))
     sizes = of_cell.groupBy("type", "name").agg(F.count("*").alias("n"))
     means = cluster.cluster_means(coo, of_cell.select("cell", F.col("name").alias("cluster")))
-    merges = cluster.merge_map(cluster.cluster_correlations(means, n_genes), sizes.select("name", "type"), MAX_SIMILARITY)
+    types = sizes.select(F.col("name").alias("cluster"), "type")
+    merges = cluster.merge_map(cluster.cluster_correlations(means, n_genes, types), types.select("cluster", "type"), MAX_SIMILARITY)
     final = cluster.renumber(sizes, merges, "type", "name")
     # The artifact only kept types of different artifacts apart.
     return of_cell.join(small(final), ["type", "name"]).select("cell", F.regexp_replace("final", r"^[^|]*\|", "").alias("clust_cell_type"))

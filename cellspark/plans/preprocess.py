@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cluster, genes as gene_ops, qc
+from ..operators.components import artifact_components
 from ..operators.numbering import cut, small
 from ..operators.select import with_bins
 from ..sources import catalog
@@ -125,9 +126,9 @@ class Preprocessor:
         kept, components = cluster.batch_label(kept, list(o.batch_keys)), None
         if o.n_hvg:
             scaled = normed.select("cell", "gene", F.col("norm").alias("value"))
-            top = cut(cluster.variable_genes(scaled, kept, o.n_hvg, "batches").select("gene", F.lit(True).alias("hvg")))
-            components = cluster.gene_components(scaled, top, min(o.n_pcs, top.count())) if o.n_pcs else None
-            normed = normed.join(small(top), "gene", "left").withColumn("hvg", F.coalesce("hvg", F.lit(False)))
+            top = cut(cluster.variable_genes(scaled, kept, o.n_hvg, "batches", by="artifact").select("artifact", "gene", F.lit(True).alias("hvg")))
+            components = artifact_components(scaled, kept, top, o.n_pcs).drop("artifact") if o.n_pcs else None
+            normed = normed.join(kept.select("cell", "artifact"), "cell").join(small(top), ["artifact", "gene"], "left").drop("artifact").withColumn("hvg", F.coalesce("hvg", F.lit(False)))
         else:
             normed = normed.withColumn("hvg", F.lit(False))
         expr = normed.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("gene", "value", "norm", "hvg"))).alias("expr"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import standins as t
 from .functions import scalars
-from .operators import approximate, cluster, labels, leiden, neighbors, ontology, qc, remap, sampling, select
+from .operators import approximate, cluster, components, labels, leiden, neighbors, ontology, qc, remap, sampling, select
 from .operators import genes as gene_ops
 from .plans.collate import CollateOptions, collate
 from .plans.datamodule import CellDataset, DataModule, LoaderOptions
@@ -697,6 +697,16 @@ def pca_centered(s, d):
     return out.select("row", *(F.round(F.col("pca")[i], 6).alias(f"pc{i}") for i in range(4)))
 
 
+@query
+def artifact_components(s, d):
+    """Three components of each artifact's cells over its own variable genes; held against NumPy in the tests."""
+    normed = cluster.normalise(t.values(s, d)).select("cell", "gene", F.col("norm").alias("value"))
+    obs = t.obs(s, d)
+    genes = cluster.variable_genes(normed, obs, 200, by="artifact").select("artifact", "gene")
+    out = components.artifact_components(normed, obs, genes, 3)
+    return out.select("artifact", "cell", *(F.round(F.col("pca")[i], 4).alias(f"pc{i}") for i in range(3)))
+
+
 @query
 def hvg_rank(s, d):
     normed = cluster.normalise(t.values(s, d)).select("cell", "gene", F.col("norm").alias("value"))
