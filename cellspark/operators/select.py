@@ -59,12 +59,16 @@ def with_zero_genes(cells: DataFrame, need: Column, n_genes: int | Column, cell:
     vocabulary but these.
     """
     n_genes = F.lit(n_genes) if isinstance(n_genes, int) else n_genes
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(probes)), lambda i: F.floor(uniform(seed, F.col(cell), i) * n_genes).cast("int"))
-    at = cells.withColumn("__need", need).withColumn("__drawn", F.array_except(F.array_distinct(drawn), "taken"))
+    draws = lambda n: F.array_except(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.floor(uniform(seed, F.col(cell), i) * n_genes).cast("int"))), F.col("taken"))
+    # The first free draws are the same of few probes as of all, so most cells make few.
+    at = cells.withColumn("__need", F.greatest(need, F.lit(0)).cast("int"))
+    at = at.withColumn("__drawn", F.when(F.col("__need") > 0, draws(F.least(F.lit(probes), F.col("__need") * 2 + 2))).otherwise(F.array().cast("array<int>")))
     free = F.array_except(F.sequence(F.lit(0), n_genes.cast("int") - 1), F.col("taken"))
     ordered = F.transform(F.array_sort(F.transform(free, lambda g: F.struct(hash_key(seed, F.col(cell), g).alias("h"), g.alias("g")))), lambda x: x["g"])
-    enough = F.size("__drawn") >= F.col("__need")
-    return at.withColumn(out, F.slice(F.when(enough, F.col("__drawn")).otherwise(ordered), F.lit(1), F.greatest("__need", F.lit(0)))).drop("__need", "__drawn")
+    enough = lambda x: F.size(x) >= F.col("__need")
+    every = draws(F.lit(probes))
+    chosen = F.when(enough(F.col("__drawn")), F.col("__drawn")).when(enough(every), every).otherwise(ordered)
+    return at.withColumn(out, F.slice(chosen, F.lit(1), F.col("__need"))).drop("__need", "__drawn")
 
 
 def with_bins(cells: DataFrame, n_bins: int, expr: str = "expr", bins: str = "bins", edges: str = "bin_edges") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -19,8 +18,8 @@ from ..operators.numbering import small
 from ..operators.select import by_neighbours, densified, most_expressed, most_expressed_with_neighbours, random_expressed, with_bins, with_zero_genes
 
 
-#: Genes of a vocabulary that goes to every task; a larger one meets the values in a join.
-VOCABULARY_ROWS = 2_000_000
+#: Genes, and their bytes, of a vocabulary that goes to every task; a larger one meets the values in a join.
+VOCABULARY_ROWS, VOCABULARY_BYTES = 1_000_000, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -55,34 +54,62 @@ def _ranked(genes: DataFrame) -> DataFrame:
     return genes.select("organism", "gene", (F.row_number().over(Window.partitionBy("organism").orderBy("pos")) - 1).alias("rank"))
 
 
-def _ranks(flat: pa.Array, row: np.ndarray, organism: pa.Array, known: dict[str, list]) -> np.ndarray:
-    """For genes of cells (``row`` is the gene's cell) their ranks, or -1."""
-    rank = np.full(len(flat), -1, np.int32)
-    of = np.asarray(organism.to_pylist(), object)
-    for name in set(of.tolist()) & set(known):
-        found = pc.fill_null(pc.index_in(flat, value_set=pa.array(known[name], flat.type)), -1).to_numpy(zero_copy_only=False)
-        own = (of == name)[row]
-        rank[own] = found[own]
-    return rank
+class Vocabulary:
+    """Genes by organism, in the order of their ranks. Its indices are built once for a Python worker, as it is sent as a broadcast value."""
+
+    def __init__(self, genes: dict[str, pa.Array]):
+        self.genes, self.indices = genes, {}
+
+    def __getstate__(self) -> dict:
+        return {"genes": self.genes, "indices": {}}
+
+    def index(self, organism: str, kind: pa.DataType) -> tuple[pd.Index, np.ndarray]:
+        """The organism's distinct genes, and the rank of each (with -1 behind them)."""
+        if (organism, kind) not in self.indices:
+            at = pd.Index(self.genes[organism].cast(kind).to_pandas())
+            first = ~at.duplicated()
+            self.indices[organism, kind] = at[first], np.append(np.flatnonzero(first), -1).astype(np.int32)
+        return self.indices[organism, kind]
+
+    def ranks(self, flat: pa.Array, row: np.ndarray, organism: pa.Array) -> np.ndarray:
+        """For genes of cells (``row`` is the gene's cell) their ranks, or -1. Each distinct gene of a batch is looked up once."""
+        coded = flat.dictionary_encode()
+        code, genes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False), coded.dictionary.to_pandas()
+        rank, named = np.full(len(flat), -1, np.int32), organism.dictionary_encode()
+        names = named.dictionary.to_pylist()
+        of = named.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)
+        for i, name in enumerate(names):
+            if name in self.genes:
+                at, ranks = self.index(name, flat.type)
+                found = np.append(ranks[at.get_indexer(genes)], -1).astype(np.int32)[code]
+                rank = found if len(names) == 1 and named.null_count == 0 else np.where((of == i)[row], found, rank)
+        return rank
+
+
+def _fetched(genes: DataFrame, limit: int) -> pa.Table | None:
+    """The rows of ``genes`` as Arrow data, or None if they are more than ``limit`` or VOCABULARY_BYTES."""
+    if genes.limit(limit + 1).count() > limit:
+        return None
+    sized = genes.agg(*(F.sum(F.octet_length(F.col(c).cast("string"))).alias(c) for c in genes.columns)).first()
+    return genes.toArrow() if sum(n or 0 for n in sized) <= VOCABULARY_BYTES else None
 
 
 def placing(genes: DataFrame, near: bool, limit: int = VOCABULARY_ROWS) -> tuple[Callable[[Column, Column], Column], Callable[[Column, Column, Column], Column]] | None:
     """Two functions of columns that look genes up within a row: ``place`` (expr, organism) gives a cell's values of known genes by rank, ``gather``
     (neighbours' exprs, ranks, organism) each neighbour's values at the ranks. None for a vocabulary beyond ``limit``.
     """
-    rows = _ranked(genes).orderBy("organism", "rank").limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = _fetched(_ranked(genes).where(F.col("organism").isNotNull()), limit)
+    if rows is None:
         return None
-    known: dict[str, list] = defaultdict(list)
-    for r in rows:
-        known[r.organism].append(r.gene)
-    shared = genes.sparkSession.sparkContext.broadcast(dict(known))
+    rows = rows.sort_by([("organism", "ascending"), ("rank", "ascending")])
+    known = {name: rows.filter(pc.equal(rows["organism"], name))["gene"].combine_chunks() for name in pc.unique(rows["organism"]).to_pylist()}
+    shared = genes.sparkSession.sparkContext.broadcast(Vocabulary(known))
     names = ["gene", "value", *(["near"] if near else [])]
 
     def place(expr: pa.Array, organism: pa.Array) -> pa.Array:
         lengths = pc.fill_null(pc.list_value_length(expr), 0).to_numpy(zero_copy_only=False)
         row, flat = np.repeat(np.arange(len(expr)), lengths), expr.flatten()
-        rank = _ranks(flat.field("gene"), row, organism, shared.value)
+        rank = shared.value.ranks(flat.field("gene"), row, organism)
         kept = np.flatnonzero(rank >= 0)
         kept = kept[np.lexsort((rank[kept], row[kept]))]
         offsets = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(expr)))]).astype(np.int32)
@@ -98,8 +125,8 @@ def placing(genes: DataFrame, near: bool, limit: int = VOCABULARY_ROWS) -> tuple
             near, rows = cells.values, []
             flat = near.flatten()
             own = np.repeat(np.arange(len(near)), pc.fill_null(pc.list_value_length(near), 0).to_numpy(zero_copy_only=False))
-            rank = _ranks(flat.field("gene"), own, pa.array([name.as_py()] * len(near)), shared.value)
-            dense = np.zeros((len(near), len(shared.value.get(name.as_py(), ())) + 1))
+            rank = shared.value.ranks(flat.field("gene"), own, pa.array([name.as_py()] * len(near), pa.string()))
+            dense = np.zeros((len(near), len(shared.value.genes.get(name.as_py(), ())) + 1))
             dense[own, rank] = flat.field("value").cast(pa.float64()).to_numpy(zero_copy_only=False)
             rows = dense[:, np.asarray(at, np.int64)] if at else np.zeros((len(near), 0))
             out.append(rows.tolist())
@@ -111,19 +138,18 @@ def placing(genes: DataFrame, near: bool, limit: int = VOCABULARY_ROWS) -> tuple
 
 def keep_genes(cells: DataFrame, genes: DataFrame, limit: int = VOCABULARY_ROWS) -> DataFrame:
     """The cells with the values of ``genes`` (gene) alone; looked up within the row for at most ``limit`` genes, else in a join."""
-    rows = genes.select("gene").distinct().limit(limit + 1).collect()
+    rows = _fetched(genes.select("gene").where(F.col("gene").isNotNull()).distinct(), limit)
     kind = cells.schema["expr"].dataType
-    if len(rows) > limit:
+    if rows is None:
         long = cells.select("cell", F.explode("expr").alias("x")).join(genes.select(F.col("gene").alias("__g")).distinct(), F.col("x.gene") == F.col("__g"), "left_semi")
         kept = long.groupBy("cell").agg(F.sort_array(F.collect_list("x")).alias("__kept"))
         return cells.join(kept, "cell", "left").withColumn("expr", F.coalesce("__kept", F.array().cast(kind))).drop("__kept")
-    shared = cells.sparkSession.sparkContext.broadcast([r.gene for r in rows])
+    shared = cells.sparkSession.sparkContext.broadcast(Vocabulary({"": rows["gene"].combine_chunks()}))
 
     def known(expr: pa.Array) -> pa.Array:
-        flat = expr.flatten()
-        found = pc.is_in(flat.field("gene"), value_set=pa.array(shared.value, flat.field("gene").type))
-        offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(expr), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), found)
+        flat, lengths = expr.flatten(), pc.fill_null(pc.list_value_length(expr), 0).to_numpy(zero_copy_only=False)
+        rank = shared.value.ranks(flat.field("gene"), np.repeat(np.arange(len(expr)), lengths), pa.array([""] * len(expr), pa.string()))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(rank >= 0))
 
     marks = F.arrow_udf(known, T.ArrayType(T.BooleanType()))
     at = cells.withColumn("__known", marks(F.col("expr")))
@@ -146,7 +172,7 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
 
     ``cells``: cell, organism, expr (sparse; with a field ``near``, the neighbours' sum, genes are chosen and filled
     by it too), the label codes. ``genes``: gene, organism, pos; a gene that is not in it is masked, but counts for the
-    depth. Genes are looked up within the row, so nothing is shuffled, while the vocabulary has at most VOCABULARY_ROWS genes; a larger one
+    depth. Genes are looked up within the row, so nothing is shuffled, while the vocabulary has at most VOCABULARY_ROWS genes of VOCABULARY_BYTES; a larger one
     meets the values in a join. What cells have of ``is_meta``, ``knn_cells`` (neighbours' sparse values) and ``knn_cells_info`` is given too:
     ``knn_cells`` at the row's genes, scaled and logged as the row is.
     """
@@ -165,7 +191,8 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
     if look_up is None and knn:
         raise ValueError(f"neighbours' values need a vocabulary of at most {VOCABULARY_ROWS} genes")
     at = at.withColumn("placed", look_up[0](F.col("expr"), F.col("__org"))) if look_up else _placed_by_join(at, chosen, options.key, near)
-    at = at.drop("expr").join(small(known), F.col("__org") == F.col("__o"))
+    # Rows carry the width alone through the steps; the positions, an array of an organism's genes, come in at the end.
+    at = at.drop("expr").join(small(known.select("__o", "width")), F.col("__org") == F.col("__o")).drop("__o")
     if options.how in ("all", "some"):
         at = at.withColumn("dense", densified(F.col("placed"), F.col("width")))
         at = at.withColumn("picked", F.transform("dense", lambda v, i: F.struct(i.alias("gene"), v.alias("value")))).drop("dense")
@@ -197,6 +224,7 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
     if knn:
         values = look_up[1](F.col("knn_cells"), F.transform("picked", lambda p: p["gene"].cast("int")), F.col("__org"))
         at = at.withColumn("knn_cells", F.transform(values, lambda row: F.transform(row, scaled)))
+    at = at.join(small(known.select("__o", "positions")), F.col("__org") == F.col("__o"))
     dataset = [F.col(options.dataset_name).cast("long").alias("dataset")] if options.dataset_name else []
     return at.select("cell", x.alias("x"), places.cast("array<int>").alias("genes"), label.alias("class"), tp.alias("tp"), "depth", *also, *knn, *dataset, *options.extra)
 
