@@ -68,19 +68,25 @@ class Stored:
 
 
 def ranges(df: DataFrame, index: str, rows: int = PART_ROWS) -> Column:
-    """A number for each stretch of about ``rows`` rows in the order of a numeric ``index``, by its least and largest value.
+    """A number for each stretch of about ``rows`` rows in the order of a numeric ``index``, whatever its gaps; nulls are in the first.
 
-    An index without gaps, as a global index is, gives even stretches. Other types than numbers are one stretch by hash
-    instead, in which case the order is that of hashes first.
+    Stretches end at quantiles of the index, found in one pass; only rows of equal index stay together. A row finds its stretch by
+    bisection. Other types than numbers are stretches of hashes instead, in which case the order is that of hashes first.
     """
     if not isinstance(df.schema[index].dataType, T.NumericType):
         n = df.count()
         return F.pmod(F.xxhash64(index), F.lit(-(-n // rows) or 1)).cast("long")
-    x = df.agg(F.count(index).alias("n"), F.min(index).cast("double").alias("lo"), F.max(index).cast("double").alias("hi")).first()
-    parts = -(-x.n // rows) if x.n else 1
-    if parts == 1 or x.hi == x.lo:
+    parts = -(-df.where(F.col(index).isNotNull()).count() // rows)
+    if parts <= 1:
         return F.lit(0).cast("long")
-    return F.least(F.floor((F.col(index).cast("double") - x.lo) / F.lit(x.hi - x.lo) * parts), F.lit(parts - 1)).cast("long")
+    x = F.col(index).cast("double")
+    found = df.agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("q")).first().q
+    ends = sorted(set(found))
+    steps = len(ends).bit_length()
+    padded = F.array(*(F.lit(float(e)) for e in [*ends, *([float("inf")] * ((1 << steps) - len(ends)))]))
+    # The number of ends that lie below the row, bit by bit, the largest first; NaN lies above all.
+    step = lambda lo, half: lo + F.when(F.get(padded, lo + half - 1) < x, half).otherwise(0)
+    return F.aggregate(F.array(*(F.lit(1 << i) for i in reversed(range(steps)))), F.lit(0), step).cast("long")
 
 
 def numbered(df: DataFrame, keys: Sequence[str], part: Column, order: Sequence[str | Column], out: str = "pos") -> DataFrame:

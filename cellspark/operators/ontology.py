@@ -33,12 +33,28 @@ def closure(edges: DataFrame) -> DataFrame:
         n = m
 
 
+def reached(edges: DataFrame, terms: DataFrame, up: bool = True) -> DataFrame:
+    """``term`` and ``reached``: what lies above (or below) each of ``terms`` (term), each pair once; a term itself only in cycles.
+
+    Only what the round before found anew meets the edges again, so rows grow with the answer, not with the ontology's closure.
+    """
+    near, far = ("child", "parent") if up else ("parent", "child")
+    steps = cut(edges.select(F.col(near).alias("reached"), F.col(far).alias("__next")).distinct())
+    new = cut(terms.select("term", F.col("term").alias("reached")).where(F.col("term").isNotNull()).distinct())
+    every = None
+    while every is None or not new.isEmpty():
+        found = new.join(steps, "reached").select("term", F.col("__next").alias("reached")).distinct()
+        new = cut(found.join(every, ["term", "reached"], "left_anti") if every is not None else found)
+        every = cut(every.union(new)) if every is not None else new
+    return every
+
+
 def ancestors(edges: DataFrame, term: str) -> DataFrame:
-    return closure(edges).where(F.col("child") == term).select("ancestor")
+    return reached(edges, edges.sparkSession.createDataFrame([(term,)], "term string")).select(F.col("reached").alias("ancestor"))
 
 
 def descendants(edges: DataFrame, term: str) -> DataFrame:
-    return closure(edges).where(F.col("ancestor") == term).select(F.col("child").alias("descendant"))
+    return reached(edges, edges.sparkSession.createDataFrame([(term,)], "term string"), up=False).select(F.col("reached").alias("descendant"))
 
 
 def groupings(terms: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

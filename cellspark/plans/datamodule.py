@@ -16,6 +16,7 @@ from ..operators.genes import aligned_pct, inner_genes, require_genes, vars_alig
 from ..operators.neighbors import with_metacells, with_neighbours
 from ..operators.numbering import small
 from ..sources.catalog import with_global_index
+from ..sources.store import write_store
 from .collate import CollateOptions, collate, iter_batches, keep_genes
 
 #: Assays whose cells are metacells already.
@@ -68,6 +69,7 @@ class CellDataset:
         self.labels, self.hierarchical = list(dict.fromkeys([*predict, *hierarchical])), list(hierarchical)
         self.encoders: dict[str, DataFrame] = {}
         self.groupings: dict[str, DataFrame] = {}
+        self._coded: DataFrame | None = None
         for label in self.labels:
             if label not in hierarchical:
                 self.encoders[label] = labels.encoder(cells, label)
@@ -92,11 +94,20 @@ class CellDataset:
 
     def encoded(self) -> DataFrame:
         """The cells with ``<label>_code`` for every label."""
+        if self._coded is not None:
+            return self._coded
         out = self.cells
         for label, codes in self.encoders.items():
             out = labels.encode(out, codes, label, f"{label}_code")
         return out
 
+    def store(self, name: str | None = None, path: str | None = None, buckets: int | None = None) -> DataFrame:
+        """Write the encoded cells in buckets of the global index (see :func:`write_store`) and read them from there from now on: epochs then
+        shuffle draws alone, and :meth:`row` reads one file."""
+        self._coded = write_store(self.encoded(), name, path, buckets)
+        self.cells = self._coded.drop(*(f"{label}_code" for label in self.encoders))
+        return self._coded
+
     def decoders(self) -> DataFrame:
         first, *rest = (t.select("label", "code", "value") for t in self.encoders.values())
         for t in rest:
@@ -113,7 +124,7 @@ class CellDataset:
         there = {r.label for r in table.select("label").distinct().collect()}
         if lacking := [x for x in self.labels if x not in there]:
             raise ValueError(f"no encoder was saved for {lacking}")
-        self.encoders = {x: table.where(F.col("label") == x) for x in self.labels}
+        self.encoders, self._coded = {x: table.where(F.col("label") == x) for x in self.labels}, None
 
     def labels_hierarchy(self, label: str) -> DataFrame:
         return ontology.coded_groupings(self.groupings[label], self.encoders[label])

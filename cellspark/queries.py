@@ -697,6 +697,24 @@ def pca_centered(s, d):
     return out.select("row", *(F.round(F.col("pca")[i], 6).alias(f"pc{i}") for i in range(4)))
 
 
+@query
+def stored_epoch(s, d):
+    """An epoch's draws and their cells, which lie in buckets of the global index."""
+    dataset = _dataset(s, d)
+    dataset.store(buckets=4)
+    module = DataModule(dataset, ["priority"], LoaderOptions(n_samples=3000, validation=0.2, test=0.15, seed=42), CollateOptions(how="most expr", max_len=3))
+    module.setup()
+    return module.train(1).select("draw_id", "cell", F.col("class")[0].alias("code"), rounded("depth"))
+
+
+@query
+def stored_lookup(s, d):
+    """One cell by its global index, from one bucket."""
+    dataset = _dataset(s, d)
+    dataset.store(buckets=4)
+    return dataset.row(23).select("cell", "artifact", "global_idx", F.size("expr").alias("nnz"))
+
+
 @query
 def artifact_components(s, d):
     """Three components of each artifact's cells over its own variable genes; held against NumPy in the tests."""

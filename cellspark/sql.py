@@ -386,6 +386,7 @@ add(
     _CELLS,
 )
 add("class_sizes", "SELECT 'priority' AS label, count(DISTINCT priority) AS n_classes FROM dc UNION ALL SELECT 'segment', count(DISTINCT segment) FROM dc", _CELLS)
+add("stored_lookup", "SELECT cell, artifact, global_idx, n::INT AS nnz FROM dn JOIN met USING (cell) WHERE global_idx = 23", _CELLS)
 add("row_lookup", "SELECT cell, artifact, global_idx, n::INT AS nnz FROM dn JOIN met USING (cell) WHERE global_idx = 17", _CELLS)
 add(
     "gene_list",
@@ -405,14 +406,20 @@ add(
 LEFT JOIN (SELECT cell, sum(value) AS total FROM own GROUP BY cell) t ON t.cell = sp.cell""",
     _SMALL + _SPLIT,
 )
-add(
-    "loader_epoch",
-    "SELECT draw_id, global_idx FROM (SELECT draw_id, label, floor(" + uniform("'42e1r#' || draw_id") + " * n)::BIGINT AS pos FROM drawn JOIN cs USING (label)) d JOIN ix USING (label, pos)",
+_EPOCH = "SELECT draw_id, global_idx FROM (SELECT draw_id, label, floor(" + uniform("'42e1r#' || draw_id") + " * n)::BIGINT AS pos FROM drawn JOIN cs USING (label)) d JOIN ix USING (label, pos)"
+_EPOCH_OF = (
     _SPLIT
     + """, codes AS (SELECT priority, row_number() OVER (ORDER BY priority) - 1 AS label FROM (SELECT DISTINCT priority FROM dc)),
 tr AS (SELECT global_idx, label FROM sp JOIN codes USING (priority) WHERE split = 'train'), cs AS (SELECT label, count(*) AS n FROM tr GROUP BY label),
 w1 AS (SELECT label, 50.0::DOUBLE * n / (n + 50.0::DOUBLE) AS w FROM cs)"""
     + _CLASSES.format(w="w1")
     + f""", drawn AS (SELECT draw_id, label FROM (SELECT i AS draw_id, {uniform("'42e1#' || i")} AS u FROM range(3000) r(i)) JOIN ivl ON u >= lo AND u < hi),
-ix AS (SELECT label, global_idx, row_number() OVER (PARTITION BY label ORDER BY global_idx) - 1 AS pos FROM tr)""",
+ix AS (SELECT label, global_idx, row_number() OVER (PARTITION BY label ORDER BY global_idx) - 1 AS pos FROM tr)"""
+)
+add("loader_epoch", _EPOCH, _EPOCH_OF)
+add(
+    "stored_epoch",
+    "SELECT draw_id, cell, code, round(depth, 6) AS depth FROM (" + _EPOCH + """) JOIN sp USING (global_idx) JOIN (SELECT priority, (row_number() OVER (ORDER BY priority) - 1)::INT AS code FROM (SELECT DISTINCT priority FROM dc)) USING (priority)
+JOIN (SELECT cell, total AS depth FROM met) USING (cell)""",
+    _EPOCH_OF,
 )
