@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered, ranges
+from .zarr import read_zarr
 
 #: Suffixes that :func:`read_cells` can read.
-SUFFIXES = (".parquet",)
+SUFFIXES = (".parquet", ".zarr")
 BLOCK_CELLS, BLOCK_BYTES = 30_000, 2.5e9
 
 
@@ -25,8 +26,8 @@ def members(artifacts: DataFrame, collection: DataFrame, key: str, latest: bool
 
 
 def read_cells(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The cells of Parquet artifacts; columns that some lack are null there."""
-    out = union_cells([spark.read.parquet(p) for p in paths])
+    """The cells of Parquet and zarr artifacts (by their suffix); columns that some lack are null there."""
+    out = union_cells([read_zarr(spark, p).drop("obs_idx") if p.rstrip("/").endswith(".zarr") else spark.read.parquet(p) for p in paths])
     check_rows(out)
     return out
 
