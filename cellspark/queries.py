@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from . import standins as t
 from .functions import scalars
 from .operators import approximate, cluster, components, labels, leiden, neighbors, ontology, qc, remap, sampling, select
 from .operators import genes as gene_ops
+from .operators.numbering import shared_folder
 from .plans.collate import CollateOptions, collate
 from .plans.datamodule import CellDataset, DataModule, LoaderOptions
+from .plans.growing import GrowingCollection
 from .sources import catalog, files
 from .streaming import ingest
 
@@ -148,6 +151,16 @@ def class_index_offsets(s, d):
     return labels.class_index(t.obs(s, d), "priority", "cell").select("priority", "cell", "pos", "offset")
 
 
+@query
+def growing_index(s, d):
+    """All cells' artifacts in a batch a region: the index, split and class index of the whole."""
+    region = t.table(s, d, "nation").select(F.col("n_nationkey").alias("artifact"), F.col("n_regionkey").alias("region"))
+    at, out = t.obs(s, d).join(region, "artifact"), GrowingCollection(s, f"{shared_folder(region)}/growing-{uuid.uuid4().hex}", ["priority"], ["status"], test=0.1)
+    for i, r in enumerate(region.select("region").distinct().orderBy("region").collect()):
+        out.append(at.where(F.col("region") == r.region), i)
+    return out.cells().select("cell", "storage_idx", "obs_idx", "global_idx", "split").join(out.class_index(), "global_idx", "left")
+
+
 @query
 def value_counts_pct(s, d):
     return labels.value_counts(t.table(s, d, "events"), "event_type").select("event_type", "n", rounded("pct"))

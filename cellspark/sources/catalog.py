@@ -86,6 +86,12 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path, if anything does."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
 def _reserved(spark: SparkSession, catalog_path: str) -> int:
     """A version number that no other writer has: its file is made only where there is none, else the next is tried."""
     fs, folder = _files(spark, f"{catalog_path}/_numbers")

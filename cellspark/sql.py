@@ -95,6 +95,15 @@ add(
     "SELECT priority, cell, (row_number() OVER (PARTITION BY priority ORDER BY cell) - 1)::INT AS pos, \"offset\" FROM obs JOIN o USING (priority)",
     ", o AS (SELECT priority, (sum(count(*)) OVER (ORDER BY priority) - count(*))::BIGINT AS \"offset\" FROM obs GROUP BY priority)",
 )
+add(
+    "growing_index",
+    """SELECT cell, storage_idx, obs_idx, global_idx, split, label::INT AS label, pos, "offset" FROM sides LEFT JOIN (
+  SELECT global_idx, row_number() OVER (PARTITION BY priority ORDER BY global_idx) - 1 AS pos, label, "offset" FROM sides JOIN cl USING (priority) WHERE split = 'train') USING (global_idx)""",
+    """, came AS (SELECT obs.*, row_number() OVER (ORDER BY n_regionkey, artifact, cell) - 1 AS global_idx, dense_rank() OVER (ORDER BY n_regionkey, artifact) - 1 AS storage_idx,
+    row_number() OVER (PARTITION BY artifact ORDER BY cell) - 1 AS obs_idx FROM obs JOIN nation ON artifact = n_nationkey),
+sides AS (SELECT *, CASE WHEN """ + uniform("'42t#' || artifact") + " < 0.1 THEN 'test' WHEN " + uniform("'42v#' || artifact || '#' || cell") + """ < 0.2 THEN 'validation' ELSE 'train' END AS split FROM came),
+cl AS (SELECT priority, row_number() OVER (ORDER BY priority) - 1 AS label, (sum(count(*)) OVER (ORDER BY priority) - count(*))::BIGINT AS "offset" FROM sides WHERE split = 'train' GROUP BY priority)""",
+)
 add("value_counts_pct", "SELECT event_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS pct FROM events GROUP BY event_type")
 add("top_labels", "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 3")
 add("null_counts", "SELECT 'a' AS \"column\", count(*) FILTER (l_quantity <= 40) AS n_null FROM lineitem UNION ALL SELECT 'b', count(*) FILTER (l_returnflag = 'A') FROM lineitem")
