@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.genes import gene_vocabulary
-from .plans.defaults import clean_before
+from .plans.defaults import after_with, clean_before
 from .plans.preprocess import PreprocessOptions, preprocess_collection
 from .sources.files import read_list
 
@@ -42,6 +43,11 @@ def parser() -> argparse.ArgumentParser:
     pre.add_argument("--maxfilesize", type=float, default=PreprocessOptions.maxfilesize)
     pre.add_argument("--clean-labels", action="store_true", help="clean ethnicities, cell types and tissues first")
     pre.add_argument("--key", default="preprocessed", help="name of the collection that is registered")
+    pre.add_argument("--communities", action="store_true", help="add communities, names of clusters and age groups; needs --n-pcs")
+    pre.add_argument("--stages", help="tab-separated stage and group, for age groups")
+    pre.add_argument("--neighbours", type=int, default=15)
+    pre.add_argument("--approximate", action="store_true", help="approximate neighbours, for large artifacts")
+    pre.add_argument("--by-modularity", action="store_true")
     pre.add_argument("--resume", action="store_true", help="skip artifacts that the report has already")
     pre.add_argument("--n-hvg", type=int, default=0)
     pre.add_argument("--binning", type=int, default=0)
@@ -79,6 +85,18 @@ def populate(spark: SparkSession, in_dir: str, out_dir: str) -> None:
     terms.select("kind", "ontology_id", "name", "parents").unionByName(extra).dropDuplicates(["kind", "ontology_id"]).write.mode("overwrite").parquet(out_dir)
 
 
+def communities_after(spark: SparkSession, in_dir: str, given: dict) -> Callable[[DataFrame], DataFrame] | None:
+    """The hook after preprocessing, of the options that are its own, which are taken out of ``given``; None if it was not asked for."""
+    wanted, stages, k, approximate, by_modularity = (given.pop(x) for x in ("communities", "stages", "neighbours", "approximate", "by_modularity"))
+    if not wanted:
+        return None
+    if not given["n_pcs"]:
+        raise ValueError("communities are those of components; set n_pcs")
+    groups = {r.stage: r.group for r in spark.read.csv(stages, sep="\t", schema="stage string, `group` string").collect()} if stages else {}
+    tables = {n: spark.read.parquet(f"{in_dir}/{n}") for n in ("coo", "vocabulary", "ontology")}
+    return after_with(tables["coo"].select("cell", "gene", "value"), tables["ontology"], groups, tables["vocabulary"].count(), k, approximate, by_modularity)
+
+
 def main(arguments: list[str] | None = None) -> None:
     given = vars(parser().parse_args(arguments))
     command, in_dir, out_dir = given.pop("command"), given.pop("in_dir"), given.pop("out_dir")
@@ -90,7 +108,8 @@ def main(arguments: list[str] | None = None) -> None:
     else:
         start, key, resume = given.pop("start_at"), given.pop("key"), given.pop("resume")
         before = clean_before if given.pop("clean_labels") else None
-        preprocess_collection(spark, in_dir, out_dir, PreprocessOptions(**given, before=before), start, key, resume).show(truncate=False)
+        after = communities_after(spark, in_dir, given)
+        preprocess_collection(spark, in_dir, out_dir, PreprocessOptions(**given, before=before, after=after), start, key, resume).show(truncate=False)
 
 
 if __name__ == "__main__":

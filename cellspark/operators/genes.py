@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def union_cells(tables: Sequence[DataFrame]) -> DataFrame:
+    """Tables as one by their columns' names; what a table lacks is null there."""
+    if not tables:
+        raise ValueError("a collection needs at least one artifact")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def gene_vocabulary(genes: DataFrame, organism: str | None, drop: Sequence[str] = (), case_insensitive: bool = False) -> DataFrame:
     """The genes of one organism: id (else stable id), first of equal ids by symbol, flags, constant organism (None: that of the rows).
 
@@ -50,6 +59,26 @@ def outer_genes(var: DataFrame, artifact: str = "artifact", gene: str = "gene")
     return var.select(artifact, gene).distinct().groupBy(gene).agg(F.count("*").alias("n_artifacts"))
 
 
+def merge_only(vars_: Sequence[DataFrame], gene: str = "gene") -> DataFrame:
+    """The genes of all tables, with the columns that one table alone has; columns of two or more are left out, as they may disagree.
+
+    A gene that the column's table lacks is null there. A table's repeated genes count once, with their least values.
+    """
+    if not vars_:
+        raise ValueError("there are no tables of genes")
+    held = Counter(c for v in vars_ for c in v.columns if c != gene)
+    own = [[c for c in v.columns if held[c] == 1] for v in vars_]
+    # A row for each table's gene, then one for each gene: a single shuffle however many tables there are.
+    rows = union_cells([v.select(gene, *(f"`{c}`" for c in columns)) for v, columns in zip(vars_, own, strict=True)])
+    return rows.groupBy(gene).agg(*(F.min(f"`{c}`").alias(c) for columns in own for c in columns)) if any(own) else rows.distinct()
+
+
+def gene_lists(var: DataFrame, artifact: str = "artifact", gene: str = "gene", order: str | None = None) -> DataFrame:
+    """``genes`` of each artifact in the order of ``order`` (by default of themselves), and their number ``n_vars``."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(order or gene).alias("o"), F.col(gene).alias("g"))))
+    return var.groupBy(artifact).agg(F.transform(pairs, lambda p: p["g"]).alias("genes"), F.count("*").alias("n_vars"))
+
+
 def aligned(coo: DataFrame, genes: DataFrame, gene: str = "gene") -> DataFrame:
     """The values of the given genes alone."""
     return coo.join(genes.select(gene), gene, "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import nnz, nnz_weight
 from ..operators import labels, ontology, sampling
-from ..operators.genes import aligned_pct, inner_genes, require_genes, vars_aligned
+from ..operators.genes import aligned_pct, gene_lists, inner_genes, require_genes, vars_aligned
 from ..operators.neighbors import with_metacells, with_neighbours
 from ..operators.numbering import small
 from ..sources.catalog import with_global_index
@@ -114,6 +114,22 @@ class CellDataset:
             first = first.unionByName(t)
         return first
 
+    def gene_lists(self, var: DataFrame, path: str | None = None, force: bool = False) -> DataFrame:
+        """The genes of every artifact of ``var`` and their number (see :func:`genes.gene_lists`); with ``path`` kept there and read back from then on,
+        until an artifact comes that they lack, or with ``force``."""
+        made = gene_lists(var)
+        if not path:
+            return made
+        spark = var.sparkSession
+        try:
+            held = None if force else spark.read.parquet(path)
+        except AnalysisException:
+            held = None
+        if held is None or not var.select("artifact").distinct().join(held.select("artifact"), "artifact", "left_anti").isEmpty():
+            made.write.mode("overwrite").parquet(path)
+            held = spark.read.parquet(path)
+        return held
+
     def save_encoders(self, path: str) -> None:
         """Write all encoders as one table, for :meth:`load_encoders`."""
         self.decoders().write.mode("overwrite").parquet(path)

@@ -151,6 +151,19 @@ def class_index_offsets(s, d):
     return labels.class_index(t.obs(s, d), "priority", "cell").select("priority", "cell", "pos", "offset")
 
 
+@query
+def artifact_gene_lists(s, d):
+    return gene_ops.gene_lists(t.var(s, d)).select("artifact", "n_vars", F.md5(F.array_join(F.col("genes").cast("array<string>"), ",")).alias("genes_md5"))
+
+
+@query
+def merge_only_genes(s, d):
+    """Genes of two tables with a column of each; ``len``, which both have, is left out."""
+    part = t.table(s, d, "part").select(F.col("p_partkey").alias("gene"), F.col("p_size").alias("size"), F.length("p_name").alias("len"))
+    line = t.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("gene")).agg(F.count("*").alias("n_cells"), F.max("l_linenumber").alias("len"))
+    return gene_ops.merge_only([part, line])
+
+
 @query
 def growing_index(s, d):
     """All cells' artifacts in a batch a region: the index, split and class index of the whole."""

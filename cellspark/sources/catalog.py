@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.genes import union_cells
 from ..operators.numbering import numbered, ranges
 from .zarr import read_zarr
 
@@ -32,13 +32,6 @@ def read_cells(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out
 
 
-def union_cells(tables: Sequence[DataFrame]) -> DataFrame:
-    """Tables as one by their columns' names; what a table lacks is null there."""
-    if not tables:
-        raise ValueError("a collection needs at least one artifact")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-
-
 def check_rows(cells: DataFrame) -> None:
     """Cells lie by row; a table by column (``indptr``) is refused."""
     if "indptr" in cells.columns:
@@ -76,8 +69,12 @@ def with_blocks(cells: DataFrame, sizes: DataFrame, artifact: str = "artifact",
 
 
 def write_collection(cells: DataFrame, path: str, artifact: str = "artifact", mode: str = "overwrite") -> None:
-    """Write a folder for each artifact, so that artifact filters prune whole folders."""
-    cells.repartition(artifact, F.pmod(F.xxhash64(*[c for c in ("cell",) if c in cells.columns] or [artifact]), F.lit(16))).write.mode(mode).partitionBy(artifact).parquet(path)
+    """Write a folder for each artifact, so that artifact filters prune whole folders.
+
+    Rows are shuffled by artifact; adaptive execution then cuts large artifacts into tasks of ``advisoryPartitionSizeInBytes``, and joins small
+    ones. A small artifact that is dealt to one partition with a large one is cut with it.
+    """
+    cells.hint("rebalance", artifact).write.mode(mode).partitionBy(artifact).parquet(path)
 
 
 def _files(spark: SparkSession, path: str):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,30 @@ def read_gene_table(spark: SparkSession, path: str, gene: str = "ensembl_gene_id
     return rows.where(F.col(gene).isNotNull()).withColumn(symbol, F.coalesce(symbol, gene))
 
 
+def cached_gene_table(spark: SparkSession, source: str | Callable[[], DataFrame], cache: str, attributes: Sequence[str] = (), use_cache: bool = True, gene: str = "ensembl_gene_id", symbol: str = "hgnc_symbol") -> DataFrame:
+    """A gene table as :func:`read_gene_table` gives it, with the gene, its symbol and ``attributes`` (none: all columns), kept as Parquet at ``cache``.
+
+    ``source`` is a tab-separated file, or gives the table when it is called. With ``use_cache`` what lies at ``cache`` is taken if it holds all that
+    is asked for, and the source is not looked at; otherwise the whole source is read and the cache written anew. An attribute that
+    the source lacks raises.
+    """
+    wanted = [gene, symbol, *(a for a in attributes if a not in (gene, symbol))]
+    held = None
+    if use_cache:
+        try:
+            held = spark.read.parquet(cache)
+        except AnalysisException:
+            held = None
+    if held is None or set(wanted) - set(held.columns):
+        rows = source() if callable(source) else spark.read.csv(source, sep="\t", header=True)
+        if lacking := [c for c in wanted if c not in rows.columns]:
+            raise ValueError(f"the source has no {lacking}")
+        rows.write.mode("overwrite").parquet(cache)
+        held = spark.read.parquet(cache)
+    at = held.where(F.col(f"`{gene}`").isNotNull()).withColumn(symbol, F.coalesce(F.col(f"`{symbol}`"), F.col(f"`{gene}`")))
+    return at.select(*(f"`{c}`" for c in wanted)) if attributes else at
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of metadata as text; quotes inside fields are kept."""
     return spark.read.csv(path, header=True, quote="\u0000", inferSchema=False)

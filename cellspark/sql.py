@@ -95,6 +95,8 @@ add(
     "SELECT priority, cell, (row_number() OVER (PARTITION BY priority ORDER BY cell) - 1)::INT AS pos, \"offset\" FROM obs JOIN o USING (priority)",
     ", o AS (SELECT priority, (sum(count(*)) OVER (ORDER BY priority) - count(*))::BIGINT AS \"offset\" FROM obs GROUP BY priority)",
 )
+add("artifact_gene_lists", "SELECT artifact, count(*) AS n_vars, md5(string_agg(gene::VARCHAR, ',' ORDER BY gene)) AS genes_md5 FROM var GROUP BY artifact")
+add("merge_only_genes", "SELECT coalesce(p_partkey, l_partkey) AS gene, p_size AS size, n AS n_cells FROM part FULL JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) ON p_partkey = l_partkey")
 add(
     "growing_index",
     """SELECT cell, storage_idx, obs_idx, global_idx, split, label::INT AS label, pos, "offset" FROM sides LEFT JOIN (
