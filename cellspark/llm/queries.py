@@ -59,7 +59,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("k").alias("doc_id"), "class_id", (F.col("k") == F.col("class_id")).alias("kept"))
+    return found.select(F.col("k").alias("doc_id"), "class_id", F.col("stays").alias("kept"))
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
