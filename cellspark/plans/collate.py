@@ -30,6 +30,9 @@ class CollateOptions:
     ``add_zero_genes`` more; missing ones are filled with unexpressed genes. Values are scaled to ``norm_to``,
     then logged (base 2), then binned. ``key`` names what is unique in a row: the draw where cells are drawn again.
     ``dataset_name`` names a column that is given as ``dataset``.
+
+    Rows of "all" and "some" are as wide as the vocabulary. With ``sparse`` they hold the same without its zeros: ``width``, and ``places``, where in
+    the wide row the values of ``x`` and ``genes`` lie (see :func:`dense_rows`), so that cells cost what they express.
     """
 
     how: str = "all"
@@ -47,6 +50,7 @@ class CollateOptions:
     extra: Sequence[str] = field(default=())
     key: str = "cell"
     dataset_name: str | None = None
+    sparse: bool = False
 
 
 def _ranked(genes: DataFrame) -> DataFrame:
@@ -176,11 +180,13 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
     meets the values in a join. What cells have of ``is_meta``, ``knn_cells`` (neighbours' sparse values) and ``knn_cells_info`` is given too:
     ``knn_cells`` at the row's genes, scaled and logged as the row is.
     """
+    if options.sparse and (options.how not in ("all", "some") or "knn_cells" in cells.columns):
+        raise ValueError("only rows of all or some genes, without neighbours' values, are given sparsely")
     if options.how not in ("most expr", "random expr", "all", "some"):
         raise ValueError("how must be most expr, random expr, all or some")
     org, near = options.organism_name, "near" in cells.select(F.explode("expr").alias("x")).select("x.*").columns
     chosen = genes if options.how != "some" else genes.where(F.col("gene").isin(*options.genelist))
-    known = chosen.groupBy(F.col("organism").alias("__o")).agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("width"))
+    known = chosen.groupBy(F.col("organism").alias("__o")).agg(F.count("*").alias("width"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("distinct"))
     at = cells.where(F.col(org).isin(*options.organisms)) if options.organisms else cells
     also = [c for c in ("is_meta", "knn_cells_info") if c in cells.columns]
     needed = list(dict.fromkeys([*options.class_names, *([options.tp_name] if options.tp_name else []), *([options.dataset_name] if options.dataset_name else []), *options.extra, "cell", *also]))
@@ -191,9 +197,14 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
     if look_up is None and knn:
         raise ValueError(f"neighbours' values need a vocabulary of at most {VOCABULARY_ROWS} genes")
     at = at.withColumn("placed", look_up[0](F.col("expr"), F.col("__org"))) if look_up else _placed_by_join(at, chosen, options.key, near)
-    # Rows carry the width alone through the steps; the positions, an array of an organism's genes, come in at the end.
-    at = at.drop("expr").join(small(known.select("__o", "width")), F.col("__org") == F.col("__o")).drop("__o")
-    if options.how in ("all", "some"):
+    # An organism's positions are mostly a run, of which rows carry the width and the first alone: its array, copied to each cell, would cost
+    # cells times genes. Only positions with gaps, or of which some come twice, come in as an array at the end.
+    run = isinstance(chosen.schema["pos"].dataType, T.IntegralType) and known.where("last - first + 1 <> width OR distinct <> width").isEmpty()
+    at = at.drop("expr").join(small(known.select("__o", "width", "first")), F.col("__org") == F.col("__o")).drop("__o")
+    if options.sparse:
+        kept = F.filter("placed", lambda v: F.coalesce(v["value"] != 0, F.lit(True)))
+        at = at.withColumn("picked", F.transform(kept, lambda v: F.struct(v["gene"].alias("gene"), v["value"].alias("value"))))
+    elif options.how in ("all", "some"):
         at = at.withColumn("dense", densified(F.col("placed"), F.col("width")))
         at = at.withColumn("picked", F.transform("dense", lambda v, i: F.struct(i.alias("gene"), v.alias("value")))).drop("dense")
     else:
@@ -220,13 +231,27 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
         x = F.transform("bins", lambda p: p["bin"])
     label = F.array(*(F.col(c).cast("int") for c in options.class_names)) if options.class_names else F.array().cast("array<int>")
     tp = F.col(options.tp_name).cast("double") if options.tp_name else F.lit(0.0)
-    places = F.transform("picked", lambda p: F.col("positions")[p["gene"]])
+    places = F.transform("picked", lambda p: F.col("first") + p["gene"] if run else F.col("positions")[p["gene"]])
     if knn:
         values = look_up[1](F.col("knn_cells"), F.transform("picked", lambda p: p["gene"].cast("int")), F.col("__org"))
         at = at.withColumn("knn_cells", F.transform(values, lambda row: F.transform(row, scaled)))
-    at = at.join(small(known.select("__o", "positions")), F.col("__org") == F.col("__o"))
+    if not run:
+        positions = chosen.groupBy(F.col("organism").alias("__o")).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        at = at.join(small(positions), F.col("__org") == F.col("__o"))
+    wide = [F.transform("picked", lambda p: p["gene"].cast("int")).alias("places"), F.col("width").cast("int").alias("width")] if options.sparse else []
     dataset = [F.col(options.dataset_name).cast("long").alias("dataset")] if options.dataset_name else []
-    return at.select("cell", x.alias("x"), places.cast("array<int>").alias("genes"), label.alias("class"), tp.alias("tp"), "depth", *also, *knn, *dataset, *options.extra)
+    return at.select("cell", x.alias("x"), places.cast("array<int>").alias("genes"), label.alias("class"), tp.alias("tp"), "depth", *wide, *also, *knn, *dataset, *options.extra)
+
+
+def dense_rows(batch: pd.DataFrame) -> np.ndarray:
+    """The values of sparsely collated rows of one width as a matrix, zeros put in."""
+    widths = batch["width"].unique()
+    if len(widths) > 1:
+        raise ValueError("rows of organisms with vocabularies of other sizes make no matrix")
+    out = np.zeros((len(batch), widths[0] if len(widths) else 0))
+    for i, (places, x) in enumerate(zip(batch["places"], batch["x"], strict=True)):
+        out[i, np.asarray(places, np.int64)] = x
+    return out
 
 
 def iter_batches(collated: DataFrame, batch_size: int, order: str | None = None) -> Iterator[pd.DataFrame]:
