@@ -14,7 +14,7 @@ from ..functions.scalars import nnz, nnz_weight
 from ..operators import labels, ontology, sampling
 from ..operators.genes import aligned_pct, gene_lists, inner_genes, require_genes, vars_aligned
 from ..operators.neighbors import with_metacells, with_neighbours
-from ..operators.numbering import small
+from ..operators.numbering import Stored, small
 from ..sources.catalog import with_global_index
 from ..sources.store import write_store
 from .collate import CollateOptions, collate, iter_batches, keep_genes
@@ -24,7 +24,8 @@ META_ASSAYS = ("EFO:0022857", "EFO:0010961")
 
 
 class CellDataset:
-    """Cells (cell, artifact, organism, labels, expr) with their genes, encoders and label groupings, all lazy.
+    """Cells (cell, artifact, organism, labels, expr) with their genes, encoders and label groupings, all lazy but for ``obs``: what is known of cells
+    besides their values, and how many these are (``nnz``), is written once, so that labels, splits and sums do not read values again.
 
     ``join`` "inner" keeps the genes that all artifacts of ``var`` (artifact, gene) have, and raises if there are none; "outer" (or None)
     keeps all, as absent values are zero. ``edges`` (src, dst, rank, distance) are nearest neighbours: with
@@ -65,18 +66,21 @@ class CellDataset:
             cells = with_metacells(cells, edges, metacell_share, seed, meta_assays)
         if knn_cells:
             cells = with_neighbours(cells, edges)
-        self.cells, self.genes, self.sizes, self.metacell_share = with_global_index(cells), genes, sizes, metacell_share
+        values = [c for c in ("expr", "knn_cells", "knn_cells_info") if c in cells.columns]
+        seen = Stored(cells)(cells.select(*(c for c in cells.columns if c not in values), *([nnz(F.col("expr")).alias("__nnz")] if "expr" in values else [])))
+        self.obs = with_global_index(seen, ids=seen)
+        self.cells, self.genes, self.sizes, self.metacell_share = with_global_index(cells, ids=seen), genes, sizes, metacell_share
         self.labels, self.hierarchical = list(dict.fromkeys([*predict, *hierarchical])), list(hierarchical)
         self.encoders: dict[str, DataFrame] = {}
         self.groupings: dict[str, DataFrame] = {}
         self._coded: DataFrame | None = None
         for label in self.labels:
             if label not in hierarchical:
-                self.encoders[label] = labels.encoder(cells, label)
+                self.encoders[label] = labels.encoder(seen, label)
                 continue
             if ontologies is None:
                 raise ValueError("hierarchical labels need ontologies")
-            terms = labels.categories(cells, label).withColumnRenamed("value", "term")
+            terms = labels.categories(seen, label).withColumnRenamed("value", "term")
             pairs = ontology.closure(ontology.parent_edges(ontologies))
             self.encoders[label] = ontology.hierarchy_encoder(terms, pairs).withColumn("label", F.lit(label))
             self.groupings[label], _ = ontology.groupings(terms.where("term != 'unknown'"), pairs)
@@ -87,7 +91,7 @@ class CellDataset:
         return cls(cells if "artifact" in cells.columns else cells.withColumn("artifact", F.lit(0)), genes, **options)
 
     def __len__(self) -> int:
-        return self.cells.count()
+        return self.obs.count()
 
     def row(self, global_idx: int) -> DataFrame:
         return self.cells.where(F.col("global_idx") == global_idx)
@@ -98,13 +102,13 @@ class CellDataset:
             return self._coded
         out = self.cells
         for label, codes in self.encoders.items():
-            out = labels.encode(out, codes, label, f"{label}_code")
+            out = labels.encode(out, small(codes), label, f"{label}_code")
         return out
 
     def store(self, name: str | None = None, path: str | None = None, buckets: int | None = None) -> DataFrame:
         """Write the encoded cells in buckets of the global index (see :func:`write_store`) and read them from there from now on: epochs then
         shuffle draws alone, and :meth:`row` reads one file."""
-        self._coded = write_store(self.encoded(), name, path, buckets)
+        self._coded = write_store(self.encoded(), name, path, buckets, rows=len(self))
         self.cells = self._coded.drop(*(f"{label}_code" for label in self.encoders))
         return self._coded
 
@@ -159,7 +163,7 @@ class CellDataset:
         return self.classes().groupBy("label").agg(F.count("*").alias("n_classes"))
 
     def merged_labels(self, label: str) -> DataFrame:
-        return labels.merged_labels(self.cells, label)
+        return labels.merged_labels(self.obs, label)
 
     def aligned_share(self, var: DataFrame) -> DataFrame:
         """The percentage of artifacts of ``var`` (artifact, gene) whose genes the vocabulary has all."""
@@ -167,11 +171,13 @@ class CellDataset:
 
     def summary(self) -> DataFrame:
         """One row: cells, artifacts, organisms, genes, classes, labels, the metacells' share, and GB where ``sizes`` (artifact, bytes) are known."""
-        out = self.cells.agg(F.count("*").alias("n_cells"), F.count_distinct("artifact").alias("n_artifacts"), F.count_distinct("organism").alias("n_organisms"))
+        # Counted by artifact and organism first, so that no cell meets a distinct count.
+        by = self.obs.groupBy("artifact", "organism").agg(F.count("*").alias("n"))
+        out = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_cells"), F.count_distinct("artifact").alias("n_artifacts"), F.count_distinct("organism").alias("n_organisms"))
         out = out.join(F.broadcast(self.genes.agg(F.count("*").alias("n_genes"))), how="inner").join(F.broadcast(self.classes().agg(F.count("*").alias("n_classes"))), how="inner")
         out = out.withColumns({"n_labels": F.lit(len(self.labels)), "n_hierarchical": F.lit(len(self.hierarchical)), "metacell_share": F.lit(float(self.metacell_share))})
         if self.sizes is not None:
-            own = self.sizes.join(small(self.cells.select("artifact").distinct()), "artifact", "left_semi")
+            own = self.sizes.join(small(self.obs.select("artifact").distinct()), "artifact", "left_semi")
             out = out.join(F.broadcast(own.agg((F.sum("bytes") / 1e9).alias("size_gb"))), how="inner")
         return out
 
@@ -235,7 +241,7 @@ class DataModule:
 
     def _about(self) -> str:
         """What a split depends on: the options, and a digest of the cells' ids and labels."""
-        at = self.dataset.cells
+        at = self.dataset.obs
         digest = at.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cell", "artifact", "global_idx", *self.weight_by)).alias("x")).first()
         o = self.options
         return json.dumps([[o.validation, o.test, o.seed, list(o.assays_to_drop)], self.weight_by, digest.n, digest.x])
@@ -251,18 +257,21 @@ class DataModule:
         if path and not force and self._stored(path, about):
             return self.splits
         o = self.options
-        cells = self.dataset.cells
-        cells = sampling.drop_assays(cells, drop=o.assays_to_drop) if "assay" in cells.columns else cells
-        at = sampling.split(cells.select("cell", "artifact", "global_idx", *self.weight_by, nnz(F.col("expr")).alias("nnz")), o.validation, o.test, seed=o.seed)
+        obs, keep = self.dataset.obs, Stored(self.dataset.obs)
+        obs = sampling.drop_assays(obs, drop=o.assays_to_drop) if "assay" in obs.columns else obs
+        numbered = keep(obs.select("cell", "artifact", "global_idx", *self.weight_by, F.col("__nnz").alias("nnz")))
+        at = sampling.split(numbered, o.validation, o.test, seed=o.seed)
         at = labels.combined_codes(at, self.weight_by, "label") if self.weight_by else at.withColumn("label", F.lit(0))
         at = at.select("cell", "artifact", "global_idx", "split", "label", nnz_weight(F.col("nnz")).alias("weight"))
-        self.splits, self.index = at, None
-        if path:
+        if not path:
+            self.splits, self.index = keep(at), None
+        else:
             at.write.mode("overwrite").parquet(f"{path}/splits")
             self.splits = spark.read.parquet(f"{path}/splits")
             labels.class_index(self._training(), "label", "global_idx").write.mode("overwrite").parquet(f"{path}/index")
             spark.createDataFrame([(about,)], "about string").write.mode("overwrite").parquet(f"{path}/about")
             self.index = spark.read.parquet(f"{path}/index")
+        keep.drop(numbered)
         return self.splits
 
     def _stored(self, path: str, about: str) -> bool:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.genes import union_cells
-from ..operators.numbering import numbered, ranges
+from ..operators.numbering import Stored, ranges, small
 from .zarr import read_zarr
 
 #: Suffixes that :func:`read_cells` can read.
@@ -38,17 +38,28 @@ def check_rows(cells: DataFrame) -> None:
         raise ValueError("column-compressed matrices are not supported; store one row per cell")
 
 
-def with_global_index(obs: DataFrame, artifact: str = "artifact", cell: str = "cell") -> DataFrame:
+def with_global_index(obs: DataFrame, artifact: str = "artifact", cell: str = "cell", ids: DataFrame | None = None) -> DataFrame:
     """Add ``storage_idx``, ``obs_idx`` and ``global_idx``: the artifact's place, the cell's in it, and over all.
 
-    Cells are numbered within stretches of their artifact; the artifacts' offsets come from a table with a row
-    for each, so no window spans all cells of a large artifact.
+    Cells are numbered within stretches of their artifact; where these begin comes from a table with a row for each, so no window spans
+    all cells of a large artifact. Stretches are counted over ``ids`` (the same artifacts and cells, of which a written table is made if none is
+    given), so that whole rows are read and shuffled once.
     """
-    sizes = obs.groupBy(artifact).agg(F.count("*").alias("n"))
-    by = Window.orderBy(artifact)
-    offsets = sizes.select(artifact, (F.row_number().over(by) - 1).alias("storage_idx"), (F.sum("n").over(by) - F.col("n")).alias("start"))
-    at = numbered(obs, [artifact], ranges(obs, cell), [cell], "obs_idx")
-    return at.join(offsets, artifact).withColumn("global_idx", F.col("start") + F.col("obs_idx")).drop("start")
+    ids = Stored(obs)(obs.select(artifact, cell)) if ids is None else ids
+    part = ranges(ids, cell)
+    counts = ids.groupBy(artifact, part.alias("__part")).agg(F.count("*").alias("n"))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = Window.orderBy(artifact, "__part")
+    starts = counts.select(
+        artifact,
+        "__part",
+        (F.dense_rank().over(Window.orderBy(artifact)) - 1).alias("storage_idx"),
+        upto(Window.partitionBy(artifact).orderBy("__part")).alias("__in"),
+        upto(every).alias("__over"),
+    )
+    inner = F.row_number().over(Window.partitionBy(artifact, "__part").orderBy(cell)) - 1
+    at = obs.withColumn("__part", part).withColumn("__inner", inner).join(small(starts), [artifact, "__part"])
+    return at.withColumns({"obs_idx": F.col("__in") + F.col("__inner"), "global_idx": F.col("__over") + F.col("__inner")}).select(*obs.columns, "obs_idx", "storage_idx", "global_idx")
 
 
 def slice_members(artifacts: DataFrame, only: tuple[int, int] | None = None, organisms: str = "n_organisms") -> DataFrame:
