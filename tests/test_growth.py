@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cellspark.operators import neighbors
 from cellspark.plans.collate import CollateOptions, collate, dense_rows
 from cellspark.plans.datamodule import CellDataset, DataModule, LoaderOptions
 from cellspark.sources import store
@@ -82,3 +83,23 @@ def test_buckets_grow_with_the_table(spark, cells, monkeypatch):
     monkeypatch.setattr(store, "BUCKET_ROWS", 10)
     at = store.write_store(cells.withColumn("global_idx", F.col("cell")), buckets=4)
     assert at.select(F.input_file_name().alias("f")).distinct().count() == 6 and at.count() == 60
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_equal_vectors_are_told_apart_by_id(spark, kind, monkeypatch):
+    """Of more copies than candidates were kept, any came before; now those of the least ids do."""
+    monkeypatch.setattr(neighbors, "BLOCK", 64)
+    rows = [(0, f"{i:03d}" if kind == "string" else i, [float(i // 80), 1.0]) for i in range(160)]
+    got = neighbors.exact_knn(spark.createDataFrame(rows, f"artifact int, row {kind}, vector array<double>"), 4).collect()
+    ids = [r[1] for r in rows]
+    for i in range(160):
+        same = [ids[j] for j in range(i // 80 * 80, i // 80 * 80 + 80) if j != i][:4]
+        assert [r.dst for r in sorted((r for r in got if r.src == ids[i]), key=lambda r: r["rank"])] == same
+
+
+def test_a_task_of_neighbours_holds_one_pair_of_blocks(spark):
+    """Pairs of blocks came to Python in batches of 10,000 rows, each of two whole blocks."""
+    at = spark.createDataFrame([(0, 1, [1.0]), (0, 2, [3.0])], "artifact int, row int, vector array<double>")
+    text = plan(neighbors.exact_knn(at, 2))
+    assert "FlatMapGroupsInArrow" in text and "MapInPandas" not in text
+    assert [(r.src, r.dst, r.distance) for r in neighbors.exact_knn(at, 2).orderBy("src").collect()] == [(1, 2, 2.0), (2, 1, 2.0)]
