@@ -35,6 +35,8 @@ AGREE = 157
 BITS, PACK = 7, 7
 #: Leaders are compared with their buckets until this many open pairs a band row are left, or so often.
 OPEN_PAIRS, LEADER_ROUNDS = 0.02, 4
+#: Members of an open bucket that one slice of it holds when all its pairs are compared, and pairs that one task is meant to compare.
+SLICE, TASK_PAIRS = 256, 500_000
 WORD_CACHE = 500_000
 
 
@@ -193,8 +195,8 @@ def _relabel(old: DataFrame | None, links: DataFrame, work: Scratch) -> DataFram
     return work.write(moved.union(new.join(old.select("v"), "v", "left_anti")), "labels")
 
 
-def _settled(rows: DataFrame, chosen: DataFrame, refs: DataFrame, sets: DataFrame, work: Scratch) -> DataFrame:
-    """The links (a, b) between vertices of different classes among ``rows`` (b, v, c), open buckets' members.
+def _settled(rows: DataFrame, chosen: DataFrame, refs: DataFrame, sets: DataFrame, pairs: int, work: Scratch) -> DataFrame:
+    """The links (a, b) between vertices of different classes among ``rows`` (b, v, c), open buckets' members, of which some ``pairs`` are to compare.
 
     A row carries how its set differs from that of its bucket's first leader (``refs``: b, ref), so that the join settles a
     pair exactly and gives nothing but links. A pair that shares several buckets is settled in the first of them.
@@ -207,8 +209,14 @@ def _settled(rows: DataFrame, chosen: DataFrame, refs: DataFrame, sets: DataFram
     rest = work.write(at.join(differences, ["v", "ref"]).select(F.col("b").alias("bucket"), "v", "c", "n", "mini", "bs", "nr", "less", "more"), "rest")
     work.drop(rows, differences)
     x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}{end}") for c in ("v", "c", "n", "mini", "bs", "nr", "less", "more"))) for end in "ab")
+    # The rows are few bytes but many pairs. Slices of a bucket, each against the whole bucket, are dealt over as many tasks as the pairs are
+    # worth; a given number of partitions is not joined again for being small.
+    slices = small(rest.groupBy("bucket").agg(F.ceil(F.count("*") / SLICE).alias("slices")))
+    tasks = min(10_000, 1 + pairs // TASK_PAIRS)
+    x = x.join(slices, "bucket").withColumn("slice", F.pmod(F.xxhash64("va"), F.col("slices"))).drop("slices").repartition(tasks, "bucket", "slice")
+    y = y.drop("nrb").join(slices, "bucket").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices").repartition(tasks, "bucket", "slice")
     common = F.col("nra") - F.size(F.array_union("lessa", "lessb")) + F.size(F.array_intersect("morea", "moreb"))
-    both = x.join(y.drop("nrb"), "bucket").where(
+    both = x.join(y, ["bucket", "slice"]).where(
         (F.col("va") < F.col("vb"))
         & (F.col("ca") != F.col("cb"))
         & near_sizes(F.col("na"), F.col("nb"))
@@ -274,7 +282,7 @@ def _classes(docs: DataFrame, key: str, text: str, work: Scratch) -> tuple[DataF
         if left <= OPEN_PAIRS * total:
             break
     if left:
-        links = _settled(rows, of, refs, sets, work)
+        links = _settled(rows, of, refs, sets, int(left), work)
         if not links.isEmpty():
             labels = _relabel(labels, links, work)
     joined = names.withColumn("c", F.col("v")) if labels is None else names.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
