@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scalars import uniform
 from ..operators import sampling
 from ..operators.labels import as_text
-from ..operators.numbering import numbered, ranges, small
+from ..operators.numbering import Stored, numbered, ranges, small
 from ..sources.catalog import remove
 
 #: Columns that are added to cells.
@@ -72,7 +72,16 @@ class GrowingCollection:
         if clash := [c for c in cells.columns if c in ADDED]:
             raise ValueError(f"cells have columns that are added here: {clash}")
         owner, key = F.col(f"`{self.artifact}`"), F.col(f"`{self.cell}`")
-        found = cells.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(owner, key).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"), F.count_if(owner.isNull()).alias("nulls")).first()
+        # What makes the batch's cells is run twice: for their ids, which all counts read, and for whole rows.
+        keep = Stored(cells)
+        ids = keep(cells.select(owner.alias("owner"), key.alias("key")))
+        try:
+            return self._append(cells, ids, number)
+        finally:
+            keep.drop(ids)
+
+    def _append(self, cells: DataFrame, ids: DataFrame, number: int) -> bool:
+        found = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("owner", "key").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"), F.count_if(F.col("owner").isNull()).alias("nulls")).first()
         commits = self._commits()
         if found.nulls:
             raise ValueError(f"{found.nulls} cells have no artifact")
@@ -84,7 +93,7 @@ class GrowingCollection:
                 raise ValueError(f"batch {number} is not after batch {commits[0].number}, and no batch of these cells")
             return False
         last, total = (commits[0].number, commits[0].total) if commits else (None, 0)
-        written = self._add_cells(cells, number, last, total)
+        written = self._add_cells(cells, ids, number, last, total)
         self._add_classes(written, number, last)
         self._add_values(written, number, last)
         row = (number, last, found.n, total + found.n, found.digest, self._options)
@@ -95,12 +104,12 @@ class GrowingCollection:
                 remove(self.spark, self._at(name, commits[0].previous))
         return True
 
-    def _add_cells(self, cells: DataFrame, number: int, last: int | None, total: int) -> DataFrame:
+    def _add_cells(self, cells: DataFrame, ids: DataFrame, number: int, last: int | None, total: int) -> DataFrame:
         """Number the batch's cells behind all earlier ones, and split them by hash."""
         name = f"`{self.artifact}`"
         kind = cells.schema[self.artifact].dataType.simpleString()
         before = self._state("artifacts", last, f"owner {kind}, storage_idx long, n long").select("owner", "storage_idx", "n")
-        own = cells.groupBy(F.col(name).alias("owner")).agg(F.count("*").alias("own"))
+        own = ids.groupBy("owner").agg(F.count("*").alias("own"))
         both = before.join(own, "owner", "full")
         # Artifacts are numbered in one window: a row for each of a collection, not for each cell.
         new = Window.orderBy(F.col("storage_idx").isNull(), "storage_idx", "owner")
@@ -108,7 +117,7 @@ class GrowingCollection:
         upto = F.sum("own").over(Window.orderBy("storage_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         sums = self._write(both.select("owner", "storage_idx", (F.col("past") + F.col("own")).alias("n"), "past", "own", (upto - F.col("own") + F.lit(total)).alias("start")), "artifacts", number)
         at = cells.select(F.struct("*").alias("row"), F.col(name).alias("owner"), F.col(f"`{self.cell}`").alias("key"))
-        at = numbered(at, ["owner"], ranges(at, "key"), ["key"], "pos").join(small(sums.where("own > 0").select("owner", "storage_idx", "past", "start")), "owner")
+        at = numbered(at, ["owner"], ranges(ids, "key"), ["key"], "pos", counted=ids).join(small(sums.where("own > 0").select("owner", "storage_idx", "past", "start")), "owner")
         held_out = uniform(f"{self.seed}t", "owner") < F.lit(float(self.test))
         side = F.when(held_out, "test").when(uniform(f"{self.seed}v", "owner", "key") < F.lit(float(self.validation)), "validation").otherwise("train")
         return self._write(at.select("row.*", "storage_idx", (F.col("past") + F.col("pos")).alias("obs_idx"), (F.col("start") + F.col("pos")).alias("global_idx"), side.alias("split")), "cells", number)
