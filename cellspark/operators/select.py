@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import digitize, hash_key, quantile_edges, uniform
+from .numbering import gathered
 
 
-def to_cells(coo: DataFrame) -> DataFrame:
-    """One row per cell from rows (cell, gene, value); equal genes are summed, zeros are left out."""
-    once = coo.groupBy("cell", "gene").agg(F.sum("value").alias("value")).where("value != 0")
+def summed(coo: DataFrame, rows: int | None = None) -> DataFrame:
+    """cell, gene, value: the sums of equal genes, those of a cell in one partition. ``rows`` is the number of rows if it is known."""
+    return gathered(coo, "cell", rows).groupBy("cell", "gene").agg(F.sum("value").alias("value"))
+
+
+def to_cells(coo: DataFrame, rows: int | None = None) -> DataFrame:
+    """One row per cell from rows (cell, gene, value); equal genes are summed, zeros are left out. Values are shuffled once, by cell."""
+    once = summed(coo, rows).where("value != 0")
     return once.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("gene", "value"))).alias("expr"))
 
 
@@ -60,9 +66,11 @@ def with_zero_genes(cells: DataFrame, need: Column, n_genes: int | Column, cell:
     """
     n_genes = F.lit(n_genes) if isinstance(n_genes, int) else n_genes
     draws = lambda n: F.array_except(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.floor(uniform(seed, F.col(cell), i) * n_genes).cast("int"))), F.col("taken"))
-    # The first free draws are the same of few probes as of all, so most cells make few.
+    # The first free draws are the same of few probes as of all, so most cells make hardly more than they need: a draw is a hash.
+    some = lambda n: draws(F.least(F.lit(probes), n))
     at = cells.withColumn("__need", F.greatest(need, F.lit(0)).cast("int"))
-    at = at.withColumn("__drawn", F.when(F.col("__need") > 0, draws(F.least(F.lit(probes), F.col("__need") * 2 + 2))).otherwise(F.array().cast("array<int>")))
+    at = at.withColumn("__drawn", F.when(F.col("__need") > 0, some(F.col("__need") + 1)).otherwise(F.array().cast("array<int>")))
+    at = at.withColumn("__drawn", F.when(F.size("__drawn") >= F.col("__need"), F.col("__drawn")).otherwise(some(F.col("__need") * 2 + 2)))
     free = F.array_except(F.sequence(F.lit(0), n_genes.cast("int") - 1), F.col("taken"))
     ordered = F.transform(F.array_sort(F.transform(free, lambda g: F.struct(hash_key(seed, F.col(cell), g).alias("h"), g.alias("g")))), lambda x: x["g"])
     enough = lambda x: F.size(x) >= F.col("__need")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import depth, depth_normalise, logp1
-from ..operators.numbering import small
+from ..operators.numbering import Stored, small
 from ..operators.select import by_neighbours, densified, most_expressed, most_expressed_with_neighbours, random_expressed, with_bins, with_zero_genes
 
 
@@ -186,6 +186,8 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
         raise ValueError("how must be most expr, random expr, all or some")
     org, near = options.organism_name, "near" in cells.select(F.explode("expr").alias("x")).select("x.*").columns
     chosen = genes if options.how != "some" else genes.where(F.col("gene").isin(*options.genelist))
+    # Read some six times below; positions that are counted over all organisms would be counted by one task each time.
+    chosen = Stored(chosen)(chosen.select("gene", "organism", "pos"))
     known = chosen.groupBy(F.col("organism").alias("__o")).agg(F.count("*").alias("width"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("distinct"))
     at = cells.where(F.col(org).isin(*options.organisms)) if options.organisms else cells
     also = [c for c in ("is_meta", "knn_cells_info") if c in cells.columns]

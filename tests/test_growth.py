@@ -3,9 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellspark.operators import neighbors
+from cellspark.functions import scalars
+from cellspark.operators import cluster, neighbors, numbering, select
 from cellspark.plans.collate import CollateOptions, collate, dense_rows
 from cellspark.plans.datamodule import CellDataset, DataModule, LoaderOptions
 from cellspark.sources import store
@@ -103,3 +105,40 @@ def test_a_task_of_neighbours_holds_one_pair_of_blocks(spark):
     text = plan(neighbors.exact_knn(at, 2))
     assert "FlatMapGroupsInArrow" in text and "MapInPandas" not in text
     assert [(r.src, r.dst, r.distance) for r in neighbors.exact_knn(at, 2).orderBy("src").collect()] == [(1, 2, 2.0), (2, 1, 2.0)]
+
+
+def test_values_are_shuffled_once_to_make_cells(spark):
+    """They were shuffled by cell and gene, then by cell, and again to be normalised by a join."""
+    coo = spark.createDataFrame([(1, 1, 2.0), (1, 1, 3.0), (2, 5, 0.0), (1, 0, 1.0)], "cell int, gene int, value double")
+    made = select.to_cells(coo)
+    assert physical(made).count("Exchange") == 1
+    assert [(r.cell, [tuple(x) for x in r.expr]) for r in made.collect()] == [(1, [(0, 1.0), (1, 5.0)])]
+    assert physical(cluster.normalise(select.summed(coo))).count("Exchange hashpartitioning(cell") <= 2
+    assert "Exchange hashpartitioning(cell, gene" not in physical(cluster.normalise(select.summed(coo)))
+
+
+def test_tasks_that_gather_do_not_grow(spark, monkeypatch):
+    """Partitions were a fixed number, or joined by their packed size; now they follow the number of rows."""
+    monkeypatch.setattr(numbering, "GATHER_ROWS", 100)
+    rows = spark.range(4000).withColumn("cell", F.col("id") % 500)
+    sizes = numbering.gathered(rows, "cell", rows=4000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 30 and max(r["count"] for r in sizes) <= 400
+    assert numbering.gathered(rows, "cell", rows=1600).rdd.getNumPartitions() <= 4
+
+
+def test_a_vocabulary_is_counted_once(spark, cells):
+    """Its positions, numbered by one task, were numbered again for each of six reads."""
+    known = genes(spark, range(10)).withColumn("pos", F.row_number().over(Window.orderBy("gene")) - 1)
+    assert "Window" not in plan(collate(cells, known, CollateOptions(how="most expr", max_len=3)))
+
+
+@pytest.mark.parametrize("width", [4, 9, 500])
+def test_few_draws_give_the_zeros_of_many(spark, width):
+    at = spark.range(300).select(F.col("id").alias("cell"), F.transform(F.sequence(F.lit(0), (F.col("id") % 3).cast("int")), lambda g: g.cast("int")).alias("taken"), (F.col("id") % 5).cast("int").alias("need"))
+    got = select.with_zero_genes(at, F.col("need"), F.lit(width), seed=3)
+    draw = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.floor(scalars.uniform(3, F.col("cell"), i) * width).cast("int")))
+    for r in got.withColumn("all", F.array_except(draw, "taken")).collect():
+        free = width - len(r.taken)
+        assert len(r.zeros) == min(r.need, free) and not set(r.zeros) & set(r.taken)
+        if len(r["all"]) >= r.need:
+            assert r.zeros == r["all"][: r.need]
