@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,23 @@ def shuffled_index(df: DataFrame, index: str, seed: int = 42, out: str = "shuffl
     return numbered(at, [], F.substring("__h", 1, 4), ["__h", index], out).drop("__h")
 
 
+def among_first(df: DataFrame, n: int, index: str, seed: int = 42) -> Column:
+    """Whether a row of ``df`` is one of the first ``n`` of :func:`shuffled_index`. ``index`` tells rows apart; equal ones get one answer.
+
+    No row is shuffled for it: groups of hashes are counted, and only the group in which the first n end is ordered.
+    """
+    key = hash_key(seed, index)
+    group = F.substring(key, 1, 4)
+    if n <= 0:
+        return F.lit(False)
+    counts = df.groupBy(group.alias("g")).agg(F.count("*").alias("n"))
+    last = counts.withColumn("upto", F.sum("n").over(Window.orderBy("g"))).where(F.col("upto") > n).orderBy("g").first()
+    if last is None:
+        return F.lit(True)
+    behind = df.where(group == last.g).select(key.alias("h"), index).orderBy("h", index).offset(n - (last.upto - last.n)).first()
+    return F.struct(key.alias("h"), F.col(index).alias("i")) < F.struct(F.lit(behind.h).alias("h"), F.lit(behind[index]).cast(df.schema[index].dataType).alias("i"))
+
+
 def _part(size: int | float, n: Column) -> Column:
     return F.lit(size) if isinstance(size, int) else F.floor(n * size)
 
@@ -39,10 +57,9 @@ def split(obs: DataFrame, validation: int | float = 0.2, test: int | float = 0.0
     at = sizes.select(artifact, F.sum("n").over(order).alias("upto"), F.row_number().over(order).alias("nth"), F.sum("n").over(every).alias("total"))
     wanted = test > 0
     at = at.withColumn("held", F.lit(wanted) & ((F.col("upto") <= _part(test, F.col("total"))) | (F.col("nth") == 1)))
-    rows = obs.join(small(at.select(artifact, "held", "total")), artifact)
-    ranked = shuffled_index(rows.where(~F.col("held")), index, seed)
-    few = ranked.withColumn("split", F.when(F.col("shuffled") < _part(validation, F.col("total")), "validation").otherwise("train")).drop("shuffled")
-    return few.unionByName(rows.where("held").withColumn("split", F.lit("test"))).drop("held", "total")
+    rows = obs.join(small(at.select(artifact, "held")), artifact)
+    first = among_first(rows.where(~F.col("held")), validation if isinstance(validation, int) else math.floor(obs.count() * validation), index, seed)
+    return rows.withColumn("split", F.when(F.col("held"), "test").when(first, "validation").otherwise("train")).drop("held")
 
 
 def label_intervals(weights: DataFrame, label: str = "label", weight: str = "weight", curriculum: tuple[int, int] | None = None) -> DataFrame:

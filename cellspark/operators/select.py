@@ -11,7 +11,7 @@ from .numbering import gathered
 
 def summed(coo: DataFrame, rows: int | None = None) -> DataFrame:
     """cell, gene, value: the sums of equal genes, those of a cell in one partition. ``rows`` is the number of rows if it is known."""
-    return gathered(coo, "cell", rows).groupBy("cell", "gene").agg(F.sum("value").alias("value"))
+    return gathered(coo, "cell", rows=rows).groupBy("cell", "gene").agg(F.sum("value").alias("value"))
 
 
 def to_cells(coo: DataFrame, rows: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.genes import union_cells
-from ..operators.numbering import Stored, ranges, small
+from ..operators.numbering import Stored, gathered, many, ranges, small
 from .zarr import read_zarr
 
 #: Suffixes that :func:`read_cells` can read.
@@ -58,7 +58,8 @@ def with_global_index(obs: DataFrame, artifact: str = "artifact", cell: str = "c
         upto(every).alias("__over"),
     )
     inner = F.row_number().over(Window.partitionBy(artifact, "__part").orderBy(cell)) - 1
-    at = obs.withColumn("__part", part).withColumn("__inner", inner).join(small(starts), [artifact, "__part"])
+    at, rows = obs.withColumn("__part", part), ids.count()
+    at = (gathered(at, artifact, "__part", rows=rows) if many(rows) else at).withColumn("__inner", inner).join(small(starts), [artifact, "__part"])
     return at.withColumns({"obs_idx": F.col("__in") + F.col("__inner"), "global_idx": F.col("__over") + F.col("__inner")}).select(*obs.columns, "obs_idx", "storage_idx", "global_idx")
 
 

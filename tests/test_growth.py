@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellspark.functions import scalars
-from cellspark.operators import cluster, neighbors, numbering, select
+from cellspark.operators import cluster, neighbors, numbering, sampling, select
 from cellspark.plans.collate import CollateOptions, collate, dense_rows
 from cellspark.plans.datamodule import CellDataset, DataModule, LoaderOptions
 from cellspark.sources import store
@@ -142,3 +142,24 @@ def test_few_draws_give_the_zeros_of_many(spark, width):
         assert len(r.zeros) == min(r.need, free) and not set(r.zeros) & set(r.taken)
         if len(r["all"]) >= r.need:
             assert r.zeros == r["all"][: r.need]
+
+
+@pytest.mark.parametrize("validation", [0, 1, 137, 0.3, 1.0, 10_000])
+def test_a_split_shuffles_no_rows(spark, validation):
+    """All rows were shuffled with their hashes, to find which come first; now the place where these end is looked for."""
+    at = spark.range(500).select(F.col("id").alias("global_idx"), (F.col("id") % 7).alias("artifact")).repartition(3)
+    got = sampling.split(at, validation, 0.3, seed=5)
+    assert "shuffled" not in plan(got) and "Union" not in plan(got)
+    held = {r.global_idx for r in got.where("split = 'test'").collect()}
+    assert 0 < len(held) <= 150 and len({i % 7 for i in held}) * 71 <= len(held)
+    ranked = sampling.shuffled_index(at.where(~F.col("global_idx").isin(*held)), "global_idx", 5)
+    n = validation if isinstance(validation, int) else int(500 * validation)
+    want = {r.global_idx: "validation" if r.shuffled < n else "train" for r in ranked.collect()} | dict.fromkeys(held, "test")
+    assert {r.global_idx: r.split for r in got.collect()} == want
+
+
+def test_numbering_follows_the_number_of_cells(spark, cells, monkeypatch):
+    monkeypatch.setattr(numbering, "GATHER_ROWS", 2)
+    at = with_global_index(cells)
+    assert "30), REPARTITION_BY_NUM" in physical(at)
+    assert [(r.artifact, r.cell) for r in at.orderBy("global_idx").collect()] == sorted((r.artifact, r.cell) for r in cells.collect())
