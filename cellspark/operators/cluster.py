@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .numbering import cut, small
+from .numbering import SMALL_ROWS, Stored, cut, numbered, ranges, small
+
+#: Genes of a batch that one task fits by itself; those of a larger batch are dealt over tasks.
+FIT_ROWS = 1 << 18
+#: Places at which the curve of many genes is fitted.
+GRID = 500
+
 
 def normalise(coo: DataFrame, target: float = 1e4) -> DataFrame:
     """``norm``: values scaled to a total of ``target`` per cell, as log1p."""
@@ -39,8 +46,11 @@ def batch_label(obs: DataFrame, keys: list[str], out: str = "batches") -> DataFr
 def gene_moments(coo: DataFrame, cells: DataFrame, batch: str | Sequence[str] | None = None) -> DataFrame:
     """Mean and variance of each gene in each batch, with the zeros of all the batch's cells."""
     keys = [batch] if isinstance(batch, str) else list(batch or [])
+    return _moments(coo.join(cells.select("cell", *keys), "cell") if keys else coo, cells, keys)
+
+
+def _moments(at: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     n = cells.groupBy(*keys).agg(F.count("*").alias("n"))
-    at = coo.join(cells.select("cell", *keys), "cell") if keys else coo
     by = at.groupBy(*keys, "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     out = by.join(small(n), keys) if keys else by.join(F.broadcast(n), how="inner")
     mean = F.col("s") / F.col("n")
@@ -52,7 +62,7 @@ def _local_fit(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order]
     k = max(4, int(np.ceil(span * len(xs))))
-    grid = xs if len(xs) <= 500 else np.quantile(xs, np.linspace(0, 1, 500))
+    grid = xs if len(xs) <= GRID else np.quantile(xs, np.linspace(0, 1, GRID))
     fit = []
     for g in grid:
         lo = max(0, min(int(np.searchsorted(xs, g)) - k // 2, len(xs) - k))
@@ -63,16 +73,89 @@ def _local_fit(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
     return np.interp(x, grid, fit)
 
 
-def variable_genes(coo: DataFrame, cells: DataFrame, n_top: int = 2000, batch: str | None = None, span: float = 0.3, by: str | None = None) -> DataFrame:
-    """Genes by standardised variance (``rank`` from 1, median over batches), the first ``n_top``; with ``by``, of each of its values by itself.
+def _curve_sums(batches: Iterator[pa.RecordBatch], windows: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """For each place of the batches' grids the weighted sums over the genes of its window: of powers 0 to 4 of the distance, and of powers 0 to 2 times ``y``.
 
-    The variance that a gene's mean lets expect comes from a local fit over the batch's genes, one task for each batch over
-    a row for each gene; standardised values are clipped at sqrt(n) and summed in Spark.
+    ``windows``: by batch a row for each place: where it lies, its first rank, the rank behind its last, and its reach, by which distances are divided.
     """
-    own = [by] if by else []
-    keys = [*own, *([batch] if batch else [])] or ["__batch"]
-    cells = cells.select("cell", *keys) if own or batch else cells.select("cell", F.lit(0).alias("__batch"))
-    moments = gene_moments(coo, cells, keys).where("variance > 0 AND mean > 0")
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        who, pos, x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("who", "pos", "x", "y"))
+        order = np.lexsort((pos, who))
+        for some in np.split(order, np.flatnonzero(np.diff(who[order])) + 1) if len(order) else ():
+            own = int(who[some[0]])
+            total = totals.setdefault(own, np.zeros((GRID, 8)))
+            grid, first, behind, far = windows[own].T
+            begin, end, xs, ys = np.searchsorted(pos[some], first), np.searchsorted(pos[some], behind), x[some], y[some]
+            for i in np.flatnonzero(begin < end):
+                u = (xs[begin[i] : end[i]] - grid[i]) / far[i]
+                near = np.minimum(np.abs(u), 1)
+                near = 1 - near * near * near
+                w = near * near * near + 1e-9
+                powers = np.stack([np.ones_like(u), u, u * u, u * u * u, u * u * u * u])
+                total[i, :5] += powers @ w
+                total[i, 5:] += powers[:3] @ (w * ys[begin[i] : end[i]])
+    for own, total in totals.items():
+        met = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), own, np.int32)), pa.array(met.astype(np.int32)), *(pa.array(c) for c in total[met].T)], names=["who", "i", *(f"s{j}" for j in range(8))])
+
+
+def _middle(sums: np.ndarray, far: float, rows: int) -> float:
+    """The height of a quadratic at its window's place, from the sums of :func:`_curve_sums`: that of the least squares of ``_local_fit``, also where genes of
+    few distinct means leave the quadratic open."""
+    value, turn = np.linalg.eigh(sums[[[0, 1, 2], [1, 2, 3], [2, 3, 4]]])
+    root = np.sqrt(np.where(value > 1e-12 * value[-1], value, 0.0))
+    right = np.where(root > 0, turn.T @ sums[5:] / np.where(root > 0, root, 1.0), 0.0)
+    return float(np.linalg.lstsq(root[:, None] * turn.T * [1.0, far, far * far], right, rcond=np.finfo(float).eps * rows)[0][0])
+
+
+def _curves(ranked: DataFrame, sizes: dict[int, int], span: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The grid of each batch and the curve there, as ``_local_fit`` has them; ``ranked``: who, pos (the gene's rank by ``x`` in its batch), x, y.
+
+    The driver holds what belongs to the grid's places alone; tasks hold a stretch of rows.
+    """
+    spark, steps = ranked.sparkSession, np.linspace(0, 1, GRID)
+
+    def by_rank(ranks: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """``x`` at the given ranks of each batch."""
+        asked = pd.concat([pd.DataFrame({"who": np.int32(w), "pos": np.unique(r)}) for w, r in ranks.items()])
+        found = ranked.join(F.broadcast(spark.createDataFrame(asked, "who int, pos long")), ["who", "pos"]).select("who", "pos", "x").toPandas().sort_values("pos")
+        own = dict(tuple(found.groupby("who")))
+        return {w: own[w]["x"].to_numpy()[np.searchsorted(own[w]["pos"].to_numpy(), r)] for w, r in ranks.items()}
+
+    place = {w: (n - 1) * steps for w, n in sizes.items()}
+    low = {w: np.floor(p).astype(np.int64) for w, p in place.items()}
+    ends = by_rank({w: np.stack([low[w], np.minimum(low[w] + 1, n - 1)]) for w, n in sizes.items()})
+    # The rank of the first gene of equal mean, for places that lie on a gene.
+    asked = pd.concat([pd.DataFrame({"who": np.int32(w), "x": np.unique(e[0])}) for w, e in ends.items()])
+    first = ranked.join(F.broadcast(spark.createDataFrame(asked, "who int, x double")), ["who", "x"]).groupBy("who", "x").agg(F.min("pos").alias("pos")).toPandas().sort_values("x")
+    grid, begin, width = {}, {}, {w: max(4, int(np.ceil(span * n))) for w, n in sizes.items()}
+    for w, n in sizes.items():
+        (a, b), t = ends[w], place[w] - low[w]
+        grid[w] = np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t)
+        own = first[first["who"] == w]
+        below = np.where(grid[w] > a, low[w] + 1, own["pos"].to_numpy()[np.searchsorted(own["x"].to_numpy(), a)])
+        begin[w] = np.maximum(0, np.minimum(below - width[w] // 2, n - width[w]))
+    edges = by_rank({w: np.stack([lo, lo + width[w] - 1]) for w, lo in begin.items()})
+    reach = {w: np.abs(e - grid[w]).max(0) for w, e in edges.items()}
+    windows = {w: np.stack([grid[w], begin[w], begin[w] + width[w], np.where(reach[w] > 0, reach[w], 1.0)], axis=1) for w in sizes}
+    shared, names = spark.sparkContext.broadcast(windows), [f"s{j}" for j in range(8)]
+    parts = ranked.select("who", "pos", "x", "y").mapInArrow(lambda batches: _curve_sums(batches, shared.value), "who int, i int, " + ", ".join(f"{c} double" for c in names))
+    sums = parts.groupBy("who", "i").agg(*(F.sum(c).alias(c) for c in names)).toPandas().sort_values(["who", "i"])
+    shared.destroy()
+    out = {}
+    for w in sizes:
+        own = sums[sums["who"] == w][names].to_numpy()
+        out[w] = grid[w], np.array([_middle(s, far, width[w]) for s, far in zip(own, windows[w][:, 3], strict=True)])
+    return out
+
+
+def _expected(moments: DataFrame, keys: Sequence[str], span: float, keep: Stored) -> DataFrame:
+    """``moments`` with ``sd``, the deviation that a gene's mean lets expect in its batch; marked for broadcast if they are few.
+
+    A task fits a batch of at most FIT_ROWS genes. Those of a larger one are ranked by mean in stretches, and each task sums its rows for all places of the curve.
+    """
+    schema = T.StructType([*(moments.schema[c] for c in (*keys, "gene", "n")), T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType())])
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("gene")  # genes of equal means are told apart by name, not by the order of arrival
@@ -80,19 +163,58 @@ def variable_genes(coo: DataFrame, cells: DataFrame, n_top: int = 2000, batch: s
         part["sd"] = 10 ** (_local_fit(x, y, span if len(part) > 50 else 1.0) / 2)
         return part[[*keys, "gene", "n", "mean", "sd"]]
 
-    schema = T.StructType([*(moments.schema[c] for c in (*keys, "gene", "n")), T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType())])
-    fitted = moments.groupBy(*keys).applyInPandas(fit, schema)
-    at = coo.join(cells, "cell")
+    sizes = keep(moments.groupBy(*keys).agg(F.count("*").alias("g")))
+    large = keep(sizes.where(F.col("g") > FIT_ROWS).withColumn("who", F.row_number().over(Window.orderBy(*keys)).cast("int")))
+    total = sizes.agg(F.sum("g").alias("g")).first().g or 0
+    known = {r.who: r.g for r in large.select("who", "g").collect()}
+    if not known:
+        fitted = moments.groupBy(*keys).applyInPandas(fit, schema)
+        return F.broadcast(fitted) if total <= SMALL_ROWS else fitted
+    whose = small(large.drop("g"))
+    rows = moments.join(whose, list(keys)).select("who", *keys, "gene", "n", "mean", F.log10("mean").alias("x"), F.log10("variance").alias("y"))
+    ranked = keep(numbered(rows, ["who"], ranges(rows, "x", FIT_ROWS), ["x", "gene"]))
+    shared = moments.sparkSession.sparkContext.broadcast(_curves(ranked, known, span))
+
+    def deviation(who: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros(len(x))
+        for w in who.unique():
+            some = (who == w).to_numpy()
+            out[some] = 10 ** (np.interp(x.to_numpy()[some], *shared.value[w]) / 2)
+        return pd.Series(out)
+
+    fitted = ranked.withColumn("sd", F.pandas_udf(deviation, "double")("who", "x")).select(*schema.names)
+    if total > sum(known.values()):
+        fitted = fitted.union(moments.join(whose, list(keys), "left_anti").groupBy(*keys).applyInPandas(fit, schema))
+    return F.broadcast(fitted) if total <= SMALL_ROWS else fitted
+
+
+def variable_genes(coo: DataFrame, cells: DataFrame, n_top: int = 2000, batch: str | None = None, span: float = 0.3, by: str | None = None) -> DataFrame:
+    """Genes by standardised variance (``rank`` from 1, median over batches), the first ``n_top``; with ``by``, of each of its values by itself.
+
+    The variance that a gene's mean lets expect comes from a local fit over the batch's genes; standardised values are clipped at sqrt(n) and summed in Spark.
+    """
+    own = [by] if by else []
+    keys = [*own, *([batch] if batch else [])] or ["__batch"]
+    cells = cells.select("cell", *keys) if own or batch else cells.select("cell", F.lit(0).alias("__batch"))
+    keep = Stored(coo)
+    at = keep(coo.join(cells, "cell").select(*keys, "gene", "value"))
+    moments = keep(_moments(at, cells, keys).where("variance > 0 AND mean > 0"))
+    fitted = _expected(moments, keys, span, keep)
     clip = lambda v: F.least(v, F.sqrt("n") * F.col("sd") + F.col("mean"))
-    sums = at.join(small(fitted), [*keys, "gene"]).groupBy(*keys, "gene").agg(
+    sums = at.join(fitted, [*keys, "gene"]).groupBy(*keys, "gene").agg(
         F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.count("*").alias("m"), F.sum(clip(F.col("value"))).alias("s"), F.sum(clip(F.col("value")) ** 2).alias("q")
     )
     score = (F.col("n") * F.col("mean") ** 2 + F.col("q") - 2 * F.col("s") * F.col("mean")) / ((F.col("n") - 1) * F.col("sd") ** 2)
     scored = sums.withColumn("score", score)
-    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "gene")))
-    merged = ranked.groupBy(*own, "gene").agg(F.median("r").alias("m"), F.max("score").alias("score"))
-    order = (Window.partitionBy(*own) if own else Window).orderBy("m", "gene")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_top).select(*own, "gene", "rank", "score")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "gene"))
+    if batch:
+        merged = scored.withColumn("r", place).groupBy(*own, "gene").agg(F.median("r").alias("m"), F.max("score").alias("score"))
+        place = F.row_number().over((Window.partitionBy(*own) if own else Window).orderBy("m", "gene"))
+    else:
+        merged = scored  # of one batch the median is the place itself, of which only the first are sorted by one task
+    out = Stored(coo)(merged.withColumn("rank", place).where(F.col("rank") <= n_top).select(*own, "gene", "rank", "score"))
+    keep.clear()
+    return out
 
 
 def pca(vectors: DataFrame, vector: str, k: int, out: str = "pca") -> DataFrame:

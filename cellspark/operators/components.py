@@ -85,7 +85,8 @@ def _images(rows: DataFrame, bases: dict[int, np.ndarray]) -> dict[int, tuple[np
                     total[sorted_place[first]] += np.add.reduceat(value[x][order][:, None] * y[row], first, axis=0)
         yield from line()
 
-    parts = rows.select("who", "place", "value").mapInArrow(products, "who int, place int, z array<double>")
+    # Rows without values add nothing.
+    parts = rows.where("place IS NOT NULL").select("who", "place", "value").mapInArrow(products, "who int, place int, z array<double>")
     sums = parts.groupBy("who", "place").agg(Summarizer.sum(array_to_vector("z")).alias("z")).select("who", "place", vector_to_array("z").alias("z")).toArrow()
     who, place = sums.column("who").to_numpy(), sums.column("place").to_numpy()
     lines = sums.column("z").combine_chunks().flatten().to_numpy()
@@ -156,9 +157,11 @@ def artifact_components(coo: DataFrame, cells: DataFrame, genes: DataFrame, k: i
     sizes = counts.join(places.groupBy(*own).agg(F.count("*").alias("g")), own, "left") if own else counts.withColumn("g", F.lit(widest))
     sizes = keep(sizes.select(artifact, "n", F.coalesce("g", F.lit(0)).alias("g"), (F.row_number().over(Window.orderBy(artifact)) - 1).cast("int").alias("who")))
     at = coo.where(F.col("value").isNotNull()).select("cell", "gene", F.col("value").cast("double")).join(cells, "cell").join(small(places), [*own, "gene"])
-    held = at.groupBy("cell").agg(F.collect_list("place").alias("place"), F.collect_list("value").alias("value"))
+    # Written first, as dealing rows by range reads them twice.
+    held = keep(at.groupBy("cell").agg(F.collect_list("place").alias("place"), F.collect_list("value").alias("value")))
     rows = cells.join(held, "cell", "left").join(small(sizes.select(artifact, "who")), artifact)
     rows = keep(rows.repartitionByRange("who", "cell").sortWithinPartitions("who"))
+    keep.drop(held)
 
     waves: list[list] = [[]]
     room = 0
@@ -190,7 +193,11 @@ def artifact_components(coo: DataFrame, cells: DataFrame, genes: DataFrame, k: i
 
 
 def _projected(rows: DataFrame, loads: dict[int, tuple[np.ndarray, np.ndarray]], artifact: str, k: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(loads)
+    """The rows on their artifact's components; those without values all lie in one place, and need no product."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(loads)
+    origins = spark.createDataFrame([(w, (0.0 - shift).tolist()) for w, (_, shift) in loads.items()], "who int, pca array<double>")
+    bare = rows.where("place IS NULL").join(small(origins), "who", "left").select(artifact, "cell", F.coalesce("pca", F.array_repeat(F.lit(0.0), k)).alias("pca"))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,4 +212,5 @@ def _projected(rows: DataFrame, loads: dict[int, tuple[np.ndarray, np.ndarray]],
             yield pa.RecordBatch.from_arrays([batch.column(artifact), batch.column("cell"), pca], names=[artifact, "cell", "pca"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (artifact, "cell"))
-    return rows.select(artifact, "cell", "who", "place", "value").mapInArrow(project, f"{kinds}, pca array<double>")
+    held = rows.where("place IS NOT NULL").select(artifact, "cell", "who", "place", "value").mapInArrow(project, f"{kinds}, pca array<double>")
+    return held.union(bare)

@@ -163,3 +163,38 @@ def test_numbering_follows_the_number_of_cells(spark, cells, monkeypatch):
     at = with_global_index(cells)
     assert "30), REPARTITION_BY_NUM" in physical(at)
     assert [(r.artifact, r.cell) for r in at.orderBy("global_idx").collect()] == sorted((r.artifact, r.cell) for r in cells.collect())
+
+
+def spread(spark, rng):
+    """Moments of genes: a batch with many equal means, one of few means, one of single ones, and a small one."""
+    means = {"equal": rng.lognormal(size=150).repeat(9), "few": np.array([1.0, 2.0, 4.0]).repeat([500, 260, 40]), "single": rng.lognormal(size=1003), "small": rng.lognormal(size=80)}
+    at = pd.concat([pd.DataFrame({"artifact": a, "gene": rng.permutation(len(m)), "n": 50, "mean": m, "variance": m ** 1.4 * rng.lognormal(sigma=0.5, size=len(m))}) for a, m in means.items()])
+    return at, spark.createDataFrame(at).repartition(5)
+
+
+@pytest.mark.parametrize("rows", [200, 1002])
+def test_a_fit_dealt_over_tasks_is_that_of_one(spark, monkeypatch, rows):
+    """One task held all genes of a batch; a large batch's rows are summed by many now, to the same curve."""
+    at, moments = spread(spark, np.random.default_rng(8))
+    monkeypatch.setattr(cluster, "FIT_ROWS", rows)
+    fitted = cluster._expected(moments, ["artifact"], 0.3, numbering.Stored(moments))
+    assert fitted.columns == ["artifact", "gene", "n", "mean", "sd"]
+    got = fitted.toPandas().set_index(["artifact", "gene"])["sd"]
+    assert len(got) == len(at) and got.index.is_unique
+    for name, part in at.sort_values("gene").groupby("artifact"):
+        want = 10 ** (cluster._local_fit(np.log10(part["mean"].to_numpy()), np.log10(part["variance"].to_numpy()), 0.3) / 2)
+        assert np.allclose(got[name].loc[part["gene"]], want, rtol=1e-8, atol=0), name
+
+
+def test_no_task_holds_the_genes_of_a_large_batch(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(c, g, float(rng.integers(1, 9))) for c in range(60) for g in rng.choice(900, 60, replace=False).tolist()]
+    coo, cells = spark.createDataFrame(rows, "cell int, gene int, value double"), spark.range(60).selectExpr("CAST(id AS INT) AS cell", "CAST(id % 2 AS INT) AS artifact")
+    wanted = [cluster.variable_genes(coo, cells, 40, by=by).orderBy("rank").collect() for by in ("artifact", None)]
+    held = []
+    monkeypatch.setattr(cluster, "FIT_ROWS", 500)
+    monkeypatch.setattr(cluster, "_curves", lambda ranked, sizes, span, of=cluster._curves: held.append(sizes) or of(ranked, sizes, span))
+    for by, want in zip(("artifact", None), wanted, strict=True):
+        got = cluster.variable_genes(coo, cells, 40, by=by).collect()
+        assert len(got) == len(want) and sorted((r["rank"], r.gene, r[0]) for r in got) == sorted((r["rank"], r.gene, r[0]) for r in want)
+    assert [len(h) for h in held] == [2, 1] and min(min(h.values()) for h in held) > 500
