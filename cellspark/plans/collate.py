@@ -27,7 +27,8 @@ class CollateOptions:
     """What a collated row holds.
 
     ``how``: "most expr", "random expr", "all" or "some" (``genelist``). Cells get ``max_len`` genes and
-    ``add_zero_genes`` more; missing ones are filled with unexpressed genes. Values are scaled to ``norm_to``,
+    ``add_zero_genes`` more; missing ones are filled with unexpressed genes, or without ``fill`` left out, so that rows are as long as what is
+    expressed. Values are scaled to ``norm_to``,
     then logged (base 2), then binned. ``key`` names what is unique in a row: the draw where cells are drawn again.
     ``dataset_name`` names a column that is given as ``dataset``.
 
@@ -51,6 +52,7 @@ class CollateOptions:
     key: str = "cell"
     dataset_name: str | None = None
     sparse: bool = False
+    fill: bool = True
 
 
 def _ranked(genes: DataFrame) -> DataFrame:
@@ -182,6 +184,8 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
     """
     if options.sparse and (options.how not in ("all", "some") or "knn_cells" in cells.columns):
         raise ValueError("only rows of all or some genes, without neighbours' values, are given sparsely")
+    if not options.fill and (options.add_zero_genes or options.how in ("all", "some")):
+        raise ValueError("only rows of chosen genes, without zeros asked for, can be left unfilled")
     if options.how not in ("most expr", "random expr", "all", "some"):
         raise ValueError("how must be most expr, random expr, all or some")
     org, near = options.organism_name, "near" in cells.select(F.explode("expr").alias("x")).select("x.*").columns
@@ -220,8 +224,9 @@ def collate(cells: DataFrame, genes: DataFrame, options: CollateOptions) -> Data
             have = F.transform("picked", lambda x: x["gene"])
             more = F.filter(by_neighbours(F.col("placed")), lambda x: ~F.array_contains(have, x["gene"]))
             at = at.withColumn("picked", F.concat("picked", F.slice(more, F.lit(1), F.greatest(need, F.lit(0)))))
-        at = with_zero_genes(at, need, F.col("width"), seed=options.seed)
-        at = at.withColumn("picked", F.concat("picked", F.transform("zeros", lambda g: F.struct(g.alias("gene"), F.lit(0.0).alias("value")))))
+        if options.fill:
+            at = with_zero_genes(at, need, F.col("width"), seed=options.seed)
+            at = at.withColumn("picked", F.concat("picked", F.transform("zeros", lambda g: F.struct(g.alias("gene"), F.lit(0.0).alias("value")))))
     change = lambda v: v
     if options.norm_to is not None:
         change = lambda v: F.coalesce(depth_normalise(v, F.col("depth"), options.norm_to), F.lit(0.0))

@@ -56,6 +56,16 @@ def test_sparse_is_for_whole_rows_alone(spark, cells):
         collate(cells, genes(spark, range(10)), CollateOptions(how="most expr", sparse=True))
 
 
+@pytest.mark.parametrize("how", ["most expr", "random expr"])
+def test_rows_left_unfilled_hold_what_is_expressed(spark, cells, how):
+    filled = {r.cell: r for r in collate(cells, genes(spark, range(5, 15)), CollateOptions(how=how, max_len=3)).collect()}
+    for r in collate(cells, genes(spark, range(5, 15)), CollateOptions(how=how, max_len=3, fill=False)).collect():
+        n = sum(v > 0 for v in filled[r.cell].x)
+        assert r.genes == filled[r.cell].genes[:n] and r.x == filled[r.cell].x[:n]
+    with pytest.raises(ValueError):
+        collate(cells, genes(spark, range(10)), CollateOptions(how=how, max_len=3, fill=False, add_zero_genes=1))
+
+
 @pytest.mark.parametrize("how", ["most expr", "random expr", "all"])
 def test_no_cell_carries_the_positions_of_a_run(spark, cells, how):
     """An array of an organism's positions was copied to each cell: cells times genes."""
