@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .numbering import SMALL_ROWS, Stored, cut, numbered, ranges, small
+from .numbering import SMALL_ROWS, Stored, cut, gathered, many, numbered, ranges, small
 
 #: Genes of a batch that one task fits by itself; those of a larger batch are dealt over tasks.
 FIT_ROWS = 1 << 18
@@ -150,8 +150,8 @@ def _curves(ranked: DataFrame, sizes: dict[int, int], span: float) -> dict[int,
     return out
 
 
-def _expected(moments: DataFrame, keys: Sequence[str], span: float, keep: Stored) -> DataFrame:
-    """``moments`` with ``sd``, the deviation that a gene's mean lets expect in its batch; marked for broadcast if they are few.
+def _expected(moments: DataFrame, keys: Sequence[str], span: float, keep: Stored) -> tuple[DataFrame, bool]:
+    """``moments`` with ``sd``, the deviation that a gene's mean lets expect in its batch, and whether they are few.
 
     A task fits a batch of at most FIT_ROWS genes. Those of a larger one are ranked by mean in stretches, and each task sums its rows for all places of the curve.
     """
@@ -168,11 +168,10 @@ def _expected(moments: DataFrame, keys: Sequence[str], span: float, keep: Stored
     total = sizes.agg(F.sum("g").alias("g")).first().g or 0
     known = {r.who: r.g for r in large.select("who", "g").collect()}
     if not known:
-        fitted = moments.groupBy(*keys).applyInPandas(fit, schema)
-        return F.broadcast(fitted) if total <= SMALL_ROWS else fitted
+        return moments.groupBy(*keys).applyInPandas(fit, schema), total <= SMALL_ROWS
     whose = small(large.drop("g"))
     rows = moments.join(whose, list(keys)).select("who", *keys, "gene", "n", "mean", F.log10("mean").alias("x"), F.log10("variance").alias("y"))
-    ranked = keep(numbered(rows, ["who"], ranges(rows, "x", FIT_ROWS), ["x", "gene"]))
+    ranked = keep(numbered(rows, ["who"], ranges(rows, "x", FIT_ROWS), ["x", "gene"], rows=sum(known.values())))
     shared = moments.sparkSession.sparkContext.broadcast(_curves(ranked, known, span))
 
     def deviation(who: pd.Series, x: pd.Series) -> pd.Series:
@@ -185,7 +184,7 @@ def _expected(moments: DataFrame, keys: Sequence[str], span: float, keep: Stored
     fitted = ranked.withColumn("sd", F.pandas_udf(deviation, "double")("who", "x")).select(*schema.names)
     if total > sum(known.values()):
         fitted = fitted.union(moments.join(whose, list(keys), "left_anti").groupBy(*keys).applyInPandas(fit, schema))
-    return F.broadcast(fitted) if total <= SMALL_ROWS else fitted
+    return fitted, total <= SMALL_ROWS
 
 
 def variable_genes(coo: DataFrame, cells: DataFrame, n_top: int = 2000, batch: str | None = None, span: float = 0.3, by: str | None = None) -> DataFrame:
@@ -199,7 +198,11 @@ def variable_genes(coo: DataFrame, cells: DataFrame, n_top: int = 2000, batch: s
     keep = Stored(coo)
     at = keep(coo.join(cells, "cell").select(*keys, "gene", "value"))
     moments = keep(_moments(at, cells, keys).where("variance > 0 AND mean > 0"))
-    fitted = _expected(moments, keys, span, keep)
+    fitted, few = _expected(moments, keys, span, keep)
+    if few:
+        fitted = F.broadcast(fitted)
+    elif many(rows := at.count()):
+        at, fitted = (gathered(df, *keys, "gene", rows=rows) for df in (at, fitted))
     clip = lambda v: F.least(v, F.sqrt("n") * F.col("sd") + F.col("mean"))
     sums = at.join(fitted, [*keys, "gene"]).groupBy(*keys, "gene").agg(
         F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.count("*").alias("m"), F.sum(clip(F.col("value"))).alias("s"), F.sum(clip(F.col("value")) ** 2).alias("q")

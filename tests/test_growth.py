@@ -187,8 +187,8 @@ def test_a_fit_dealt_over_tasks_is_that_of_one(spark, monkeypatch, rows):
     """One task held all genes of a batch; a large batch's rows are summed by many now, to the same curve."""
     at, moments = spread(spark, np.random.default_rng(8))
     monkeypatch.setattr(cluster, "FIT_ROWS", rows)
-    fitted = cluster._expected(moments, ["artifact"], 0.3, numbering.Stored(moments))
-    assert fitted.columns == ["artifact", "gene", "n", "mean", "sd"]
+    fitted, few = cluster._expected(moments, ["artifact"], 0.3, numbering.Stored(moments))
+    assert few and fitted.columns == ["artifact", "gene", "n", "mean", "sd"]
     got = fitted.toPandas().set_index(["artifact", "gene"])["sd"]
     assert len(got) == len(at) and got.index.is_unique
     for name, part in at.sort_values("gene").groupby("artifact"):
@@ -208,3 +208,15 @@ def test_no_task_holds_the_genes_of_a_large_batch(spark, monkeypatch):
         got = cluster.variable_genes(coo, cells, 40, by=by).collect()
         assert len(got) == len(want) and sorted((r["rank"], r.gene, r[0]) for r in got) == sorted((r["rank"], r.gene, r[0]) for r in want)
     assert [len(h) for h in held] == [2, 1] and min(min(h.values()) for h in held) > 500
+
+
+def test_many_values_meet_their_fit_in_parts_that_follow_their_number(spark, monkeypatch):
+    rows = [(c, g, 1.0 + (c * g) % 7) for c in range(60) for g in range(c % 5, 90, 5)]
+    coo, cells = spark.createDataFrame(rows, "cell int, gene int, value double"), spark.range(60).selectExpr("CAST(id AS INT) AS cell", "CAST(id % 2 AS INT) AS artifact")
+    want = cluster.variable_genes(coo, cells, 20, by="artifact").collect()
+    asked = []
+    monkeypatch.setattr(cluster, "SMALL_ROWS", 10)
+    monkeypatch.setattr(numbering, "GATHER_ROWS", 50)
+    monkeypatch.setattr(cluster, "gathered", lambda df, *keys, rows, of=numbering.gathered: asked.append((keys, rows)) or of(df, *keys, rows=rows))
+    assert sorted(cluster.variable_genes(coo, cells, 20, by="artifact").collect()) == sorted(want)
+    assert asked == [(("artifact", "gene"), len(rows))] * 2
